@@ -105,6 +105,20 @@ def in_bitmap(words: np.ndarray, h: np.ndarray, bits: int = BITMAP_BITS) -> np.n
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def small(batches, size: int = 2_000_000):
+    """The Arrow batches in slices of about ``size`` bytes of ``text``, so that a task's Python copies stay small."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def byte_texts(column) -> list[bytes]:
     """A string column of an Arrow batch as UTF-8 bytes, null as empty."""
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, small
 
 NGRAM = 4
 MAX_DOCS_PER_LANG = 3000
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, held_out=None, max_docs: int = MAX_DOCS_PER_LANG) -> Fi
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
-        for batch in batches:
+        for batch in small(batches):
             by: dict[int, list] = {}
             for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by.setdefault(index[x], []).append(codes(t))
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: Filter, held_out) -> DataFrame:
 
     def run(batches):
         m = held.value
-        for batch in batches:
+        for batch in small(batches):
             out = [m.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

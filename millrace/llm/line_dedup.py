@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, connected_components, free_name, keyed, materialize, with_keys
+from .common import bounded, connected_components, free_name, keyed, materialize, small, with_keys
 
 DISTANCE = 3
 BLOCKS = 5
@@ -62,7 +62,7 @@ def lines(docs: DataFrame) -> DataFrame:
     """``did, rid, line, node (hash of the form), fp`` of every line that is not blank."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             did, rid, texts = batch.column("did").to_numpy(), batch.column("rid").to_numpy(), batch.column("text").to_pylist()
             owner, number, forms = [], [], []
             for i, t in enumerate(texts):
@@ -131,7 +131,7 @@ def _forms_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     wanted = places.groupBy("did", "rid").agg(F.collect_list(F.struct("line", "node")).alias("at"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             nodes, forms = [], []
             for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 own = text.split("\n")

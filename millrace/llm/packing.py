@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id_of, keyed, materialize
+from .common import doc_id_of, keyed, materialize, small
 from .encode import encoder, text_groups
 
 #: Remainder lengths are solved in classes of so many lengths; the exact lengths are used when patterns are filled.
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID,
 
     def run(batches):
         enc, salt = encoder(path, True), 0
-        for batch in batches:
+        for batch in small(batches):
             names, texts = batch.column("did").to_pylist(), batch.column("text").to_pylist()
             for i, j in text_groups(texts):
                 cols: list[list] = [[] for _ in range(7)]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, small
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document is rejected if more than this share of its word characters is in failing lines.
@@ -81,30 +83,33 @@ _TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()]
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, cleaned string"
 
 
-def judged(docs: DataFrame, *carried: str) -> DataFrame:
-    """The ``carried`` columns of every document with its verdict and cleaned text; one pass, no shuffle."""
-    own = docs.select(*carried, F.col("text").cast("string").alias("__text"))
-    names = list(carried)
+def judged(docs: DataFrame, *carried: str) -> tuple[DataFrame, dict[str, str]]:
+    """The ``carried`` columns of every document with its verdict and cleaned text; one pass, no shuffle.
+
+    Also the names of the added columns, which give way to carried ones of the same name.
+    """
+    own = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
 
     def run(batches):
-        for batch in batches:
-            rows = [judge(t) for t in batch.column("__text").to_pylist()]
+        for batch in small(batches):
+            rows = [judge(t) for t in batch.column(0).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=names + FIELDS)
+            yield pa.RecordBatch.from_arrays(batch.columns[1:] + [pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=[*batch.schema.names[1:], *FIELDS])
 
-    carried_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{carried_schema}, {_SCHEMA}" if carried else _SCHEMA)
+    done = own.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[1:]), _SCHEMA]))
+    names = {f: free_name(carried, f) for f in FIELDS}
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *[F.col(f).alias(n) for f, n in names.items()]), names
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Statistics and verdict of every document, without its text."""
-    return judged(docs, "doc_id").drop("cleaned")
+    return judged(docs, "doc_id")[0].drop("cleaned")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """Kept documents with failing lines taken out; ``n_chars`` follows the text where it exists."""
-    kept = judged(docs, *[c for c in docs.columns if c not in ("text", *FIELDS)]).where("kept")
+    done, name = judged(docs, *[c for c in docs.columns if c != "text"])
+    kept = done.where(F.col(name["kept"])).withColumn("text", F.col(name["cleaned"]))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("cleaned").cast(docs.schema["n_chars"].dataType))
-    kept = kept.withColumn("text", F.col("cleaned"))
-    return kept.select(*[c for c in docs.columns if c == "text" or c not in FIELDS])
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, byte_texts, connected_components, doc_id_of, keyed, materialize, with_keys
+from .common import NULL_ID, byte_texts, connected_components, doc_id_of, keyed, materialize, small, with_keys
 
 DISTANCE = 3
 BLOCKS = 6
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``did, rid, fp`` of every row; ``fp`` is a signed long with the fingerprint's bits."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fp = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column("text"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(fp)], names=["did", "rid", "fp"])
 

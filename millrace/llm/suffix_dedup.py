@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bounded, byte_texts, doc_id_of, in_bitmap, keyed, materialize
+from .common import bitmap, bounded, byte_texts, doc_id_of, in_bitmap, keyed, materialize, small
 
 WINDOW = 400
 GRAM = 16
 #: Different phrases of one trigger context, beyond which their windows are dealt out one by one.
-CROWD = 4000
+CROWD = 1000
 _BLOCK = 1 << 19
 _M = (1 << 64) - 1
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
@@ -40,23 +40,20 @@ def _table(seed: int) -> np.ndarray:
 
 
 _TABLES = (_table(1), _table(2))
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(12, int(n).bit_length())
-    if (which, size) not in _powers:
-        base = np.uint64(_BASES[which])
-        inverse = np.uint64(pow(_BASES[which], -1, 1 << 64))
+    if which not in _powers or len(_powers[which][0]) < n:
+        size = 1 << max(20, int(n).bit_length())
         out = []
-        for b in (base, inverse):
+        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
-        _powers.clear() if len(_powers) > 6 else None
-        _powers[(which, size)] = (out[0], out[1])
-    return _powers[(which, size)]
+        _powers[which] = (out[0], out[1])
+    return _powers[which]
 
 
 def prefix_sums(data: np.ndarray, which: int) -> np.ndarray:
@@ -166,7 +163,7 @@ def phrase_rows(texts: list[bytes], window: int = WINDOW):
 
 def _context_keys(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for *_, key, _, _ in phrase_rows(byte_texts(batch.column("text")), window):
                 own, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["key", "n"])
@@ -181,7 +178,7 @@ def shared_phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches):
         bits = words.value
-        for batch in batches:
+        for batch in small(batches):
             did, rid = batch.column("did").to_numpy(), batch.column("rid").to_numpy()
             for number, first, n, key, one, two in phrase_rows(byte_texts(batch.column("text")), window):
                 k = in_bitmap(bits, key)
@@ -275,7 +272,7 @@ def _texts_at(docs: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
     wanted = materialize(mixed.groupBy("did", "rid").agg(F.collect_list(F.struct("key", "m", "c", "n", "at")).alias("at")), "places")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             did, rid = batch.column("did").to_pylist(), batch.column("rid").to_pylist()
             for i, (t, ats) in enumerate(zip(byte_texts(batch.column("text")), batch.column("at").to_pylist(), strict=True)):
                 k = len(ats)
@@ -303,7 +300,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -
     joined = keyed(docs).join(spans, ["did", "rid"], "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = byte_texts(batch.column("text"))
             runs = [merged([(x["lo"], x["hi"]) for x in s or ()]) for s in batch.column("spans").to_pylist()]
             kept = []

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, doc_id_of, keyed, materialize
+from .common import bounded, doc_id_of, keyed, materialize, small
 from .encode import encoder, text_groups
 
 MAGIC = b"PLN1"
@@ -111,7 +111,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, planes: str = "byt
             shard, first, held, ids, dids, lens = shard + 1, first + held, 0, [], [], []
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
