@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bounded, byte_texts, doc_id_of, in_bitmap, keyed, materialize, small
+from .common import bitmap, byte_texts, doc_id_of, in_bitmap, keyed, materialize, small
 
 WINDOW = 400
 GRAM = 16
@@ -279,7 +279,7 @@ def _texts_at(docs: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
                 spans = [t[x["at"] : x["at"] + x["n"] + window - 1] for x in ats]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in ats], pa.int64()) for c in ("key", "m", "c")] + [pa.array([did[i]] * k, pa.int64()), pa.array([rid[i]] * k, pa.int64()), pa.array([x["at"] for x in ats], pa.int64()), pa.array(spans, pa.binary())], names=["key", "m", "c", "did", "rid", "at", "span"])
 
-    own = keyed(docs).join(bounded(wanted, 20_000), ["did", "rid"])
+    own = keyed(docs).join(wanted, ["did", "rid"])
     return own.mapInArrow(run, "key long, m long, c long, did long, rid long, at long, span binary")
 
 
