@@ -119,11 +119,51 @@ def form_links(nodes: DataFrame, docs: DataFrame, bucket: int = BUCKET) -> DataF
     texts = materialize(_forms_at(docs, materialize(places, "line-places")), "line-forms")
     left = texts.select(F.col("node").alias("src"), F.col("form").alias("ta"))
     right = texts.select(F.col("node").alias("dst"), F.col("form").alias("tb"))
-    pair = candidates.join(left, "src").join(right, "dst")
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    allowed = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
-    pair = pair.where(F.abs(F.length("ta") - F.length("tb")) <= allowed)
-    return pair.where(F.levenshtein("ta", "tb") <= allowed).select("src", "dst")
+    return candidates.join(left, "src").join(right, "dst").mapInArrow(_alike, "src long, dst long")
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance, or ``most + 1`` if it is larger; bit-parallel over the shorter text's characters."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    i = 0
+    low = min(len(a), len(b))
+    while i < low and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < low - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for n, y in enumerate(b, 1):
+        eq = places.get(y, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(diagonal | up)), diagonal & up
+        distance += bool(plus & last) - bool(minus & last)
+        if distance - (len(b) - n) > most:
+            return most + 1
+        plus = plus << 1 | 1
+        up = full & (minus << 1 | ~(diagonal | plus))
+        down = full & plus & diagonal
+    return distance
+
+
+def _alike(batches):
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+            most = int(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
+            keep.append(edit_distance(a, b, most) <= most)
+        at = np.flatnonzero(np.array(keep, dtype=bool))
+        yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(at)), batch.column("dst").take(pa.array(at))], names=["src", "dst"])
 
 
 def _forms_at(docs: DataFrame, places: DataFrame) -> DataFrame:
