@@ -51,11 +51,13 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
     seen = texts.select(F.explode("w").alias("word")).select(F.lower("word").alias("low")).join(vocabulary, "low").groupBy("low").agg(F.count("*").alias("df"))
     ranked = parts.join(seen, "low", "left").groupBy("win", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "low", "pos")).alias("p"))
     prefix = materialize(ranked.where("p.df > 0").select("win", "len", "p.low", "p.pos"), "prefixes")
-    placed = texts.select("did", "rid", F.size("w").alias("n"), F.posexplode("w").alias("at", "word")).select("did", "rid", "n", "at", F.lower("word").alias("low"))
+    # the count is taken below the generator, else every word's row would carry the whole array
+    placed = texts.withColumn("n", F.size("w")).select("did", "rid", "n", F.posexplode("w").alias("at", "word")).select("did", "rid", "n", "at", F.lower("word").alias("low"))
     fits = placed.join(bounded(prefix), "low").withColumn("start", F.col("at") - F.col("pos")).where("start >= 0 and start + len <= n")
     found = materialize(fits.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "win", "len")).alias("found")), "candidates")
-    back = rows.join(bounded(found), ["did", "rid"]).withColumn("w", words(F.col("text")))
-    hits = F.filter("found", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["len"]), " ") == c["win"])
+    back = rows.join(bounded(found), ["did", "rid"])
+    # the words are bound to a variable, so they are split once a document and not once a candidate
+    hits = F.transform(F.array(words(F.col("text"))), lambda w: F.filter("found", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["len"]), " ") == c["win"]))[0]
     return materialize(back.select("did", "rid", hits.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["did", "rid"]), "hits"), wins
 
 

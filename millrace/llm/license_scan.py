@@ -44,7 +44,8 @@ def normalised(text):
 def bigram_set(segment):
     """The segment's different word bigrams, as strings."""
     w = F.filter(F.split(segment, r"\s+"), lambda x: x != "")
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    # bound to a variable, so the segment is split once
+    pairs = F.transform(F.array(w), lambda x: F.zip_with(x, F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))[0]
     return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
 
 
