@@ -43,5 +43,5 @@ def trim_result(content: Column, spill: Column, limit: int) -> Column:
     """Head and tail of a long tool result around a notice; short ones unchanged."""
     head, tail = limit // 2, limit - limit // 2
     cut = F.length(content) - limit
-    notice = F.concat(F.lit("\n... ["), cut.cast("string"), F.lit(" characters cut, full text in "), spill, F.lit("] ...\n"))
+    notice = F.concat(F.lit("\n\n... ["), cut.cast("string"), F.lit(" characters trimmed to fit the context window. Full output saved to "), spill, F.lit(" -- read_file it if you need the middle.] ...\n\n"))
     return F.when(F.length(content) > limit, F.concat(F.substring(content, 1, head), notice, F.substring(content, -tail, tail))).otherwise(content)

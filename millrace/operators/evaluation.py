@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunking, embedding, search
+
 CUTOFFS = (1, 3, 5)
 
 
@@ -38,3 +42,51 @@ def aggregate(results: DataFrame, group: str) -> DataFrame:
 
 def misses(results: DataFrame) -> DataFrame:
     return results.where("hit_5 = 0").select("query_id", "total_relevant", "top_source", F.round("top_score", 6).alias("top_score"))
+
+
+def relevant_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, source``: chunks of a wanted source that hold the query's marker, case aside.
+
+    ``queries``: ``query_id, sources array<string>, marker``.  An equi-join by source with the marker test on top.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct("sources")).alias("source"), F.lower("marker").alias("_m"))
+    return chunks.join(asked, "source").where(F.contains(F.lower("text"), F.col("_m"))).select("query_id", "chunk_id", "source")
+
+
+def best_setting(metrics: DataFrame, configured: str, key: str = "variant", position: str = "position") -> DataFrame:
+    """The variant best in (hit_3, mrr), the first on ties, with its lead over the configured one."""
+    own = metrics.where(F.col(key) == configured).select(F.col("hit_3").alias("_h"), F.col("mrr").alias("_m")).limit(1)
+    best = metrics.orderBy(F.desc("hit_3"), F.desc("mrr"), position).limit(1)
+    return best.join(own, how="left").select(key, "hit_3", "mrr", F.round(F.col("hit_3") - F.col("_h"), 6).alias("hit_3_delta"), F.round(F.col("mrr") - F.col("_m"), 6).alias("mrr_delta"))
+
+
+def gold_violations(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, source, problem``: no gold chunk in a named source (``missing``), or in more than half of its chunks
+    and more than one (``too_common``)."""
+    asked = queries.select("query_id", F.explode(F.array_distinct("sources")).alias("source"))
+    gold = relevant_chunks(chunks, queries).groupBy("query_id", "source").agg(F.count("*").alias("g"))
+    sizes = chunks.groupBy("source").agg(F.count("*").alias("n"))
+    joined = asked.join(gold, ["query_id", "source"], "left").join(sizes, "source", "left")
+    g = F.coalesce("g", F.lit(0))
+    problem = F.when(g == 0, "missing").when(g > F.greatest(F.lit(1), F.floor(F.col("n") / 2)), "too_common")
+    return joined.select("query_id", "source", problem.alias("problem")).where("problem is not null")
+
+
+def ablate_chunk_size(docs: DataFrame, queries: DataFrame, embedder, model: str, sizes: tuple[int, ...] = (200, 300, 600, 1200, 2000), depth: int = 10, prefixes: tuple[str, str] = ("search_document: ", "search_query: ")) -> DataFrame:
+    """One row of metrics per chunk size (overlap a sixth of it): ``variant, position, n, hit_k, p_k, r_k, mrr``.
+
+    ``docs``: ``doc_id, text``; ``queries``: ``query_id long, question, sources array<string>, marker``.  All sizes run in one job.
+    """
+    n = len(sizes)
+    pieces = [chunking.with_context(chunking.chunk(docs, s, s // 6)).withColumn("position", F.lit(i)) for i, s in enumerate(sizes)]
+    chunks = reduce(DataFrame.unionByName, pieces).withColumn("vec_id", F.xxhash64("position", "chunk_id"))
+    vectors = embedding.embed(chunks, embedder, model, prefixes[0], col="context").select("vec_id", "position", F.col("vector").alias("embedding"))
+    asked = embedding.embed(queries, embedder, model, prefixes[1], col="question").select("query_id", "sources", "marker", F.col("vector").alias("embedding"), F.explode(F.array(*map(F.lit, range(n)))).alias("position"))
+    asked = asked.withColumn("query_id", F.col("query_id") * n + F.col("position"))
+    hits = search.top_k(vectors, asked, k=depth, group="position")
+    gold = chunks.join(asked.select("query_id", "position", F.explode(F.array_distinct("sources")).alias("source"), F.lower("marker").alias("_m")), ["position", "source"]).where(F.contains(F.lower("text"), F.col("_m"))).select("query_id", "vec_id")
+    labelled = hits.join(gold.withColumn("relevant", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "rank", F.col("vec_id").alias("id"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"))
+    totals = gold.groupBy("query_id").agg(F.count("*").alias("total_relevant"))
+    metrics = aggregate(per_query(asked.select("query_id", "position"), labelled, totals), "position").where("position <> 'all'")
+    position = F.col("position").cast("int")
+    return metrics.withColumns({"variant": F.element_at(F.array(*[F.lit(str(s)) for s in sizes]), position + 1), "position": position})

@@ -5,6 +5,9 @@ Messages: ``conv_id, turn (position), role, text``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +48,9 @@ def usage(messages: DataFrame, budget: int, headroom: float = 0.85) -> DataFrame
 
 def truncate(messages: DataFrame, budget: int, keep_turns: int, headroom: float = 0.85) -> DataFrame:
     """History after compaction: system messages, a marker for what was dropped, the kept turns; ``pos`` from 0."""
-    keep = max(1, keep_turns)
-    over = usage(messages, budget, headroom).where("over").select("conv_id")
-    tagged = with_turns(messages).withColumn("last", F.max("turn_no").over(Window.partitionBy("conv_id")))
-    dropped = tagged.where(F.col("turn_no") <= F.col("last") - keep).join(over, "conv_id", "left_semi").select("conv_id", "turn")
+    dropped = _dropped(messages, budget, keep_turns, headroom).select("conv_id", "turn")
     stay = messages.join(dropped, ["conv_id", "turn"], "left_anti").select("conv_id", F.when(F.col("role") == "system", 0).otherwise(2).alias("k"), "turn", "role", "text")
-    note = F.concat(F.lit("["), F.count("*").cast("string"), F.lit(" earlier messages were dropped to fit the context window]"))
+    note = F.concat(F.lit("["), F.count("*").cast("string"), F.lit(" earlier messages were dropped to stay within the context window. If you need something from them, ask.]"))
     marker = dropped.groupBy("conv_id").agg(note.alias("text")).select("conv_id", F.lit(1).alias("k"), F.lit(-1).cast("long").alias("turn"), F.lit("user").alias("role"), "text")
     order = Window.partitionBy("conv_id").orderBy("k", "turn")
     return stay.unionByName(marker).select("conv_id", (F.row_number().over(order) - 1).alias("pos"), "role", "text")
@@ -67,6 +67,56 @@ def compaction_report(messages: DataFrame, budget: int, keep_turns: int, headroo
     return joined.select("conv_id", F.col("over").alias("triggered"), (F.col("over") & fired).alias("fired"), F.col("tokens").alias("before"), "after", (F.col("tokens") - F.col("after")).alias("saved"), F.when(F.col("over") & fired, F.col("n_before") - F.col("n_after") + 1).otherwise(0).alias("dropped_messages"))
 
 
+def _dropped(messages: DataFrame, budget: int, keep: int, headroom: float) -> DataFrame:
+    """Messages of the turns that compaction drops."""
+    over = usage(messages, budget, headroom).where("over").select("conv_id")
+    tagged = with_turns(messages).withColumn("last", F.max("turn_no").over(Window.partitionBy("conv_id")))
+    return tagged.where(F.col("turn_no") <= F.col("last") - max(1, keep)).join(over, "conv_id", "left_semi")
+
+
+def summarize(messages: DataFrame, budget: int, keep_turns: int, summarizer: Callable[[str], str] | None = None, headroom: float = 0.85) -> DataFrame:
+    """As ``truncate``, with a summary of what was dropped in the marker; one summarizer call per compacted conversation.
+
+    Without a summarizer, for an empty answer and after an error the marker holds a fixed sentence.
+    """
+    dropped = _dropped(messages, budget, keep_turns, headroom)
+    line = F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 1500)).alias("l"))
+    spans = dropped.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("span"))
+
+    @F.pandas_udf("string")
+    def ask(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(summarizer(t).strip() or "(summarizer returned nothing)")
+            except Exception as e:  # the caller's function may raise anything; one conversation does not end the job
+                out.append(f"(summarization failed: {type(e).__name__}; history was dropped)")
+        return pd.Series(out, dtype=object)
+
+    summary = F.lit("(no client available to summarize; history was dropped)") if summarizer is None else ask("span")
+    note = F.concat(F.lit("[Summary of "), F.col("n").cast("string"), F.lit(" earlier messages, which have been dropped to stay within the context window:]\n\n"), summary)
+    marker = spans.select("conv_id", F.lit(1).alias("k"), F.lit(-1).cast("long").alias("turn"), F.lit("user").alias("role"), note.alias("text"))
+    stay = messages.join(dropped.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").select("conv_id", F.when(F.col("role") == "system", 0).otherwise(2).alias("k"), "turn", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy("k", "turn")
+    return stay.unionByName(marker).select("conv_id", (F.row_number().over(order) - 1).alias("pos"), "role", "text")
+
+
+def compare_strategies(messages: DataFrame, budget: int, keep_turns: int, summarizer: Callable[[str], str] | None = None, headroom: float = 0.85) -> DataFrame:
+    """``conv_id, strategy, before, after, saved, n_messages`` of both ways to compact."""
+    before = usage(messages, budget, headroom).select("conv_id", F.col("tokens").alias("before"))
+    both = truncate(messages, budget, keep_turns, headroom).withColumn("strategy", F.lit("truncate")).unionByName(summarize(messages, budget, keep_turns, summarizer, headroom).withColumn("strategy", F.lit("summarize")))
+    after = both.groupBy("conv_id", "strategy").agg(F.sum(token_estimate(F.col("text")) + OVERHEAD).alias("after"), F.count("*").alias("n_messages"))
+    return after.join(before, "conv_id").select("conv_id", "strategy", "before", "after", (F.col("before") - F.col("after")).alias("saved"), "n_messages")
+
+
+def unpaired_results(messages: DataFrame) -> DataFrame:
+    """Tool rows whose ``tool_call_id`` is not among the ids of the nearest earlier assistant message with ``tool_calls``."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    ids = F.when((F.col("role") == "assistant") & (F.size("tool_calls") > 0), F.transform("tool_calls", lambda c: c["id"]))
+    open_ids = messages.withColumn("open_ids", F.last(ids, ignorenulls=True).over(w))
+    return open_ids.where((F.col("role") == "tool") & ~F.coalesce(F.array_contains("open_ids", F.col("tool_call_id")), F.lit(False))).drop("open_ids")
+
+
 def transcript(messages: DataFrame) -> DataFrame:
     body = F.when(F.length("text") >= 500, F.concat(F.substring("text", 1, 500), F.lit(" ...[cut]"))).otherwise(F.col("text"))
     line = F.concat(F.lit("--- "), F.upper("role"), F.lit(" ---\n"), body)

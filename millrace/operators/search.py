@@ -23,7 +23,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec
     found = None
     for block in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
         own = numbered.where(F.col("block") == block).orderBy("q").toArrow()
-        held = spark.sparkContext.broadcast((own["q"].to_numpy(), _unit(np.array(own["v"].to_pylist(), dtype=np.float64)), np.array(own["g"].to_pylist()) if group else None))
+        held = spark.sparkContext.broadcast((own["q"].to_numpy(), unit(np.array(own["v"].to_pylist(), dtype=np.float64)), np.array(own["g"].to_pylist()) if group else None))
 
         def run(batches, held=held):
             q, m, g = held.value
@@ -31,7 +31,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec
                 if not batch.num_rows:
                     continue
                 ids = batch.column("id").to_numpy()
-                v = _unit(np.array(batch.column("v").to_pylist(), dtype=np.float64))
+                v = unit(np.array(batch.column("v").to_pylist(), dtype=np.float64))
                 score = np.round(m @ v.T, 6)
                 if g is not None:
                     score = np.where(g[:, None] == np.array(batch.column("g").to_pylist())[None, :], score, -np.inf)
@@ -48,7 +48,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit(m: np.ndarray) -> np.ndarray:
     if m.size == 0:
         return m.reshape(len(m), -1)
     n = np.linalg.norm(m, axis=1, keepdims=True)

@@ -35,3 +35,25 @@ def call_log_rollup(log: DataFrame) -> DataFrame:
     status = F.regexp_extract(F.coalesce("error", F.lit("")), r"returned (\d{3})", 1)
     code = F.when(status == "", F.lit(None)).otherwise(status.cast("int"))
     return log.groupBy("model").agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.count_if((code == 429) | (code >= 500)).alias("retryable"), F.sum("retries").alias("retries"), F.count_if(F.col("retries") > 0).alias("retried_calls"), F.round(F.avg("latency_ms"), 4).alias("avg_ms"))
+
+
+def step_records(steps: DataFrame) -> DataFrame:
+    """Trace rows from steps (``elapsed_s``, ``results array<struct<name, duration_ms, ok, content>>``)."""
+    error = lambda r: F.when(~r["ok"], F.left(F.coalesce(r["content"], F.lit("")), F.lit(200)))
+    tools = F.transform("results", lambda r: F.struct(r["name"].alias("name"), r["duration_ms"].alias("duration_ms"), r["ok"].alias("ok"), error(r).alias("error")))
+    return steps.select("run_id", "step", F.round("model_ms", 1).alias("model_ms"), F.round(F.col("elapsed_s") * 1000, 1).alias("step_ms"), "prompt_tokens", "completion_tokens", "compacted", "repaired", tools.alias("tools"))
+
+
+def run_metrics(trace: DataFrame) -> DataFrame:
+    """Per run: iterations, tool calls, repaired steps as a share of the steps with calls (0 without any), prompt tokens."""
+    calls = F.size("tools") > 0
+    rate = F.coalesce(F.count_if(F.col("repaired") & calls) / F.nullif(F.count_if(calls), F.lit(0)), F.lit(0.0))
+    return trace.groupBy("run_id").agg(F.count("*").alias("iterations"), F.sum(F.size("tools")).alias("tool_calls"), F.round(rate, 6).alias("repair_rate"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
+def summary_line(rollup: DataFrame) -> DataFrame:
+    """``run_id, line`` from ``run_rollup``: counts in words, the optional ones only where they are not zero."""
+    some = lambda c, word: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {word}")))
+    tokens = F.concat(F.col("prompt_tokens").cast("string"), F.lit("+"), F.col("completion_tokens").cast("string"), F.lit(" tokens"))
+    parts = F.concat_ws(", ", F.concat(F.col("steps").cast("string"), F.lit(" steps")), F.concat(F.col("tool_calls").cast("string"), F.lit(" tool calls")), some("tool_failures", "failed"), some("repaired_steps", "repaired"), some("compactions", "compactions"), tokens, F.format_string("model %.1fs", F.col("model_ms") / 1000))
+    return rollup.select("run_id", F.concat(F.lit("trace "), F.col("run_id"), F.lit(": "), parts).alias("line"))

@@ -25,3 +25,16 @@ def grep(docs: DataFrame, pattern: str, id_col: str = "doc_id", max_line: int =
     cut = numbered_lines(docs, id_col).withColumn("line", F.substring("line", 1, max_line)).where(F.col("line").rlike(pattern))
     shown = F.trim("line")
     return cut.select(id_col, "n", F.when(F.length(shown) > 200, F.concat(F.substring(shown, 1, 200), F.lit("..."))).otherwise(shown).alias("line"))
+
+
+def read_lines(docs: DataFrame, start: int | None = None, end: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, shown, error``: lines ``start`` to ``end`` (from 1) with right-aligned numbers; an empty range is an error."""
+    parts = F.split(F.coalesce("text", F.lit("")), BREAKS, -1)
+    lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    lo, n = max((start or 1) - 1, 0), F.size("_l")
+    hi = F.least(F.lit(end), n) if end else n
+    rows = docs.select(id_col, lines.alias("_l"))
+    width = F.length(hi.cast("string"))
+    numbered = F.transform(F.slice("_l", F.lit(lo + 1), F.greatest(hi - lo, F.lit(0))), lambda x, i: F.concat(F.lpad((i + lo + 1).cast("string"), width, F.lit(" ")), F.lit("  "), x))
+    error = F.when(hi <= lo, F.concat(F.lit(f"line range {start}-{end} is empty; the file has "), n.cast("string"), F.lit(" lines")))
+    return rows.select(id_col, F.when(hi > lo, F.array_join(numbered, "\n")).alias("shown"), error.alias("error"))

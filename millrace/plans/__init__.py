@@ -1 +1,3 @@
-"""Queries over the given tables and their SQL."""
+"""Queries over the given tables."""
+
+from . import registry, logs  # noqa: F401, I001 - logs adds its queries to registry's

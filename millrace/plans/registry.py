@@ -116,7 +116,7 @@ def h3_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_USED}, {_TURNS}, o AS (SELECT conv_id FROM u WHERE tokens > {int(BUDGET * 0.85)}),
 d AS (SELECT conv_id, turn FROM (SELECT *, max(turn_no) OVER (PARTITION BY conv_id) AS last FROM t) WHERE turn_no <= last - {KEEP} AND conv_id IN (SELECT conv_id FROM o)),
 m AS (SELECT conv_id, CASE WHEN role = 'system' THEN 0 ELSE 2 END AS k, turn, role, text FROM conversations WHERE (conv_id, turn) NOT IN (SELECT conv_id, turn FROM d)
-UNION ALL SELECT conv_id, 1, -1, 'user', '[' || count(*) || ' earlier messages were dropped to fit the context window]' FROM d GROUP BY conv_id)
+UNION ALL SELECT conv_id, 1, -1, 'user', '[' || count(*) || ' earlier messages were dropped to stay within the context window. If you need something from them, ask.]' FROM d GROUP BY conv_id)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY k, turn) - 1 AS INTEGER) AS pos, role, text FROM m""")
 def h5_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.truncate(table(spark, sf_dir, "conversations"), BUDGET, KEEP)
