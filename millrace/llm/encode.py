@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-#: Pieces kept per worker; the cache is emptied when full, which changes no result.
+#: Pieces in each of a worker's two cache generations; a full one becomes the old one, which changes no result.
 CACHE_PIECES = 400_000
 
 _SPACED = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -34,6 +34,7 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dropped = white_space_dropped
         self.cache: dict = {}
+        self.old: dict = {}
 
     def pieces(self, text: str | None) -> list:
         if not text:
@@ -42,10 +43,15 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        missing = list({p for ps in split for p in ps if p not in cache})
+        if len(self.cache) > CACHE_PIECES:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        missing = []
+        for p in {p for ps in split for p in ps if p not in cache}:
+            if p in old:
+                cache[p] = old[p]
+            else:
+                missing.append(p)
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part] if self.dropped else part, add_special_tokens=False), strict=True):
