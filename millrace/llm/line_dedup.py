@@ -156,12 +156,20 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return distance
 
 
+def surely_within(a: str, b: str, most: int) -> bool:
+    """Whether replacing word by word already costs at most ``most``, so that the distance need not be computed."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    return len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most
+
+
 def _alike(batches):
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
             most = int(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
-            keep.append(edit_distance(a, b, most) <= most)
+            keep.append(surely_within(a, b, most) or edit_distance(a, b, most) <= most)
         at = np.flatnonzero(np.array(keep, dtype=bool))
         yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(at)), batch.column("dst").take(pa.array(at))], names=["src", "dst"])
 

@@ -111,15 +111,17 @@ def _expand(rows: DataFrame, level: int) -> DataFrame:
 
 def _pairs_in(batches):
     for batch in batches:
-        a, b = [], []
-        for fps in batch.column("fps"):
-            x = np.unique(np.array(fps.as_py(), dtype=np.int64))
-            i, j = np.triu_indices(len(x), 1)
-            near = np.bitwise_count(x.view(np.uint64)[i] ^ x.view(np.uint64)[j]) <= DISTANCE
-            a.append(x[i[near]])
-            b.append(x[j[near]])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["src", "dst"])
+        lists = batch.column("fps")
+        bucket = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        fps = lists.flatten().to_numpy().view(np.uint64)
+        for step in range(1, len(fps)):  # ends after the largest bucket's size
+            same = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(same):
+                break
+            x, y = fps[same], fps[same + step]
+            near = np.bitwise_count(x ^ y) <= DISTANCE
+            x, y = x[near].view(np.int64), y[near].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
 
 
 def close_pairs(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
