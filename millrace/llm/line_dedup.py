@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import string
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +41,18 @@ def form(line: str) -> bytes:
 
 def line_fingerprints(forms: list[bytes]) -> np.ndarray:
     """Majority bits over each form's words, all forms at once."""
-    h64 = xxhash.xxh64_intdigest
     out = np.zeros(len(forms), dtype=np.uint64)
     start = 0
     while start < len(forms):
-        hashes: list[int] = []
+        words: list[bytes] = []
         first, end = [], start
-        while end < len(forms) and len(hashes) < 200_000:
-            first.append(len(hashes))
-            hashes += [h64(w) for w in forms[end].split()] or [0]
+        while end < len(forms) and len(words) < 200_000:
+            first.append(len(words))
+            words += forms[end].split() or [b""]
             end += 1
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sizes = np.diff([*first, len(hashes)])
+        digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint8).reshape(-1, 8)[:, ::-1]
+        bits = np.unpackbits(digests, axis=1, bitorder="little")
+        sizes = np.diff([*first, len(words)])
         ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         out[start:end] = np.packbits((2 * ones > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
         start = end
@@ -157,11 +158,18 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def surely_within(a: str, b: str, most: int) -> bool:
-    """Whether replacing word by word already costs at most ``most``, so that the distance need not be computed."""
+    """Whether replacing the middle that differs, or word by word, already costs at most ``most``."""
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
-    return len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+        return True
+    same = len(commonprefix((x, y)))
+    x, y = x[same:], y[same:]
+    same = len(commonprefix((x[::-1], y[::-1])))
+    x, y = x[: len(x) - same], y[: len(y) - same]
+    # one more character for the space beside a middle that is empty on one side
+    return max(len(" ".join(x)), len(" ".join(y))) + 1 <= most
 
 
 def _alike(batches):
