@@ -1,6 +1,7 @@
 """Edge cases of every operator: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,23 @@ def test_edit_distance():
     assert line_dedup.edit_distance("kitten", "sitting", 5) == 3 and line_dedup.edit_distance("", "abc", 2) == 3
 
 
+def test_early_accept_is_within_the_distance():
+    rng = random.Random(3)
+    hits = 0
+    for _ in range(3000):
+        a = [rng.choice(["aa", "b", "ccc", "dddd"]) for _ in range(rng.randint(1, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = [rng.choice(["q", "xx", "b"])] * rng.randint(0, 1)
+        x, y = " ".join(a), " ".join(b)
+        most = int(max(len(x), len(y)) * 0.2 + 1e-9)
+        if line_dedup.surely_within(x, y, most):
+            hits += 1
+            assert line_dedup.edit_distance(x, y, most) <= most
+    assert hits > 100
+
+
 def test_license_scan(docs):
     got = small_and_empty(license_scan.license_scan, docs)
     assert got[7].license == "MIT" and got[7].dice == 1.0 and got[0].license is None
