@@ -2,12 +2,12 @@
 
 One bit-sliced Bloom filter holds all languages: position p of the filter is a mask with bit l set
 if an n-gram of language l hashes there, so the AND of an n-gram's positions returns every language
-that (perhaps) contains it.  A text's per-language popcounts are corrected by each language's
+that (perhaps) contains it.  A mask has as many 64-bit words as the labels need; no label is left out.  A text's per-language popcounts are corrected by each language's
 false-positive rate, taken from its fill, and the largest decides.
 
 Learning: at most ``MAX_DOCS_PER_LANG`` labelled documents per language (those with the smallest id
-hashes) outside the held-out fold; an n-gram belongs to a language if it is frequent enough there
-and not much rarer than in the language where it is most frequent.
+hashes) outside the held-out fold; an n-gram belongs to a language if it is frequent enough there, for
+the language's amount of text, and not much rarer than in the language where it is most frequent.
 
 A null text or one without a letter is ``und`` with score 0.  Rows without a label teach nothing.
 Without any labelled row every text is ``und``.
@@ -24,7 +24,10 @@ from .common import id_bucket, small
 
 NGRAM = 4
 MAX_DOCS_PER_LANG = 3000
+#: Least count of an n-gram in a language with much text; one with less than ``LITTLE`` n-grams needs one, with twice that two, and so on.
 MIN_COUNT = 4
+#: A highest rate is taken over so many n-grams at least, so that a chance n-gram of a little text is not taken from the others.
+LITTLE = 20_000
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate.
 MIN_SHARE = 0.1
 FILTER_BITS = 21
@@ -58,11 +61,11 @@ def positions(code: np.ndarray) -> list[np.ndarray]:
 
 
 class Filter:
-    """``masks``: language bits by position; ``langs``: names by bit."""
+    """``masks``: language bits, a row for each word of 64 languages, by position; ``langs``: names by bit."""
 
     def __init__(self, masks: np.ndarray, langs: list[str]) -> None:
         self.masks, self.langs = masks, langs
-        fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))])
+        fill = np.array([((masks[i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).mean() for i in range(len(langs))])
         self.false_rate = fill**HASHES
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -72,11 +75,13 @@ class Filter:
         for i in range(0, len(text), 1 << 18):
             code = codes(text[i : i + (1 << 18)])
             p = positions(code)
-            found = self.masks[p[0]]
-            for q in p[1:]:
-                found = found & self.masks[q]
             total += len(code)
-            hits += [np.count_nonzero(found & np.uint64(1 << b)) for b in range(len(self.langs))]
+            for w, masks in enumerate(self.masks):
+                found = masks[p[0]]
+                for q in p[1:]:
+                    found = found & masks[q]
+                own = hits[64 * w : 64 * w + 64]
+                own += [np.count_nonzero(found & np.uint64(1 << b)) for b in range(len(own))]
         rate = np.clip((hits / max(total, 1) - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = int(np.argmax(rate))
         return self.langs[best], float(rate[best])
@@ -87,14 +92,16 @@ def fit(docs: DataFrame, held_out=None, max_docs: int = MAX_DOCS_PER_LANG) -> Fi
     spark: SparkSession = docs.sparkSession
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (held_out if held_out is not None else F.lit(False)).alias("out"))
     known = known.where("lang is not null and text is not null and not out").drop("out")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
+    # a bounded sample of each language: top-k by hash; only hashes are ranked, texts are picked by the last hash
+    known = known.withColumn("hash", F.xxhash64("doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    last = known.select("lang", "hash").distinct().withColumn("place", place).where(F.col("place") <= max_docs).groupBy("lang").agg(F.max("hash").alias("last")).toArrow()
+    langs = sorted(last["lang"].to_pylist())
     if not langs:
-        return Filter(np.zeros(1 << FILTER_BITS, np.uint64), [])
-    order = F.xxhash64("doc_id", "text")
-    picked = None
-    for x in langs:  # a bounded sample of each language: top-k by hash, kept small in every task
-        own = known.where(F.col("lang") == x).orderBy(order).limit(max_docs)
-        picked = own if picked is None else picked.union(own)
+        return Filter(np.zeros((0, 1 << FILTER_BITS), np.uint64), [])
+    words = (len(langs) + 63) // 64
+    # a row for each label
+    picked = known.join(F.broadcast(spark.createDataFrame(last)), "lang").where("hash <= last").dropDuplicates(["lang", "hash"])
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
@@ -109,18 +116,21 @@ def fit(docs: DataFrame, held_out=None, max_docs: int = MAX_DOCS_PER_LANG) -> Fi
     n_tasks = 2 * max(1, spark.sparkContext.defaultParallelism)
     grams = picked.select("text", "lang").repartition(n_tasks).mapInArrow(count, "code long, lang int, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
     size = grams.groupBy("lang").agg(F.sum("n").alias("all"))
-    rated = grams.where(F.col("n") >= MIN_COUNT).join(F.broadcast(size), "lang").withColumn("rate", F.col("n") / F.col("all"))
-    top = rated.withColumn("top", F.max("rate").over(Window.partitionBy("code")))
-    own = top.where(F.col("rate") >= MIN_SHARE * F.col("top")).groupBy("code").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lang"))).alias("mask"))
+    least = F.least(F.lit(MIN_COUNT), F.expr(f"1 + all div {LITTLE}"))
+    rated = grams.join(F.broadcast(size), "lang").where(F.col("n") >= least).withColumn("rate", F.col("n") / F.col("all"))
+    top = rated.withColumn("top", F.max(F.col("n") / F.greatest("all", F.lit(LITTLE))).over(Window.partitionBy("code")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("lang % 64"))
+    own = top.where(F.col("rate") >= MIN_SHARE * F.col("top")).groupBy("code", F.expr("lang div 64").cast("int").alias("word")).agg(F.sum(bit).alias("mask"))
 
-    def place(batches):
+    def spots(batches):
         for batch in batches:
             p = positions(batch.column("code").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)), pa.array(np.tile(batch.column("mask").to_numpy(), HASHES))], names=["p", "mask"])
+            word, mask = (np.tile(batch.column(c).to_numpy(), HASHES) for c in ("word", "mask"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)), pa.array(word), pa.array(mask)], names=["p", "word", "mask"])
 
-    rows = own.mapInArrow(place, "p long, mask long").groupBy("p").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2**FILTER_BITS rows
-    masks = np.zeros(1 << FILTER_BITS, np.uint64)
-    masks[rows["p"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    rows = own.mapInArrow(spots, "p long, word int, mask long").groupBy("p", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2**FILTER_BITS rows for 64 labels
+    masks = np.zeros((words, 1 << FILTER_BITS), np.uint64)
+    masks[rows["word"].to_numpy(), rows["p"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
     return Filter(masks, langs)
 
 

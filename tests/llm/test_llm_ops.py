@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality, registry, simhash, suffix_dedup, suffix_tree_lm, token_file
 
@@ -115,6 +116,19 @@ def test_language_id(docs):
     assert got[0].lang_pred == got[9].lang_pred == "und"
 
 
+def test_more_labels_than_a_word_and_little_text(spark):
+    rng = random.Random(5)
+    own = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)) for _ in range(150)]
+    vocab = [["".join(rng.choice(a[:9]) for _ in range(5)) for _ in range(12)] for a in own]
+    text = lambda k, n: " ".join(rng.choices(vocab[k], k=n))
+    # labels of much text fill the first places by count; the last has one short document
+    rows = [(k * 100 + j, text(k, 40), f"l{k:03d}", False) for k in range(149) for j in range(3)] + [(99_000, " ".join(vocab[149]), "l149", False)]
+    rows += [(100_000 + k, text(k, 30), f"l{k:03d}", True) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, out boolean")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.fit(docs, F.col("out")), F.col("out")).where("held_out").collect()}
+    assert got == {100_000 + k: f"l{k:03d}" for k in range(150)}
+
+
 def test_token_file(docs):
     got = small_and_empty(lambda d: token_file.token_ids(d, registry.vocabulary("byte_bpe_50k.json")), docs)
     assert got[None].start == 0 and got[0].n_tokens == 1
