@@ -58,21 +58,22 @@ class KeyMasks:
             self.level_masks.append(np.array(fixed, dtype=np.uint64))
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Majority bits of the XXH64 (seed 42) hashes of a text's word shingles, repeats included."""
-    words = text.lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of ``shingle`` words, repeats included; of all words where there are no more."""
     h64 = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return h64(b" ".join(words), 42)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([h64(joined, 42)] if words else [], dtype="<u8")
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
-    hashes = np.array([h64(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=True)], dtype="<u8")
+    return np.array([h64(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that more than half of the hashes have; zero without any."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -80,6 +81,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Majority bits of the hashes of a text's word shingles."""
+    return majority(shingle_hashes(text.lower().split(), shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``did, rid, fp`` of every row; ``fp`` is a signed long with the fingerprint's bits."""
 
@@ -164,13 +170,13 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Documents with one of each near-duplicate class left: the smallest (did, rid).
+    """Documents with one of each group of near copies left: the smallest (did, rid).
 
-    Texts without a word say nothing about likeness; they are kept as they are only once too,
-    since their fingerprints are equal.  Rows equal in id and text are one document and stay together.
+    Near copies have a shingle similarity of 0.8 or more (see ``near_copies``).  Texts without a word are
+    kept only once.  Rows equal in id and text are one document and stay together.
     """
-    tagged = classes(docs, shingle)
-    first = tagged.groupBy("root").agg(F.min(F.struct("did", "rid")).alias("k")).select("k.did", "k.rid")
+    from . import near_copies
+
     own, d, r = with_keys(docs)
-    stay = first.select(F.col("did").alias(d), F.col("rid").alias(r))
+    stay = near_copies.representatives(docs, shingle).select(F.col("did").alias(d), F.col("rid").alias(r))
     return own.join(stay, [d, r], "left_semi").select(*docs.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality, registry, simhash, suffix_dedup, suffix_tree_lm, token_file
+from millrace.llm import decontaminate, language_id, license_scan, line_dedup, near_copies, packing, quality, registry, simhash, suffix_dedup, suffix_tree_lm, token_file
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long, did string, kept string, size string"
 LONG = " ".join(f"w{i % 997}x{i}" + "." * (i % 10 == 9) for i in range(6000))
@@ -116,6 +116,37 @@ def test_language_id(docs):
     assert got[0].lang_pred == got[9].lang_pred == "und"
 
 
+@pytest.mark.parametrize("bucket", [3, 16])
+def test_near_copies_against_brute_force(spark, bucket):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([40, 120, 300]))]
+        texts.append(base)
+        for _ in range(30 if k == 0 else 3):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(2, len(base) // 45))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root, pairs, near = list(range(len(texts))), 0, 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                near += (simhash.fingerprint(" ".join(texts[i]).encode(), 5) ^ simhash.fingerprint(" ".join(texts[j]).encode(), 5)).bit_count() <= 3
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert near < 0.6 * pairs  # the three bits of op5 alone find few of them
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.did for r in near_copies.representatives(docs, 5, bucket).collect()}
+    print(f"pairs {pairs}, within three bits {near}, groups {len(set(root))}")
+    assert got == set(root)
+    if bucket == near_copies.BUCKET:
+        assert {r.doc_id for r in simhash.keep_one(docs).collect()} == got
+
+
 def test_more_labels_than_a_word_and_little_text(spark):
     rng = random.Random(5)
     own = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)) for _ in range(150)]
