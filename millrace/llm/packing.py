@@ -115,7 +115,7 @@ def plan(histogram: dict[int, int], window: int = 2048, size: int = CLASS) -> li
     while window % size:
         size //= 2
     classes = window // size
-    if left.sum() > classes:
+    if left.any():
         combos = combinations_filling(classes)
         a = np.zeros((classes, len(combos)))
         for j, combo in enumerate(combos):

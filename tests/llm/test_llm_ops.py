@@ -96,6 +96,13 @@ def test_nnls_and_plan():
     assert all(sum(p) <= 2048 for p, _ in plan)
 
 
+def test_small_histograms_are_solved_too():
+    histogram = {800: 10, 704: 10, 544: 10, 1200: 10, 848: 10}
+    plan = packing.plan(histogram)
+    assert Counter(histogram) == sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in plan), Counter())
+    assert sum(n for _, n in plan) == 20  # 800 + 704 + 544 and 1200 + 848 fill windows; longest first does not find them
+
+
 def test_simhash(docs):
     got = small_and_empty(simhash.near_duplicate_classes, docs)
     assert got[0].fingerprint == "0" * 16 and got[4].component_id == 3
