@@ -67,6 +67,22 @@ def with_keys(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return docs.withColumns({d: F.coalesce(did, F.lit(NULL_ID)), r: F.xxhash64(did, F.col("text").cast("string"))}), d, r
 
 
+def marked_copies(own: DataFrame, d: str, r: str) -> tuple[DataFrame, str]:
+    """``own`` with an added boolean column, and its name: true for all but one of the rows equal in id and text (keys ``d, r``).
+
+    Copies are counted by their keys alone; only rows that have any are written with a number of their own.
+    """
+    again, uid, low = (free_name(own.columns, x) for x in ("again", "uid", "low"))
+    twice = own.groupBy(d, r).agg(F.count("*").alias(low)).where(F.col(low) > 1).select(d, r)
+    twice = materialize(twice, "copies")
+    if twice.isEmpty():
+        return own.withColumn(again, F.lit(False)), again
+    copies = materialize(own.join(twice, [d, r], "left_semi").withColumn(uid, F.monotonically_increasing_id()), "copies")
+    first = copies.groupBy(d, r).agg(F.min(uid).alias(low))
+    marked = copies.join(first, [d, r]).withColumn(again, F.col(uid) != F.col(low)).select(*own.columns, again)
+    return own.join(twice, [d, r], "left_anti").withColumn(again, F.lit(False)).select(*own.columns, again).union(marked), again
+
+
 def doc_id_of(did: str = "did"):
     return F.when(F.col(did) != NULL_ID, F.col(did)).alias("doc_id")
 

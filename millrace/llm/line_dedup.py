@@ -2,18 +2,28 @@
 similarity, keep one occurrence of each connected group.
 
 A line's form is lower case without ASCII punctuation, its words joined by single spaces (the stripped
-line itself if no word is left).  Lines of one form are equal.  Two forms are linked if their
-fingerprints differ in at most three bits and their edit similarity is at least 0.8.  Of each group of
-linked forms the first occurrence in (doc_id, line number) order stays, all others are removed.
-
-Blank lines always stay.  A null text has no line and stays null.  Rows equal in id and text are one
-document.  Repeated lines inside a document count like any other.  Empty tables give empty results.
+line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its words and a
+SimHash for each of up to six runs of words (``PARTS``: three from its start, three from its end); these are
+its blocks.  Edits that leave one of the runs whole leave its block equal (pigeonhole), wherever they are and
+whether or not they move the other words.  Two forms are linked if they share a block, their whole SimHashes
+differ in at most ``DISTANCE`` bits and their edit similarity is at least 0.8.  Of each group of linked forms
+the first occurrence in (doc_id, text hash, line number) order stays, all others are removed.
+
+Inside a block's bucket each member is first compared with a few leaders.  Only members that this leaves in
+different groups are then compared with each other, so a bucket of like forms does not grow with its square and
+no link between groups is lost.  A bucket of more than ``CROWD`` forms is dealt out again by the blocks of the
+whole SimHash that two forms within ``DISTANCE`` bits must share; only unlike forms that agree there as well
+are compared in full.
+
+Blank lines always stay.  A null text has no line and stays null.  Of rows equal in id and text all but one lose
+their lines.  Repeated lines inside a document count like any other; ties in the order are equal lines.  Long
+lines are compared whole.  Columns of the input keep their names whatever they are.  Empty tables give empty
+results.
 """
 
 from __future__ import annotations
 
 import string
-from itertools import combinations
 from os.path import commonprefix
 
 import numpy as np
@@ -22,15 +32,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, connected_components, free_name, keyed, materialize, small, with_keys
+from .common import bitmap, connected_components, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
 
-DISTANCE = 3
-BLOCKS = 5
+DISTANCE = 16
 SIMILARITY = 0.8
-#: Different fingerprints in one bucket beyond which the bucket is split by its members' remaining blocks.
-BUCKET = 64
+#: Runs of words that have a block of their own, and the least words of a run.
+PARTS, LEAST_PART = 6, 3
+#: Forms in one bucket beyond which it is dealt out again by the whole SimHash; how often.
+CROWD, LEVELS = 4096, 2
+#: Forms a task remembers in order to describe each only once; forgetting them changes no result.
+SEEN = 2_000_000
 
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+#: Lengths of runs, each about double: a line with a word more or less mostly has runs of the same length.
+_LADDER = [LEAST_PART]
+while _LADDER[-1] < 1 << 40:
+    _LADDER.append(_LADDER[-1] * 2 + 1)
+_LADDER = np.array(_LADDER)
+#: A byte's eight bits as eight bytes, so that eight counts are added at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def form(line: str) -> bytes:
@@ -39,88 +60,275 @@ def form(line: str) -> bytes:
     return b" ".join(words) if words else line.strip(" \t\n\r\x0b\x0c").encode()
 
 
-def line_fingerprints(forms: list[bytes]) -> np.ndarray:
-    """Majority bits over each form's words, all forms at once."""
-    out = np.zeros(len(forms), dtype=np.uint64)
+def forms_of(text: str) -> list[tuple[int, bytes]]:
+    """``line number, form`` of the lines that are not blank."""
+    out, raw = [], None
+    for k, line in enumerate(text.lower().encode().translate(_PLAIN).split(b"\n")):
+        words = line.split()
+        if words:
+            out.append((k, b" ".join(words)))
+        else:
+            raw = raw or text.split("\n")
+            if own := raw[k].strip(" \t\n\r\x0b\x0c"):
+                out.append((k, own.encode()))
+    return out
+
+
+def _majority(lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Majority bits of the words ``start[i]:end[i]``; runs of up to 255 words."""
+    edges = np.stack([start, end], axis=1).ravel()
+    sums = np.add.reduceat(lanes, edges, axis=0)[::2].view(np.uint8)
+    return np.packbits(2 * sums.astype(np.uint16) > (end - start)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def blocks_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each form's SimHash over its words, and the keys of its blocks (a row for each form, 0 for none)."""
+    whole, keys = np.zeros(len(forms), np.uint64), np.zeros((len(forms), PARTS), np.uint64)
     start = 0
     while start < len(forms):
         words: list[bytes] = []
         first, end = [], start
-        while end < len(forms) and len(words) < 200_000:
+        while end < len(forms) and len(words) < 100_000:
             first.append(len(words))
             words += forms[end].split() or [b""]
             end += 1
         digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint8).reshape(-1, 8)[:, ::-1]
-        bits = np.unpackbits(digests, axis=1, bitorder="little")
-        sizes = np.diff([*first, len(words)])
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[start:end] = np.packbits((2 * ones > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+        lanes = np.concatenate([_SPREAD[digests], np.zeros((1, 8), np.uint64)])
+        at = np.array(first)
+        n = np.diff(np.append(at, len(words)))
+        size = np.minimum(_LADDER[np.searchsorted(_LADDER, np.maximum(n // PARTS, LEAST_PART), side="right") - 1], n)
+        low = np.flatnonzero(n < 256)
+        whole[start + low] = _majority(lanes, at[low], at[low] + n[low])
+        for i in np.flatnonzero(n >= 256):
+            counts = np.zeros(64, np.int64)
+            for a in range(at[i], at[i] + n[i], 255):
+                counts += lanes[a : min(a + 255, at[i] + n[i])].sum(axis=0).view(np.uint8)
+            whole[start + i] = np.packbits(2 * counts > n[i], bitorder="little").view("<u8")[0]
+        for p in range(PARTS):
+            k = p // 2 + 1
+            own = np.flatnonzero(k * size <= n)
+            a = at[own] + ((k - 1) * size[own] if p % 2 == 0 else n[own] - k * size[own])
+            # the first words stand for a run that is longer than the counts allow
+            value = _majority(lanes, a, a + np.minimum(size[own], 255))
+            keys[start + own, p] = (value ^ np.uint64(p + 1)) * _MIX | np.uint64(1)
         start = end
-    return out
+    return whole, keys
+
+
+_LINES = "did long, rid long, line int, node long, fp long, chars int, keys array<long>, form string"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``did, rid, line, node (hash of the form), fp`` of every line that is not blank."""
+    """``did, rid, line, node (hash of the form)`` of every line that is not blank; where a task meets a form first, also ``fp, chars, keys, form``."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in small(batches):
             did, rid, texts = batch.column("did").to_numpy(), batch.column("rid").to_numpy(), batch.column("text").to_pylist()
             owner, number, forms = [], [], []
             for i, t in enumerate(texts):
-                for k, line in enumerate((t or "").split("\n")):
-                    f = form(line)
-                    if f:
-                        owner.append(i)
-                        number.append(k)
-                        forms.append(f)
+                for k, f in forms_of(t or ""):
+                    owner.append(i)
+                    number.append(k)
+                    forms.append(f)
                 if forms and (len(forms) > 20_000 or i == len(texts) - 1):
-                    node = np.array([xxhash.xxh64_intdigest(f, 7) for f in forms], dtype=np.uint64).view(np.int64)
+                    nodes = [xxhash.xxh64_intdigest(f, 7) for f in forms]
+                    new = []
+                    for j, x in enumerate(nodes):
+                        if x not in seen:
+                            seen.add(x)
+                            new.append(j)
+                    if len(seen) > SEEN:
+                        seen = set()
+                    fresh = [forms[j] for j in new]
+                    fp, keys = blocks_of(fresh)
+                    texts_of = [f.decode() for f in fresh]
+                    place = np.full(len(forms), -1, np.int64)
+                    place[new] = np.arange(len(new))
+                    take = pa.array(place, mask=place < 0)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, PARTS * len(new) + 1, PARTS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                    described = [pa.array(fp.view(np.int64)), pa.array([len(t) for t in texts_of], pa.int32()), lists, pa.array(texts_of, pa.string())]
                     at = np.array(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(rid[at]), pa.array(number, pa.int32()), pa.array(node), pa.array(line_fingerprints(forms).view(np.int64))], names=["did", "rid", "line", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(rid[at]), pa.array(number, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), *[c.take(take) for c in described]], names=["did", "rid", "line", "node", "fp", "chars", "keys", "form"])
                     owner, number, forms = [], [], []
 
-    return keyed(docs).mapInArrow(run, "did long, rid long, line int, node long, fp long")
+    return keyed(docs).mapInArrow(run, _LINES)
+
+
+def _near(fp: np.ndarray, chars: np.ndarray, i, j) -> np.ndarray:
+    """Whether forms may be alike by their SimHashes and lengths."""
+    low, high = np.minimum(chars[i], chars[j]), np.maximum(chars[i], chars[j])
+    return (np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE) & (low >= SIMILARITY * high - 1e-9)
+
+
+def _stars(fp: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of one bucket with the first leader each may be like."""
+    left, a, b = np.arange(len(fp)), [], []
+    while len(left) > 1:
+        near = _near(fp, chars, left[0], left[1:])
+        b.append(left[1:][near])
+        a.append(np.full(len(b[-1]), left[0]))
+        left = left[1:][~near]
+    return np.concatenate(a), np.concatenate(b)
+
 
+def _across(fp: np.ndarray, chars: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket that may be alike and are of different groups; members of the largest group only as partners."""
+    names, inverse, n = np.unique(group, return_inverse=True, return_counts=True)
+    a, b = [], []
+    if len(names) > 1:
+        main = inverse == np.argmax(n)
+        others = np.flatnonzero(~main)
+        order = np.concatenate([others, np.flatnonzero(main)])
+        for k, i in enumerate(others):
+            j = order[k + 1 :]
+            j = j[(inverse[j] != inverse[i]) & _near(fp, chars, i, j)]
+            a.append(np.full(len(j), i))
+            b.append(j)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-def key_masks() -> np.ndarray:
-    """Masks of every two of five blocks: fingerprints within three bits agree on one of them."""
-    blocks = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), BLOCKS)]
-    return np.array([sum(x) for x in combinations(blocks, BLOCKS - DISTANCE)], dtype=np.uint64)
 
+_PAIRS = "kind int, key long, src long, dst long, fp long, chars int"
 
-def _keys(batches):
-    masks = key_masks()
+
+def _rows(kind: int, key, src, dst, fp, chars) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(src), kind, np.int32)), *[pa.array(x) for x in (key, src, dst, fp, chars)]], names=["kind", "key", "src", "dst", "fp", "chars"])
+
+
+def _buckets(batches, crowd: int | None, columns: tuple[str, ...], settle):
+    """Calls ``settle`` on whole buckets (rows sorted by key and node); rows of buckets beyond ``crowd`` leave as kind 2."""
+    held = [np.zeros(0, np.int64)] * len(columns)
+
+    def cut(rows, last: bool):
+        """Whole buckets, and what may go on in the next batch."""
+        key = rows[0]
+        end = len(key) if last else int(np.searchsorted(key, key[-1])) if len(key) else 0
+        return [x[:end] for x in rows], [x[end:] for x in rows]
+
+    def work(rows):
+        if not len(rows[0]):
+            return
+        once = np.ones(len(rows[0]), bool)
+        once[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        rows = [x[once] for x in rows]
+        edge = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+        size = np.diff(np.append(edge, len(rows[0])))
+        if crowd is not None and (many := np.repeat(size > crowd, size)).any():
+            yield _rows(2, rows[0][many], rows[1][many], rows[1][many], rows[2][many], rows[3][many].astype(np.int32))
+            rows, size = [x[~many] for x in rows], size[size <= crowd]
+        yield from settle(rows, np.cumsum(size) - size, size)
+
+    def columns_of(batch):
+        return [batch.column(c).to_numpy() for c in columns]
+
+    passing = None  # the key of a crowded bucket whose rows are handed on as they come
     for batch in batches:
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        k = len(masks)
-        wide = np.repeat(fp, k)
-        which = np.tile(np.arange(k), len(fp))
-        yield pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64)), pa.array(which.astype(np.int32)), pa.array((wide & masks[which]).view(np.int64))], names=["fp", "path", "val"])
-
-
-def form_links(nodes: DataFrame, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``src, dst``: linked forms.  ``nodes``: ``node, fp, first struct<did, line, rid>``."""
-    from . import simhash
-
-    fps = nodes.select("fp").distinct()
-    keys = fps.mapInArrow(_keys, "fp long, path int, val long")
-    shared = keys.groupBy("path", "val").agg(F.count("*").alias("n")).where("n > 1")
-    marked = materialize(keys.join(shared, ["path", "val"]), "line-buckets")
-    pairs = marked.where(F.col("n") <= bucket).groupBy("path", "val").agg(F.collect_list("fp").alias("fps")).mapInArrow(simhash._pairs_in, "src long, dst long")
-    crowded = marked.where(F.col("n") > bucket).select("fp").distinct()
-    if not crowded.isEmpty():
-        pairs = pairs.union(simhash.close_pairs(crowded, bucket))
-    near = materialize(pairs.distinct(), "line-pairs")
-    a, b = nodes.select(F.col("node").alias("src"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("dst"), F.col("fp").alias("fb"))
-    same = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
-    both = near.select(F.col("src").alias("fa"), F.col("dst").alias("fb")).union(same)
-    candidates = materialize(both.join(a, "fa").join(b, "fb").where("src <> dst and (fa <> fb or src < dst)").select("src", "dst"), "line-candidates")
-    wanted = candidates.select(F.col("src").alias("node")).union(candidates.select(F.col("dst").alias("node"))).distinct()
-    places = nodes.join(wanted, "node").select("node", "first.did", "first.rid", "first.line")
-    texts = materialize(_forms_at(docs, materialize(places, "line-places")), "line-forms")
+        if not batch.num_rows:
+            continue
+        rows = [np.concatenate([a, b]) for a, b in zip(held, columns_of(batch), strict=True)]
+        if passing is not None:
+            end = int(np.searchsorted(rows[0], passing, side="right"))
+            yield _rows(2, rows[0][:end], rows[1][:end], rows[1][:end], rows[2][:end], rows[3][:end].astype(np.int32))
+            rows = [x[end:] for x in rows]
+            passing = passing if not len(rows[0]) else None
+        done, held = cut(rows, False)
+        yield from work(done)
+        if crowd is not None and len(held[0]) > 4 * crowd:
+            passing = held[0][0]
+            yield _rows(2, held[0], held[1], held[1], held[2], held[3].astype(np.int32))
+            held = [x[:0] for x in held]
+    yield from work(cut(held, True)[0])
+
+
+def _first_look(crowd: int | None):
+    """Kind 0: pairs of a member and its leader.  Kind 1: members of buckets of three and more, for the second look."""
+
+    def settle(rows, start, size):
+        key, node, fp, chars = rows
+        two = start[size == 2]
+        two = two[_near(fp.view(np.uint64), chars, two, two + 1)]
+        a, b = [two], [two + 1]
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, y = _stars(fp[s : s + n].view(np.uint64), chars[s : s + n])
+            a.append(x + s)
+            b.append(y + s)
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], chars[a].astype(np.int32))
+        more = np.repeat(size > 2, size)
+        yield _rows(1, key[more], node[more], node[more], fp[more], chars[more].astype(np.int32))
+
+    return lambda batches: _buckets(batches, crowd, ("key", "node", "fp", "chars"), settle)
+
+
+def _second_look(batches):
+    def settle(rows, start, size):
+        key, node, fp, chars, group = rows
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, n in zip(start.tolist(), size.tolist(), strict=True):
+            x, y = _across(fp[s : s + n].view(np.uint64), chars[s : s + n], group[s : s + n])
+            a.append(x + s)
+            b.append(y + s)
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], chars[a].astype(np.int32))
+
+    yield from _buckets(batches, None, ("key", "node", "fp", "chars", "group"), settle)
+
+
+def _dealt(rows: DataFrame, f) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(f, _PAIRS)
+
+
+def _split(batches):
+    """Rows of crowded buckets, once for each block of the SimHash."""
+    blocks = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), DISTANCE + 1)]
+    for batch in batches:
+        key, node, fp, chars = (batch.column(c).to_numpy() for c in ("key", "node", "fp", "chars"))
+        for b, mask in enumerate(blocks):
+            own = (key.view(np.uint64) ^ ((fp.view(np.uint64) & np.uint64(mask)) + np.uint64(b + 1)) * _MIX) * np.uint64(0xC2B2AE3D27D4EB4F)
+            own ^= own >> np.uint64(31)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(node), pa.array(fp), pa.array(chars)], names=["key", "node", "fp", "chars"])
+
+
+def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``src, dst``: linked forms of ``lines``, enough of them to connect every group."""
+    described = every.where("fp is not null")
+    rows = described.select("node", "fp", "chars", F.explode("keys").alias("key")).where("key <> 0").select("key", "node", "fp", "chars")
+    looks = []
+    for level in range(LEVELS):
+        found = materialize(_dealt(rows, _first_look(crowd if level < LEVELS - 1 else None)), "line-buckets")
+        looks.append(found)
+        crowded = found.where("kind = 2")
+        if level == LEVELS - 1 or crowded.isEmpty():
+            break
+        rows = crowded.select("key", F.col("src").alias("node"), "fp", "chars").mapInArrow(_split, "key long, node long, fp long, chars int")
+    both = looks[0] if len(looks) == 1 else looks[0].union(looks[1])
+    candidates = materialize(both.where("kind = 0").select("src", "dst").distinct(), "line-pairs")
+    found = materialize(_verified(candidates, described), "line-links")
+    members = both.where("kind = 1").select("key", F.col("src").alias("node"), "fp", "chars")
+    tagged = members.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    # buckets that the first look has left in more than one group
+    apart = materialize(tagged.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key"), "line-apart")
+    if apart.isEmpty():
+        return found
+    rest = _dealt(tagged.join(apart, "key", "left_semi").select("key", "node", "fp", "chars", "group"), _second_look).select("src", "dst").distinct()
+    rest = materialize(rest.join(candidates, ["src", "dst"], "left_anti"), "line-rest")
+    return found.union(_verified(rest, described))
+
+
+def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs of an edit similarity of 0.8 or more; only forms that a fixed-size bitmap of their nodes lets pass are moved."""
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
+    words = pairs.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
+
+    def wanted(batches):
+        for batch in batches:
+            at = np.flatnonzero(in_bitmap(words.value, batch.column("node").to_numpy().view(np.uint64)))
+            yield batch.take(pa.array(at))
+
+    texts = materialize(described.select("node", "form").mapInArrow(wanted, "node long, form string").dropDuplicates(["node"]), "line-forms")
     left = texts.select(F.col("node").alias("src"), F.col("form").alias("ta"))
     right = texts.select(F.col("node").alias("dst"), F.col("form").alias("tb"))
-    return candidates.join(left, "src").join(right, "dst").mapInArrow(_alike, "src long, dst long")
+    return pairs.join(left, "src").join(right, "dst").mapInArrow(_alike, "src long, dst long")
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -182,47 +390,45 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(at)), batch.column("dst").take(pa.array(at))], names=["src", "dst"])
 
 
-def _forms_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``node, form`` of the lines at ``did, rid, line``."""
-    wanted = places.groupBy("did", "rid").agg(F.collect_list(F.struct("line", "node")).alias("at"))
+def _keep_flags(batches):
+    """The lines to keep as one flag each, up to the last that goes."""
+    for batch in batches:
+        flags = []
+        for gone in batch.column("gone").to_pylist():
+            own = np.ones(max(gone) + 1, bool)
+            own[gone] = False
+            flags.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(flags, pa.list_(pa.bool_())), pa.array([len(x) - int(x.sum()) for x in flags], pa.int32())], names=["did", "rid", "keep", "gone"])
 
-    def run(batches):
-        for batch in small(batches):
-            nodes, forms = [], []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                own = text.split("\n")
-                for x in at:
-                    nodes.append(x["node"])
-                    forms.append(form(own[x["line"]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(forms, pa.string())], names=["node", "form"])
 
-    return keyed(docs).join(bounded(wanted), ["did", "rid"]).select("text", "at").mapInArrow(run, "node long, form string").dropDuplicates(["node"])
+def removed_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``did, rid, keep array<boolean> (by line number, true beyond its end), gone (their number)`` of rows that lose lines."""
+    every = materialize(lines(docs), "lines")
+    comp = connected_components(form_links(every, crowd))
+    places = every.select("did", "rid", "line", "node")
+    rooted = materialize(places.join(comp, "node", "left").select("did", "rid", "line", F.coalesce("component", "node").alias("root")), "line-roots")
+    shared = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    some = materialize(rooted.join(shared, "root"), "line-groups")
+    first = some.groupBy("root").agg(F.min(F.struct("did", "rid", "line")).alias("first"))
+    lost = some.join(first, "root").where(F.struct("did", "rid", "line") != F.col("first"))
+    return lost.groupBy("did", "rid").agg(F.collect_set("line").alias("gone")).mapInArrow(_keep_flags, "did long, rid long, keep array<boolean>, gone int")
 
 
-def removed_lines(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``did, rid, gone array<int>``: line numbers to remove, for rows that lose any."""
-    every = materialize(lines(docs), "lines")
-    place = F.struct("did", "line", "rid")
-    nodes = materialize(every.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("fp").alias("fp")), "forms")
-    links = form_links(nodes, docs, bucket)
-    comp = connected_components(links)
-    # forms that occur once and have no link lose nothing and are left out of the join
-    tagged = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    groups = tagged.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last")
-    multi = tagged.join(groups, "root").select("node", "keep")
-    lost = every.join(multi, "node").where(place != F.col("keep"))
-    return lost.groupBy("did", "rid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-
-
-def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, str]:
+def deduplicated(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, str]:
     """All columns of ``docs`` with the text less its removed lines, and the name of an added column that counts them."""
     own, d, r = with_keys(docs)
-    gone, count = free_name(own.columns, "gone"), free_name(own.columns, "removed")
-    lost = removed_lines(docs, bucket).select(F.col("did").alias(d), F.col("rid").alias(r), F.col("gone").alias(gone))
+    own, again = marked_copies(own, d, r)
+    keep, count = free_name(own.columns, "keep"), free_name(own.columns, "removed")
+    lost = removed_lines(docs, crowd).select(F.col("did").alias(d), F.col("rid").alias(r), F.col("keep").alias(keep), F.col("gone").alias(count))
     joined = own.join(lost, [d, r], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(gone), F.lit(0)).alias(count)), count
+    split = F.split(F.col("text").cast("string"), "\n", -1)
+    blank = lambda x: ~x.rlike(r"[^ \t\n\x0B\f\r]")
+    kept = F.filter(F.zip_with(split, F.col(keep), lambda x, k: F.when(F.coalesce(k, F.lit(True)), x)), lambda x: x.isNotNull())
+    rest = F.when(F.col(again), F.filter(split, blank)).when(F.col(keep).isNotNull(), kept)
+    text = F.when(rest.isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    gone = F.when(F.col(again), F.size(F.filter(split, lambda x: ~blank(x)))).otherwise(F.coalesce(F.col(count), F.lit(0)))
+    gone = F.when(F.col("text").isNull(), 0).otherwise(gone)
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], gone.alias(count)), count
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

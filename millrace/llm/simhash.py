@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, byte_texts, connected_components, doc_id_of, keyed, materialize, small, with_keys
+from .common import NULL_ID, byte_texts, connected_components, doc_id_of, keyed, marked_copies, materialize, small, with_keys
 
 DISTANCE = 3
 BLOCKS = 6
@@ -173,10 +173,11 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Documents with one of each group of near copies left: the smallest (did, rid).
 
     Near copies have a shingle similarity of 0.8 or more (see ``near_copies``).  Texts without a word are
-    kept only once.  Rows equal in id and text are one document and stay together.
+    kept only once, and so are rows equal in id and text.
     """
     from . import near_copies
 
     own, d, r = with_keys(docs)
     stay = near_copies.representatives(docs, shingle).select(F.col("did").alias(d), F.col("rid").alias(r))
-    return own.join(stay, [d, r], "left_semi").select(*docs.columns)
+    kept, again = marked_copies(own.join(stay, [d, r], "left_semi"), d, r)
+    return kept.where(~F.col(again)).select(*docs.columns)
