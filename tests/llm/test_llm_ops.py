@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language_id, license_scan, line_dedup, near_copies, packing, quality, registry, simhash, suffix_dedup, suffix_tree_lm, token_file
+from millrace.llm import decontaminate, encode, language_id, license_scan, line_dedup, near_copies, packing, quality, registry, simhash, suffix_dedup, suffix_tree_lm, token_file
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long, did string, kept string, size string"
 LONG = " ".join(f"w{i % 997}x{i}" + "." * (i % 10 == 9) for i in range(6000))
@@ -132,6 +133,72 @@ def test_license_scan(docs):
     assert got[7].license == "MIT" and got[7].dice == 1.0 and got[0].license is None
 
 
+def odd_texts(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    signs = "abzABZ éüßñÀµªº ΣσςİıK'’.,;:!?-\n\t\r 0123<|endoftext|>  \x1c\u180e中文e\u0301fi\u00a0\u2003\n\n"
+    words = ["don't", "I'll", "x", "<|endoftext|>", "<|startoftext|>", "a.b", "A,", "Ünï", "...", "it's", "he'S", "\n", " ", "1st", "é.", "end%%%", "(so)", "naïve_x"]
+    out = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+    return out + [rng.choice([" ", "\n", "  ", ""]).join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(n)] + ["x <|endoftext|> y", " <|endoftext|>", LONG]
+
+
+@pytest.mark.parametrize("name, dropped", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_ids_are_those_of_the_plain_library(name, dropped, special_as_text):
+    from tokenizers import Tokenizer
+
+    texts = odd_texts(4, 1500)
+    plain = Tokenizer.from_file(registry.vocabulary(name))
+    plain.encode_special_tokens = special_as_text
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    own = encode.PieceEncoder(registry.vocabulary(name), dropped, special_as_text)
+    assert own.encode_many(texts) == want and own.encode_many(texts[::-1]) == want[::-1]
+    assert own.encode_many([None, ""]) == [b"", b""]
+
+
+def plain_ids(texts, name, end_id):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(registry.vocabulary(name))
+    return [np.array([*plain.encode(t or "", add_special_tokens=False).ids, end_id], dtype="<u4") for t in texts]
+
+
+def test_packing_against_brute_force(spark):
+    texts = [None, "", *odd_texts(6, 60), "", LONG]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(plain_ids(texts, "word_bpe_49k.json", 1)))
+    window = 128
+    rows = packing.pack(docs, registry.vocabulary("word_bpe_49k.json"), window=window, with_ids=True).collect()
+    at = dict.fromkeys(want, 0)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        own = want[r.doc_id]
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(own)
+        assert bytes(r.ids) == own[r.start : r.start + r.length].tobytes() and r.ids_crc32 == zlib.crc32(bytes(r.ids))
+        at[r.doc_id] += r.length
+    assert at == {k: len(v) for k, v in want.items()}
+    filled = Counter()
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= window and sorted(filled) == list(range(len(filled)))
+    least = -(-sum(map(len, want.values())) // window)
+    assert len(filled) <= 1.1 * least + 1
+
+
+def test_token_ids_against_brute_force(spark):
+    texts = [None, "", *odd_texts(7, 60), "tie", LONG]
+    rows = [(k // 2 if k > 3 else None, t) for k, t in enumerate(texts)]  # ids twice, and none
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_file.token_ids(docs, registry.vocabulary("byte_bpe_50k.json")).collect()
+    ids = plain_ids(texts, "byte_bpe_50k.json", 0)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(x), zlib.crc32(x.tobytes())) for (d, _), x in zip(rows, ids))
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [-1 if r.doc_id is None else r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order)
+
+
 def test_packing(docs):
     path = registry.vocabulary("word_bpe_49k.json")
     rows = packing.pack(docs, path, window=256).collect()
