@@ -2,7 +2,7 @@
 similarity, keep one occurrence of each connected group.
 
 A line's form is lower case without ASCII punctuation, its words joined by single spaces (the stripped
-line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its words and a
+line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its different words and a
 SimHash for each of up to six runs of words (``PARTS``: three from its start, three from its end); these are
 its blocks.  Edits that leave one of the runs whole leave its block equal (pigeonhole), wherever they are and
 whether or not they move the other words.  Two forms are linked if they share a block, their whole SimHashes
@@ -24,7 +24,6 @@ results.
 from __future__ import annotations
 
 import string
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, connected_components, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
 
-DISTANCE = 16
+DISTANCE = 13
 SIMILARITY = 0.8
 #: Runs of words that have a block of their own, and the least words of a run.
 PARTS, LEAST_PART = 6, 3
@@ -51,6 +50,8 @@ while _LADDER[-1] < 1 << 40:
 _LADDER = np.array(_LADDER)
 #: A byte's eight bits as eight bytes, so that eight counts are added at once.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+#: Words that are left out of both lines together, at most, before they agree again.
+_AHEAD = 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,13 +98,19 @@ def blocks_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(first)
         n = np.diff(np.append(at, len(words)))
         size = np.minimum(_LADDER[np.searchsorted(_LADDER, np.maximum(n // PARTS, LEAST_PART), side="right") - 1], n)
-        low = np.flatnonzero(n < 256)
-        whole[start + low] = _majority(lanes, at[low], at[low] + n[low])
-        for i in np.flatnonzero(n >= 256):
+        # the whole SimHash counts a word once, else the most common words would make unlike lines look alike
+        own = np.repeat(np.arange(len(n), dtype=np.uint64), n) * _MIX ^ np.ascontiguousarray(digests).view("<u8").ravel()
+        once = np.sort(np.unique(own, return_index=True)[1])
+        edge = np.searchsorted(once, at)
+        n_once = np.diff(np.append(edge, len(once)))
+        distinct = np.concatenate([lanes[once], np.zeros((1, 8), np.uint64)])
+        low = np.flatnonzero(n_once < 256)
+        whole[start + low] = _majority(distinct, edge[low], edge[low] + n_once[low])
+        for i in np.flatnonzero(n_once >= 256):
             counts = np.zeros(64, np.int64)
-            for a in range(at[i], at[i] + n[i], 255):
-                counts += lanes[a : min(a + 255, at[i] + n[i])].sum(axis=0).view(np.uint8)
-            whole[start + i] = np.packbits(2 * counts > n[i], bitorder="little").view("<u8")[0]
+            for a in range(edge[i], edge[i] + n_once[i], 255):
+                counts += distinct[a : min(a + 255, edge[i] + n_once[i])].sum(axis=0).view(np.uint8)
+            whole[start + i] = np.packbits(2 * counts > n_once[i], bitorder="little").view("<u8")[0]
         for p in range(PARTS):
             k = p // 2 + 1
             own = np.flatnonzero(k * size <= n)
@@ -366,18 +373,31 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def surely_within(a: str, b: str, most: int) -> bool:
-    """Whether replacing the middle that differs, or word by word, already costs at most ``most``."""
+    """Whether replacing the runs of words that differ already costs at most ``most``.
+
+    The words are walked side by side; where they differ, the nearest place at which two words agree again ends the run.
+    """
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
-        return True
-    same = len(commonprefix((x, y)))
-    x, y = x[same:], y[same:]
-    same = len(commonprefix((x[::-1], y[::-1])))
-    x, y = x[: len(x) - same], y[: len(y) - same]
-    # one more character for the space beside a middle that is empty on one side
-    return max(len(" ".join(x)), len(" ".join(y))) + 1 <= most
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for skip in range(1, _AHEAD):
+            step = next((k for k in range(skip + 1) if x[i + k : i + k + 2] == y[j + skip - k : j + skip - k + 2] != []), None)
+            if step is not None:
+                break
+        else:
+            break
+        # one more character for the space beside a run that is empty on one side
+        cost += max(len(" ".join(x[i : i + step])), len(" ".join(y[j : j + skip - step]))) + (step in (0, skip))
+        if cost > most:
+            return False
+        i, j = i + step, j + skip - step
+    return cost + max(len(" ".join(x[i:])), len(" ".join(y[j:]))) + (i < len(x)) + (j < len(y)) <= most
 
 
 def _alike(batches):

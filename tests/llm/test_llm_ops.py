@@ -102,7 +102,7 @@ def test_blocks_of_long_lines():
     long = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
     forms = [" ".join(long).encode(), " ".join(long[:2000] + ["new"] + long[2000:]).encode(), b"one two"]
     whole, keys = line_dedup.blocks_of(forms)
-    bits = [[xxhash.xxh64_intdigest(w) >> b & 1 for b in range(64)] for w in forms[0].split()]
+    bits = [[xxhash.xxh64_intdigest(w) >> b & 1 for b in range(64)] for w in set(forms[0].split())]
     assert int(whole[0]) == sum(1 << b for b in range(64) if 2 * sum(x[b] for x in bits) > len(bits))
     assert (keys[0] == keys[1]).any() and (keys[2] != 0).sum() == 2
 
