@@ -6,6 +6,7 @@ Rows are addressed by ``(did, rid)``: the document id (null becomes the smallest
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
-#: A side of a join is broadcast only when its counted rows do not exceed this.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when its rows, written as text, do not exceed this.
+BROADCAST_BYTES = 8_000_000
 
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: ``spark.checkpoint.dir``, or a temporary one where unset."""
+    """The folder every executor reaches: ``spark.checkpoint.dir``, or in local mode a temporary one where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -87,9 +90,13 @@ def doc_id_of(did: str = "did"):
     return F.when(F.col(did) != NULL_ID, F.col(did)).alias("doc_id")
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within ``limit``, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if all its rows together are within ``limit`` bytes, else as it is.
+
+    ``df`` is a written table or cheap to compute: it is read once more for its size.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))) + 16)).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def id_bucket(doc_id, n: int):

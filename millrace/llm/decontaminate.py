@@ -3,9 +3,10 @@
 Windows are runs of item words.  A window's words are ordered by rarity over all documents; since
 containment must be complete, its prefix is its rarest word.  Only document words equal to a prefix
 word are joined; the word's place in the window gives the start (positional bound), which must leave
-room for the whole window (length bound).  Candidates are then verified word by word.
+room for the whole window (length bound).  The words of each candidate place are then cut out and joined
+with the windows, which is the exact verification.
 
-Null and empty texts have no words; an item without words has no window; an item with a null id
+Whole texts are read however long they are; columns other than id and text are not touched.  Null and empty texts have no words; an item without words has no window; an item with a null id
 marks words but is not listed.  Repeated items count once per id; repeated document rows are each
 reported.  Empty tables give no hits.
 """
@@ -41,31 +42,35 @@ def item_windows(bench: DataFrame, window: int) -> DataFrame:
 
 
 def contaminated_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """``did, rid, hits array<struct<start, win, len>>`` of rows with verified windows (0-based word starts), and the items' windows."""
+    """``did, rid, start, len, win`` of every verified window (0-based word starts), and the items' windows."""
     rows = keyed(docs)
     wins = materialize(item_windows(bench, window), "windows")
-    parts = wins.select("win", "len").distinct().select("win", "len", F.posexplode(F.split("win", " ")).alias("pos", "word")).withColumn("low", F.lower("word"))
+    each = wins.select("win", "len").distinct()
+    parts = each.select("win", "len", F.posexplode(F.split("win", " ")).alias("pos", "word")).withColumn("low", F.lower("word"))
     vocabulary = bounded(parts.select("low").distinct())
     # lower() of single words may only join more words than A-Z would; the verification is exact
     texts = rows.select("did", "rid", raw_words(F.col("text")).alias("w"))
     seen = texts.select(F.explode("w").alias("word")).select(F.lower("word").alias("low")).join(vocabulary, "low").groupBy("low").agg(F.count("*").alias("df"))
     ranked = parts.join(seen, "low", "left").groupBy("win", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "low", "pos")).alias("p"))
-    prefix = materialize(ranked.where("p.df > 0").select("win", "len", "p.low", "p.pos"), "prefixes")
+    # windows with the same prefix word at the same place are one candidate
+    prefix = materialize(ranked.where("p.df > 0").select("len", "p.low", "p.pos").distinct(), "prefixes")
     # the count is taken below the generator, else every word's row would carry the whole array
     placed = texts.withColumn("n", F.size("w")).select("did", "rid", "n", F.posexplode("w").alias("at", "word")).select("did", "rid", "n", "at", F.lower("word").alias("low"))
     fits = placed.join(bounded(prefix), "low").withColumn("start", F.col("at") - F.col("pos")).where("start >= 0 and start + len <= n")
-    found = materialize(fits.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "win", "len")).alias("found")), "candidates")
+    found = materialize(fits.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "len")).alias("found")), "candidates")
     back = rows.join(bounded(found), ["did", "rid"])
     # the words are bound to a variable, so they are split once a document and not once a candidate
-    hits = F.transform(F.array(words(F.col("text"))), lambda w: F.filter("found", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["len"]), " ") == c["win"]))[0]
-    return materialize(back.select("did", "rid", hits.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["did", "rid"]), "hits"), wins
+    own = F.transform(F.array(words(F.col("text"))), lambda w: F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), F.array_join(F.slice(w, c["start"] + 1, c["len"]), " ").alias("win"))))[0]
+    cut = back.select("did", "rid", F.explode(own).alias("c")).select("did", "rid", "c.start", "c.len", "c.win")
+    return materialize(cut.join(bounded(each), ["win", "len"]).select("did", "rid", "start", "len", "win").distinct(), "hits"), wins
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document."""
     hits, wins = contaminated_spans(docs, bench, window)
-    counted = hits.select("did", "rid", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))).alias("n_hit"))
-    which = hits.select("did", "rid", F.explode(F.array_distinct(F.transform("hits", lambda h: h["win"]))).alias("win")).join(bounded(wins.where("item_id is not null").select("win", "item_id")), "win")
+    spans = hits.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
+    counted = spans.select("did", "rid", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))).alias("n_hit"))
+    which = hits.select("did", "rid", "win").distinct().join(bounded(wins.where("item_id is not null").select("win", "item_id")), "win")
     listed = which.groupBy("did", "rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     found = materialize(counted.join(listed, ["did", "rid"], "left"), "found")
     every = keyed(docs).select("did", "rid", F.size(raw_words(F.col("text"))).alias("n"))
@@ -81,5 +86,5 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -
     """Documents without any benchmark window, columns unchanged."""
     hits, _ = contaminated_spans(docs, bench, window)
     own, d, r = with_keys(docs)
-    gone = bounded(hits.select(F.col("did").alias(d), F.col("rid").alias(r)))
+    gone = bounded(hits.select(F.col("did").alias(d), F.col("rid").alias(r)).distinct())
     return own.join(gone, [d, r], "left_anti").select(*docs.columns)
