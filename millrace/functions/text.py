@@ -10,13 +10,17 @@ WEIGHTS = (27, 60, 85, 110, 340)
 
 
 def token_estimate(text: Column) -> Column:
-    """Tokens by character class; empty is 0, null is null."""
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    letters, digits = count(r"[A-Za-z\x09-\x0D\x1C-\x20]"), count("[0-9]")
-    wide, astral = count(r"[\x{80}-\x{FFFF}]"), count(r"[\x{10000}-\x{10FFFF}]")
-    rest = F.length(text) - letters - digits - wide - astral
-    total = letters * WEIGHTS[0] + digits * WEIGHTS[1] + rest * WEIGHTS[2] + wide * WEIGHTS[3] + astral * WEIGHTS[4]
-    return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.floor(total / 100) + 1).cast("long")
+    """Tokens by character class; empty is 0, null is null.
+
+    Each class is taken out of what the classes before it have left, so only lengths are needed and no match is kept.
+    """
+    left = [text]
+    for chars in (r"[A-Za-z\x09-\x0D\x1C-\x20]+", "[0-9]+", r"[\x00-\x7F]+", r"[\x{80}-\x{FFFF}]+"):
+        left.append(F.regexp_replace(left[-1], chars, ""))
+    sizes = [F.length(x) for x in left]
+    counts = [a - b for a, b in zip(sizes, sizes[1:])] + [sizes[-1]]
+    total = sum((c * w for c, w in zip(counts[1:], WEIGHTS[1:])), counts[0] * WEIGHTS[0])
+    return F.when(sizes[0] == 0, F.lit(0)).otherwise(F.floor(total / 100) + 1).cast("long")
 
 
 def quarter_tokens(text: Column) -> Column:

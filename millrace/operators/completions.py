@@ -29,6 +29,12 @@ def parse_stats(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def repair_rates(df: DataFrame, runs: DataFrame, *keys: str) -> DataFrame:
+    """``parse_stats`` by ``keys`` (model and temperature, say) with the failed runs of the same keys (``runs``: ``keys, outcome``)."""
+    failed = runs.groupBy(*keys).agg(F.count_if(F.col("outcome") != "answered").alias("failed"))
+    return parse_stats(df, *keys).join(failed, list(keys), "left").withColumn("failed", F.coalesce("failed", F.lit(0)))
+
+
 def repair_kinds(df: DataFrame, *keys: str) -> DataFrame:
     """How many completions took each kind of repair; a kind counts once per completion."""
     return df.select(*keys, F.explode(_kinds()).alias("kind")).groupBy(*keys, "kind").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunking, embedding, search
@@ -41,7 +41,16 @@ def aggregate(results: DataFrame, group: str) -> DataFrame:
 
 
 def misses(results: DataFrame) -> DataFrame:
-    return results.where("hit_5 = 0").select("query_id", "total_relevant", "top_source", F.round("top_score", 6).alias("top_score"))
+    """Queries with nothing relevant in the first five hits: what was wanted (``marker, sources``, where given), the top hit and its score."""
+    wanted = [c for c in ("marker", "sources") if c in results.columns]
+    return results.where("hit_5 = 0").select("query_id", "total_relevant", *wanted, "top_source", F.round("top_score", 6).alias("top_score"))
+
+
+def per_query_table(results: DataFrame, question: str = "question") -> DataFrame:
+    """``place, query_id, rank, total_relevant, question``: by first rank, queries without one last; long questions cut."""
+    order = Window.orderBy(F.col("first_rank").asc_nulls_last(), "query_id")
+    cut = F.when(F.length(question) > 52, F.concat(F.substring(question, 1, 49), F.lit("..."))).otherwise(F.col(question))
+    return results.select(F.row_number().over(order).alias("place"), "query_id", F.coalesce(F.col("first_rank").cast("string"), F.lit("MISS")).alias("rank"), "total_relevant", cut.alias("question"))
 
 
 def relevant_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -90,3 +99,28 @@ def ablate_chunk_size(docs: DataFrame, queries: DataFrame, embedder, model: str,
     metrics = aggregate(per_query(asked.select("query_id", "position"), labelled, totals), "position").where("position <> 'all'")
     position = F.col("position").cast("int")
     return metrics.withColumns({"variant": F.element_at(F.array(*[F.lit(str(s)) for s in sizes]), position + 1), "position": position})
+
+
+#: How documents and questions are marked for an embedder that tells them apart, and two ways not to.
+PREFIXES = {"document and query": ("search_document: ", "search_query: "), "none": ("", ""), "document on both": ("search_document: ", "search_document: ")}
+
+
+def ablate_prefixes(docs: DataFrame, queries: DataFrame, embedder, model: str, size: int = 600, overlap: int = 100, depth: int = 10, prefixes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One row of metrics per pair of prefixes: ``variant, position, n, hit_k, p_k, r_k, mrr``; input as ``ablate_chunk_size``."""
+    named = prefixes or PREFIXES
+    chunks = chunking.with_context(chunking.chunk(docs, size, overlap))
+    gold = relevant_chunks(chunks, queries).select("query_id", F.xxhash64("chunk_id").alias("vec_id"))
+    totals = gold.groupBy("query_id").agg(F.count("*").alias("total_relevant"))
+    rows = []
+    for i, (name, (own, asked)) in enumerate(named.items()):
+        vectors = embedding.embed(chunks, embedder, model, own, col="context").select(F.xxhash64("chunk_id").alias("vec_id"), F.col("vector").alias("embedding"))
+        hits = search.top_k(vectors, embedding.embed(queries, embedder, model, asked, col="question").select("query_id", F.col("vector").alias("embedding")), k=depth)
+        labelled = hits.join(gold.withColumn("relevant", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "rank", F.col("vec_id").alias("id"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"))
+        metrics = aggregate(per_query(queries.select("query_id", F.lit("x").alias("setting")), labelled, totals), "setting").where("setting = 'all'").drop("setting")
+        rows.append(metrics.withColumns({"variant": F.lit(name), "position": F.lit(i)}))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def gold_violations_by_size(docs: DataFrame, queries: DataFrame, sizes: tuple[int, ...] = (200, 600, 2000)) -> DataFrame:
+    """``size`` and the violations of ``gold_violations`` at each chunk size (overlap a sixth of it)."""
+    return reduce(DataFrame.unionByName, [gold_violations(chunking.chunk(docs, s, s // 6), queries).withColumn("size", F.lit(s)) for s in sizes])

@@ -57,14 +57,19 @@ def truncate(messages: DataFrame, budget: int, keep_turns: int, headroom: float
 
 
 def compaction_report(messages: DataFrame, budget: int, keep_turns: int, headroom: float = 0.85) -> DataFrame:
-    """Per conversation over the threshold: whether it fired, tokens before and after, messages dropped."""
+    """Every conversation: whether it was over the threshold (``triggered``) and lost messages (``fired``), tokens before and
+    after, what was saved (``saved_pct`` of before), dropped turns and messages, and whether it is still over the budget."""
     before = usage(messages, budget, headroom)
     cost = F.sum(token_estimate(F.col("text")) + OVERHEAD)
-    after = truncate(messages, budget, keep_turns, headroom).groupBy("conv_id").agg(cost.alias("after"), F.count("*").alias("n_after"))
-    n = messages.groupBy("conv_id").agg(F.count("*").alias("n_before"), F.count_if(F.col("role") != "system").alias("n_rest"))
-    joined = before.join(after, "conv_id").join(n, "conv_id")
-    fired = F.col("after") != F.col("tokens")
-    return joined.select("conv_id", F.col("over").alias("triggered"), (F.col("over") & fired).alias("fired"), F.col("tokens").alias("before"), "after", (F.col("tokens") - F.col("after")).alias("saved"), F.when(F.col("over") & fired, F.col("n_before") - F.col("n_after") + 1).otherwise(0).alias("dropped_messages"))
+    after = truncate(messages, budget, keep_turns, headroom).groupBy("conv_id").agg(cost.alias("after"))
+    lost = _dropped(messages, budget, keep_turns, headroom).groupBy("conv_id").agg(F.countDistinct("turn_no").alias("turns"), F.count("*").alias("n"))
+    joined = before.join(after, "conv_id").join(lost, "conv_id", "left")
+    saved = F.col("tokens") - F.col("after")
+    return joined.select(
+        "conv_id", F.col("over").alias("triggered"), F.col("n").isNotNull().alias("fired"), F.col("tokens").alias("before"), "after", saved.alias("saved"),
+        F.round(100 * saved / F.greatest(F.lit(1), F.col("tokens"))).cast("long").alias("saved_pct"), F.coalesce("turns", F.lit(0)).alias("dropped_turns"), F.coalesce("n", F.lit(0)).alias("dropped_messages"),
+        (F.col("over") & (F.col("after") > budget)).alias("still_over"),
+    )
 
 
 def _dropped(messages: DataFrame, budget: int, keep: int, headroom: float) -> DataFrame:
@@ -117,15 +122,37 @@ def unpaired_results(messages: DataFrame) -> DataFrame:
     return open_ids.where((F.col("role") == "tool") & ~F.coalesce(F.array_contains("open_ids", F.col("tool_call_id")), F.lit(False))).drop("open_ids")
 
 
+def _or_null(messages: DataFrame, name: str, kind: str = "string"):
+    return F.col(name) if name in messages.columns else F.lit(None).cast(kind)
+
+
 def transcript(messages: DataFrame) -> DataFrame:
+    """Each conversation as text; a message's ``name``, where there is one, stands behind its role."""
+    name = _or_null(messages, "name")
+    head = F.concat(F.upper("role"), F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("("), name, F.lit(")"))).otherwise(""))
     body = F.when(F.length("text") >= 500, F.concat(F.substring("text", 1, 500), F.lit(" ...[cut]"))).otherwise(F.col("text"))
-    line = F.concat(F.lit("--- "), F.upper("role"), F.lit(" ---\n"), body)
+    line = F.concat(F.lit("--- "), head, F.lit(" ---\n"), body)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"])
     return messages.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("transcript"))
 
 
-def to_wire(messages: DataFrame) -> DataFrame:
-    """Each conversation as a JSON array of ``role`` and ``content`` in order."""
-    part = F.struct("turn", F.to_json(F.struct("role", F.col("text").alias("content"))).alias("j"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["j"]), ",")
+def to_wire(messages: DataFrame, hosted: bool = False) -> DataFrame:
+    """``conv_id, wire``: each conversation as a JSON array of messages in order; bookkeeping columns stay behind.
+
+    The local shape has role, content and a tool row's name.  The hosted shape adds an assistant's calls (``tool_calls
+    array<struct<id, name, arguments>>``, the arguments as JSON text) and a tool row's ``tool_call_id``, null or not.
+    """
+    tool = F.col("role") == "tool"
+    name = F.when(tool & (_or_null(messages, "name") != ""), F.to_json(F.struct(_or_null(messages, "name").alias("name"))))
+    parts = [F.to_json(F.struct("role", F.coalesce("text", F.lit("")).alias("content")))]
+    if hosted:
+        calls = _or_null(messages, "tool_calls", "array<struct<id:string,name:string,arguments:string>>")
+        made = F.transform(calls, lambda c: F.struct(c["id"].alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function")))
+        parts.append(F.when((F.col("role") == "assistant") & (F.size(calls) > 0), F.to_json(F.struct(made.alias("tool_calls")))))
+        own = _or_null(messages, "tool_call_id")
+        parts.append(F.when(tool, F.coalesce(F.when(own.isNotNull(), F.to_json(F.struct(own.alias("tool_call_id")))), F.lit('{"tool_call_id":null}'))))
+    # the members of the objects that are there, in one object
+    members = F.array_compact(F.array(*parts, name))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(members, lambda j: F.substring(j, F.lit(2), F.length(j) - 2)), ","), F.lit("}"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", whole.alias("j")))), lambda x: x["j"]), ",")
     return messages.groupBy("conv_id").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("wire"))

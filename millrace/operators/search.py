@@ -1,4 +1,4 @@
-"""Exact vector search: query blocks against every vector, k best per task, then k best overall."""
+"""Exact vector search: blocks of queries against every vector, the k best of a batch, then the k best overall."""
 
 from __future__ import annotations
 
@@ -7,43 +7,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries broadcast at a time; larger query tables are searched block by block.
-QUERY_BLOCK = 4096
+#: Numbers (queries times dimensions) that are broadcast for one pass over the vectors; more take more passes.
+PASS_NUMBERS = 8_000_000
+#: Queries that are multiplied at a time.
+QUERY_BLOCK = 1024
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of scores the columns of its k best by (score descending, id), as row and column numbers."""
+    if score.shape[1] > k:
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero(score >= least[:, None])  # ties with the k-th included
+    else:
+        row, col = np.nonzero(np.ones(score.shape, bool))
+    order = np.lexsort((ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", group: str | None = None) -> DataFrame:
     """``query_id, rank (from 1), <id_col>, score`` by cosine, ties by id; ``group`` restricts a query to rows of its group.
 
-    ``queries`` has ``query_id`` and ``vector_col`` (and ``group``).  Scores are rounded to 6 digits before ranking.
+    ``queries`` has ``query_id`` and ``vector_col`` (and ``group``).  Scores are rounded to 6 digits before ranking.  Rows
+    without a vector are left out, and with ``group`` those without a group.  One pass over the vectors serves as many
+    queries as ``PASS_NUMBERS`` allows; a row is only multiplied with the queries of its group.
     """
     spark = vectors.sparkSession
-    cols = [F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v"), *([F.col(group).cast("string").alias("g")] if group else [])]
-    numbered = queries.select(*cols).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *([F.col(group).cast("string").alias("g")] if group else []))
-    found = None
-    for block in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
-        own = numbered.where(F.col("block") == block).orderBy("q").toArrow()
-        held = spark.sparkContext.broadcast((own["q"].to_numpy(), unit(np.array(own["v"].to_pylist(), dtype=np.float64)), np.array(own["g"].to_pylist()) if group else None))
+
+    def own(df: DataFrame, key: str, name: str) -> DataFrame:
+        cols = [F.col(key).cast("long").alias(name), F.col(vector_col).alias("v"), *([F.col(group).cast("string").alias("g")] if group else [])]
+        return df.select(*cols).dropna()
+
+    asked, rows = own(queries, query_id, "q"), own(vectors, id_col, "id")
+    size = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    passes = max(1, -(-size // PASS_NUMBERS))
+    found = spark.createDataFrame([], "q long, id long, score double")
+    for number in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == number).toArrow()
+        if not part.num_rows:
+            continue
+        sets: dict = {}
+        names = part["g"].to_pylist() if group else [None] * part.num_rows
+        for i, g in enumerate(names):
+            sets.setdefault(g, []).append(i)
+        ids, m = part["q"].to_numpy(), unit(np.array(part["v"].to_pylist(), dtype=np.float64))
+        held = spark.sparkContext.broadcast({g: (ids[at], m[at]) for g, at in sets.items()})
 
         def run(batches, held=held):
-            q, m, g = held.value
+            sets = held.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
                 ids = batch.column("id").to_numpy()
-                v = unit(np.array(batch.column("v").to_pylist(), dtype=np.float64))
-                score = np.round(m @ v.T, 6)
-                if g is not None:
-                    score = np.where(g[:, None] == np.array(batch.column("g").to_pylist())[None, :], score, -np.inf)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, axis=1).ravel()
-                ok = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])[ok]), pa.array(ids[order.ravel()][ok]), pa.array(best[ok])], names=["q", "id", "score"])
-
-        part = rows.mapInArrow(run, "q long, id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "q long, id long, score double")
+                where: dict = {}
+                for i, g in enumerate(batch.column("g").to_pylist() if group else [None] * len(ids)):
+                    where.setdefault(g, []).append(i)
+                for g in where.keys() & sets.keys():
+                    at = np.array(where[g])
+                    v = unit(np.array(batch.column("v").take(pa.array(at)).to_pylist(), dtype=np.float64))
+                    q, m = sets[g]
+                    for i in range(0, len(q), QUERY_BLOCK):
+                        score = np.round(m[i : i + QUERY_BLOCK] @ v.T, 6)
+                        row, col = best_of(score, ids[at], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(q[i + row]), pa.array(ids[at][col]), pa.array(score[row, col])], names=["q", "id", "score"])
+
+        found = found.union(rows.mapInArrow(run, "q long, id long, score double"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 

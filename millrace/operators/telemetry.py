@@ -1,7 +1,7 @@
 """Run and call-log rollups.
 
 Trace: ``run_id, step, model_ms, prompt_tokens, completion_tokens, compacted, repaired, tools``.
-Call log: ``ts, model, latency_ms, retries, error``.
+Call log: ``ts, model, latency_ms, prompt_tokens, completion_tokens, retries, error``.
 """
 
 from __future__ import annotations
@@ -31,10 +31,13 @@ def tool_rollup(trace: DataFrame) -> DataFrame:
 
 
 def call_log_rollup(log: DataFrame) -> DataFrame:
-    """Per model: calls, errors, retryable ones (429 or 500 and above), retries."""
+    """Per model: calls, errors, retryable ones (429 or 500 and above), retries, tokens, latency: mean, p50 and p95.
+
+    A percentile is the smallest latency that at least that share of the calls do not exceed.
+    """
     status = F.regexp_extract(F.coalesce("error", F.lit("")), r"returned (\d{3})", 1)
     code = F.when(status == "", F.lit(None)).otherwise(status.cast("int"))
-    return log.groupBy("model").agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.count_if((code == 429) | (code >= 500)).alias("retryable"), F.sum("retries").alias("retries"), F.count_if(F.col("retries") > 0).alias("retried_calls"), F.round(F.avg("latency_ms"), 4).alias("avg_ms"))
+    return log.groupBy("model").agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.count_if((code == 429) | (code >= 500)).alias("retryable"), F.sum("retries").alias("retries"), F.count_if(F.col("retries") > 0).alias("retried_calls"), F.round(F.avg("latency_ms"), 4).alias("avg_ms"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"), *[F.percentile_approx("latency_ms", q, 100_000).alias(n) for n, q in (("p50_ms", 0.5), ("p95_ms", 0.95))])
 
 
 def step_records(steps: DataFrame) -> DataFrame:

@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
-import re
+import fnmatch
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .audit import SECRET_NAMES, SECRET_SUFFIXES
+
 BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-_NESTED = re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
+# Folders whose files are not searched.
+SKIPPED_FOLDERS = (".git", "__pycache__", "node_modules", ".venv", "venv", ".pytest_cache", ".ruff_cache", "dist", "build", ".chroma")
+
+
+def repeats_a_repeat(pattern: str) -> bool:
+    """Whether a group that is repeated without a small bound holds something that is itself repeated."""
+    inner = [False]  # for each open group: whether it holds a repeat
+    at, closed = 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at, closed = at + 2, False
+            continue
+        if c == "[":
+            end = at + 2 if pattern[at + 1 : at + 2] != "^" else at + 3
+            while end < len(pattern) and pattern[end] != "]":
+                end += 2 if pattern[end] == "\\" else 1
+            at, closed = end + 1, False
+            continue
+        if c == "(":
+            inner.append(False)
+            closed = False
+            at += 2 if pattern[at + 1 : at + 2] == "?" else 1
+            continue
+        if c == ")" and len(inner) > 1:
+            closed = inner.pop()
+            inner[-1] |= closed
+        elif c in "*+{":
+            if closed:
+                return True
+            inner[-1] = True
+        elif c != " ":
+            closed = False
+        at += 1
+    return False
 
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -20,13 +56,40 @@ def numbered_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def grep(docs: DataFrame, pattern: str, id_col: str = "doc_id", max_line: int = 1000) -> DataFrame:
     """Matching lines, each cut to ``max_line`` before matching and to 200 for output."""
-    if _NESTED.search(pattern):
+    if repeats_a_repeat(pattern):
         raise ValueError("nested quantifiers are refused")
     cut = numbered_lines(docs, id_col).withColumn("line", F.substring("line", 1, max_line)).where(F.col("line").rlike(pattern))
     shown = F.trim("line")
     return cut.select(id_col, "n", F.when(F.length(shown) > 200, F.concat(F.substring(shown, 1, 200), F.lit("..."))).otherwise(shown).alias("line"))
 
 
+def searchable(files: DataFrame, glob: str = "*", path_col: str = "source") -> DataFrame:
+    """Files (``path_col, text``) whose name matches ``glob``, outside the skipped folders, that do not look like credentials."""
+    parts = F.split(F.col(path_col), "/")
+    name = F.element_at(parts, -1)
+    secret = F.lower(name).isin(*SECRET_NAMES)
+    for suffix in SECRET_SUFFIXES:
+        secret |= F.lower(name).endswith(suffix)
+    return files.where(name.rlike("^" + fnmatch.translate(glob).removesuffix(r"\z").removesuffix(r"\Z") + "$") & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_FOLDERS))) & ~secret)
+
+
+def grep_report(files: DataFrame, pattern: str, glob: str = "*", max_results: int = 100, path_col: str = "source") -> DataFrame:
+    """``n, line``: ``path:number: text`` of the first ``max_results`` matching lines by path and number.
+
+    A last row says that the search stopped there; without a match the only row says in how many files there was none.
+    """
+    own = searchable(files.where("text is not null"), glob, path_col).select(path_col, "text")
+    top = grep(own, pattern, path_col).orderBy(path_col, "n").limit(max_results)
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy(path_col, "n"))  # over at most max_results rows
+    lines = top.select(place.alias("n"), F.concat(path_col, F.lit(":"), F.col("n").cast("string"), F.lit(": "), "line").alias("line"))
+    found = lines.agg(F.count("*").alias("c"))
+    stopped = found.where(F.col("c") >= max_results).select((F.col("c") + 1).cast("int").alias("n"), F.lit(f"... stopped at {max_results} results").alias("line"))
+    none = own.agg(F.count("*").alias("files")).join(F.broadcast(found), F.col("c") == 0).select(F.lit(1).alias("n"), F.concat(F.lit(f"no matches for {pattern!r} in "), F.col("files").cast("string"), F.lit(" files")).alias("line"))
+    return lines.union(stopped).union(none)
+
+
 def read_lines(docs: DataFrame, start: int | None = None, end: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """``id_col, shown, error``: lines ``start`` to ``end`` (from 1) with right-aligned numbers; an empty range is an error."""
     parts = F.split(F.coalesce("text", F.lit("")), BREAKS, -1)

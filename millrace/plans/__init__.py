@@ -1,3 +1,3 @@
 """Queries over the given tables."""
 
-from . import registry, logs  # noqa: F401, I001 - logs adds its queries to registry's
+from . import registry, logs, more  # noqa: F401, I001 - logs and more add their queries to registry

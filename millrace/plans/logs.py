@@ -14,7 +14,7 @@ from ..operators import audit, completions, embedding, evaluation, history, sear
 from ..sources import files
 from ..sources.shared import shared_path
 from ..streaming import rollups
-from .registry import _TOKENS, _TRACE, _TURNS, _USED, BUDGET, KEEP, query, table, trace_of
+from .registry import _AFTER, _TOKENS, _TRACE, _TURNS, _USED, BUDGET, KEEP, chunks_sql, query, table, trace_of
 
 #: A completion's text by its event: clean JSON, a fence with a comma too many, an open brace, a Python literal, prose, junk.
 _RAW1 = """'{"tool": "' || event_type || '", "args": ' || props || ',}'"""
@@ -167,7 +167,11 @@ def h6_summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.summarize(table(spark, sf_dir, "conversations"), BUDGET, KEEP, lambda t: f"s{len(t)}")
 
 
-@query()
+@query(_AFTER + f""", g AS (SELECT d.conv_id, '[Summary of ' || count(*) || ' earlier messages, which have been dropped to stay within the context window:]' || chr(10) || chr(10) || 's' || length(string_agg(role || ': ' || text[:1500], chr(10))) AS text FROM d JOIN conversations USING (conv_id, turn) GROUP BY d.conv_id),
+s AS (SELECT conv_id, text FROM conversations WHERE (conv_id, turn) NOT IN (SELECT conv_id, turn FROM d) UNION ALL SELECT conv_id, text FROM g),
+x AS (SELECT conv_id, 'truncate' AS strategy, * EXCLUDE (conv_id) FROM k UNION ALL SELECT conv_id, 'summarize', * EXCLUDE (conv_id) FROM s),
+y AS (SELECT conv_id, strategy, CAST(sum({_TOKENS.format(t='text')} + 10) AS BIGINT) AS after, count(*) AS n_messages FROM x GROUP BY conv_id, strategy)
+SELECT conv_id, strategy, tokens AS before, after, tokens - after AS saved, n_messages FROM y JOIN u USING (conv_id)""")
 def h7_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.compare_strategies(table(spark, sf_dir, "conversations"), BUDGET, KEEP, lambda t: f"s{len(t)}")
 
@@ -255,10 +259,10 @@ def v4_approximate_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question for every twentieth document: its first words, answered where a later passage is."""
-    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0 and length(text) > 150").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("question"), F.array(F.col("doc_id").cast("string")).alias("sources"), F.trim(F.substring("text", 120, 24)).alias("marker"))
+    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("question"), F.array(F.col("doc_id").cast("string")).alias("sources"), F.trim(F.substring("text", 120, 24)).alias("marker"))
 
 
-@query("""WITH q AS (SELECT doc_id AS query_id, doc_id AS source, lower(trim(text[120:143])) AS m FROM documents WHERE doc_id % 20 = 0 AND length(text) > 150)
+@query("""WITH q AS (SELECT doc_id AS query_id, doc_id AS source, lower(trim(text[120:143])) AS m FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)
 SELECT q.query_id, CAST(d.doc_id AS VARCHAR) AS chunk_id FROM q JOIN documents d ON d.doc_id = q.source WHERE contains(lower(d.text), q.m)""")
 def r1_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.col("doc_id").cast("string")
@@ -277,11 +281,22 @@ def r9_best_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best_setting(r8_chunk_sizes(spark, sf_dir), "600")
 
 
-@query()
+def _violations(size: int) -> str:
+    return f"""SELECT * FROM (WITH {chunks_sql(size, size // 6)},
+q AS (SELECT doc_id AS query_id, CAST(doc_id AS VARCHAR) AS source, lower(trim(text[120:143])) AS m FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+n AS (SELECT source, count(*) AS n FROM chunks GROUP BY source),
+g AS (SELECT query_id, q.source, count(*) AS g FROM q JOIN chunks USING (source) WHERE contains(lower(text), m) GROUP BY ALL)
+SELECT q.query_id, q.source, CASE WHEN g IS NULL THEN 'missing' ELSE 'too_common' END AS problem, {size} AS size FROM q LEFT JOIN g USING (query_id) LEFT JOIN n ON n.source = q.source WHERE g IS NULL OR g > greatest(1, n // 2))"""
+
+
+@query(" UNION ALL ".join(map(_violations, (200, 600, 2000))))
 def r10_gold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import chunking
+    return evaluation.gold_violations_by_size(table(spark, sf_dir, "documents"), _asked(spark, sf_dir))
+
 
-    return evaluation.gold_violations(chunking.chunk(table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
+@query()
+def r8_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.ablate_prefixes(table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir), embedding.hashing_embedder(64), "hash64")
 
 
 @query()

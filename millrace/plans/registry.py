@@ -122,14 +122,54 @@ def h5_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.truncate(table(spark, sf_dir, "conversations"), BUDGET, KEEP)
 
 
-@query()
+_AFTER = f"""{_USED}, {_TURNS}, o AS (SELECT conv_id FROM u WHERE tokens > {int(BUDGET * 0.85)}),
+d AS (SELECT conv_id, turn, turn_no FROM (SELECT *, max(turn_no) OVER (PARTITION BY conv_id) AS last FROM t) WHERE turn_no <= last - {KEEP} AND conv_id IN (SELECT conv_id FROM o)),
+l AS (SELECT conv_id, count(DISTINCT turn_no) AS turns, count(*) AS n FROM d GROUP BY conv_id),
+k AS (SELECT conv_id, text FROM conversations WHERE (conv_id, turn) NOT IN (SELECT conv_id, turn FROM d) UNION ALL SELECT conv_id, '[' || n || ' earlier messages were dropped to stay within the context window. If you need something from them, ask.]' FROM l),
+a AS (SELECT conv_id, CAST(sum({_TOKENS.format(t='text')} + 10) AS BIGINT) AS after FROM k GROUP BY conv_id)"""
+
+
+@query(f"""{_AFTER} SELECT conv_id, tokens > {int(BUDGET * 0.85)} AS triggered, n IS NOT NULL AS fired, tokens AS before, after, tokens - after AS saved, CAST(round(100.0 * (tokens - after) / greatest(1, tokens)) AS BIGINT) AS saved_pct, coalesce(turns, 0) AS dropped_turns,
+coalesce(n, 0) AS dropped_messages, tokens > {int(BUDGET * 0.85)} AND after > {BUDGET} AS still_over FROM u JOIN a USING (conv_id) LEFT JOIN l USING (conv_id)""")
 def h5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.compaction_report(table(spark, sf_dir, "conversations"), BUDGET, KEEP)
 
 
-@query()
+def _wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with tool rows: every third one is a tool's answer to the call of the one before it."""
+    own = table(spark, sf_dir, "conversations")
+    call = F.array(F.struct(F.concat(F.lit("c"), F.col("turn") + 1).alias("id"), F.lit("look").alias("name"), F.lit('{"q": "x"}').alias("arguments")))
+    kind = F.pmod(F.col("turn"), F.lit(3))
+    return own.select("conv_id", "turn", F.when(kind == 2, "tool").otherwise(F.col("role")).alias("role"), "text", F.when(kind == 2, "look").alias("name"), F.when(kind == 2, F.concat(F.lit("c"), "turn")).alias("tool_call_id"), F.when((kind == 1) & (F.col("role") == "assistant"), call).alias("tool_calls"))
+
+
+_WIRE = """WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'tool' ELSE role END AS role, text, turn % 3 = 1 AND role = 'assistant' AS calls FROM conversations)
+SELECT conv_id, CAST(len(list(1)) AS INTEGER) AS n, string_agg(role, ',' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(CASE WHEN role = 'tool' THEN 'look' ELSE '' END, ',' ORDER BY turn) AS names, {ids} AS ids, {calls} AS calls FROM m GROUP BY conv_id"""
+_WIRED = "array<struct<role:string,content:string,name:string,tool_call_id:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>>"
+
+
+def _wire_read(wire: DataFrame) -> DataFrame:
+    """The exported JSON read back."""
+    m = wire.select("conv_id", F.from_json("wire", _WIRED).alias("m"))
+    part = lambda f: F.array_join(F.transform("m", f), ",")
+    none = F.lit("")
+    calls = lambda x: F.coalesce(F.concat_ws(":", x["tool_calls"][0]["id"], x["tool_calls"][0]["type"], x["tool_calls"][0]["function"]["name"], x["tool_calls"][0]["function"]["arguments"]), none)
+    return m.select("conv_id", F.size("m").alias("n"), part(lambda x: x["role"]).alias("roles"), F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + F.length(x["content"])).alias("chars"), part(lambda x: F.coalesce(x["name"], none)).alias("names"), part(lambda x: F.coalesce(x["tool_call_id"], none)).alias("ids"), part(calls).alias("calls"))
+
+
+@query(_WIRE.format(ids="string_agg('', ',' ORDER BY turn)", calls="string_agg('', ',' ORDER BY turn)"))
 def h9_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.to_wire(table(spark, sf_dir, "conversations"))
+    return _wire_read(history.to_wire(_wire_messages(spark, sf_dir)))
+
+
+@query(_WIRE.format(ids="string_agg(CASE WHEN role = 'tool' THEN 'c' || turn ELSE '' END, ',' ORDER BY turn)", calls="""string_agg(CASE WHEN calls THEN 'c' || (turn + 1) || ':function:look:{"q": "x"}' ELSE '' END, ',' ORDER BY turn)"""))
+def h9_wire_hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wire_read(history.to_wire(_wire_messages(spark, sf_dir), hosted=True))
+
+
+@query("SELECT conv_id, string_agg('--- ' || CASE WHEN turn % 3 = 2 THEN 'TOOL(look)' ELSE upper(role) END || ' ---' || chr(10) || CASE WHEN length(text) >= 500 THEN text[:500] || ' ...[cut]' ELSE text END, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def h11_tool_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.transcript(_wire_messages(spark, sf_dir))
 
 
 @query("SELECT conv_id, string_agg('--- ' || upper(role) || ' ---' || chr(10) || CASE WHEN length(text) >= 500 THEN text[:500] || ' ...[cut]' ELSE text END, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
@@ -196,15 +236,44 @@ def m3_tool_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.tool_rollup(trace_of(table(spark, sf_dir, "events")))
 
 
-@query("""WITH l AS (SELECT event_type AS model, value AS latency_ms, event_id % 3 AS retries, CASE event_id % 10 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 400 END AS code FROM events)
-SELECT model, count(*) AS calls, count(code) AS errors, count(*) FILTER (WHERE code = 429 OR code >= 500) AS retryable, CAST(sum(retries) AS BIGINT) AS retries, count(*) FILTER (WHERE retries > 0) AS retried_calls, round(avg(latency_ms), 4) AS avg_ms FROM l GROUP BY model""")
-def m6_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_log_of(events: DataFrame) -> DataFrame:
+    """A call log from events: a model is an event's type; a failed call has no tokens."""
     code = F.expr("CASE event_id % 10 WHEN 0 THEN 'returned 429' WHEN 1 THEN 'returned 500' WHEN 2 THEN 'returned 400' END")
-    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("value").alias("latency_ms"), (F.col("event_id") % 3).alias("retries"), code.alias("error"))
-    return telemetry.call_log_rollup(log)
+    spent = lambda n: F.when(code.isNull(), F.col("event_id") % n).cast("int")
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.col("value").alias("latency_ms"), spent(100).alias("prompt_tokens"), spent(7).alias("completion_tokens"), (F.col("event_id") % 3).cast("int").alias("retries"), code.alias("error"))
+
+
+@query("""WITH l AS (SELECT event_type AS model, value AS latency_ms, event_id % 3 AS retries, CASE event_id % 10 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 400 END AS code, CASE WHEN event_id % 10 > 2 THEN event_id % 100 END AS i, CASE WHEN event_id % 10 > 2 THEN event_id % 7 END AS o FROM events)
+SELECT model, count(*) AS calls, count(code) AS errors, count(*) FILTER (WHERE code = 429 OR code >= 500) AS retryable, CAST(sum(retries) AS BIGINT) AS retries, count(*) FILTER (WHERE retries > 0) AS retried_calls, round(avg(latency_ms), 4) AS avg_ms,
+CAST(sum(i) AS BIGINT) AS prompt_tokens, CAST(sum(o) AS BIGINT) AS completion_tokens, quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM l GROUP BY model""")
+def m6_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.call_log_rollup(call_log_of(table(spark, sf_dir, "events")))
+
+
+_BODY = r"""trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))"""
+
+
+def _last(sep: str, length: int) -> str:
+    """The place just behind the last ``sep`` that begins at or after ``low`` and ends at or before ``hi``; null without one."""
+    part = "body[low + 1 : hi]"
+    return f"CASE WHEN contains({part}, {sep}) THEN low + length({part}) - strpos(reverse({part}), reverse({sep})) + 1 END"
+
+
+def chunks_sql(size: int, overlap: int) -> str:
+    """Chunks by a walk over (begin, cut): the next window depends on where the last one was cut."""
+    def cut(begin: str) -> str:
+        low, hi = f"({begin} + {2 * size // 3})", f"({begin} + {size})"
+        ladder = ", ".join(_last(sep, n).replace("low", low).replace("hi", hi) for sep, n in (("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2), ("', '", 2), ("' '", 1)))
+        return f"CASE WHEN {hi} >= length(body) THEN length(body) ELSE coalesce({ladder}, {hi}) END"
+
+    step = f"greatest(begin + 1, cut - {overlap})"
+    return f"""RECURSIVE b AS (SELECT CAST(doc_id AS VARCHAR) AS source, {_BODY} AS body FROM documents WHERE text IS NOT NULL),
+w AS (SELECT source, body, 0 AS begin, {cut('0')} AS cut FROM b WHERE body <> '' UNION ALL SELECT source, body, {step} AS begin, {cut(step)} AS cut FROM w WHERE cut < length(body)),
+c AS (SELECT source, begin AS start, {_BODY.replace('text', 'body[begin + 1 : cut]')} AS text FROM w),
+chunks AS (SELECT source, start, text, CAST(row_number() OVER (PARTITION BY source ORDER BY start) - 1 AS INTEGER) AS index FROM c WHERE text <> '')"""
 
 
-@query()
+@query(f"WITH {chunks_sql(600, 100)} SELECT source || '#' || index AS chunk_id, source, index, '' AS heading, CAST(start AS INTEGER) AS start, text, '[' || source || ']' || chr(10) || text AS context FROM chunks")
 def c2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_context(chunking.chunk(table(spark, sf_dir, "documents")))
 

@@ -43,6 +43,16 @@ def conversation_json(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["m"])).alias("json"))
 
 
+def write_conversations(messages: DataFrame, path: str) -> None:
+    """One file of a JSON array for each conversation, below a folder of its name; ``read_saved_conversations`` reads them."""
+    conversation_json(messages).select(F.col("json").alias("value"), F.col("conv_id").cast("string").alias("conv_id")).repartition("conv_id").write.partitionBy("conv_id").text(path)
+
+
+def read_saved_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_conversations`` has written; ``conv_id`` is a string."""
+    return messages_of(spark.read.text(path).select(F.col("conv_id").cast("string").alias("conv_id"), F.col("value").alias("json")))
+
+
 def messages_of(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.posexplode(F.from_json("json", MESSAGE)).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.*")
 

@@ -16,13 +16,15 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize(
     "text,name,repairs",
     [
-        ('{"name": "a", "arguments": {"x": 1}}', "a", []),
-        ('I\'ll look. ```json\n{"name": "a", "arguments": {"x": "}"}}', "a", ["fenced"]),
-        ('{"function": {"name": "a", "arguments": "{\\"x\\": 1}"}}', "a", ["nested_function_key", "args_double_encoded"]),
-        ('{"action": "a", "x": 1}', "a", ["name_key:action", "flattened_args"]),
-        ("{'name': 'a', 'args': {'x': None,", "a", ["python_literal_closed", "arg_key:args"]),
-        ('{"name": "a", "arguments": "plain"}', "a", ["args_bare_string"]),
-        ('{"name": "a", "arguments": [1]}', "a", ["args_not_object"]),
+        ('{"name": "weigh", "arguments": {"kg": 7}}', "weigh", []),
+        ('Weighing now: ```json\n{"name": "weigh", "arguments": {"note": "}"}}', "weigh", ["fenced"]),
+        ('{"function": {"name": "weigh", "arguments": "{\\"kg\\": 7}"}}', "weigh", ["nested_function_key", "args_double_encoded"]),
+        ('{"action": "weigh", "kg": 7}', "weigh", ["name_key:action", "flattened_args"]),
+        ("{'name': 'weigh', 'args': {'kg': None,", "weigh", ["python_literal_closed", "arg_key:args"]),
+        ('{"name": "weigh", "arguments": "seven"}', "weigh", ["args_bare_string"]),
+        ('{"name": "weigh", "arguments": [7]}', "weigh", ["args_not_object"]),
+        ('{"name": "weigh", "arguments": {"kg": 7,},}', "weigh", ["trailing_comma"]),
+        ('{"name": "weigh", "arguments": {"kg": 7, "unit":', "weigh", ["unclosed_braces"]),
     ],
 )
 def test_repairs(text, name, repairs):
@@ -31,12 +33,13 @@ def test_repairs(text, name, repairs):
 
 
 def test_parser_edges():
-    assert toolcalls.parse(None)["calls"] == [] and toolcalls.parse("  ")["text"] == "  "
-    assert toolcalls.parse('see {"name": "my-app", "version": "1"}', frozenset({"a"}))["calls"] == []
-    two = toolcalls.parse('x [{"name": "a"}, {"name": "b"}] y')
-    assert [c["name"] for c in two["calls"]] == ["a", "b"] and (two["prose_before"], two["prose_after"], two["text"]) == ("x", "y", "x  y")
-    assert toolcalls.parse("{name: oops}")["problems"] == ["couldn't parse this as JSON: {name: oops}"]
-    assert toolcalls.parse_native("not json") == [] and toolcalls.parse_native(None) == []
+    assert toolcalls.parse(None)["calls"] == [] and toolcalls.parse(" \n")["text"] == " \n"
+    assert toolcalls.parse('a package {"name": "scales", "private": true}', frozenset({"weigh"}))["calls"] == []
+    two = toolcalls.parse('first [{"name": "weigh"}, {"name": "tare"}] last')
+    assert [c["name"] for c in two["calls"]] == ["weigh", "tare"] and (two["prose_before"], two["prose_after"], two["text"]) == ("first", "last", "first  last")
+    assert toolcalls.parse("{tool- what}")["problems"] == ["couldn't parse this as JSON: {tool- what}"]
+    assert toolcalls.parse_native("{]") == [] and toolcalls.parse_native(None) == []
+    assert toolcalls.without_fences("a ```json\n{}\n``` b ```\n[]") == ("a \n{}\n\n b \n\n[]", True)
 
 
 def test_positional_argument(spark):
