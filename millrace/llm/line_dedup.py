@@ -9,7 +9,7 @@ whether or not they move the other words.  Two forms are linked if they share a
 differ in at most ``DISTANCE`` bits and their edit similarity is at least 0.8.  Of each group of linked forms
 the first occurrence in (doc_id, text hash, line number) order stays, all others are removed.
 
-Inside a block's bucket each member is first compared with a few leaders.  Only members that this leaves in
+Inside a block's bucket each member is first compared with the nearest ones by SimHash.  Only members that this leaves in
 different groups are then compared with each other, so a bucket of like forms does not grow with its square and
 no link between groups is lost.  A bucket of more than ``CROWD`` forms is dealt out again by the blocks of the
 whole SimHash that two forms within ``DISTANCE`` bits must share; only unlike forms that agree there as well
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, connected_components, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
 
-DISTANCE = 13
+DISTANCE = 10
 SIMILARITY = 0.8
 #: Runs of words that have a block of their own, and the least words of a run.
 PARTS, LEAST_PART = 6, 3
@@ -168,15 +168,23 @@ def _near(fp: np.ndarray, chars: np.ndarray, i, j) -> np.ndarray:
     return (np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE) & (low >= SIMILARITY * high - 1e-9)
 
 
-def _stars(fp: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Members of one bucket with the first leader each may be like."""
-    left, a, b = np.arange(len(fp)), [], []
-    while len(left) > 1:
-        near = _near(fp, chars, left[0], left[1:])
-        b.append(left[1:][near])
-        a.append(np.full(len(b[-1]), left[0]))
-        left = left[1:][~near]
-    return np.concatenate(a), np.concatenate(b)
+def _nearest(fp: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of one bucket with the nearest one before them, and with the nearest of all, as far as they may be alike."""
+    n, a, b = len(fp), [], []
+    step = max(1, 2_000_000 // n)
+    for i in range(0, n, step):
+        own = np.arange(i, min(i + step, n))
+        bits = np.where(_near(fp, chars, own[:, None], np.arange(n)[None, :]), np.bitwise_count(fp[own][:, None] ^ fp[None, :]), 255).astype(np.uint8)
+        bits[np.arange(len(own)), own] = 255
+        for _ in range(2):
+            to = bits.argmin(axis=1)
+            near = bits[np.arange(len(own)), to] < 255
+            a.append(own[near])
+            b.append(to[near])
+            bits[np.arange(n)[None, :] > own[:, None]] = 255
+    a, b = np.concatenate(a), np.concatenate(b)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pairs[0], pairs[1]
 
 
 def _across(fp: np.ndarray, chars: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +256,7 @@ def _buckets(batches, crowd: int | None, columns: tuple[str, ...], settle):
 
 
 def _first_look(crowd: int | None):
-    """Kind 0: pairs of a member and its leader.  Kind 1: members of buckets of three and more, for the second look."""
+    """Kind 0: pairs of a member and its nearest ones.  Kind 1: members of buckets of three and more, for the second look."""
 
     def settle(rows, start, size):
         key, node, fp, chars = rows
@@ -256,7 +264,7 @@ def _first_look(crowd: int | None):
         two = two[_near(fp.view(np.uint64), chars, two, two + 1)]
         a, b = [two], [two + 1]
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = _stars(fp[s : s + n].view(np.uint64), chars[s : s + n])
+            x, y = _nearest(fp[s : s + n].view(np.uint64), chars[s : s + n])
             a.append(x + s)
             b.append(y + s)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -313,13 +321,10 @@ def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
     found = materialize(_verified(candidates, described), "line-links")
     members = both.where("kind = 1").select("key", F.col("src").alias("node"), "fp", "chars")
     tagged = members.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    # buckets that the first look has left in more than one group
-    apart = materialize(tagged.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key"), "line-apart")
-    if apart.isEmpty():
-        return found
-    rest = _dealt(tagged.join(apart, "key", "left_semi").select("key", "node", "fp", "chars", "group"), _second_look).select("src", "dst").distinct()
+    # pairs leave only those buckets that the first look has left in more than one group
+    rest = _dealt(tagged.select("key", "node", "fp", "chars", "group"), _second_look).select("src", "dst").distinct()
     rest = materialize(rest.join(candidates, ["src", "dst"], "left_anti"), "line-rest")
-    return found.union(_verified(rest, described))
+    return found if rest.isEmpty() else found.union(_verified(rest, described))
 
 
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
