@@ -1,18 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Tokens are words and one end per text; a text starts in the context of an end.  The tree's symbols are
-the ``HEAD`` most frequent words, the end, and one class for all other words; a word of that class is
-drawn by its own share, and words never seen in training share the mass of one unknown token (their
-number by Witten and Bell).  Contexts of up to ``DEPTH`` symbols are candidates if they are frequent
-enough, and retained if their next-symbol distribution diverges from their suffix's; each distribution
-is smoothed towards the suffix's.  Every token is scored from its longest retained context.
-
-Counts cover every training text.  A context holds at least ``MIN_CONTEXT`` and an entry at least
-``MIN_ENTRY`` of all training tokens, so a depth has at most the inverse of these of them, whatever the
-corpus: that bounds what is broadcast.  Words outside the head are looked up by a join.
-
-A null text is an empty one: its only token is the end.  Repeated rows are scored each.  Without
-training rows all counts are zero and every token is unknown.
+the most frequent words (the head), the end, and one class for all other words, among them those of more
+than ``HEAD_BYTES`` bytes; a word of that class is drawn by its own share, and words never seen in training
+share the mass of one unknown token (their number by Witten and Bell).  Contexts of up to ``DEPTH`` symbols
+are candidates if they are frequent enough and their suffix is retained, and retained if their next-symbol
+distribution diverges from their suffix's; each distribution is smoothed towards the suffix's.  Every token
+is scored from its longest retained context.
+
+Counts cover every training text.  The head, and the contexts and next-symbol entries of a depth, grow with
+the cube root of the training tokens N: at most ``HEAD``, ``CONTEXTS`` and ``ENTRIES`` times that root, which the
+least counts N / (that bound) see to.  So a corpus of 8 times the size has a tree of twice the size, and what
+is broadcast stays a few hundred MB at 10**13 tokens.  Words outside the head are looked up by a join.
+
+A null text is an empty one: its only token is the end.  Texts are scored whole however long they are.  Repeated
+rows are scored each.  Ties in the head go to the smaller word.  Other columns are not read, whatever their names.
+Without training rows all counts are zero and every token is unknown.  An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,16 +30,17 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, doc_id_of, id_bucket, keyed, materialize, small
 
-DEPTH = 2
-#: Least share of all training tokens for a context of one and of two symbols, and for a next-symbol entry.
-MIN_CONTEXT = (5e-4, 5e-5)
-MIN_ENTRY = 2e-6
+DEPTH = 4
+#: Times the cube root of the training tokens: words of the head, contexts and entries of a depth at most.
+HEAD, CONTEXTS, ENTRIES = 160, 60, 1200
 #: Nats of total divergence (count times KL) that a context must bring over its suffix.
 MIN_GAIN = 20.0
 PRIOR = 2.0
-HEAD = 1 << 16
 HEAD_BYTES = 64
-END, RARE, BITS = HEAD, HEAD + 1, 17
+#: A symbol's bits in a code; the last two symbols are the end and the class of all other words.
+BITS = 23
+MASK = (1 << BITS) - 1
+END, RARE = MASK - 1, MASK
 #: Different words, or symbols, that a task holds before it hands its partial counts on.
 TASK_WORDS, TASK_SYMBOLS = 500_000, 4_000_000
 
@@ -65,27 +69,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def symbol_runs(texts: list[bytes], get):
-    """Symbols of texts laid end to end: ``symbols, starts``; a text is END, its words' symbols, END."""
+    """Symbols of texts laid end to end, and each one's place in its text; a text is END, its words' symbols, END."""
     parts: list = []
-    starts, at = [], 0
+    sizes = []
     for t in texts:
         words = words_of(t)
         parts.append(END)
         parts += [get(w, RARE) for w in words]
         parts.append(END)
-        starts.append(at)
-        at += len(words) + 2
-    return np.array(parts, dtype=np.int64), np.array(starts, dtype=np.int64)
-
-
-def windows(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token (all but a text's first END): the symbol, the one before it, and the one before that (-1 for none)."""
-    first = np.zeros(len(symbols), dtype=bool)
-    first[starts] = True
-    own = np.flatnonzero(~first)
-    one = symbols[own - 1]
-    two = np.where(first[own - 1], -1, symbols[np.maximum(own - 2, 0)])
-    return symbols[own], one, two
+        sizes.append(len(words) + 2)
+    n = np.array(sizes, dtype=np.int64)
+    return np.array(parts, dtype=np.int64), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,101 +90,139 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def context_codes(symbols: np.ndarray, one: np.ndarray, two: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context codes of a depth and which tokens have one that long."""
-    if depth == 1:
-        return one, np.ones(len(one), dtype=bool)
-    return (two << BITS) | one, two >= 0
-
-
 class SuffixTree:
-    """``root``: probabilities of all symbols.  ``levels[d - 1]``: retained contexts of d symbols (sorted) with totals and
-    the mass of next symbols too rare to be entries (it goes to the suffix's distribution), and the entries' codes and counts."""
+    """``root``: probabilities of the head's symbols, the end and the rare class.
 
-    def __init__(self, root: np.ndarray) -> None:
-        self.root = root
+    ``levels[d - 1]``: the retained contexts of d symbols as sorted codes (the number of the suffix among the contexts
+    of d - 1 symbols, then the oldest symbol), their symbols (oldest first), their totals, the mass of next symbols
+    too rare to be entries (it goes to the suffix's distribution), and the entries' codes (the context's number, then
+    the next symbol) and counts.
+    """
+
+    def __init__(self, head: np.ndarray, end: float, rare: float) -> None:
+        self.head, self.end, self.rare = head, end, rare
         self.levels: list[tuple[np.ndarray, ...]] = []
 
-    def probabilities(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Of each token's symbol, from its longest retained context."""
-        p = self.root[symbols]
-        for d, (contexts, totals, rare, entries, counts) in enumerate(self.levels, 1):
-            code, long = context_codes(symbols, one, two, d)
-            at, there = find(contexts, code)
-            own = np.flatnonzero(there & long)
-            if not len(own):
-                continue
-            e, hit = find(entries, (code[own] << BITS) | symbols[own])
+    def unigram(self, symbols: np.ndarray) -> np.ndarray:
+        p = np.append(self.head, [self.end, self.rare])
+        return p[np.where(symbols == END, len(self.head), np.where(symbols == RARE, len(self.head) + 1, symbols))]
+
+    def contexts_of(self, history: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each depth the places that have a retained context of that depth, and its number.
+
+        ``history[d - 1]`` is the symbol d before each place, -1 for none.
+        """
+        at, number, out = np.arange(len(history[0])), np.zeros(len(history[0]), np.int64), []
+        for (contexts, *_), older in zip(self.levels, history, strict=False):
+            own = older[at]
+            number, there = find(contexts, number << BITS | own)
+            there &= own >= 0
+            at, number = at[there], number[there]
+            out.append((at, number))
+        return out
+
+    def probabilities(self, symbols: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
+        """Of each place's symbol, from its longest retained context."""
+        p = self.unigram(symbols)
+        for (_, _, totals, rare, entries, counts), (at, number) in zip(self.levels, self.contexts_of(history), strict=True):
+            e, hit = find(entries, number << BITS | symbols[at])
             n = np.where(hit, counts[e] if len(counts) else 0, 0)
-            at = at[own]
-            p[own] = (n + (PRIOR + rare[at]) * p[own]) / (totals[at] + PRIOR)
+            p[at] = (n + (PRIOR + rare[number]) * p[at]) / (totals[number] + PRIOR)
         return p
 
-    def add_level(self, contexts: np.ndarray, totals: np.ndarray, codes: np.ndarray, n: np.ndarray) -> None:
-        """Keep the contexts that diverge from their suffixes."""
-        depth = len(self.levels) + 1
-        order = np.argsort(contexts)
-        contexts, totals = contexts[order], totals[order].astype(float)
+    def codes_of(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of contexts given by their symbols (oldest first), and which of them have a retained suffix."""
+        depth = strings.shape[1]
+        number, ok = np.zeros(len(strings), np.int64), np.ones(len(strings), bool)
+        for d in range(1, depth):
+            at, there = find(self.levels[d - 1][0], number << BITS | strings[:, depth - d])
+            number, ok = np.where(there, at, 0), ok & there
+        return number << BITS | strings[:, 0], ok
+
+    def add_level(self, candidates: np.ndarray, strings: np.ndarray, totals: np.ndarray, codes: np.ndarray, n: np.ndarray) -> None:
+        """Keep the candidates (sorted codes) that diverge from their suffixes; ``codes, n``: entries by candidate."""
         order = np.argsort(codes)
         codes, n = codes[order], n[order].astype(float)
-        owner, known = find(contexts, codes >> BITS)
-        owner, codes, n = owner[known], codes[known], n[known]
-        rare = totals - np.bincount(owner, weights=n, minlength=len(contexts))
-        mask = (1 << BITS) - 1
-        below = self.probabilities(codes & mask, (codes >> BITS) & mask, np.full(len(codes), -1) if depth < 2 else codes >> (2 * BITS))
+        owner, symbols = codes >> BITS, codes & MASK
+        rare = totals - np.bincount(owner, weights=n, minlength=len(totals))
+        below = self.probabilities(symbols, [strings[owner, -d] for d in range(1, strings.shape[1])] or [np.full(len(codes), -1)]) if self.levels else self.unigram(symbols)
         own = (n + (PRIOR + rare[owner]) * below) / (totals[owner] + PRIOR)
-        keep = np.bincount(owner, weights=n * np.log(own / below), minlength=len(contexts)) >= MIN_GAIN
-        if depth > 1:
-            keep &= find(self.levels[-1][0], contexts & mask)[1]
+        keep = np.bincount(owner, weights=n * np.log(own / below), minlength=len(totals)) >= MIN_GAIN
+        number = np.cumsum(keep) - 1
         entry = keep[owner]
-        self.levels.append((contexts[keep], totals[keep], rare[keep], codes[entry], n[entry]))
+        self.levels.append((candidates[keep], strings[keep], totals[keep].astype(float), rare[keep], number[owner[entry]] << BITS | symbols[entry], n[entry]))
+
 
+def history_of(symbols: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each token (all but a text's first END) its symbol, and the symbols up to ``depth`` before it (-1 for none)."""
+    own = np.flatnonzero(place > 0)
+    return symbols[own], [np.where(place[own] >= d, symbols[np.maximum(own - d, 0)], -1) for d in range(1, depth + 1)]
 
-def next_counts(texts: DataFrame, head, contexts: np.ndarray, depth: int) -> DataFrame:
-    """``code, n`` for every candidate context followed by every symbol, over all texts."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(contexts)
+
+def coded(texts: DataFrame, head) -> DataFrame:
+    """The training texts as symbols: ``symbols, place`` (32-bit numbers), a row for a few hundred texts."""
 
     def run(batches):
-        get, wanted = head.value.get, held.value
+        get = head.value.get
+        for batch in small(batches):
+            every = byte_texts(batch.column("text"))
+            for i in range(0, len(every), 200):
+                symbols, place = symbol_runs(every[i : i + 200], get)
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (symbols, place)], names=["symbols", "place"])
+
+    return materialize(texts.select("text").mapInArrow(run, "symbols binary, place binary"), "symbols")
+
+
+def next_counts(rows: DataFrame, tree: SuffixTree, candidates: np.ndarray, depth: int) -> DataFrame:
+    """``code, n`` for every candidate context's number followed by every symbol, over all training texts."""
+    held = rows.sparkSession.sparkContext.broadcast((tree, candidates))
+
+    def run(batches):
+        tree, wanted = held.value
         codes: list[np.ndarray] = []
         size = 0
 
-        def rows():
+        def counted():
             c, n = np.unique(np.concatenate(codes), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["code", "n"])
 
-        for batch in small(batches):
-            texts = byte_texts(batch.column("text"))
-            for i in range(0, len(texts), 200):
-                symbols, one, two = windows(*symbol_runs(texts[i : i + 200], get))
-                code, long = context_codes(symbols, one, two, depth)
-                own = find(wanted, code)[1] & long
-                codes.append((code[own] << BITS) | symbols[own])
+        for batch in batches:
+            for s, p in zip(batch.column("symbols").to_pylist(), batch.column("place").to_pylist(), strict=True):
+                symbols, history = history_of(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(p, "<i4"), depth)
+                at, number = tree.contexts_of(history)[-1] if depth > 1 else (np.arange(len(symbols)), np.zeros(len(symbols), np.int64))
+                older = history[-1][at]
+                number, there = find(wanted, number << BITS | older)
+                there &= older >= 0
+                codes.append(number[there] << BITS | symbols[at[there]])
                 size += len(codes[-1])
                 if size > TASK_SYMBOLS:
-                    yield rows()
+                    yield counted()
                     codes, size = [], 0
         if codes:
-            yield rows()
+            yield counted()
 
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def learn_tree(texts: DataFrame, head, root: np.ndarray, frequency: np.ndarray, total: int) -> SuffixTree:
-    """``frequency``: training counts of the symbols."""
-    tree = SuffixTree(root)
-    contexts = np.flatnonzero(frequency >= max(1, MIN_CONTEXT[0] * total))
-    totals = frequency[contexts]
+def learn_tree(rows: DataFrame, tree: SuffixTree, frequency: np.ndarray, ends: int, rare: int, total: int) -> SuffixTree:
+    """``frequency``: training counts of the head's words; ``ends, rare``: of the end and of all other words."""
+    root = max(total, 1) ** (1 / 3)
+    least_context, least_entry = max(2, total / (CONTEXTS * root)), max(1, total / (ENTRIES * root))
+    symbols = np.concatenate([np.arange(len(frequency)), [END, RARE]])
+    counts = np.concatenate([frequency, [ends, rare]])
+    strings, totals = symbols[counts >= least_context][:, None], counts[counts >= least_context]
     for depth in range(1, DEPTH + 1):
-        counts = materialize(next_counts(texts, head, contexts, depth), "contexts")
-        rows = counts.where(F.col("n") >= MIN_ENTRY * total).toArrow()  # at most 1 / MIN_ENTRY rows
-        codes, n = rows["code"].to_numpy(), rows["n"].to_numpy()
-        tree.add_level(contexts, totals, codes, n)
-        if depth < DEPTH:  # a frequent entry of a retained context is a candidate context; an END inside ends the text
-            ok = (n >= max(1, MIN_CONTEXT[depth] * total)) & find(tree.levels[0][0], codes & ((1 << BITS) - 1))[1] & ((codes & ((1 << BITS) - 1)) != END)
-            contexts, at = np.unique(codes[ok], return_index=True)
-            totals = n[ok][at]
+        if not len(strings):
+            break
+        candidates, ok = tree.codes_of(strings)
+        order = np.flatnonzero(ok)[np.argsort(candidates[ok])]
+        candidates, strings, totals = candidates[order], strings[order], totals[order]
+        found = next_counts(rows, tree, candidates, depth).where(F.col("n") >= least_entry).toArrow()  # at most ENTRIES * root rows
+        codes, n = found["code"].to_numpy(), found["n"].to_numpy()
+        tree.add_level(candidates, strings, totals, codes, n)
+        # a frequent entry is a candidate of the next depth; an END ends the text
+        more = (n >= least_context) & (codes & MASK != END)
+        strings, totals = np.column_stack([strings[codes[more] >> BITS], codes[more] & MASK]), n[more]
     return tree
 
 
@@ -207,20 +239,15 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     train_tokens, v = n_words + n_docs, v_words + (n_docs > 0)
     below, mass = train_tokens + 0.5 * (v + 1), max(1, train_tokens + v)
     unknown = v / mass if v else 1.0
-    top = vocab.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    words, c = top["word"].to_pylist(), top["c"].to_numpy()
-    frequency = np.zeros(HEAD + 2, dtype=np.int64)
-    frequency[: len(c)] = c
-    frequency[END] = n_docs
-    frequency[RARE] = n_words - int(c.sum())
-    root = frequency / mass
-    root[RARE] += unknown
-    root[END] = root[END] or unknown
+    top = vocab.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(min(END, int(HEAD * max(train_tokens, 1) ** (1 / 3)))).toArrow()
+    words, c = top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64)
+    rare = n_words - int(c.sum())
+    tree = SuffixTree(c / mass, n_docs / mass or unknown, rare / mass + unknown)
     head = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    trees = spark.sparkContext.broadcast(learn_tree(training, head, root, frequency, train_tokens))
-    base_of = np.log10((frequency + 0.5) / below)
-    base_of[RARE] = 0.0
-    log_rare = math.log10(root[RARE])
+    trees = spark.sparkContext.broadcast(learn_tree(coded(training, head), tree, c, n_docs, rare, train_tokens))
+    # the base of the head's words, of the end and of the rest, which the join adds
+    base_of = np.append(np.log10((np.append(c, n_docs) + 0.5) / below), 0.0)
+    log_rare = math.log10(tree.rare)
 
     def split(batches):
         """A row for each text (its word is a space and the text's place) and for each of its words outside the head."""
@@ -230,12 +257,12 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
             every = byte_texts(batch.column("text"))
             for i in range(0, len(every), 200):
                 texts = every[i : i + 200]
-                symbols, starts = symbol_runs(texts, get)
-                sizes = np.diff(np.append(starts, len(symbols))) - 1
-                own, one, two = windows(symbols, starts)
+                symbols, place = symbol_runs(texts, get)
+                own, history = history_of(symbols, place, DEPTH)
+                sizes = np.diff(np.append(np.flatnonzero(place == 0), len(symbols))) - 1
                 edge = np.cumsum(sizes) - sizes
-                base = np.add.reduceat(base_of[own], edge)
-                score = np.add.reduceat(np.log10(tree.probabilities(own, one, two)), edge)
+                base = np.add.reduceat(base_of[np.where(own == END, len(base_of) - 2, np.where(own == RARE, len(base_of) - 1, own))], edge)
+                score = np.add.reduceat(np.log10(tree.probabilities(own, history)), edge)
                 known = np.add.reduceat(((own != RARE) & ((own != END) | (n_docs > 0))).astype(np.int64), edge)
                 cols: list[list] = [[] for _ in range(8)]
                 for k, t in enumerate(texts):

@@ -318,3 +318,75 @@ def test_decontaminate(spark, docs):
 def test_lm_scores(docs):
     got = small_and_empty(suffix_tree_lm.lm_scores, docs)
     assert got[0].n_tokens == 1 and all(r.score <= 0 for r in got.values())
+
+
+def test_suffix_tree_against_brute_force(spark, monkeypatch):
+    """Contexts, counts and scores of a tree that is built with dictionaries."""
+    monkeypatch.setattr(suffix_tree_lm, "MIN_GAIN", 2.0)
+    rng = random.Random(8)
+    follow = {w: [rng.choice("abcdefgh") for _ in range(3)] for w in ["", *"abcdefghxyz"]}
+    texts = []
+    for _ in range(300):
+        words = [""]
+        for _ in range(rng.randint(0, 25)):
+            words.append(rng.choice(follow[words[-1]]) if rng.random() < 0.8 else rng.choice("abcdefghxyz"))
+        texts.append(" ".join(words[1:]))
+    texts += ["a b a b q" + "z" * 80, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_tree_lm.lm_scores(docs).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))}
+    train = [t.split() for i, t in enumerate(texts) if not held[i]]
+    count = Counter(w for t in train for w in t)
+    total, kinds = sum(count.values()) + len(train), len(count) + 1
+    root = total ** (1 / 3)
+    least_context, least_entry = max(2, total / (suffix_tree_lm.CONTEXTS * root)), max(1, total / (suffix_tree_lm.ENTRIES * root))
+    head = {w for w in count if len(w) <= 64}
+    symbol = lambda w: w if w in head or w == "$" else "?"
+    mass = total + kinds
+    chance = {w: count[w] / mass for w in head} | {"$": len(train) / mass, "?": sum(c for w, c in count.items() if w not in head) / mass + kinds / mass}
+    runs = [["$", *map(symbol, t), "$"] for t in train]
+    nexts: dict = {}
+    for run in runs:
+        for i in range(1, len(run)):
+            for d in range(1, min(i, suffix_tree_lm.DEPTH) + 1):
+                nexts.setdefault(tuple(run[i - d : i]), Counter())[run[i]] += 1
+    kept: dict = {}
+    candidates = set()
+
+    def probability(context, s):
+        if not context:
+            return chance[s]
+        below = probability(context[1:], s)
+        if context not in kept:
+            return below
+        entries, n = kept[context]
+        rare = n - sum(entries.values())
+        return (entries.get(s, 0) + (2.0 + rare) * below) / (n + 2.0)
+
+    for context in sorted(nexts, key=len):
+        n = sum(nexts[context].values())
+        older, suffix = context[:-1], context[1:]
+        # the string is a frequent entry of a candidate, and its suffix is retained
+        if n < least_context or "$" in suffix or (suffix and (suffix not in kept or older not in candidates or nexts[older][context[-1]] < least_entry)):
+            continue
+        candidates.add(context)
+        entries = {s: c for s, c in nexts[context].items() if c >= least_entry}
+        rare = n - sum(entries.values())
+        below = {s: probability(suffix, s) for s in entries}
+        if sum(c * np.log((c + (2.0 + rare) * below[s]) / (n + 2.0) / below[s]) for s, c in entries.items()) >= 2.0:
+            kept[context] = (entries, n)
+    assert {len(c) for c in kept} >= {1, 2}
+    for i, t in enumerate(texts):
+        run = ["$", *map(symbol, t.split()), "$"]
+        want = 0.0
+        for k in range(1, len(run)):
+            context = tuple(run[max(0, k - suffix_tree_lm.DEPTH) : k])
+            while context and context not in kept:
+                context = context[1:]
+            want += np.log10(probability(context, run[k]))
+        for w in t.split():
+            if symbol(w) == "?":
+                want += np.log10((count[w] if w in count else kinds) / mass) - np.log10(chance["?"])
+        assert abs(got[i].score - want) < 1e-6 and got[i].held_out == held[i] and got[i].train_tokens == total
+        base = sum(np.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t.split()) + np.log10((len(train) + 0.5) / (total + 0.5 * (kinds + 1)))
+        assert abs(got[i].base_score - base) < 1e-9 and got[i].n_known == sum(w in count for w in t.split()) + 1
