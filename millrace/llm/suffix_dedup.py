@@ -6,14 +6,18 @@ alone decides, and consecutive windows with the same trigger make one phrase: th
 them.  Phrases overlap by a window, hence no phrase is a prefix of another's continuation and equal
 windows lie at equal places of phrases with the same trigger context (201 bytes from the trigger on).
 
-The dictionary holds the different phrases with their counts.  Phrases whose trigger context occurs
-once are unique and leave at once; phrases that occur more than once repeat whole; only phrases that
-share their context with a different phrase are compared window by window.  Of the suffix order,
-repeats need only which suffixes agree on 400 bytes; these classes are computed from rolling hashes
-(two of 64 bits) instead of sorting suffixes, so no suffix array is ever held by one task.
-
-A null text is empty.  Texts shorter than the window lose nothing.  Rows equal in id and text are
-different documents of the same content and lose all of their windows, like any exact copies.
+The dictionary holds the different phrases with their counts, which is the parse as far as repeats need
+it.  Phrases whose trigger context occurs once are unique and leave at once; phrases that occur more than
+once repeat whole.  For phrases that share their context with a different phrase the suffixes of the
+dictionary are sorted: prefix doubling over the phrases of a context gives each suffix its rank among them by
+its first 400 bytes, and suffixes of one rank are repeats.  Every suffix that matters begins inside a phrase and
+has its 400 bytes there (phrases overlap by a window), so the dictionary's order decides and no suffix of the
+parse has to be sorted; ranks compare bytes, not hashes.  Phrases and contexts are told apart by 128-bit hashes.
+
+A null text is empty.  Texts shorter than the window lose nothing; long texts are parsed in overlapping blocks.
+Rows equal in id and text are different documents of the same content and lose all of their windows, like any
+exact copies.  Ties of the trigger go to the leftmost.  Other columns are not read, whatever their names.  An empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,46 +37,58 @@ GRAM = 16
 CROWD = 1000
 _BLOCK = 1 << 19
 _M = (1 << 64) - 1
-_BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
+_BASE = 0x5851F42D4C957F2D
 
 
 def _table(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_TABLES = (_table(1), _table(2))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BYTES = _table(1)
+_powers: list[np.ndarray] = []
 
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if which not in _powers or len(_powers[which][0]) < n:
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
         size = 1 << max(20, int(n).bit_length())
-        out = []
-        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _powers[which] = (out[0], out[1])
-    return _powers[which]
+            _powers.append(np.cumprod(p, dtype=np.uint64))
+    return _powers
 
 
-def prefix_sums(data: np.ndarray, which: int) -> np.ndarray:
-    """Rolling-hash sums before each byte; with ``window_hash`` any substring's hash follows from two of them."""
-    power, _ = _power(which, len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_TABLES[which][data] * power[: len(data)], out=out[1:])
-    return out
-
-
-def window_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """Hashes (mixed) of data[start:end] for arrays of places."""
-    _, inverse = _power(which, len(sums))
-    h = (sums[end] - sums[start]) * inverse[start]
+def rolling_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A value for each string of ``gram`` bytes; it chooses triggers and decides no equality."""
+    power, inverse = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    h = (sums[gram:] - sums[:-gram]) * inverse[: len(sums) - gram]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return h
+    return h ^ h >> np.uint64(29)
+
+
+def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes with ``depth`` bytes left by their first ``depth`` bytes; equal ranks are equal bytes.
+
+    Prefix doubling: ranks by eight bytes, then by pairs of ranks.
+    """
+    n = len(data)
+    if n < depth:
+        return np.zeros(0, np.int64)
+    have = min(8, depth)
+    word = np.zeros(n - have + 1, np.uint64)
+    for k in range(have):
+        word = word << np.uint64(8) | data[k : k + len(word)]
+    ranks = np.unique(word, return_inverse=True)[1].astype(np.int64)
+    while have < depth:
+        step = min(have, depth - have)
+        ranks = np.unique(ranks[:-step] << 32 | ranks[step:], return_inverse=True)[1].astype(np.int64)
+        have += step
+    return ranks
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,9 +106,8 @@ def phrases(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     """``first, last`` window starts and ``trigger`` of each phrase of one text (a block of it)."""
     width = window // 2
     n = len(data) - window + 1
-    sums = prefix_sums(data, 0)
-    at = np.arange(len(data) - gram + 1)
-    h = window_hash(sums, at, at + gram, 0)
+    h = rolling_hashes(data, gram)
+    at = np.arange(len(h))
     # the leftmost of the smallest: the hash's high bits, then the place
     packed = (h & np.uint64(_M ^ 0xFFFFF)) | at.astype(np.uint64)
     least = _sliding_least(packed, width)[:n]
@@ -128,8 +144,8 @@ def _joined(texts: list[bytes], window: int):
         yield group
 
 
-def phrase_rows(texts: list[bytes], window: int = WINDOW):
-    """Arrays for all phrases: text number, first window start (in the text), windows, context hash, two content hashes."""
+def phrase_rows(texts: list[bytes], window: int = WINDOW, contents: bool = True):
+    """Arrays for all phrases: text number, first window start (in the text), windows, context hash, two halves of the content's hash."""
     width = window // 2
     context = window - width + 1
     for group in _joined(texts, window):
@@ -153,9 +169,12 @@ def phrase_rows(texts: list[bytes], window: int = WINDOW):
         last = np.minimum(last, ends[part] - window)
         ok = last >= first
         first, last, trigger, part = first[ok], last[ok], trigger[ok], part[ok]
-        sums = [prefix_sums(data, 0), prefix_sums(data, 1)]
-        key = window_hash(sums[1], trigger, trigger + context, 1)
-        one, two = (window_hash(sums[k], first, last + window, k) for k in (0, 1))
+        raw = data.tobytes()
+        key = np.array([xxhash.xxh3_64_intdigest(raw[t : t + context]) for t in trigger.tolist()], dtype=np.uint64)
+        one = two = None
+        if contents:
+            digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)])
+            one, two = np.frombuffer(digests, "<u8").reshape(-1, 2).T.copy()
         number = np.array([i for i, _, _ in group])[part]
         offset = np.array([s for _, s, _ in group])[part] - begins[part]
         yield number, first + offset, last - first + 1, key, one, two
@@ -164,7 +183,7 @@ def phrase_rows(texts: list[bytes], window: int = WINDOW):
 def _context_keys(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in small(batches):
-            for *_, key, _, _ in phrase_rows(byte_texts(batch.column("text")), window):
+            for *_, key, _, _ in phrase_rows(byte_texts(batch.column("text")), window, False):
                 own, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["key", "n"])
 
@@ -187,14 +206,12 @@ def shared_phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return keyed(docs).mapInArrow(run, "key long, one long, two long, n long, did long, rid long, at long")
 
 
-def _windows_of(spans: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner and two hashes of every window of the spans."""
-    data = np.frombuffer(b"".join(spans), dtype=np.uint8)
+def _windows_of(spans: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owner of every window of the spans, and its place in the spans laid end to end."""
     sizes = np.array([len(s) for s in spans])
     count = sizes - window + 1
     owner = np.repeat(np.arange(len(spans)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(sizes) - sizes, count)
-    return owner, *(window_hash(prefix_sums(data, k), start, start + window, k) for k in (0, 1))
+    return owner, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(sizes) - sizes, count)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -218,10 +235,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) ->
         size = 0
 
         def settle(rows):
-            owner, h1, h2 = _windows_of([r[4] for r in rows], window)
-            pair = np.array([h1, h2]).T.copy().view("V16").ravel()
-            _, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-            twice = n[inverse] > 1
+            spans = [r[4] for r in rows]
+            owner, start = _windows_of(spans, window)
+            ranks = suffix_ranks(np.frombuffer(b"".join(spans), np.uint8), window)[start]
+            twice = np.bincount(ranks)[ranks] > 1
             out = []
             edges = np.searchsorted(owner, np.arange(len(rows) + 1))
             for k, (_, did, rid, at, _, c) in enumerate(rows):
@@ -256,7 +273,9 @@ def _crowded(texts: DataFrame, window: int) -> DataFrame:
             spans = batch.column("span").to_pylist()
             for i in range(0, len(spans), 500):
                 part = spans[i : i + 500]
-                owner, h1, h2 = _windows_of(part, window)
+                owner, start = _windows_of(part, window)
+                raw = b"".join(part)
+                h1, h2 = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x : x + window]) for x in start.tolist()]), "<u8").reshape(-1, 2).T.copy()
                 first = np.searchsorted(owner, np.arange(len(part)))
                 place = np.arange(len(owner)) - first[owner]
                 owner = owner + i

@@ -48,6 +48,39 @@ def test_suffix_dedup_against_brute_force(spark):
             assert bytes(got[k].kept) == "".join(c for j, c in enumerate(t) if j not in gone).encode()
 
 
+def test_suffix_ranks_are_the_order_of_suffixes():
+    rng = np.random.default_rng(5)
+    for depth in (1, 7, 8, 40):
+        data = rng.integers(97, 99, 700).astype(np.uint8)
+        ranks, raw = suffix_dedup.suffix_ranks(data, depth), data.tobytes()
+        own = [raw[i : i + depth] for i in range(len(raw) - depth + 1)]
+        assert ranks.tolist() == [sorted(set(own)).index(x) for x in own]
+    assert len(suffix_dedup.suffix_ranks(data[:3], 4)) == 0
+
+
+def test_removal_digest_against_brute_force(spark):
+    """Production window; a text longer than a block, repeats inside and across texts, some just too short."""
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefgh é ") for _ in range(n))
+    shared, short, long = prose(500), prose(399).encode()[:399].decode(errors="ignore"), prose(600_000)
+    texts = [None, "", prose(300) + shared + prose(100), shared, long[:530_000] + shared + long[530_000:], prose(50) + short, short + prose(60), long[520_000:521_000], "ab" * 700, None, prose(2000)]
+    texts[9] = texts[10]
+    window = suffix_dedup.WINDOW
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(xxhash.xxh3_128_digest(b[i : i + window]) for b in raw for i in range(len(b) - window + 1))
+    got = {r.doc_id: r for r in suffix_dedup.removal_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, b in enumerate(raw):
+        gone = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b) - window + 1):
+            if seen[xxhash.xxh3_128_digest(b[i : i + window])] > 1:
+                gone[i] += 1
+                gone[i + window] -= 1
+        lost = np.cumsum(gone[:-1]) > 0
+        runs = int((np.diff(np.concatenate([[0], lost.astype(int)])) == 1).sum())
+        kept = np.frombuffer(b, np.uint8)[~lost].tobytes()
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(b), int(lost.sum()), runs, hashlib.sha256(kept).hexdigest())
+
+
 def test_line_dedup(docs):
     got = small_and_empty(line_dedup.line_dedup, docs)
     assert got[4].n_removed == 2 and got[0].n_lines == 0
