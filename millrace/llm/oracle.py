@@ -13,17 +13,19 @@ def _quoted(text: str) -> str:
 
 def _license() -> str:
     rows = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, ts in TEMPLATES.items() for t in ts)
-    norm = r"regexp_replace(lower(coalesce(%s, '')), '[^\p{L}\p{N}\n]+', ' ', 'g')"
-    words = r"list_filter(regexp_split_to_array(%s, '\s+'), lambda x: x <> '')"
+    norm = r"regexp_replace(regexp_replace(lower(coalesce(%s, '')), '[.!?]+[ \t]+', chr(1), 'g'), '[^\p{L}\p{N}\n\x01]+', ' ', 'g')"
+    words = r"list_filter(regexp_split_to_array(%s, '[\s\x01]+'), lambda x: x <> '')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    blank = r"'\n[ \n\x01]*\n'"
     return f"""
 WITH templates(name, template) AS (VALUES {rows}),
 t AS (SELECT name, row_number() OVER () AS tid, {words % (norm % 'template')} AS w FROM templates),
 tg AS (SELECT name, tid, {grams} AS g FROM t),
 d AS (SELECT doc_id, row_number() OVER () AS rn, {norm % 'text'} AS body FROM documents),
-s AS (SELECT rn, unnest(list_concat(string_split(body, chr(10)), list_filter(regexp_split_to_array(body, '\\n[ \\n]*\\n'), lambda p: contains(trim(p), chr(10))))) AS seg,
-      unnest(range(len(string_split(body, chr(10))) + len(list_filter(regexp_split_to_array(body, '\\n[ \\n]*\\n'), lambda p: contains(trim(p), chr(10)))))) AS sid FROM d),
-sw AS (SELECT rn, sid, {words % 'seg'} AS w FROM s),
+l AS (SELECT rn, unnest(string_split(body, chr(10))) AS seg FROM d),
+s AS (SELECT rn, seg FROM l UNION ALL SELECT rn, unnest(string_split(seg, chr(1))) FROM l WHERE contains(seg, chr(1))
+      UNION ALL SELECT rn, seg FROM (SELECT rn, unnest(regexp_split_to_array(body, {blank})) AS seg FROM d) WHERE contains(trim(seg), chr(10)) UNION ALL SELECT rn, body FROM d WHERE regexp_matches(body, {blank})),
+sw AS (SELECT rn, row_number() OVER () AS sid, {words % 'seg'} AS w FROM s),
 sg AS (SELECT rn, sid, {grams} AS g FROM sw),
 m AS (SELECT rn, sid, name, 2.0 * len(list_intersect(sg.g, tg.g)) / (len(sg.g) + len(tg.g)) AS dice
       FROM sg JOIN tg ON len(sg.g) BETWEEN len(tg.g) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(tg.g) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),

@@ -166,6 +166,27 @@ def test_license_scan(docs):
     assert got[7].license == "MIT" and got[7].dice == 1.0 and got[0].license is None
 
 
+def test_licences_in_texts(spark):
+    T = license_scan.TEMPLATES
+    clauses = T["BSD-2-Clause"][2].replace("met: ", "met:\n\n").replace("disclaimer. ", "disclaimer.\n\n")
+    texts = ["Released under the MIT License.", "Some words of our own come first, and they are many more than the notice has. This work is licensed under a Creative Commons Attribution 4.0 International License. And more.", clauses, T["MIT"][3], T["GPL-3.0"][4], "A letter about nothing.\n\nSincerely.", T["Zlib"][0].upper()]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(texts))] == ["MIT", "CC-BY-4.0", "BSD-2-Clause", "MIT", "GPL-3.0", None, "Zlib"]
+    assert got[2].dice > 0.95 and got[1].dice == 1.0
+
+
+@pytest.mark.parametrize("name", ["op3_license_scan", "op8_quality_rules", "op9_decontaminate"])
+def test_registered_query_matches_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001").select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
 def odd_texts(seed: int, n: int) -> list[str]:
     rng = random.Random(seed)
     signs = "abzABZ éüßñÀµªº ΣσςİıK'’.,;:!?-\n\t\r 0123<|endoftext|>  \x1c\u180e中文e\u0301fi\u00a0\u2003\n\n"
