@@ -5,12 +5,14 @@ if an n-gram of language l hashes there, so the AND of an n-gram's positions ret
 that (perhaps) contains it.  A mask has as many 64-bit words as the labels need; no label is left out.  A text's per-language popcounts are corrected by each language's
 false-positive rate, taken from its fill, and the largest decides.
 
-Learning: at most ``MAX_DOCS_PER_LANG`` labelled documents per language (those with the smallest id
-hashes) outside the held-out fold; an n-gram belongs to a language if it is frequent enough there, for
+Learning: about ``MAX_DOCS_PER_LANG`` labelled documents per language at most (those whose hash is below that share
+of the language's rows) outside the held-out fold; an n-gram belongs to a language if it is frequent enough there, for
 the language's amount of text, and not much rarer than in the language where it is most frequent.
 
 A null text or one without a letter is ``und`` with score 0.  Rows without a label teach nothing.
-Without any labelled row every text is ``und``.
+Without any labelled row every text is ``und``.  Long texts are read whole.  A tie goes to the first label, and so does a
+text of which no language knows an n-gram, with score 0.  Repeated rows teach once and are each predicted.  Other columns
+are not read, whatever their names.  An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, small
+from .common import bounded, id_bucket, small
 
 NGRAM = 4
 MAX_DOCS_PER_LANG = 3000
@@ -92,16 +94,16 @@ def fit(docs: DataFrame, held_out=None, max_docs: int = MAX_DOCS_PER_LANG) -> Fi
     spark: SparkSession = docs.sparkSession
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (held_out if held_out is not None else F.lit(False)).alias("out"))
     known = known.where("lang is not null and text is not null and not out").drop("out")
-    # a bounded sample of each language: top-k by hash; only hashes are ranked, texts are picked by the last hash
-    known = known.withColumn("hash", F.xxhash64("doc_id", "text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    last = known.select("lang", "hash").distinct().withColumn("place", place).where(F.col("place") <= max_docs).groupBy("lang").agg(F.max("hash").alias("last")).toArrow()
-    langs = sorted(last["lang"].to_pylist())
+    # a sample of each language in proportion to its rows: one count, then the lowest hashes, with nothing ranked
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).toArrow()  # a row for each label
+    langs = sorted(counts["lang"].to_pylist())
     if not langs:
         return Filter(np.zeros((0, 1 << FILTER_BITS), np.uint64), [])
     words = (len(langs) + 63) // 64
-    # a row for each label
-    picked = known.join(F.broadcast(spark.createDataFrame(last)), "lang").where("hash <= last").dropDuplicates(["lang", "hash"])
+    known = known.withColumn("hash", F.xxhash64("doc_id", "text"))
+    share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("rows"))
+    sampled = known.join(bounded(spark.createDataFrame(counts)), "lang").where(F.pmod("hash", F.lit(1 << 30)) < share * (1 << 30))
+    picked = sampled.dropDuplicates(["lang", "hash"])
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches):

@@ -9,7 +9,8 @@ A crowded bucket is first compared with one member.  Only members whose group, o
 member's are then compared with the bucket's other groups, so that a large group of near copies does not grow with
 its square.  No pair of a bucket is left out; a large bucket of unlike documents is compared in full.
 
-Equal texts but for case and white space are one node.  Texts without a word are one node too.
+Equal texts but for case and white space are one node.  Texts without a word, nulls among them, are one node too.  Long
+texts are compared by all their shingles.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ classes that fill a window are enumerated, their repeat counts solved by non-neg
 The plan is a list of exact length patterns; pieces find their slot by their rank among the pieces of
 their length, which salted counts give without sorting a hot length in one task.
 
-A null or empty text has only its end id and is packed like any other; repeated rows are packed each.
-An empty table gives no piece.
+A null or empty text has only its end id and is packed like any other; repeated rows are packed each; long texts are cut
+into as many windows as they need.  Ties between pieces of a length go by (doc_id, start).  Other columns are not read,
+whatever their names.  An empty table gives no piece.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ for its letters), for missing punctuation (a very long run of words without any)
 (a listed phrase).  A document is rejected if it has too few words, if repeated three-word windows
 cover too much of it, or if the failing lines hold too large a share of its word characters.
 
-A null text has no words and is rejected; ties do not arise; repeated rows are judged alike.
+A null or empty text has no words and is rejected; ties do not arise; repeated rows are judged alike; long texts are
+judged whole; columns of the input keep their names; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ many different fingerprints is split again in the same way over its remaining bi
 free bits), so that no bucket exceeds a fixed size and no pair is lost.
 
 Nulls and empty texts have fingerprint zero and are linked like any other.  Repeated rows and ties
-share a fingerprint; the smallest doc_id names the class.  Empty tables give empty results.
+share a fingerprint; the smallest doc_id names the class.  Long texts are hashed whole.  Other columns are not read,
+whatever their names.  Empty tables give empty results.
 """
 
 from __future__ import annotations

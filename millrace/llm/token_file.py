@@ -6,8 +6,9 @@ plane compressed on its own.  The index holds each plane's place, the documents'
 lengths, so a block or a document can be read without the rest.  Shards are rows of a Parquet table
 (``part, shard, first, n_ids, image``), which any store that Spark writes can hold.
 
-A null or empty text has only the end id.  Repeated rows and equal ids are kept in text order; a
-null doc_id sorts first.  An empty table gives no shard.
+A null or empty text has only the end id.  Rows of equal ids lie next to each other, in an order that their texts
+decide; repeated rows are written each; a null doc_id sorts first.  Long texts are encoded whole.  Other columns are not
+read, whatever their names.  An empty table gives no shard.
 """
 
 from __future__ import annotations

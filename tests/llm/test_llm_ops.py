@@ -288,6 +288,40 @@ def test_simhash(docs):
     assert simhash.keep_one(twice).count() == stay.count()
 
 
+def test_simhash_against_brute_force(spark):
+    """Fingerprints by the rule's own words, and classes by all pairs."""
+    import re
+
+    rng = random.Random(21)
+    texts: list = [None, "", "   ", "One", "one two", "\u00c4 b\u00a0c d", "a\x0bb\x1cc d e"]
+    for _ in range(60):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 4, 30, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 3)):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = "new"
+            texts.append("\n".join(copy).upper())
+    rows = [(k * 3 % 1000 if k % 17 else None, t) for k, t in enumerate(texts)]
+
+    def fingerprint(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))] if words else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    fps = [fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [a if x == b else x for x in root]
+    low = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in set(root)}
+    want = Counter((rows[i][0], f"{fps[i]:016x}", low[root[i]]) for i in range(len(rows)))
+    got = simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == want
+
+
 def test_crowded_buckets_lose_no_pair(spark):
     rng = np.random.default_rng(1)
     fps = {int(x) for x in rng.integers(0, 2**63, 20)}
