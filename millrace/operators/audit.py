@@ -32,6 +32,8 @@ def _catalog_rows(catalog: DataFrame) -> list:
     rows = catalog.limit(MAX_TOOLS + 1).collect()
     if len(rows) > MAX_TOOLS:
         raise ValueError(f"a catalog holds at most {MAX_TOOLS} tools")
+    if len({r["name"] for r in rows}) < len(rows):
+        raise ValueError("a tool is listed twice")
     return rows
 
 
@@ -43,30 +45,27 @@ def resolve(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     names = sorted(r["name"] for r in _catalog_rows(catalog))
 
-    @F.pandas_udf("string")
-    def nearest(asked: pd.Series) -> pd.Series:
-        return pd.Series([next(iter(difflib.get_close_matches(a, names, n=1, cutoff=0.7)), None) for a in asked], dtype=object)
-
-    tools = catalog.select("name", F.col("required").alias("_required"), F.lit(True).alias("_known"))
-    joined = calls.join(F.broadcast(tools), "name", "left")
-    unknown = joined.where("_known is null and name is not null").select("name").distinct().select("name", nearest("name").alias("_near"))
-    joined = joined.join(unknown, "name", "left")
-    bare, need = F.get_json_object("arguments", f"$.{POSITIONAL}"), F.coalesce("_required", F.array().cast("array<string>"))
-
-    @F.pandas_udf("string")
-    def filled(arguments: pd.Series, key: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("struct<near:string,moved:string>")
+    def looked_up(asked: pd.Series, arguments: pd.Series, key: pd.Series) -> pd.DataFrame:
+        """The known name nearest to an unknown one, and arguments whose bare string has got its key; null where not asked."""
+        near = {a: next(iter(difflib.get_close_matches(a, names, n=1, cutoff=0.7)), None) for a in asked.dropna().unique()}
+        moved = []
         for a, k in zip(arguments, key, strict=True):
+            if k is None:
+                moved.append(None)
+                continue
             held = json.loads(a)
             held[k] = held.pop(POSITIONAL)
-            out.append(json.dumps(held, ensure_ascii=False))
-        return pd.Series(out, dtype=object)
+            moved.append(json.dumps(held, ensure_ascii=False))
+        return pd.DataFrame({"near": asked.map(near.get, na_action="ignore").astype(object), "moved": pd.Series(moved, dtype=object)})
 
-    moved = F.when(bare.isNotNull() & (F.size(need) == 1), F.struct("arguments", need[0].alias("k")))
-    joined = joined.withColumn("_moved", moved)
-    # rows with a bare string alone go through Python
-    plain, strings = joined.where("_moved is null").withColumn("resolved", F.col("arguments")), joined.where("_moved is not null").withColumn("resolved", filled("_moved.arguments", "_moved.k"))
-    every = plain.unionByName(strings)
+    tools = catalog.select("name", F.col("required").alias("_required"), F.lit(True).alias("_known"))
+    joined = calls.join(F.broadcast(tools), "name", "left")
+    bare, need = F.get_json_object("arguments", f"$.{POSITIONAL}"), F.coalesce("_required", F.array().cast("array<string>"))
+    alone = bare.isNotNull() & (F.size(need) == 1)
+    # one pass over the calls, however they were made
+    found = looked_up(F.when(F.col("_known").isNull(), F.col("name")), F.when(alone, F.col("arguments")), F.when(alone, need[0]))
+    every = joined.withColumn("_found", found).withColumn("_near", F.col("_found.near")).withColumn("resolved", F.coalesce("_found.moved", "arguments"))
     missing = F.array_except(need, F.coalesce(F.json_object_keys("resolved"), F.array().cast("array<string>")))
     hint = F.when(F.col("_near").isNotNull(), F.concat(F.lit(" Did you mean '"), "_near", F.lit("'?"))).otherwise("")
     no_tool = F.concat(F.lit("no tool named '"), F.coalesce("name", F.lit("")), F.lit("'."), hint, F.lit(" Available: " + ", ".join(names)))
