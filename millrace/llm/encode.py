@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pieces in each of a worker's two cache generations; a full one becomes the old one, which changes no result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: Words merged in one call.
 _CALL = 256
 

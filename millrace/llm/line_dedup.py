@@ -40,7 +40,7 @@ PARTS, LEAST_PART = 6, 3
 #: Forms in one bucket beyond which it is dealt out again by the whole SimHash; how often.
 CROWD, LEVELS = 4096, 2
 #: Forms a task remembers in order to describe each only once; forgetting them changes no result.
-SEEN = 2_000_000
+SEEN = 500_000
 
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: Lengths of runs, each about double: a line with a word more or less mostly has runs of the same length.
