@@ -2,7 +2,7 @@
 
 quality rules -> line dedup -> SimHash near-dedup -> benchmark decontamination -> packing.
 All but the last return the columns of ``documents``; the last returns where each piece of a document lies in
-the packed sequences (``packing.pack(...)`` gives the ids with it).
+the packed sequences (``packing.pack`` gives the ids with it if asked ``with_ids=True``).
 
 Null and empty texts have too few words and go in the first stage.  Of rows equal in id and text one stays.  A null id
 is an id of its own in every stage; ties go to the smaller (doc_id, text hash).  Long texts are worked on whole.
