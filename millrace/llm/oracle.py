@@ -79,4 +79,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM r
 """
 
-ORACLE = {"op3_license_scan": _license(), "op8_quality_rules": _QUALITY, "op9_decontaminate": _DECON}
+_SUBSTRING = rf"""
+WITH d AS (SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS did, row_number() OVER () AS rn, {_WORDS} AS w FROM documents),
+win AS (SELECT rn, did, i, array_to_string(w[i : i + 49], ' ') AS s FROM (SELECT rn, did, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+low AS (SELECT s, min(did) AS low FROM win GROUP BY s HAVING min(did) < max(did)),
+gone AS (SELECT rn, list_distinct(flatten(list(range(i, i + 50)))) AS spots FROM win JOIN low USING (s) WHERE low < did GROUP BY rn),
+each AS (SELECT rn, i, w[i] AS word FROM (SELECT rn, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+marks AS (SELECT rn, unnest(spots) AS i, true AS hit FROM gone),
+kept AS (SELECT rn, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM each LEFT JOIN marks USING (rn, i) WHERE hit IS NULL GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rn)
+"""
+
+ORACLE = {"op3_license_scan": _license(), "op8_quality_rules": _QUALITY, "op9_decontaminate": _DECON, "op11_substring_dedup": _SUBSTRING}

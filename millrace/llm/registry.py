@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, packing, quality, simhash, suffix_dedup, suffix_tree_lm, token_file
+from . import conversation_repair, decontaminate, language_id, license_scan, line_dedup, merkle, packing, quality, simhash, substring_dedup, suffix_dedup, suffix_tree_lm, token_file
 from .common import read_table
 from .oracle import ORACLE
 
@@ -67,6 +67,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.lm_scores(_docs(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(_docs(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(conversation_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_dedup, op2_line_dedup, op3_license_scan, op4_packing, op5_simhash, op6_language_id, op7_token_ids, op8_quality_rules, op9_decontaminate, op10_lm_scores, pipeline]
+    own = [op1_suffix_dedup, op2_line_dedup, op3_license_scan, op4_packing, op5_simhash, op6_language_id, op7_token_ids, op8_quality_rules, op9_decontaminate, op10_lm_scores, op11_substring_dedup, op12_conversation_repair, op13_merkle_manifest, pipeline]
     return {f.__name__: f for f in own}
 
 
