@@ -130,4 +130,43 @@ SELECT doc_id, leaf, up.h AS subroot, top.h AS root, sha256(proof) AS proof_sha2
 FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN up ON up.tree = s.tree AND up.n = 1 JOIN done USING (rn), top WHERE top.n = 1
 """
 
-ORACLE = {"op3_license_scan": _license(), "op8_quality_rules": _QUALITY, "op9_decontaminate": _DECON, "op11_substring_dedup": _SUBSTRING, "op13_merkle_manifest": _MERKLE}
+
+def _edit(cost: str, letter: str, below: str, turn: str | None = None) -> str:
+    """An edit in front of what ``below`` already has: cost, audit, repaired turns."""
+    turns = f"{below}.r" if turn is None else f"list_prepend({turn}, {below}.r)"
+    return f"{{'c': {below}.c + {cost}, 'a': '{letter}' || {below}.a, 'r': {turns}}}"
+
+
+def _repair() -> str:
+    number = "coalesce(CAST({} AS VARCHAR), ' ')"
+    to, role = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+    stay = "CASE WHEN fault = 't' THEN 5 ELSE 0 END"
+    ways = []
+    for s in range(4):
+        keep = f"CASE WHEN ini = '{role[s][0]}' THEN {_edit(stay, 'K', f'f{to[s]}', "role || ':' || text")}" + (f" WHEN ini = 's' THEN {_edit(stay, 'K', 'f1', "role || ':' || text")}" if s == 0 else "") + " END"
+        both = f"[{keep}, {_edit(f'1 + {stay}', 'R', f'f{to[s]}', f"'{role[s]}:' || text")}]"
+        ways.append(f"list_min(list_filter([{_edit('2', 'D', f'f{s}')}] || CASE WHEN fault IN ('b', 'd') THEN [] ELSE {both} END, lambda x: x IS NOT NULL)) AS b{s}")
+    ask = lambda s, below: _edit("5", "I", below, f"'{role[s]}:'")
+    return rf"""
+WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+r0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(number.format("conv_id") + " || ':' || " + number.format("turn"))} % 20 AS kind FROM conversations),
+r1 AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+       unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again FROM r0 JOIN ids ON r0.conv_id IS NOT DISTINCT FROM ids.conv_id WHERE kind <> 0),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS k FROM r1),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY k) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen, substring(role, 1, 1) AS ini FROM r2),
+r AS (SELECT *, CASE WHEN seen = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY c ORDER BY k) || ini AS pair FROM r3),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+       count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM r GROUP BY c),
+dp(c, k, f0, f1, f2, f3) AS (
+  SELECT c, n + 1, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}}, {{'c': 10::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']}}, {{'c': 5::BIGINT, 'a': 'I', 'r': ['assistant:']}}, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} FROM counts
+  UNION ALL
+  SELECT c, k, list_min([b0, {ask(0, "g2")}]), list_min([b1, {ask(1, "g2")}]), g2, g3
+  FROM (SELECT *, list_min([b2, {ask(2, "b3")}]) AS g2, list_min([b3, {ask(3, "b2")}]) AS g3
+        FROM (SELECT r.c, r.k, {", ".join(ways)} FROM dp JOIN r ON r.c = dp.c AND r.k = dp.k - 1)))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(f0.c, 0) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(array_to_string(f0.r, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (c) LEFT JOIN (SELECT c, f0 FROM dp WHERE k = 1) USING (c)
+"""
+
+
+ORACLE = {"op3_license_scan": _license(), "op8_quality_rules": _QUALITY, "op9_decontaminate": _DECON, "op11_substring_dedup": _SUBSTRING, "op12_conversation_repair": _repair(), "op13_merkle_manifest": _MERKLE}

@@ -72,7 +72,8 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_repair.repair_digest(conversation_repair.damaged(read_table(spark, sf_dir, "conversations")))
+    turns = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digest(conversation_repair.damaged(turns), turns)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
