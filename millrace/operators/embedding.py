@@ -1,4 +1,4 @@
-"""Embedding with a cache, a hashing embedder, and approximate search."""
+"""Embedding with a cache, and a hashing embedder."""
 
 from __future__ import annotations
 
@@ -6,15 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cache_key, l2_normalise
-from ..sources.shared import shared_path
-from . import search
+from ..functions.text import cache_key
 
 BATCH = 64
 
@@ -56,63 +51,3 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], model:
     if cache is not None:
         made = made.unionByName(cache.select("key", "vector", F.lit(True).alias("cached")))
     return keyed.join(made, "key", "left")
-
-
-def cells_of(vectors: DataFrame, cells: int, sample: int, seed: int) -> np.ndarray:
-    """Unit centres of ``cells`` clusters, fitted on at most ``sample`` rows (those of the lowest id hashes)."""
-    held = vectors.orderBy(F.xxhash64("vec_id")).limit(sample).select(array_to_vector(l2_normalise(F.col("embedding"))).alias("features"))
-    return search.unit(np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(held).clusterCenters()))
-
-
-def nearest_cells(vectors: DataFrame, centres: np.ndarray, probe: int, id_col: str = "vec_id") -> DataFrame:
-    """``id, embedding, cell``: each row once for each of its ``probe`` nearest cells."""
-    held = vectors.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = search.unit(np.array(batch.column("embedding").to_pylist(), dtype=np.float64))
-            near = np.argsort(-(v @ held.value.T), axis=1, kind="stable")[:, :probe]
-            at = pa.array(np.repeat(np.arange(len(v)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("embedding").take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "embedding", "cell"])
-
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).dropna()
-    return rows.mapInArrow(run, "id long, embedding array<float>, cell int")
-
-
-def cell_count(rows: int) -> int:
-    """Cells of an index: 16 for small tables, then an eighth of the root of the rows."""
-    return max(16, int(rows**0.5 / 8))
-
-
-def build_index(vectors: DataFrame, path: str, cells: int | None = None, sample: int = 20_000, seed: int = 7) -> np.ndarray:
-    """Writes every row below ``path``, a folder for each cell, and gives the cells' centres.
-
-    The centres are fitted on at most ``sample`` rows; every row is indexed.
-    """
-    centres = cells_of(vectors, cells or cell_count(vectors.count()), sample, seed)
-    nearest_cells(vectors, centres, 1).repartition("cell").write.partitionBy("cell").parquet(path)
-    return centres
-
-
-def search_index(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 4, share: float = 0.625) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query against the rows of its nearest cells, ``share`` of all cells.
-
-    Only the folders of cells that some query asks for are read.  Scores are exact cosines, rounded to 6 digits.
-    """
-    probe = max(1, int(np.ceil(share * len(centres))))
-    asked = nearest_cells(queries, centres, probe, "query_id").withColumnRenamed("id", "query_id")
-    wanted = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most as many as there are cells
-    own = index.where(F.col("cell").isin(wanted)).select(F.col("id").alias("vec_id"), "embedding", "cell")
-    return search.top_k(own, asked, k, group="cell").select("query_id", "rank", "vec_id", "score")
-
-
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, cells: int | None = None, share: float = 0.625, sample: int = 20_000, seed: int = 7) -> DataFrame:
-    """An index of ``vectors`` in the shared folder and the ``k`` best rows it gives each query."""
-    spark = vectors.sparkSession
-    if vectors.where("embedding is not null").isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    path = shared_path(spark, "cells")
-    centres = build_index(vectors, path, cells, sample, seed)
-    return search_index(spark.read.parquet(path), centres, queries, k, share)

@@ -53,6 +53,14 @@ def per_query_table(results: DataFrame, question: str = "question") -> DataFrame
     return results.select(F.row_number().over(order).alias("place"), "query_id", F.coalesce(F.col("first_rank").cast("string"), F.lit("MISS")).alias("rank"), "total_relevant", cut.alias("question"))
 
 
+def recall(exact: DataFrame, found: DataFrame, row: str = "vec_id") -> DataFrame:
+    """``query_id, wanted, got, recall``: how many of a query's exact hits were found, and in total (``query_id`` null)."""
+    hit = found.select("query_id", row).distinct().withColumn("_hit", F.lit(True))
+    both = exact.select("query_id", row).distinct().join(hit, ["query_id", row], "left")
+    share = F.round(F.count("_hit") / F.greatest(F.count("*"), F.lit(1)), 6)
+    return both.rollup("query_id").agg(F.count("*").alias("wanted"), F.count("_hit").alias("got"), share.alias("recall"))
+
+
 def relevant_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, chunk_id, source``: chunks of a wanted source that hold the query's marker, case aside.
 

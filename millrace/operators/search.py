@@ -1,18 +1,45 @@
-"""Exact vector search: blocks of queries against every vector, the k best of a batch, then the k best overall."""
+"""Exact vector search: a grid of query blocks and vector blocks, the k best of each pair of blocks, then the k best overall."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers (queries times dimensions) that are broadcast for one pass over the vectors; more take more passes.
-PASS_NUMBERS = 8_000_000
+#: Numbers (rows times dimensions) of a block, on either side.
+BLOCK_NUMBERS = 1_000_000
 #: Queries that are multiplied at a time.
 QUERY_BLOCK = 1024
 
 
+def block_join(asked: DataFrame, rows: DataFrame, width: tuple, run: Callable, schema: str) -> DataFrame:
+    """``run(key, asked block, row block)`` for every pair of blocks of one group.
+
+    ``asked`` and ``rows`` have ``g`` (never null), ``key`` (spreads a group's rows over its blocks) and what ``run`` takes;
+    ``width`` gives the numbers that a row of each counts for.  A group has as many blocks on a side as its numbers ask for, so
+    a large group is split, each row of a side is sent once for each block of the other, and a task holds two blocks.
+    """
+    count = lambda df, w, name: df.groupBy("g").agg(F.ceil(F.sum(w) / BLOCK_NUMBERS).alias(name))
+    shape = count(asked, width[0], "across").join(count(rows, width[1], "down"), "g")
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(shape, "g").withColumn("across", place("across")).withColumn("down", every("down")).drop("key")
+    right = rows.join(shape, "g").withColumn("down", place("down")).withColumn("across", every("across")).drop("key")
+    at = ("g", "across", "down")
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(run, schema)
+
+
+def matrix(column) -> np.ndarray:
+    """The rows of a list column, all of one length, as float64."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(flat):
+        return np.zeros((0, 0))
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
 def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of scores the columns of its k best by (score descending, id), as row and column numbers."""
     if score.shape[1] > k:
@@ -26,53 +53,35 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[place < k], col[place < k]
 
 
+def best(found: DataFrame, k: int, query: str = "q", row: str = "id") -> DataFrame:
+    """The ``k`` best rows of each query with their rank; each task first cuts what it has to the ``k`` best."""
+    w = Window.partitionBy(query).orderBy(F.desc("score"), row)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", group: str | None = None) -> DataFrame:
     """``query_id, rank (from 1), <id_col>, score`` by cosine, ties by id; ``group`` restricts a query to rows of its group.
 
     ``queries`` has ``query_id`` and ``vector_col`` (and ``group``).  Scores are rounded to 6 digits before ranking.  Rows
-    without a vector are left out, and with ``group`` those without a group.  One pass over the vectors serves as many
-    queries as ``PASS_NUMBERS`` allows; a row is only multiplied with the queries of its group.
+    without a vector are left out, and with ``group`` those without a group.  Neither side passes through the driver.
     """
-    spark = vectors.sparkSession
-
-    def own(df: DataFrame, key: str, name: str) -> DataFrame:
-        cols = [F.col(key).cast("long").alias(name), F.col(vector_col).alias("v"), *([F.col(group).cast("string").alias("g")] if group else [])]
-        return df.select(*cols).dropna()
-
-    asked, rows = own(queries, query_id, "q"), own(vectors, id_col, "id")
-    size = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    passes = max(1, -(-size // PASS_NUMBERS))
-    found = spark.createDataFrame([], "q long, id long, score double")
-    for number in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == number).toArrow()
-        if not part.num_rows:
-            continue
-        sets: dict = {}
-        names = part["g"].to_pylist() if group else [None] * part.num_rows
-        for i, g in enumerate(names):
-            sets.setdefault(g, []).append(i)
-        ids, m = part["q"].to_numpy(), unit(np.array(part["v"].to_pylist(), dtype=np.float64))
-        held = spark.sparkContext.broadcast({g: (ids[at], m[at]) for g, at in sets.items()})
-
-        def run(batches, held=held):
-            sets = held.value
-            for batch in batches:
-                ids = batch.column("id").to_numpy()
-                where: dict = {}
-                for i, g in enumerate(batch.column("g").to_pylist() if group else [None] * len(ids)):
-                    where.setdefault(g, []).append(i)
-                for g in where.keys() & sets.keys():
-                    at = np.array(where[g])
-                    v = unit(np.array(batch.column("v").take(pa.array(at)).to_pylist(), dtype=np.float64))
-                    q, m = sets[g]
-                    for i in range(0, len(q), QUERY_BLOCK):
-                        score = np.round(m[i : i + QUERY_BLOCK] @ v.T, 6)
-                        row, col = best_of(score, ids[at], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(q[i + row]), pa.array(ids[at][col]), pa.array(score[row, col])], names=["q", "id", "score"])
-
-        found = found.union(rows.mapInArrow(run, "q long, id long, score double"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", F.col("id").alias(id_col), "score")
+
+    def own(df: DataFrame, key: str) -> DataFrame:
+        g = F.col(group).cast("string") if group else F.lit("")
+        return df.select(g.alias("g"), F.col(key).cast("long").alias("key"), F.col(key).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna()
+
+    def run(key, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        q, m = asked["id"].to_numpy(), unit(matrix(asked["v"]))
+        ids, v = rows["id"].to_numpy(), unit(matrix(rows["v"]))
+        out = []
+        for i in range(0, len(q) if len(ids) else 0, QUERY_BLOCK):
+            score = np.round(m[i : i + QUERY_BLOCK] @ v.T, 6)
+            row, col = best_of(score, ids, k)
+            out.append(pa.table({"q": q[i + row], "id": ids[col], "score": score[row, col]}))
+        return pa.concat_tables(out) if out else pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    found = block_join(own(queries, query_id), own(vectors, id_col), (F.size("v"), F.size("v")), run, "q long, id long, score double")
+    return best(found, k).select(F.col("q").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 
 
 def unit(m: np.ndarray) -> np.ndarray:

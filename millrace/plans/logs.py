@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_result
 from ..functions.toolcalls import native_calls
-from ..operators import audit, completions, embedding, evaluation, history, search, telemetry, textsearch, tokens
+from ..operators import audit, completions, embedding, evaluation, history, search, telemetry, textsearch, tokens, vector_index
 from ..sources import files
 from ..sources.shared import shared_path
 from ..streaming import rollups
-from .registry import _AFTER, _TOKENS, _TRACE, _TURNS, _USED, BUDGET, KEEP, chunks_sql, query, table, trace_of
+from .registry import _AFTER, _RANKED, _TOKENS, _TRACE, _TURNS, _USED, BUDGET, KEEP, chunks_sql, query, table, trace_of
 
 #: A completion's text by its event: clean JSON, a fence with a comma too many, an open brace, a Python literal, prose, junk.
 _RAW1 = """'{"tool": "' || event_type || '", "args": ' || props || ',}'"""
@@ -251,10 +251,27 @@ def e2_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), embedding.hashing_embedder(16), "hash16").drop("text")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors, vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+
+
 @query()
 def v4_approximate_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return embedding.approximate_top_k(vectors.select("vec_id", "embedding"), vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return vector_index.approximate_top_k(*_vectors(spark, sf_dir))
+
+
+_EXACT = _RANKED.format(where="") + ", t AS (SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k})"
+
+
+@query(_EXACT.format(k=10) + " SELECT query_id, count(*) AS wanted, string_agg(vec_id, ',' ORDER BY rank) AS ids, TRUE AS reached FROM t GROUP BY query_id")
+def v4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten exact neighbours of each query, and whether the index finds nine tenths of all of them."""
+    vectors, asked = _vectors(spark, sf_dir)
+    exact = search.top_k(vectors, asked, k=10)
+    all_ids = exact.groupBy("query_id").agg(F.count("*").alias("wanted"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",").alias("ids"))
+    total = evaluation.recall(exact, vector_index.approximate_top_k(vectors, asked, k=10)).where("query_id is null").select((F.col("recall") >= 0.9).alias("reached"))
+    return all_ids.join(F.broadcast(total))  # one row
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,12 +316,18 @@ def r8_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.ablate_prefixes(table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir), embedding.hashing_embedder(64), "hash64")
 
 
-@query()
+_COARSE = """, c AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 8) / 8) AS v, embedding FROM embeddings),
+cs AS (SELECT q.query_id, c.vec_id, round(list_dot_product(q.v::DOUBLE[], c.v) / sqrt(list_dot_product(q.v::DOUBLE[], q.v::DOUBLE[])) / sqrt(list_dot_product(c.v, c.v)), 6) AS score FROM q, c),
+ct AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs QUALIFY rank <= 10)"""
+
+
+@query(_EXACT.format(k=10) + _COARSE + """ SELECT coalesce(t.query_id, ct.query_id) AS query_id, CAST(coalesce(t.rank, ct.rank) AS INTEGER) AS rank, t.vec_id AS id_a, t.score AS score_a, ct.vec_id AS id_b, ct.score AS score_b
+FROM t FULL JOIN ct ON t.query_id = ct.query_id AND t.rank = ct.rank WHERE t.vec_id IS DISTINCT FROM ct.vec_id OR abs(t.score - ct.score) > 1e-4""")
 def v5_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where approximate and exact rankings differ."""
-    vectors = table(spark, sf_dir, "embeddings")
-    exact = search.top_k(vectors, vectors.where("vec_id % 20 = 0").withColumn("query_id", F.col("vec_id")))
-    return search.ranking_differences(exact, v4_approximate_top_k(spark, sf_dir), "vec_id")
+    """Where the ranking over vectors cut to eighths differs from that over the vectors themselves."""
+    vectors, asked = _vectors(spark, sf_dir)
+    coarse = vectors.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x.cast("double") * 8) / 8))
+    return search.ranking_differences(search.top_k(vectors, asked, k=10), search.top_k(coarse, asked, k=10), "vec_id").select("query_id", "rank", "id_a", "score_a", "id_b", "score_b")
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS a FROM documents), x AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM l)
