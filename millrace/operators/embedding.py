@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
+from .caching import TableCache
 
 BATCH = 64
 
@@ -31,8 +33,33 @@ def hashing_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], model: str, prefix: str = "search_document: ", cache: DataFrame | None = None, col: str = "text") -> DataFrame:
-    """``texts`` with ``key, vector, cached``; only different texts that ``cache`` (``key, vector``) lacks are embedded."""
+def counting_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """Signed counts of words by their MD5: exact numbers that SQL can recompute; cosines need no unit length.
+
+    Words are what white space parts, A-Z lower-cased; the first seven hexadecimal digits choose the place, the eighth the sign.
+    """
+
+    def embed(texts: list[str]) -> np.ndarray:
+        from hashlib import md5
+
+        out, known = np.zeros((len(texts), dims)), {}
+        for row, text in zip(out, texts, strict=True):
+            for word in text.encode().lower().split():
+                if word not in known:
+                    digits = md5(word).hexdigest()
+                    known[word] = int(digits[:7], 16) % dims, 1 if digits[7] < "8" else -1
+                place, sign = known[word]
+                row[place] += sign
+        return out
+
+    return embed
+
+
+def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], model: str, prefix: str = "search_document: ", cache: DataFrame | TableCache | None = None, col: str = "text") -> DataFrame:
+    """``texts`` with ``key, vector, cached``; only different texts that ``cache`` lacks are embedded.
+
+    A ``TableCache`` (``vector array<float>``) keeps what this run makes; a DataFrame (``key, vector``) is only read.
+    """
 
     def run(frames):
         for frame in frames:
@@ -45,9 +72,14 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], model:
 
     keyed = texts.withColumn("key", cache_key(model, prefix, F.coalesce(F.col(col), F.lit(""))))
     new = keyed.select("key", F.coalesce(F.col(col), F.lit("")).alias("_t"))
-    if cache is not None:
-        new = new.join(cache.select("key"), "key", "left_anti")
-    made = new.dropDuplicates(["key"]).mapInPandas(run, "key string, vector array<float>").withColumn("cached", F.lit(False))
-    if cache is not None:
-        made = made.unionByName(cache.select("key", "vector", F.lit(True).alias("cached")))
-    return keyed.join(made, "key", "left")
+    made = lambda rows: rows.mapInPandas(run, "key string, vector array<float>")
+    if isinstance(cache, TableCache):
+        own = uuid.uuid4().hex
+        cache.add(made(cache.missing(new)), own)
+        known = cache.found(keyed).select("key", "vector", (F.col("run") != own).alias("cached"))
+    elif cache is not None:
+        fresh = made(new.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])).withColumn("cached", F.lit(False))
+        known = fresh.unionByName(cache.select("key", "vector", F.lit(True).alias("cached")))
+    else:
+        known = made(new.dropDuplicates(["key"])).withColumn("cached", F.lit(False))
+    return keyed.join(known, "key", "left")

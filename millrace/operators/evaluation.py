@@ -89,6 +89,11 @@ def gold_violations(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.select("query_id", "source", problem.alias("problem")).where("problem is not null")
 
 
+def _vector_id(*parts):
+    """A number for a chunk that any SQL can compute: the first 15 hexadecimal digits of an MD5."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", *parts)), F.lit(15)), 16, 10).cast("long")
+
+
 def ablate_chunk_size(docs: DataFrame, queries: DataFrame, embedder, model: str, sizes: tuple[int, ...] = (200, 300, 600, 1200, 2000), depth: int = 10, prefixes: tuple[str, str] = ("search_document: ", "search_query: ")) -> DataFrame:
     """One row of metrics per chunk size (overlap a sixth of it): ``variant, position, n, hit_k, p_k, r_k, mrr``.
 
@@ -96,7 +101,7 @@ def ablate_chunk_size(docs: DataFrame, queries: DataFrame, embedder, model: str,
     """
     n = len(sizes)
     pieces = [chunking.with_context(chunking.chunk(docs, s, s // 6)).withColumn("position", F.lit(i)) for i, s in enumerate(sizes)]
-    chunks = reduce(DataFrame.unionByName, pieces).withColumn("vec_id", F.xxhash64("position", "chunk_id"))
+    chunks = reduce(DataFrame.unionByName, pieces).withColumn("vec_id", _vector_id(F.col("position"), F.col("chunk_id")))
     vectors = embedding.embed(chunks, embedder, model, prefixes[0], col="context").select("vec_id", "position", F.col("vector").alias("embedding"))
     asked = embedding.embed(queries, embedder, model, prefixes[1], col="question").select("query_id", "sources", "marker", F.col("vector").alias("embedding"), F.explode(F.array(*map(F.lit, range(n)))).alias("position"))
     asked = asked.withColumn("query_id", F.col("query_id") * n + F.col("position"))
@@ -117,11 +122,11 @@ def ablate_prefixes(docs: DataFrame, queries: DataFrame, embedder, model: str, s
     """One row of metrics per pair of prefixes: ``variant, position, n, hit_k, p_k, r_k, mrr``; input as ``ablate_chunk_size``."""
     named = prefixes or PREFIXES
     chunks = chunking.with_context(chunking.chunk(docs, size, overlap))
-    gold = relevant_chunks(chunks, queries).select("query_id", F.xxhash64("chunk_id").alias("vec_id"))
+    gold = relevant_chunks(chunks, queries).select("query_id", _vector_id(F.col("chunk_id")).alias("vec_id"))
     totals = gold.groupBy("query_id").agg(F.count("*").alias("total_relevant"))
     rows = []
     for i, (name, (own, asked)) in enumerate(named.items()):
-        vectors = embedding.embed(chunks, embedder, model, own, col="context").select(F.xxhash64("chunk_id").alias("vec_id"), F.col("vector").alias("embedding"))
+        vectors = embedding.embed(chunks, embedder, model, own, col="context").select(_vector_id(F.col("chunk_id")).alias("vec_id"), F.col("vector").alias("embedding"))
         hits = search.top_k(vectors, embedding.embed(queries, embedder, model, asked, col="question").select("query_id", F.col("vector").alias("embedding")), k=depth)
         labelled = hits.join(gold.withColumn("relevant", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "rank", F.col("vec_id").alias("id"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"))
         metrics = aggregate(per_query(queries.select("query_id", F.lit("x").alias("setting")), labelled, totals), "setting").where("setting = 'all'").drop("setting")

@@ -30,6 +30,19 @@ def tool_rollup(trace: DataFrame) -> DataFrame:
     return each.groupBy("run_id", F.col("t.name").alias("name")).agg(F.count("*").alias("calls"), F.round(total, 2).cast("double").alias("total_ms"), F.count_if(~F.col("t.ok")).alias("failures"), F.round(total / F.count("*"), 2).cast("double").alias("avg_ms"))
 
 
+def tool_cube(trace: DataFrame) -> DataFrame:
+    """Calls, time, failures and mean time by run and tool, by run, by tool, and in all (``level``).
+
+    ``run_id`` and ``name`` are null where a level sums over them.  Runs and tools are counted first, so the cube expands
+    one row a run and tool, not one a call.
+    """
+    each = trace.select("run_id", F.explode("tools").alias("t"))
+    base = each.groupBy("run_id", F.col("t.name").alias("name")).agg(F.count("*").alias("n"), _exact("t.duration_ms").alias("ms"), F.count_if(~F.col("t.ok")).alias("bad"))
+    calls, total = F.sum("n"), F.sum("ms")
+    level = F.element_at(F.array(*map(F.lit, ("run and tool", "run", "tool", "all"))), F.grouping_id().cast("int") + 1)
+    return base.cube("run_id", "name").agg(level.alias("level"), calls.alias("calls"), F.round(total, 2).cast("double").alias("total_ms"), F.sum("bad").alias("failures"), F.round(total / calls, 2).cast("double").alias("avg_ms"))
+
+
 def call_log_rollup(log: DataFrame) -> DataFrame:
     """Per model: calls, errors, retryable ones (429 or 500 and above), retries, tokens, latency: mean, p50 and p95.
 

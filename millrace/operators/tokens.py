@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,28 +11,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quarter_tokens, token_estimate
+from .caching import TableCache
 
+_TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]")
 
-def exact_counts(texts: DataFrame, counter: Callable[[str], int] | None = None, cache: DataFrame | None = None, col: str = "text") -> DataFrame:
-    """``texts`` with ``tokens``; each different text that ``cache`` (``key, tokens``) lacks is counted once.
 
-    Without a counter the estimate stands in.
+def word_tokens(text: str) -> int:
+    """Runs of ASCII letters and digits, and every other visible character by itself."""
+    return len(_TOKEN.findall(text))
+
+
+def exact_counts(texts: DataFrame, counter: Callable[[str], int] | None = None, cache: DataFrame | TableCache | None = None, col: str = "text") -> DataFrame:
+    """``texts`` with ``tokens`` and ``cached``; each different text that ``cache`` lacks is counted once.
+
+    A ``TableCache`` (``tokens bigint``) keeps this run's counts; a DataFrame (``key, tokens``) is only read.  Without a
+    counter the estimate stands in, and nothing is cached.
     """
     if counter is None:
-        return texts.withColumn("tokens", token_estimate(F.col(col)))
+        return texts.withColumns({"tokens": token_estimate(F.col(col)), "cached": F.lit(False)})
 
     @F.pandas_udf("long")
     def count(values: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else counter(v) for v in values], dtype="Int64")
 
-    keyed = texts.withColumn("_key", F.sha1(F.col(col).cast("binary")))
-    new = keyed.where("_key is not null").select("_key", F.col(col).alias("_t"))
-    if cache is not None:
-        new = new.join(cache.select(F.col("key").alias("_key")), "_key", "left_anti")
-    counts = new.dropDuplicates(["_key"]).select("_key", count("_t").alias("tokens"))
-    if cache is not None:
-        counts = counts.unionByName(cache.select(F.col("key").alias("_key"), "tokens"))
-    return keyed.join(counts, "_key", "left").drop("_key")
+    held = "_key"
+    keyed = texts.withColumn(held, F.sha1(F.col(col).cast("binary")))
+    new = keyed.where(F.col(held).isNotNull()).select(F.col(held).alias("key"), F.col(col).alias("_t"))
+    if isinstance(cache, TableCache):
+        own = uuid.uuid4().hex
+        cache.add(cache.missing(new).select("key", count("_t").alias("tokens")), own)
+        counts = cache.found(new).select("key", "tokens", (F.col("run") != own).alias("cached"))
+    else:
+        if cache is not None:
+            new = new.join(cache.select("key"), "key", "left_anti")
+        counts = new.dropDuplicates(["key"]).select("key", count("_t").alias("tokens"), F.lit(False).alias("cached"))
+        if cache is not None:
+            counts = counts.unionByName(cache.select("key", "tokens", F.lit(True).alias("cached")))
+    return keyed.join(counts.withColumnRenamed("key", held), held, "left").drop(held)
 
 
 def calibration(samples: DataFrame) -> DataFrame:

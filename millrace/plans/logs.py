@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import trim_result
 from ..functions.toolcalls import native_calls
 from ..operators import audit, completions, embedding, evaluation, history, search, telemetry, textsearch, tokens, vector_index
+from ..operators.caching import TableCache
 from ..sources import files
 from ..sources.shared import shared_path
 from ..streaming import rollups
@@ -224,9 +225,13 @@ def m5_summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("line", F.regexp_replace("line", r", model [0-9.]+s$", ""))
 
 
-@query("SELECT doc_id, length(text) AS tokens FROM documents")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]')) AS tokens, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AS cached FROM documents""")
 def t4_exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.exact_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), len).select("doc_id", "tokens")
+    """Two runs over one cache: a third of the documents, then all; only texts that the first has not seen are counted again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = TableCache(spark, shared_path(spark, "counts"), "tokens BIGINT")
+    tokens.exact_counts(docs.where("doc_id % 3 = 0"), tokens.word_tokens, cache)
+    return tokens.exact_counts(docs, tokens.word_tokens, cache).select("doc_id", "tokens", "cached")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,9 +251,26 @@ def t6_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.out_of_bounds(_samples(spark, sf_dir)).select("label", "estimate")
 
 
-@query()
+_ASCII = "regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+')"
+
+
+def _counted(rows: str, keys: str, text: str, dims: int) -> str:
+    """``keys, b, n``: the signed counts of the words of ``text``, as the counting embedder has them."""
+    words = _ASCII.format(text=text)
+    return f"""SELECT {keys}, b, sum(s) AS n FROM (SELECT {keys}, CAST('0x' || left(md5(word), 7) AS BIGINT) % {dims} AS b, CASE WHEN md5(word)[8] < '8' THEN 1 ELSE -1 END AS s
+FROM (SELECT {keys}, unnest({words}) AS word FROM {rows}) WHERE word <> '') GROUP BY ALL"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), v AS ({_counted("d", "doc_id", "'search_document: ' || t", 16)}),
+f AS (SELECT x.doc_id, string_agg(CAST(coalesce(n, 0) AS BIGINT), ',' ORDER BY i) AS vector FROM (SELECT doc_id, unnest(range(16)) AS i FROM d) x LEFT JOIN v ON v.doc_id = x.doc_id AND v.b = x.i GROUP BY x.doc_id)
+SELECT doc_id, sha1('counts16' || chr(0) || 'search_document: ' || t) AS key, t IN (SELECT t FROM d WHERE doc_id % 2 = 0) AS cached, vector FROM d JOIN f USING (doc_id)""")
 def e2_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), embedding.hashing_embedder(16), "hash16").drop("text")
+    """Two runs over one cache: every second document, then all; the second run embeds only what the first has not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache, embedder = TableCache(spark, shared_path(spark, "vectors"), "vector ARRAY<FLOAT>"), embedding.counting_embedder(16)
+    embedding.embed(docs.where("doc_id % 2 = 0"), embedder, "counts16", cache=cache)
+    done = embedding.embed(docs, embedder, "counts16", cache=cache)
+    return done.select("doc_id", "key", "cached", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -287,13 +309,41 @@ def r1_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.relevant_chunks(chunks, _asked(spark, sf_dir)).select("query_id", "chunk_id")
 
 
-@query()
+def _ablation(cases: list[tuple[str, int, str, str]]) -> str:
+    """Metrics of each case (name, chunk size, the documents' and the questions' prefix) as SQL."""
+    sizes = sorted({size for _, size, _, _ in cases})
+    every = " UNION ALL ".join(f"SELECT {size} AS size, * FROM (WITH {chunks_sql(size, size // 6)} SELECT source, source || '#' || index AS chunk_id, text FROM chunks)" for size in sizes)
+    rows = ", ".join(f"('{name}', {i}, {size}, '{own}', '{asked}')" for i, (name, size, own, asked) in enumerate(cases))
+    return f"""WITH cases(variant, position, size, own, asked) AS (VALUES {rows}), pieces AS ({every}),
+q AS (SELECT doc_id AS query_id, CAST(doc_id AS VARCHAR) AS source, text[:100] AS question, lower(trim(text[120:143])) AS m FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+c AS (SELECT position, chunk_id, pieces.source, text, CAST('0x' || left(md5({{key}}), 15) AS BIGINT) AS vec_id, own || '[' || pieces.source || ']' || chr(10) || text AS context FROM pieces JOIN cases USING (size)),
+a AS (SELECT position, query_id, source, m, asked || question AS context FROM q, cases),
+cv AS ({_counted("c", "position, vec_id", "context", 64)}), av AS ({_counted("a", "position, query_id", "context", 64)}),
+cn AS (SELECT position, vec_id, sqrt(sum(n * n)) AS size FROM cv GROUP BY ALL), an AS (SELECT position, query_id, sqrt(sum(n * n)) AS size FROM av GROUP BY ALL),
+dots AS (SELECT position, query_id, vec_id, sum(av.n * cv.n) AS dot FROM av JOIN cv USING (position, b) GROUP BY ALL),
+s AS (SELECT a.position, a.query_id, c.vec_id, round(CASE WHEN coalesce(an.size, 0) = 0 OR coalesce(cn.size, 0) = 0 THEN 0 ELSE coalesce(dot, 0) / an.size / cn.size END, 6) AS score
+      FROM a JOIN (SELECT DISTINCT position, vec_id FROM c) c USING (position) LEFT JOIN dots ON dots.position = a.position AND dots.query_id = a.query_id AND dots.vec_id = c.vec_id
+      LEFT JOIN cn ON cn.position = a.position AND cn.vec_id = c.vec_id LEFT JOIN an ON an.position = a.position AND an.query_id = a.query_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY position, query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10),
+gold AS (SELECT a.position, query_id, vec_id FROM a JOIN c ON c.position = a.position AND c.source = a.source WHERE contains(lower(c.text), m)),
+tot AS (SELECT position, query_id, count(*) AS total FROM gold GROUP BY ALL),
+p AS (SELECT a.position, a.query_id, coalesce(any_value(total), 0) AS total, min(rank) FILTER (WHERE g.vec_id IS NOT NULL) AS first_rank, count(g.vec_id) FILTER (WHERE rank <= 1) AS f1, count(g.vec_id) FILTER (WHERE rank <= 3) AS f3, count(g.vec_id) FILTER (WHERE rank <= 5) AS f5
+      FROM a LEFT JOIN h ON h.position = a.position AND h.query_id = a.query_id LEFT JOIN gold g ON g.position = h.position AND g.query_id = h.query_id AND g.vec_id = h.vec_id LEFT JOIN tot ON tot.position = a.position AND tot.query_id = a.query_id GROUP BY ALL),
+metrics AS (SELECT variant, position, count(*) AS n, {", ".join(f"round(avg((f{k} > 0)::INT), 6) AS hit_{k}, round(avg(f{k} / {k}.0), 6) AS p_{k}, round(avg(CASE WHEN total = 0 THEN 0 ELSE f{k} * 1.0 / total END), 6) AS r_{k}" for k in (1, 3, 5))},
+      round(sum(coalesce(1.0 / first_rank, 0)) / greatest(count(*), 1), 6) AS mrr FROM p JOIN cases USING (position) GROUP BY ALL)"""
+
+
+_SIZES = _ablation([(str(n), n, "search_document: ", "search_query: ") for n in (200, 300, 600, 1200, 2000)]).format(key="position || ':' || chunk_id")
+
+
+@query(f"{_SIZES} SELECT * FROM metrics")
 def r8_chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return evaluation.ablate_chunk_size(docs, _asked(spark, sf_dir), embedding.hashing_embedder(64), "hash64")
+    return evaluation.ablate_chunk_size(docs, _asked(spark, sf_dir), embedding.counting_embedder(64), "counts64")
 
 
-@query()
+@query(f"""{_SIZES}, best AS (SELECT * FROM metrics ORDER BY hit_3 DESC, mrr DESC, position LIMIT 1), own AS (SELECT hit_3 AS h, mrr AS m FROM metrics WHERE variant = '600')
+SELECT variant, hit_3, mrr, round(hit_3 - h, 6) AS hit_3_delta, round(mrr - m, 6) AS mrr_delta FROM best, own""")
 def r9_best_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best_setting(r8_chunk_sizes(spark, sf_dir), "600")
 
@@ -311,9 +361,9 @@ def r10_gold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gold_violations_by_size(table(spark, sf_dir, "documents"), _asked(spark, sf_dir))
 
 
-@query()
+@query(_ablation([(name, 600, *pair) for name, pair in evaluation.PREFIXES.items()]).format(key="chunk_id") + " SELECT * FROM metrics")
 def r8_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.ablate_prefixes(table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir), embedding.hashing_embedder(64), "hash64")
+    return evaluation.ablate_prefixes(table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir), embedding.counting_embedder(64), "counts64")
 
 
 _COARSE = """, c AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 8) / 8) AS v, embedding FROM embeddings),

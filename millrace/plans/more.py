@@ -180,6 +180,15 @@ def _trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_trace(spark, path, stream=True)
 
 
+_ROUNDED = "(2 * CAST(sum(CAST(value AS DECIMAL(20,6))) * 1000000 AS HUGEINT) + {half}) // (2 * {unit}) / 100.0"
+
+
+@query(_TRACE + f""" SELECT run_id, event_type AS name, CASE grouping(run_id, event_type) WHEN 0 THEN 'run and tool' WHEN 1 THEN 'run' WHEN 2 THEN 'tool' ELSE 'all' END AS level, count(*) AS calls, {_ROUNDED.format(half=10000, unit=10000)} AS total_ms,
+count(*) FILTER (WHERE event_type = 'error') AS failures, {_ROUNDED.format(half="count(*) * 10000", unit="count(*) * 10000")} AS avg_ms FROM e GROUP BY CUBE (run_id, event_type)""")
+def m3_tool_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.tool_cube(trace_of(table(spark, sf_dir, "events")))
+
+
 @query(_TRACE + " SELECT event_id AS step, round(value, 1) AS model_ms, round(value * 1000, 1) AS step_ms FROM e WHERE value IS NOT NULL")
 def m1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(False)
