@@ -31,7 +31,7 @@ def s1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "saved")
     files.write_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content")), path)
-    return files.read_saved_conversations(spark, path).select("conv_id", "turn", "role", "content")
+    return files.read_conversations(spark, path).select("conv_id", "turn", "role", "content")
 
 
 @query(ORACLE["m2_run_rollup"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_files import ConversationFiles
+
 NOT_CORPUS = "overview-index.txt"
 MESSAGE = "array<struct<role:string,content:string,tool_call_id:string,name:string,tool_calls:array<struct<id:string,name:string,arguments:string>>,pinned:boolean,created_at:double>>"
 TRACE = "run_id string, kind string, step int, model_ms double, step_ms double, prompt_tokens bigint, completion_tokens bigint, compacted boolean, repaired boolean, tools array<struct<name:string,duration_ms:double,ok:boolean,error:string>>"
@@ -30,9 +32,11 @@ def from_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """``conv_id, turn, role, content, ...`` from files of one JSON array of messages each."""
+    """``conv_id, turn, role, content, ...`` from files of one JSON array of messages each; a file's name is its conversation's id."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    conv = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    plus = lambda c: F.replace(c, F.lit("+"), F.lit("%2B"))  # noqa: E731 - decoding would make it a space
+    stem = F.url_decode(plus(F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"^(.*)\.json$", 1)))
+    conv = F.replace(F.coalesce(F.try_url_decode(plus(stem)), stem), F.lit("\0"), F.lit(""))
     return files.select(conv.alias("conv_id"), F.posexplode(F.from_json("value", MESSAGE)).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.*")
 
 
@@ -44,13 +48,15 @@ def conversation_json(messages: DataFrame) -> DataFrame:
 
 
 def write_conversations(messages: DataFrame, path: str) -> None:
-    """One file of a JSON array for each conversation, below a folder of its name; ``read_saved_conversations`` reads them."""
-    conversation_json(messages).select(F.col("json").alias("value"), F.col("conv_id").cast("string").alias("conv_id")).repartition("conv_id").write.partitionBy("conv_id").text(path)
-
+    """One file of a JSON array for each conversation, added below ``path``; ``read_conversations`` reads them.
 
-def read_saved_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_conversations`` has written; ``conv_id`` is a string."""
-    return messages_of(spark.read.text(path).select(F.col("conv_id").cast("string").alias("conv_id"), F.col("value").alias("json")))
+    Messages are sorted within tasks and written one by one.  A null id is written as an empty name.
+    """
+    spark = messages.sparkSession
+    spark.dataSource.register(ConversationFiles)
+    fields = [c for c in messages.columns if c not in ("conv_id", "turn")]
+    rows = messages.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"), "turn", F.to_json(F.struct(*fields)).alias("message"))
+    rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "message").write.format("conversation_files").mode("append").save(path)
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
