@@ -405,8 +405,49 @@ def st2_stream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(found.select("event_id", F.explode("parsed.calls").alias("c")).select("event_id", "c.name"), "st2")
 
 
-@query("""WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT date_trunc('minute', ts) AS minute, event_type AS model, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors
-FROM events, m WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= mark GROUP BY ALL""")
+#: The call log arrives in six slices of time; every 50th call is two slices late.
+_SLICES = 6
+_ARRIVED = f"""WITH span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+a AS (SELECT ts, event_type AS model, value AS latency_ms, event_type = 'error' AS failed, CAST((epoch_us(ts) - low) * {_SLICES} // (high - low + 1) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END AS INTEGER) AS slice FROM events, span),
+high AS (SELECT s.slice, max(ts) AS seen FROM (SELECT DISTINCT slice FROM a) s LEFT JOIN a ON a.slice < s.slice GROUP BY s.slice),
+f AS (SELECT a.*, date_trunc('minute', ts) AS minute, date_trunc('minute', ts) + INTERVAL 1 MINUTE <= seen - INTERVAL 10 MINUTE AS dropped, date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM a) AS closed FROM a JOIN high USING (slice))"""
+
+
+def _minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed minutes of a call log that comes slice by slice, some of it late."""
+    events, path = table(spark, sf_dir, "events"), shared_path(spark, "log")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    late = F.when(F.col("event_id") % 50 == 0, 2).otherwise(0)
+    slice_ = F.floor((micros - F.lit(low or 0)) * _SLICES / F.lit((high or 0) - (low or 0) + 1)).cast("int") + late
+    log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.col("value").alias("latency_ms"), F.when(F.col("event_type") == "error", "x").alias("error"), slice_.alias("slice"))
+    held = f"{path}-slices"
+    log.write.partitionBy("slice").parquet(held)
+    done = f"{path}-minutes"
+    for number in range(_SLICES + 2):  # a slice arrives, the stream wakes up and goes on where it was
+        part = spark.read.schema(log.schema).parquet(held).where(F.col("slice") == number).drop("slice")
+        part.write.mode("append").parquet(path)
+        minutes = rollups.calls_per_minute(spark.readStream.schema(log.drop("slice").schema).parquet(path))
+        minutes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(done).awaitTermination()
+    return spark.read.schema(minutes.schema).parquet(done)
+
+
+@query(_ARRIVED + """ SELECT minute, model, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors, quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms
+FROM f WHERE closed AND NOT coalesce(dropped, FALSE) GROUP BY ALL""")
 def st3_calls_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.col("value").alias("latency_ms"), F.when(F.col("event_type") == "error", "x").alias("error"))
-    return _drained(rollups.calls_per_minute(log), "st3").select(F.col("minute").cast("timestamp_ntz").alias("minute"), "model", "calls", "errors")
+    """Micro-batches of one slice: calls behind the watermark are dropped."""
+    done = rollups.with_percentiles(_minutes(spark, sf_dir))
+    return done.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "model", "calls", "errors", "p50_ms", "p95_ms")
+
+
+@query(_ARRIVED + """ SELECT date_trunc('day', minute) AS day, model, CAST(count(*) FILTER (WHERE NOT coalesce(dropped, FALSE)) AS BIGINT) AS calls, count(*) FILTER (WHERE dropped) AS dropped,
+quantile_disc(latency_ms, 0.5) FILTER (WHERE NOT coalesce(dropped, FALSE)) AS p50_ms FROM f WHERE closed GROUP BY ALL HAVING count(*) FILTER (WHERE NOT coalesce(dropped, FALSE)) > 0""")
+def st3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes merged to days, their sketches too, beside the calls that came too late."""
+    minutes = _minutes(spark, sf_dir)
+    days = rollups.with_percentiles(rollups.coarser(minutes, "day"), (0.5,))
+    ts = F.col("ts").cast("timestamp")
+    every = table(spark, sf_dir, "events").select(ts.alias("ts"), F.col("event_type").alias("model"))
+    last = F.window("ts", "1 minute")["end"] <= F.lit(every.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 10 MINUTES")
+    closed = every.where(last).groupBy(F.date_trunc("day", "ts").alias("minute"), "model").agg(F.count("*").alias("n"))
+    return days.join(closed, ["minute", "model"]).select(F.col("minute").cast("timestamp_ntz").alias("day"), "model", "calls", (F.col("n") - F.col("calls")).alias("dropped"), "p50_ms")

@@ -155,29 +155,29 @@ def g1_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.grep_report(_files(spark, sf_dir), "qq+zz", "*.txt")
 
 
-def _completed(frame: DataFrame, name: str) -> DataFrame:
-    """What a running rollup shows when its input has ended."""
+def _upserted(frame: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """What a running rollup shows when its input has ended, micro-batch by micro-batch."""
     path = shared_path(frame.sparkSession, name)
-    whole = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    frame.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(whole).trigger(availableNow=True).start().awaitTermination()
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    writer = frame.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").foreachBatch(rollups.upserting(path, keys, 3))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rollups.latest(frame.sparkSession, path, keys).select(frame.columns)
 
 
 @query(ORACLE["m2_run_rollup"])
 def st1_running_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _completed(rollups.running_runs(_trace_stream(spark, sf_dir)), "st1-runs")
+    return _upserted(rollups.running_runs(_trace_stream(spark, sf_dir)), "st1-runs", ["run_id"])
 
 
 @query(ORACLE["m3_tool_rollup"])
 def st1_running_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _completed(rollups.running_tools(_trace_stream(spark, sf_dir)), "st1-tools")
+    return _upserted(rollups.running_tools(_trace_stream(spark, sf_dir)), "st1-tools", ["run_id", "name"])
 
 
 def _trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trace written as JSON lines, read as it would arrive."""
+    """A trace written as JSON lines, read as it would arrive: two files a micro-batch, a run's steps in several of them."""
     path = shared_path(spark, "steps")
-    trace_of(table(spark, sf_dir, "events")).write.json(path)
-    return files.read_trace(spark, path, stream=True)
+    trace_of(table(spark, sf_dir, "events")).repartition(8, "step", "model_ms").write.json(path)
+    return files.read_trace(spark, path, stream=True, files_at_once=2)
 
 
 _ROUNDED = "(2 * CAST(sum(CAST(value AS DECIMAL(20,6))) * 1000000 AS HUGEINT) + {half}) // (2 * {unit}) / 100.0"

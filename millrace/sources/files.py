@@ -63,9 +63,9 @@ def messages_of(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.posexplode(F.from_json("json", MESSAGE)).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.*")
 
 
-def read_trace(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Step rows of a trace; its summary rows are left out."""
-    reader = spark.readStream if stream else spark.read
+def read_trace(spark: SparkSession, path: str, stream: bool = False, files_at_once: int = 1000) -> DataFrame:
+    """Step rows of a trace; its summary rows are left out.  A stream takes ``files_at_once`` files in a micro-batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_at_once) if stream else spark.read
     return reader.schema(TRACE).json(path).where("kind is null").drop("kind")
 
 

@@ -1,8 +1,15 @@
-"""Running rollups over logs that grow: the batch functions on streaming DataFrames, and counts by minute."""
+"""Running rollups over logs that grow: the batch functions on streaming DataFrames, upserts, and counts by minute.
+
+A rollup in ``update`` mode sends the rows that a micro-batch changed.  ``upserting`` keeps them by key: each micro-batch is a folder of changes,
+written anew if the batch is repeated, and every ``merge_every``-th batch is also a base of all keys, so that reading ``latest`` takes the
+newest base and the changes after it.  Folders from before the newest base are not read any more and may be removed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import completions, telemetry
@@ -22,8 +29,56 @@ def parsed_completions(stream: DataFrame, text: str = "text", known: set[str] |
     return completions.parsed(stream, text, known)
 
 
+def latest(spark: SparkSession, path: str, keys: list[str], schema: str | None = None, until: int | None = None) -> DataFrame:
+    """The newest row of each key below ``path``."""
+    reader = spark.read.option("basePath", path)
+    rows = (reader.schema(f"{schema}, kind string, number long") if schema else reader).parquet(path)
+    rows = rows.withColumn("number", F.col("number").cast("long"))
+    if until is not None:
+        rows = rows.where(F.col("number") <= until)
+    base = rows.where("kind = 'base'").agg(F.max("number")).first()[0]  # of folder names alone
+    rows = rows.where(F.col("kind") == "change") if base is None else rows.where(((F.col("kind") == "change") & (F.col("number") > base)) | ((F.col("kind") == "base") & (F.col("number") == base)))
+    fields = [c for c in rows.columns if c not in (*keys, "kind", "number")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "number").alias("row"))
+    return newest.select(*keys, *[F.col("row")[c].alias(c) for c in fields])
+
+
+def upserting(path: str, keys: list[str], merge_every: int = 20) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a stream in ``update`` mode; a repeated batch replaces what its first try has written."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/kind=change/number={number}")
+        if (number + 1) % merge_every == 0:
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+            latest(batch.sparkSession, path, keys, schema, number).write.mode("overwrite").parquet(f"{path}/kind=base/number={number}")
+
+    return write
+
+
+#: Values that a latency sketch holds before it begins to approximate.
+SKETCH_SIZE = 4096
+
+
 def calls_per_minute(log: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Calls, errors and latency by model and minute; rows later than ``late`` are dropped and state is freed."""
+    """Calls, errors, latency and its sketch by model and minute; rows later than ``late`` are dropped and state is freed."""
     timed = log.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "model")
-    out = timed.agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.sum(F.col("latency_ms").cast("decimal(20,6)")).alias("total"))
-    return out.select(F.col("w.start").alias("minute"), "model", "calls", "errors", F.round(F.col("total") / F.col("calls"), 2).cast("double").alias("avg_ms"))
+    out = timed.agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.sum(F.col("latency_ms").cast("decimal(20,6)")).alias("total"), F.kll_sketch_agg_double("latency_ms", SKETCH_SIZE).alias("sketch"))
+    return out.select(F.col("w.start").alias("minute"), "model", "calls", "errors", F.round(F.col("total") / F.col("calls"), 2).cast("double").alias("avg_ms"), "sketch")
+
+
+def coarser(rollup: DataFrame, width: str = "hour") -> DataFrame:
+    """Minutes merged to hours or days: counts are added, sketches merged, no call is read again.
+
+    A minute whose window was closed in parts counts once for each part.
+    """
+    own = rollup.groupBy(F.date_trunc(width, "minute").alias("minute"), "model")
+    return own.agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.round(F.sum(F.col("avg_ms") * F.col("calls")) / F.sum("calls"), 2).alias("avg_ms"), F.kll_merge_agg_double("sketch", SKETCH_SIZE).alias("sketch"))
+
+
+def with_percentiles(rollup: DataFrame, ranks: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """``p50_ms`` and the like in place of the sketch; null where no call had a latency.
+
+    Exact while a sketch has no more than ``SKETCH_SIZE`` values, then within a rank error of about a thousandth.
+    """
+    seen = F.kll_sketch_get_n_double("sketch") > 0
+    return rollup.select(*[c for c in rollup.columns if c != "sketch"], *[F.when(seen, F.kll_sketch_get_quantile_double("sketch", F.lit(r))).alias(f"p{round(100 * r)}_ms") for r in ranks])

@@ -123,6 +123,36 @@ def test_chunk_size_sweep(spark):
     assert best.hit_3 == max(r.hit_3 for r in got.values()) and best.hit_3_delta >= 0
 
 
+def test_upserts_replace_and_merge(spark, tmp_path):
+    path, keys = str(tmp_path / "up"), ["k"]
+    write = rollups.upserting(path, keys, 2)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, n long")
+    state = lambda: {r.k: r.n for r in rollups.latest(spark, path, keys).collect()}
+    write(frame([("a", 1), ("b", 1)]), 0)
+    write(frame([("a", 2)]), 1)  # and a base of both
+    assert state() == {"a": 2, "b": 1}
+    write(frame([("b", 5), ("c", 1)]), 2)
+    write(frame([("b", 6), ("c", 1)]), 2)  # the batch is repeated
+    assert state() == {"a": 2, "b": 6, "c": 1}
+    write(frame([("c", 9)]), 3)
+    assert state() == {"a": 2, "b": 6, "c": 9} and (tmp_path / "up" / "kind=base" / "number=3").exists()
+
+
+def test_late_calls_are_dropped_and_sketches_merge(spark, tmp_path):
+    line = lambda ts, ms: json.dumps({"ts": ts, "model": "m", "latency_ms": ms, "retries": 0})
+    batches = [[line("2024-01-01T00:00:10Z", 1.0), line("2024-01-01T00:00:20Z", 3.0)], [line("2024-01-01T00:30:00Z", 5.0), line("2024-01-01T00:00:30Z", 2.0)], [line("2024-01-01T00:00:40Z", 99.0), line("2024-01-01T01:30:00Z", 7.0)]]
+    for n, lines in enumerate(batches):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines))
+        out = rollups.calls_per_minute(files.read_call_log(spark, str(tmp_path / "in"), stream=True))
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    minutes = spark.read.parquet(str(tmp_path / "out"))
+    got = [(r.calls, r.avg_ms, r.p50_ms, r.p95_ms) for r in rollups.with_percentiles(minutes).orderBy("minute").collect()]
+    assert got == [(3, 2.0, 2.0, 3.0), (1, 5.0, 5.0, 5.0)]  # 99 came behind the watermark, 7 is still open
+    (hour,) = rollups.with_percentiles(rollups.coarser(minutes), (0.5,)).collect()
+    assert (hour.calls, hour.avg_ms, hour.p50_ms) == (4, 2.75, 2.0)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     line = {"run_id": "r", "step": 1, "model_ms": 1.5, "prompt_tokens": 2, "completion_tokens": 1, "compacted": False, "repaired": True, "tools": [{"name": "t", "duration_ms": 2.0, "ok": True}]}
     (tmp_path / "t.jsonl").write_text("\n".join(json.dumps(x) for x in (line, line | {"step": 2}, {"run_id": "r", "kind": "summary"})))
