@@ -20,7 +20,8 @@ def token_estimate(text: Column) -> Column:
     sizes = [F.length(x) for x in left]
     counts = [a - b for a, b in zip(sizes, sizes[1:])] + [sizes[-1]]
     total = sum((c * w for c, w in zip(counts[1:], WEIGHTS[1:])), counts[0] * WEIGHTS[0])
-    return F.when(sizes[0] == 0, F.lit(0)).otherwise(F.floor(total / 100) + 1).cast("long")
+    # one more for any text but the empty one; no branch, in which the lengths would be computed again and again
+    return (F.floor(total / 100) + F.least(sizes[0], F.lit(1))).cast("long")
 
 
 def quarter_tokens(text: Column) -> Column:

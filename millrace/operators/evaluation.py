@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunking, embedding, search
+from .ranking import numbered
 
 CUTOFFS = (1, 3, 5)
 
@@ -48,9 +49,9 @@ def misses(results: DataFrame) -> DataFrame:
 
 def per_query_table(results: DataFrame, question: str = "question") -> DataFrame:
     """``place, query_id, rank, total_relevant, question``: by first rank, queries without one last; long questions cut."""
-    order = Window.orderBy(F.col("first_rank").asc_nulls_last(), "query_id")
     cut = F.when(F.length(question) > 52, F.concat(F.substring(question, 1, 49), F.lit("..."))).otherwise(F.col(question))
-    return results.select(F.row_number().over(order).alias("place"), "query_id", F.coalesce(F.col("first_rank").cast("string"), F.lit("MISS")).alias("rank"), "total_relevant", cut.alias("question"))
+    ranked = numbered(results.select("query_id", "first_rank", "total_relevant", F.col(question).alias(question)), F.col("first_rank").asc_nulls_last(), "query_id")
+    return ranked.select(F.col("place").cast("int").alias("place"), "query_id", F.coalesce(F.col("first_rank").cast("string"), F.lit("MISS")).alias("rank"), "total_relevant", cut.alias("question"))
 
 
 def recall(exact: DataFrame, found: DataFrame, row: str = "vec_id") -> DataFrame:

@@ -71,5 +71,5 @@ def summary_line(rollup: DataFrame) -> DataFrame:
     """``run_id, line`` from ``run_rollup``: counts in words, the optional ones only where they are not zero."""
     some = lambda c, word: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {word}")))
     tokens = F.concat(F.col("prompt_tokens").cast("string"), F.lit("+"), F.col("completion_tokens").cast("string"), F.lit(" tokens"))
-    parts = F.concat_ws(", ", F.concat(F.col("steps").cast("string"), F.lit(" steps")), F.concat(F.col("tool_calls").cast("string"), F.lit(" tool calls")), some("tool_failures", "failed"), some("repaired_steps", "repaired"), some("compactions", "compactions"), tokens, F.format_string("model %.1fs", F.col("model_ms") / 1000))
+    parts = F.concat_ws(", ", F.concat(F.col("steps").cast("string"), F.lit(" steps")), F.concat(F.col("tool_calls").cast("string"), F.lit(" tool calls")), some("tool_failures", "failed"), some("repaired_steps", "repaired"), some("compactions", "compactions"), tokens, F.concat(F.lit("model "), F.round(F.col("model_ms").cast("decimal(20,1)") / 1000, 1).cast("decimal(20,1)").cast("string"), F.lit("s")))
     return rollup.select("run_id", F.concat(F.lit("trace "), F.col("run_id"), F.lit(": "), parts).alias("line"))

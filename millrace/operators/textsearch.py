@@ -77,17 +77,15 @@ def grep_report(files: DataFrame, pattern: str, glob: str = "*", max_results: in
     """``n, line``: ``path:number: text`` of the first ``max_results`` matching lines by path and number.
 
     A last row says that the search stopped there; without a match the only row says in how many files there was none.
+    The files are searched once, at the call.
     """
+    spark = files.sparkSession
     own = searchable(files.where("text is not null"), glob, path_col).select(path_col, "text")
-    top = grep(own, pattern, path_col).orderBy(path_col, "n").limit(max_results)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(path_col, "n"))  # over at most max_results rows
-    lines = top.select(place.alias("n"), F.concat(path_col, F.lit(":"), F.col("n").cast("string"), F.lit(": "), "line").alias("line"))
-    found = lines.agg(F.count("*").alias("c"))
-    stopped = found.where(F.col("c") >= max_results).select((F.col("c") + 1).cast("int").alias("n"), F.lit(f"... stopped at {max_results} results").alias("line"))
-    none = own.agg(F.count("*").alias("files")).join(F.broadcast(found), F.col("c") == 0).select(F.lit(1).alias("n"), F.concat(F.lit(f"no matches for {pattern!r} in "), F.col("files").cast("string"), F.lit(" files")).alias("line"))
-    return lines.union(stopped).union(none)
+    top = grep(own, pattern, path_col).orderBy(path_col, "n").limit(max_results).collect()  # a report's length
+    lines = [f"{r[path_col]}:{r['n']}: {r['line']}" for r in top]
+    if len(lines) >= max_results:
+        lines.append(f"... stopped at {max_results} results")
+    return spark.createDataFrame(list(enumerate(lines or [f"no matches for {pattern!r} in {own.count()} files"], 1)), "n int, line string")
 
 
 def read_lines(docs: DataFrame, start: int | None = None, end: int | None = None, id_col: str = "doc_id") -> DataFrame:

@@ -218,11 +218,10 @@ def m4_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.run_metrics(trace_of(table(spark, sf_dir, "events")))
 
 
-@query(_TRACE + """, r AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_id % 5 = 0) AS p, count(*) FILTER (WHERE event_id % 11 = 0) AS c, sum(event_id % 100)::BIGINT AS i, sum(event_id % 7)::BIGINT AS o FROM e GROUP BY run_id)
-SELECT run_id, 'trace ' || run_id || ': ' || n || ' steps, ' || n || ' tool calls' || CASE WHEN f > 0 THEN ', ' || f || ' failed' ELSE '' END || CASE WHEN p > 0 THEN ', ' || p || ' repaired' ELSE '' END || CASE WHEN c > 0 THEN ', ' || c || ' compactions' ELSE '' END || ', ' || i || '+' || o || ' tokens' AS line FROM r""")
+@query(_TRACE + """, r AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_id % 5 = 0) AS p, count(*) FILTER (WHERE event_id % 11 = 0) AS c, sum(event_id % 100)::BIGINT AS i, sum(event_id % 7)::BIGINT AS o, ((2 * CAST(sum(CAST(value AS DECIMAL(20,6))) * 1000000 AS HUGEINT) + 100000) // 200000 + 500) // 1000 AS s FROM e GROUP BY run_id)
+SELECT run_id, 'trace ' || run_id || ': ' || n || ' steps, ' || n || ' tool calls' || CASE WHEN f > 0 THEN ', ' || f || ' failed' ELSE '' END || CASE WHEN p > 0 THEN ', ' || p || ' repaired' ELSE '' END || CASE WHEN c > 0 THEN ', ' || c || ' compactions' ELSE '' END || ', ' || i || '+' || o || ' tokens, model ' || s // 10 || '.' || s % 10 || 's' AS line FROM r""")
 def m5_summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = telemetry.summary_line(telemetry.run_rollup(trace_of(table(spark, sf_dir, "events"))))
-    return lines.withColumn("line", F.regexp_replace("line", r", model [0-9.]+s$", ""))
+    return telemetry.summary_line(telemetry.run_rollup(trace_of(table(spark, sf_dir, "events"))))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]')) AS tokens, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AS cached FROM documents""")

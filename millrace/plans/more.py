@@ -10,7 +10,7 @@ from ..sources import files
 from ..sources.shared import shared_path
 from ..streaming import rollups
 from .logs import _C, _completions, _outcomes, _STEPS
-from .registry import _PER, _queries_of, _RANKED, _results, _TRACE, ORACLE, call_log_of, chunks_sql, query, table, trace_of
+from .registry import _OTHER, _PER, _PER_OTHER, _queries_of, _RANKED, _results, _TRACE, ORACLE, call_log_of, chunks_sql, query, table, trace_of
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS source, text FROM documents")
@@ -98,19 +98,19 @@ def c3_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluated queries with a question and what they wanted."""
-    asked = _queries_of(table(spark, sf_dir, "embeddings")).select("query_id", F.concat(F.lit("which vectors are near number "), F.repeat(F.col("query_id").cast("string"), 9)).alias("question"), F.col("label").cast("string").alias("marker"), F.array(F.col("label").cast("string")).alias("sources"))
-    return _results(spark, sf_dir).join(asked, "query_id")
+    asked = _queries_of(table(spark, sf_dir, "embeddings")).select("query_id", F.concat(F.lit("which vectors are near number "), F.repeat(F.col("query_id").cast("string"), 9)).alias("question"), F.expr(_OTHER).cast("string").alias("marker"), F.array(F.expr(_OTHER).cast("string")).alias("sources"))
+    return _results(spark, sf_dir, _OTHER).join(asked, "query_id")
 
 
 _QUESTION = "'which vectors are near number ' || repeat(query_id::VARCHAR, 9)"
 
 
-@query(_PER + f"SELECT CAST(row_number() OVER (ORDER BY first_rank NULLS LAST, query_id) AS INTEGER) AS place, query_id, coalesce(first_rank::VARCHAR, 'MISS') AS rank, total_relevant, CASE WHEN length({_QUESTION}) > 52 THEN ({_QUESTION})[:49] || '...' ELSE {_QUESTION} END AS question FROM z")
+@query(_PER_OTHER + f"SELECT CAST(row_number() OVER (ORDER BY first_rank NULLS LAST, query_id) AS INTEGER) AS place, query_id, coalesce(first_rank::VARCHAR, 'MISS') AS rank, total_relevant, CASE WHEN length({_QUESTION}) > 52 THEN ({_QUESTION})[:49] || '...' ELSE {_QUESTION} END AS question FROM z")
 def r7_per_query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.per_query_table(_reported(spark, sf_dir))
 
 
-@query(_PER + "SELECT query_id, label::VARCHAR AS marker, label::VARCHAR AS sources, total_relevant, top_source, round(top_score, 6) AS top_score FROM z JOIN q USING (query_id) WHERE f5 = 0")
+@query(_PER_OTHER + "SELECT query_id, label::VARCHAR AS marker, label::VARCHAR AS sources, total_relevant, top_source, round(top_score, 6) AS top_score FROM z JOIN q USING (query_id) WHERE f5 = 0")
 def r7_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.misses(_reported(spark, sf_dir)).withColumn("sources", F.array_join("sources", "/"))
 

@@ -177,9 +177,9 @@ def h11_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.transcript(table(spark, sf_dir, "conversations"))
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str, wanted: str = "label") -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = _queries_of(vectors).select("query_id", F.col("label").alias("wanted"), F.when(F.col("vec_id") % 40 == 0, "even").otherwise("odd").alias("grp"))
+    asked = _queries_of(vectors).select("query_id", F.expr(wanted).alias("wanted"), F.when(F.col("vec_id") % 40 == 0, "even").otherwise("odd").alias("grp"))
     hits = search.top_k(vectors, _queries_of(vectors), k=10).join(vectors.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "wanted"), "query_id")
     labelled = hits.select("query_id", "rank", F.col("vec_id").alias("id"), "score", (F.col("label") == F.col("wanted")).alias("relevant"))
     totals = asked.join(vectors.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("total_relevant")), "wanted").select("query_id", "total_relevant")
@@ -208,9 +208,14 @@ def r6_metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.aggregate(_results(spark, sf_dir), "grp")
 
 
-@query(_PER + "SELECT query_id, total_relevant, top_source, round(top_score, 6) AS top_score FROM z WHERE f5 = 0")
+#: Half of the queries want the next label, which their neighbours seldom have.
+_OTHER = "CASE WHEN vec_id % 40 = 0 THEN label ELSE (label + 1) % 10 END"
+_PER_OTHER = _PER.replace("embedding AS v, label FROM", f"embedding AS v, {_OTHER} AS label FROM")
+
+
+@query(_PER_OTHER + "SELECT query_id, total_relevant, top_source, round(top_score, 6) AS top_score FROM z WHERE f5 = 0")
 def r7_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.misses(_results(spark, sf_dir))
+    return evaluation.misses(_results(spark, sf_dir, _OTHER))
 
 
 def trace_of(events: DataFrame) -> DataFrame:
