@@ -135,26 +135,78 @@ def a5_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROOT = "/work/root"
-_PATH = f"CASE event_id % 10 WHEN 0 THEN 'src/a' || event_id WHEN 1 THEN '../x' WHEN 2 THEN '{ROOT}/b' WHEN 3 THEN '/etc/passwd' WHEN 4 THEN 'a/%2E%2e/b' WHEN 5 THEN 'conf/.env' WHEN 6 THEN 'a/../../rootx/b' WHEN 7 THEN '.git/config' WHEN 8 THEN 'a/./b/../c' ELSE 'keys/id.PEM' END"
-_PROBLEM = "CASE event_id % 10 WHEN 1 THEN 'escape' WHEN 3 THEN 'escape' WHEN 4 THEN 'encoded' WHEN 5 THEN 'credential' WHEN 6 THEN 'escape' WHEN 7 THEN 'credential' WHEN 9 THEN 'credential' END"
+#: Parts of made-up paths; which ones an event's path has, and how many, the digest of its columns says.
+_PICKS = ("'..'", "'.'", "''", "'src'", "event_type", "'.git'", "'config'", "'id_rsa'", "'B.PEM'", "'a%2Fb'", "concat('p', user_id)", "'work'", "'root'", "'.env'", "'deep'", "event_type")
+_HEX = "'0123456789abcdef'"
+_DIGEST = "md5(concat(event_id, event_type, user_id, props))"
 
 
-@query(f"SELECT event_id, {_PROBLEM} AS problem FROM events")
+def _path_of(at: int) -> str:
+    """A path from the eight hexadecimal digits at ``at``: how it begins, how many parts it has, which (for Spark)."""
+    digit = lambda i: f"instr({_HEX}, substr(h, {i}, 1))"
+    parts = f"transform(sequence(1, {digit(at)} % 5 + 1), i -> element_at(array({', '.join(_PICKS)}), {digit(f'{at + 1} + i')}))"
+    return f"concat(CASE {digit(at + 1)} % 4 WHEN 0 THEN '/' WHEN 1 THEN '{ROOT}/' ELSE '' END, array_join({parts}, '/'))"
+
+
+def _path_sql(at: int) -> str:
+    digit = lambda i: f"instr({_HEX}, h[{i}])"
+    parts = f"list_transform(range(1, {digit(at)} % 5 + 2), lambda i: [{', '.join(_PICKS)}][{digit(f'{at + 1} + i')}])"
+    return f"CASE {digit(at + 1)} % 4 WHEN 0 THEN '/' WHEN 1 THEN '{ROOT}/' ELSE '' END || array_to_string({parts}, '/')"
+
+
+def _problem_sql(path: str) -> str:
+    whole = f"CASE WHEN starts_with({path}, '/') THEN {path} ELSE '{ROOT}/' || {path} END"
+    parts = f"list_reduce([[]::VARCHAR[]] || list_transform(string_split({whole}, '/'), lambda x: [x]), lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' THEN a[: len(a) - 1] ELSE a || x END)"
+    names = ", ".join(f"'{n}'" for n in audit.SECRET_NAMES)
+    suffix = " OR ".join(f"ends_with(lower(p[-1]), '{x}')" for x in audit.SECRET_SUFFIXES)
+    coded = " OR ".join(f"contains(lower({path}), '{x}')" for x in audit.ENCODED if x.isprintable())
+    return f"""(SELECT CASE WHEN trim({path}) = '' THEN 'empty' WHEN {coded} THEN 'encoded' WHEN NOT coalesce(p[1] = 'work' AND p[2] = 'root', FALSE) THEN 'escape'
+WHEN lower(p[-1]) IN ({names}) OR {suffix} OR (list_contains(p, '.git') AND p[-1] = 'config') THEN 'credential' END FROM (SELECT {parts} AS p))"""
+
+
+_PATHS = f"WITH e AS (SELECT *, {_DIGEST} AS h FROM events), p AS (SELECT *, {_path_sql(1)} AS a, {_path_sql(9)} AS b FROM e), j AS (SELECT *, {_problem_sql('a')} AS pa, {_problem_sql('b')} AS pb FROM p)"
+
+
+def _pathed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with two paths ``a`` and ``b`` made from their columns."""
+    return table(spark, sf_dir, "events").withColumn("h", F.expr(_DIGEST)).withColumns({"a": F.expr(_path_of(1)), "b": F.expr(_path_of(9))})
+
+
+@query(f"{_PATHS} SELECT event_id, a AS path, pa AS problem FROM j")
 def a6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", audit.path_problem(F.expr(_PATH), ROOT).alias("problem"))
+    return _pathed(spark, sf_dir).select("event_id", F.col("a").alias("path"), audit.path_problem(F.col("a"), ROOT).alias("problem"))
+
 
+_SHAPED = "(contains({0}, '/') OR contains({0}, '..'))"
 
-@query(f"SELECT event_id, CASE WHEN {_PROBLEM} IS NULL THEN 0 ELSE 2 END AS n_refused FROM events")
+
+@query(f"""{_PATHS} SELECT event_id, concat_ws(',', CASE WHEN {_SHAPED.format("a")} THEN pa END, CASE WHEN {_SHAPED.format("b")} THEN pb END) AS refused FROM j""")
 def a7_argument_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arguments = F.expr(f"""'{{"o": ["--output=' || {_PATH} || '"], "n": {{"p": "' || {_PATH} || '"}}, "c": "--color=auto"}}'""")
-    return audit.confine(table(spark, sf_dir, "events").select("event_id", arguments.alias("arguments")), ROOT).select("event_id", F.size("refused").alias("n_refused"))
+    """Two paths of each event, one behind a flag in a list, one in a nested object."""
+    one = lambda c, *names: F.struct(c.alias(names[0])) if names else c
+    arguments = F.to_json(F.struct(F.array(F.concat(F.lit("--output="), "a")).alias("o"), one(F.col("b"), "p").alias("n"), F.lit("--color=auto").alias("c"), F.col("event_type").alias("t")))
+    done = audit.confine(_pathed(spark, sf_dir).select("event_id", arguments.alias("arguments")), ROOT)
+    return done.select("event_id", F.array_join("refused.problem", ",").alias("refused"))
+
+
+#: Programs and first arguments of made-up commands.
+_PROGRAMS = ("ls", "cat", "/usr/bin/git", "git", "python", "grep", "rm", "find")
+_FIRST = ("-l", "status", "push", "-exec", "a|b", "log", "-n3", "-c=x", "$(x)", "diff", "x.txt", "commit", "--stat", "blame", "-ok", "remote")
 
 
-@query("SELECT event_id, CASE event_id % 11 WHEN 1 THEN 'empty' WHEN 2 THEN 'quoting' WHEN 3 THEN 'shell' WHEN 4 THEN 'program' WHEN 5 THEN 'flag' WHEN 6 THEN 'escape' WHEN 7 THEN 'git' WHEN 10 THEN 'credential' END AS refusal FROM events")
+@query(f"""{_PATHS}, c AS (SELECT *, [{', '.join(f"'{x}'" for x in _PROGRAMS)}][instr({_HEX}, h[17]) % 8 + 1] AS program, [{', '.join(f"'{x}'" for x in _FIRST)}][instr({_HEX}, h[18])] AS first, instr({_HEX}, h[19]) AS kind FROM j)
+SELECT event_id, CASE WHEN kind = 1 THEN 'empty' WHEN kind = 2 THEN 'quoting' WHEN regexp_matches(first, '{audit.SHELL}') THEN 'shell'
+WHEN regexp_extract(program, '[^/]+$') NOT IN ({', '.join(f"'{x}'" for x in audit.PROGRAMS)}) THEN 'program'
+WHEN string_split(first, '=')[1] IN ({', '.join(f"'{x}'" for x in audit.BANNED_FLAGS)}) THEN 'flag'
+WHEN {_SHAPED.format('a')} AND pa IS NOT NULL THEN pa
+WHEN regexp_extract(program, '[^/]+$') = 'git' AND coalesce(CASE WHEN starts_with(first, '-') THEN a ELSE first END, '') NOT IN ({', '.join(f"'{x}'" for x in audit.GIT_READS)}) THEN 'git' END AS refusal FROM c""")
 def a8_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    command = F.expr("""CASE event_id % 11 WHEN 0 THEN 'ls src/' WHEN 1 THEN ' ' WHEN 2 THEN 'ls "a' WHEN 3 THEN 'ls | wc' WHEN 4 THEN '/usr/bin/python x' WHEN 5 THEN 'find . -exec rm' WHEN 6 THEN 'sort --output=/etc/x'
-    WHEN 7 THEN 'git push' WHEN 8 THEN 'git log' WHEN 9 THEN 'grep "a|b c" src/x' ELSE 'cat conf/.env' END""")
-    return audit.audit_commands(table(spark, sf_dir, "events").select("event_id", command.alias("command")), ROOT).select("event_id", "refusal")
+    """A program, an argument and a path for each event; some commands are blank, some have an open quote."""
+    digit = lambda i: F.expr(f"instr({_HEX}, substr(h, {i}, 1))")
+    program = F.element_at(F.array(*map(F.lit, _PROGRAMS)), digit(17) % 8 + 1)
+    line = F.concat_ws(" ", program, F.element_at(F.array(*map(F.lit, _FIRST)), digit(18)), "a")
+    command = F.when(digit(19) == 1, F.lit(" ")).when(digit(19) == 2, F.concat(F.lit('ls "'), line)).otherwise(line)
+    return audit.audit_commands(_pathed(spark, sf_dir).select("event_id", command.alias("command")), ROOT).select("event_id", "refusal")
 
 
 _DROPPED = f"""{_USED}, {_TURNS}, o AS (SELECT conv_id FROM u WHERE tokens > {int(BUDGET * 0.85)}),
