@@ -2,8 +2,9 @@
 
 Tokens are words and one end per text; a text starts in the context of an end.  The tree's symbols are
 the most frequent words (the head), the end, and one class for all other words, among them those of more
-than ``HEAD_BYTES`` bytes; a word of that class is drawn by its own share, and words never seen in training
-share the mass of one unknown token (their number by Witten and Bell).  Contexts of up to ``DEPTH`` symbols
+than ``HEAD_BYTES`` bytes; a word of that class is drawn by its own share.  Words never seen in training have the mass
+of the different words together (Witten and Bell), spread over all forms by a chain of bytes that is learned from the different words:
+each byte, or the word's end, given the one before.  Contexts of up to ``DEPTH`` symbols
 are candidates if they are frequent enough and their suffix is retained, and retained if their next-symbol
 distribution diverges from their suffix's; each distribution is smoothed towards the suffix's.  Every token
 is scored from its longest retained context.
@@ -68,6 +69,48 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+#: A chain's state before the first byte, and what ends a word.
+EDGE = 256
+#: What each of the 257 next bytes counts for before any is seen.
+BYTE_PRIOR = 0.02
+
+
+def spelling(vocabulary: DataFrame) -> np.ndarray:
+    """log10 of each byte, or the end, given the byte before or the start: from the different words of ``vocabulary``."""
+
+    def run(batches):
+        for batch in batches:
+            before, after, _ = _steps(batch.column("word").to_pylist())
+            codes, n = np.unique(before * 257 + after, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
+
+    found = vocabulary.select("word").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 257 * 257 rows at most
+    counts = np.full(257 * 257, BYTE_PRIOR)
+    counts[found["code"].to_numpy()] += found["n"].to_numpy()
+    counts = counts.reshape(257, 257)
+    return np.log10(counts / counts.sum(axis=1, keepdims=True))
+
+
+def _steps(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each step of all words' chains, what comes before and after it, and where each word's steps begin."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64) + 1
+    edge = np.cumsum(sizes) - sizes
+    after = np.full(sizes.sum(), EDGE, np.int64)
+    inside = np.ones(len(after), bool)
+    inside[edge + sizes - 1] = False
+    after[inside] = np.frombuffer(b"".join(words), np.uint8)
+    before = np.concatenate([[EDGE], after[:-1]]) if len(after) else after
+    return before, after, edge
+
+
+def spelled(words: list[bytes], table: np.ndarray) -> np.ndarray:
+    """log10 of each word's form."""
+    if not words:
+        return np.zeros(0)
+    before, after, edge = _steps(words)
+    return np.add.reduceat(table[before, after], edge)
+
+
 def symbol_runs(texts: list[bytes], get):
     """Symbols of texts laid end to end, and each one's place in its text; a text is END, its words' symbols, END."""
     parts: list = []
@@ -248,6 +291,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     # the base of the head's words, of the end and of the rest, which the join adds
     base_of = np.append(np.log10((np.append(c, n_docs) + 0.5) / below), 0.0)
     log_rare = math.log10(tree.rare)
+    forms = spark.sparkContext.broadcast(spelling(vocab))
 
     def split(batches):
         """A row for each text (its word is a space and the text's place) and for each of its words outside the head."""
@@ -264,25 +308,26 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
                 base = np.add.reduceat(base_of[np.where(own == END, len(base_of) - 2, np.where(own == RARE, len(base_of) - 1, own))], edge)
                 score = np.add.reduceat(np.log10(tree.probabilities(own, history)), edge)
                 known = np.add.reduceat(((own != RARE) & ((own != END) | (n_docs > 0))).astype(np.int64), edge)
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 for k, t in enumerate(texts):
                     serial += 1
                     did, rid = dids[i + k], rids[i + k]
-                    for col, x in zip(cols, (did, rid, b" %d %d %d" % (did, rid, serial), int(sizes[k]), int(known[k]), float(base[k]), float(score[k]), 1), strict=True):
+                    for col, x in zip(cols, (did, rid, b" %d %d %d" % (did, rid, serial), int(sizes[k]), int(known[k]), float(base[k]), float(score[k]), 1, 0.0), strict=True):
                         col.append(x)
                     tail = Counter([w for w in words_of(t) if w not in head.value])
                     m = len(tail)
-                    for col, x in zip(cols, ([did] * m, [rid] * m, tail.keys(), tail.values(), [0] * m, [0.0] * m, [0.0] * m, [0] * m), strict=True):
+                    for col, x in zip(cols, ([did] * m, [rid] * m, tail.keys(), tail.values(), [0] * m, [0.0] * m, [0.0] * m, [0] * m, spelled(list(tail), forms.value).tolist()), strict=True):
                         col += x
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types, strict=True)], names=["did", "rid", "word", "n", "known", "base", "own", "texts"])
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types, strict=True)], names=["did", "rid", "word", "n", "known", "base", "own", "texts", "spell"])
 
-    rows = keyed(docs).mapInArrow(split, "did long, rid long, word binary, n long, known long, base double, own double, texts long")
+    rows = keyed(docs).mapInArrow(split, "did long, rid long, word binary, n long, known long, base double, own double, texts long, spell double")
     c, text = F.coalesce("c", F.lit(0)), F.col("texts") == 1
-    share = F.when(c > 0, c / F.lit(float(mass))).otherwise(F.lit(unknown))
+    # a word of training has its share, any other its form's part of the unknown mass
+    drawn = F.when(c > 0, F.log10(c / F.lit(float(mass)))).otherwise(F.lit(math.log10(unknown)) + F.col("spell"))
     parts = rows.join(vocab, "word", "left").select(
         "did", "rid", "texts", F.when(text, F.col("n")).otherwise(0).alias("tokens"), F.when(text, F.col("known")).otherwise(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.when(text, F.col("base")).otherwise(F.col("n") * F.log10((c + 0.5) / below)).alias("base"), F.when(text, F.col("own")).otherwise(F.col("n") * (F.log10(share) - log_rare)).alias("own"),
+        F.when(text, F.col("base")).otherwise(F.col("n") * F.log10((c + 0.5) / below)).alias("base"), F.when(text, F.col("own")).otherwise(F.col("n") * (drawn - log_rare)).alias("own"),
     )
     sums = parts.groupBy("did", "rid").agg(*[F.sum(c).alias(c) for c in ("texts", "tokens", "known", "base", "own")])
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "texts")))  # rows equal in id and text

@@ -408,6 +408,20 @@ def test_lm_scores(docs):
     assert got[0].n_tokens == 1 and all(r.score <= 0 for r in got.values())
 
 
+def test_junk_scores_below_prose(spark):
+    """Unknown words share the unknown mass by their forms, so a text of junk is not likely."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "ter", "an"]) for _ in range(rng.randint(1, 3))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(200)]
+    rows += [(1000 + i, " ".join("".join(rng.choice("qxzjw%&7") for _ in range(6)) for _ in range(60))) for i in range(20) if zlib.crc32(str(1000 + i).encode()) % 5 == 1]
+    rows += [(2000 + i, " ".join(rng.choice(["kalomi", "teran", "milo"]) + rng.choice(["ka", "an"]) for _ in range(60))) for i in range(20) if zlib.crc32(str(2000 + i).encode()) % 5 == 1]
+    got = {r.doc_id: r.score / r.n_tokens for r in suffix_tree_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prose, alike, junk = ([v for k, v in got.items() if lo <= k < lo + 1000] for lo in (0, 2000, 1000))
+    assert min(prose) > max(alike) > max(junk) and len(junk) > 1
+    table = suffix_tree_lm.spelling(spark.createDataFrame([(b"ab",), (b"b",)], "word binary"))
+    assert np.allclose((10**table).sum(axis=1), 1) and np.allclose(suffix_tree_lm.spelled([b"ab", b""], table), [table[256, 97] + table[97, 98] + table[98, 256], table[256, 256]])
+
+
 def test_suffix_tree_against_brute_force(spark, monkeypatch):
     """Contexts, counts and scores of a tree that is built with dictionaries."""
     monkeypatch.setattr(suffix_tree_lm, "MIN_GAIN", 2.0)
@@ -433,6 +447,15 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
     mass = total + kinds
     chance = {w: count[w] / mass for w in head} | {"$": len(train) / mass, "?": sum(c for w, c in count.items() if w not in head) / mass + kinds / mass}
     runs = [["$", *map(symbol, t), "$"] for t in train]
+    steps = Counter()
+    for w in count:
+        chain = [256, *w.encode(), 256]
+        steps.update(zip(chain, chain[1:], strict=False))
+
+    def form_chance(w):
+        chain = [256, *w.encode(), 256]
+        return sum(np.log10((steps[a, b] + 0.02) / (sum(n for (x, _), n in steps.items() if x == a) + 257 * 0.02)) for a, b in zip(chain, chain[1:], strict=False))
+
     nexts: dict = {}
     for run in runs:
         for i in range(1, len(run)):
@@ -474,7 +497,7 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
             want += np.log10(probability(context, run[k]))
         for w in t.split():
             if symbol(w) == "?":
-                want += np.log10((count[w] if w in count else kinds) / mass) - np.log10(chance["?"])
+                want += (np.log10(count[w] / mass) if w in count else np.log10(kinds / mass) + form_chance(w)) - np.log10(chance["?"])
         assert abs(got[i].score - want) < 1e-6 and got[i].held_out == held[i] and got[i].train_tokens == total
         base = sum(np.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t.split()) + np.log10((len(train) + 0.5) / (total + 0.5 * (kinds + 1)))
         assert abs(got[i].base_score - base) < 1e-9 and got[i].n_known == sum(w in count for w in t.split()) + 1
