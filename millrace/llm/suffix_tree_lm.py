@@ -9,10 +9,10 @@ are candidates if they are frequent enough and their suffix is retained, and ret
 distribution diverges from their suffix's; each distribution is smoothed towards the suffix's.  Every token
 is scored from its longest retained context.
 
-Counts cover every training text.  The head, and the contexts and next-symbol entries of a depth, grow with
-the cube root of the training tokens N: at most ``HEAD``, ``CONTEXTS`` and ``ENTRIES`` times that root, which the
-least counts N / (that bound) see to.  So a corpus of 8 times the size has a tree of twice the size, and what
-is broadcast stays a few hundred MB at 10**13 tokens.  Words outside the head are looked up by a join.
+Counts cover every training text.  The head grows with the cube root of the training tokens N, the contexts and next-symbol
+entries of a depth with the fourth root: at most ``HEAD``, ``CONTEXTS`` and ``ENTRIES`` times that root, which the least counts
+N / (that bound) see to.  So what is broadcast stays a few hundred MB at 10**13 tokens; rarer evidence is counted towards the suffix's
+distribution.  Words outside the head are looked up by a join.
 
 A null text is an empty one: its only token is the end.  Texts are scored whole however long they are.  Repeated
 rows are scored each.  Ties in the head go to the smaller word.  Other columns are not read, whatever their names.
@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 from .common import byte_texts, doc_id_of, id_bucket, keyed, materialize, small
 
 DEPTH = 4
-#: Times the cube root of the training tokens: words of the head, contexts and entries of a depth at most.
-HEAD, CONTEXTS, ENTRIES = 160, 60, 1200
+#: Words of the head at most, times the cube root of the training tokens; contexts and entries of a depth, times the fourth root.
+HEAD, CONTEXTS, ENTRIES = 160, 2000, 12_000
 #: Nats of total divergence (count times KL) that a context must bring over its suffix.
-MIN_GAIN = 20.0
-PRIOR = 2.0
+MIN_GAIN = 12.0
 HEAD_BYTES = 64
 #: A symbol's bits in a code; the last two symbols are the end and the class of all other words.
 BITS = 23
@@ -137,8 +136,8 @@ class SuffixTree:
     """``root``: probabilities of the head's symbols, the end and the rare class.
 
     ``levels[d - 1]``: the retained contexts of d symbols as sorted codes (the number of the suffix among the contexts
-    of d - 1 symbols, then the oldest symbol), their symbols (oldest first), their totals, the mass of next symbols
-    too rare to be entries (it goes to the suffix's distribution), and the entries' codes (the context's number, then
+    of d - 1 symbols, then the oldest symbol), their symbols (oldest first), their totals, the part of them that goes to
+    the suffix's distribution (next symbols too rare to be entries, and one for each entry), and the entries' codes (the context's number, then
     the next symbol) and counts.
     """
 
@@ -170,7 +169,7 @@ class SuffixTree:
         for (_, _, totals, rare, entries, counts), (at, number) in zip(self.levels, self.contexts_of(history), strict=True):
             e, hit = find(entries, number << BITS | symbols[at])
             n = np.where(hit, counts[e] if len(counts) else 0, 0)
-            p[at] = (n + (PRIOR + rare[number]) * p[at]) / (totals[number] + PRIOR)
+            p[at] = (n + rare[number] * p[at]) / totals[number]
         return p
 
     def codes_of(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +186,12 @@ class SuffixTree:
         order = np.argsort(codes)
         codes, n = codes[order], n[order].astype(float)
         owner, symbols = codes >> BITS, codes & MASK
-        rare = totals - np.bincount(owner, weights=n, minlength=len(totals))
+        # Witten and Bell: the suffix's distribution counts as much as there are different entries, and for the rarer ones
+        kinds = np.bincount(owner, minlength=len(totals))
+        rare = totals - np.bincount(owner, weights=n, minlength=len(totals)) + kinds
+        totals = totals + kinds
         below = self.probabilities(symbols, [strings[owner, -d] for d in range(1, strings.shape[1])] or [np.full(len(codes), -1)]) if self.levels else self.unigram(symbols)
-        own = (n + (PRIOR + rare[owner]) * below) / (totals[owner] + PRIOR)
+        own = (n + rare[owner] * below) / totals[owner]
         keep = np.bincount(owner, weights=n * np.log(own / below), minlength=len(totals)) >= MIN_GAIN
         number = np.cumsum(keep) - 1
         entry = keep[owner]
@@ -249,7 +251,7 @@ def next_counts(rows: DataFrame, tree: SuffixTree, candidates: np.ndarray, depth
 
 def learn_tree(rows: DataFrame, tree: SuffixTree, frequency: np.ndarray, ends: int, rare: int, total: int) -> SuffixTree:
     """``frequency``: training counts of the head's words; ``ends, rare``: of the end and of all other words."""
-    root = max(total, 1) ** (1 / 3)
+    root = max(total, 1) ** (1 / 4)
     least_context, least_entry = max(2, total / (CONTEXTS * root)), max(1, total / (ENTRIES * root))
     symbols = np.concatenate([np.arange(len(frequency)), [END, RARE]])
     counts = np.concatenate([frequency, [ends, rare]])

@@ -440,7 +440,7 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
     train = [t.split() for i, t in enumerate(texts) if not held[i]]
     count = Counter(w for t in train for w in t)
     total, kinds = sum(count.values()) + len(train), len(count) + 1
-    root = total ** (1 / 3)
+    root = total ** (1 / 4)
     least_context, least_entry = max(2, total / (suffix_tree_lm.CONTEXTS * root)), max(1, total / (suffix_tree_lm.ENTRIES * root))
     head = {w for w in count if len(w) <= 64}
     symbol = lambda w: w if w in head or w == "$" else "?"
@@ -471,8 +471,8 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
         if context not in kept:
             return below
         entries, n = kept[context]
-        rare = n - sum(entries.values())
-        return (entries.get(s, 0) + (2.0 + rare) * below) / (n + 2.0)
+        rare = n - sum(entries.values()) + len(entries)
+        return (entries.get(s, 0) + rare * below) / (n + len(entries))
 
     for context in sorted(nexts, key=len):
         n = sum(nexts[context].values())
@@ -482,9 +482,9 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
             continue
         candidates.add(context)
         entries = {s: c for s, c in nexts[context].items() if c >= least_entry}
-        rare = n - sum(entries.values())
+        rare = n - sum(entries.values()) + len(entries)
         below = {s: probability(suffix, s) for s in entries}
-        if sum(c * np.log((c + (2.0 + rare) * below[s]) / (n + 2.0) / below[s]) for s, c in entries.items()) >= 2.0:
+        if sum(c * np.log((c + rare * below[s]) / (n + len(entries)) / below[s]) for s, c in entries.items()) >= 2.0:
             kept[context] = (entries, n)
     assert {len(c) for c in kept} >= {1, 2}
     for i, t in enumerate(texts):
