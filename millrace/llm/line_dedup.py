@@ -2,12 +2,14 @@
 similarity, keep one occurrence of each connected group.
 
 A line's form is lower case without ASCII punctuation, its words joined by single spaces (the stripped
-line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its different words and a
-SimHash for each of up to six runs of words (``PARTS``: three from its start, three from its end); these are
-its blocks.  Edits that leave one of the runs whole leave its block equal (pigeonhole), wherever they are and
-whether or not they move the other words.  Two forms are linked if they share a block, their whole SimHashes
-differ in at most ``DISTANCE`` bits and their edit similarity is at least 0.8.  Of each group of linked forms
-the first occurrence in (doc_id, text hash, line number) order stays, all others are removed.
+line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its different words.  Its blocks are,
+by its length: for up to ``SHORT`` characters the line less each of its characters; for up to ``THIRDS`` characters each third; for 3 to 11 words the line less each of its
+words; for fewer than 12 words also the SimHashes of up to six runs of words (of at most 255 words each); for 6 words and more the
+smallest hashes of its pairs of neighbouring words, pairs of long words first.  By the pigeonhole principle one changed character of a
+short line, two replaced ones, one changed word of a line of 3 to 11 words, or edits that leave a run whole, leave a block equal.  Two forms
+are linked if they share a block (of the word pairs two, or one if the SimHashes differ in at most ``SURE`` bits), their SimHashes differ
+in at most ``DISTANCE`` bits (forms of up to ``SHORT`` characters: in any number) and their edit similarity is at least 0.8.
+Of each group of linked forms the first occurrence in (doc_id, text hash, line number) order stays, all others are removed.
 
 Inside a block's bucket each member is first compared with the nearest ones by SimHash.  Only members that this leaves in
 different groups are then compared with each other, so a bucket of like forms does not grow with its square and
@@ -32,13 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, connected_components, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
+from .suffix_dedup import _BYTES, _power
 
-DISTANCE = 10
+DISTANCE = 22
 SIMILARITY = 0.8
 #: Runs of words that have a block of their own, and the least words of a run.
 PARTS, LEAST_PART = 6, 3
+#: Characters of a line that is also looked up less each of them; words of one that is looked up less each of those (from, to).
+SHORT, FEW = 32, (3, 12)
+#: Characters of a line that is also looked up by its thirds.
+THIRDS = 48
+#: Lines of so many words and more have word pairs as blocks: the smallest hashes for 12 to 29 words, and for all others.
+PAIRED, PAIRS = 6, (8, 10)
+#: Bits of the SimHash in which two lines that share a single word pair may differ.
+SURE = 16
+#: Letters of two words that make them a long pair.
+LONG_PAIR = 9
 #: Forms in one bucket beyond which it is dealt out again by the whole SimHash; how often.
-CROWD, LEVELS = 4096, 2
+CROWD, LEVELS = 16384, 2
 #: Forms a task remembers in order to describe each only once; forgetting them changes no result.
 SEEN = 500_000
 
@@ -122,6 +135,99 @@ def blocks_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return whole, keys
 
 
+def _few_words(words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """For lines of ``n`` words: keys of the line and of the line less each of its words."""
+    w = words[start[:, None] + np.arange(n)]
+    out = []
+    for gone in range(n + 1):
+        key = np.full(len(start), n - (gone < n), np.uint64)
+        for i in range(n):
+            if i != gone:
+                key = (key ^ w[:, i]) * _MIX
+                key ^= key >> np.uint64(29)
+        out.append(key)
+    return np.stack(out, axis=1)
+
+
+def _short_line(text: str) -> set[int]:
+    """Keys of a short line's thirds, of the line itself and, up to ``SHORT`` characters, of the line less each of its characters."""
+    third = len(text) // 3
+    parts = [f"{k} {text[k * third : (k + 1) * third]}" for k in range(2)] + [f"2 {text[len(text) - third :]}"] if third > 2 else []
+    less = (text[:i] + text[i + 1 :] for i in range(len(text))) if len(text) <= SHORT else ()
+    return {xxhash.xxh64_intdigest(x, 3) for x in (text, *less)} | {xxhash.xxh64_intdigest(x, 4) for x in parts}
+
+
+def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the form and key of blocks that also hold when every run of words has an edit.
+
+    A line of up to ``SHORT`` characters: the line less each of its characters; of up to ``THIRDS``: each third.  One of 3 to 11 words: the line less each of
+    its words.  One of 6 words and more: the smallest hashes of its pairs of neighbouring words.
+    """
+    owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i, form in enumerate(forms):
+        if len(form) > 4 * THIRDS or len(text := form.decode()) > THIRDS:
+            continue
+        own = _short_line(text)
+        owner.append(np.full(len(own), i))
+        keys.append(np.fromiter(own, np.uint64, len(own)) | np.uint64(1))
+    start = 0
+    while start < len(forms):
+        end, size = start, 0
+        while end < len(forms) and size < 1 << 19:
+            size += len(forms[end]) + 1
+            end += 1
+        data = np.frombuffer(b"\n".join(forms[start:end]) + b"\n", np.uint8)
+        power, inverse = _power(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+        stop = np.flatnonzero((data == 32) | (data == 10))
+        begin = np.concatenate([[0], stop[:-1] + 1])
+        words = (sums[stop] - sums[begin]) * inverse[begin]
+        words = (words ^ words >> np.uint64(31)) * _MIX
+        words ^= words >> np.uint64(30)
+        last = np.flatnonzero(data[stop] == 10)
+        first = np.concatenate([[0], last[:-1] + 1])
+        n = last - first + 1
+        for k in range(FEW[0], FEW[1]):
+            at = np.flatnonzero(n == k)
+            if len(at):
+                own = _few_words(words, first[at], k)
+                owner.append(np.repeat(at + start, k + 1))
+                keys.append(own.ravel() | np.uint64(1))
+        many = np.flatnonzero(n >= PAIRED)
+        if len(many):
+            line = np.repeat(np.arange(len(n)), n)
+            pair = (words[:-1] * np.uint64(3) + words[1:]) * _MIX
+            pair ^= pair >> np.uint64(32)
+            # pairs of short words are common in any language: they come last
+            length = stop - begin
+            pair = pair >> np.uint64(1) | (length[:-1] + length[1:] < LONG_PAIR).astype(np.uint64) << np.uint64(63)
+            inside = np.flatnonzero((line[1:] == line[:-1]) & (n[line[1:]] >= PAIRED))
+            # the line above, the hash below: one sort gives each line's smallest
+            code = np.unique(line[inside].astype(np.uint64) << np.uint64(44) | pair[inside] >> np.uint64(20))
+            own = (code >> np.uint64(44)).astype(np.int64)
+            place = np.arange(len(own)) - np.searchsorted(own, own)
+            least = place < np.where((n[own] >= FEW[1]) & (n[own] < 30), *PAIRS)
+            owner.append(own[least] + start)
+            keys.append((code[least] & np.uint64((1 << 44) - 1)) * _MIX & ~np.uint64(1))
+        start = end
+    return np.concatenate(owner), np.concatenate(keys)
+
+
+def all_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each form's SimHash; the keys of all its blocks, and where each form's begin.  Keys of word pairs are even, all others odd."""
+    fp, runs = blocks_of(forms)
+    few = np.array([f.count(b" ") + 1 < FEW[1] for f in forms], dtype=bool)
+    owner, place = np.nonzero((runs != 0) & few[:, None])
+    more, keys = more_blocks(forms)
+    owner, keys = np.concatenate([owner, more]), np.concatenate([runs[owner, place], keys])
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    once = np.ones(len(owner), bool)
+    once[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+    return fp, keys[once], np.concatenate([[0], np.cumsum(np.bincount(owner[once], minlength=len(forms)))])
+
+
 _LINES = "did long, rid long, line int, node long, fp long, chars int, keys array<long>, form string"
 
 
@@ -148,12 +254,12 @@ def lines(docs: DataFrame) -> DataFrame:
                     if len(seen) > SEEN:
                         seen = set()
                     fresh = [forms[j] for j in new]
-                    fp, keys = blocks_of(fresh)
+                    fp, keys, ends = all_blocks(fresh)
                     texts_of = [f.decode() for f in fresh]
                     place = np.full(len(forms), -1, np.int64)
                     place[new] = np.arange(len(new))
                     take = pa.array(place, mask=place < 0)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, PARTS * len(new) + 1, PARTS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))
                     described = [pa.array(fp.view(np.int64)), pa.array([len(t) for t in texts_of], pa.int32()), lists, pa.array(texts_of, pa.string())]
                     at = np.array(owner)
                     yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(rid[at]), pa.array(number, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), *[c.take(take) for c in described]], names=["did", "rid", "line", "node", "fp", "chars", "keys", "form"])
@@ -165,7 +271,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def _near(fp: np.ndarray, chars: np.ndarray, i, j) -> np.ndarray:
     """Whether forms may be alike by their SimHashes and lengths."""
     low, high = np.minimum(chars[i], chars[j]), np.maximum(chars[i], chars[j])
-    return (np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE) & (low >= SIMILARITY * high - 1e-9)
+    return ((np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE) | (high <= SHORT)) & (low >= SIMILARITY * high - 1e-9)
 
 
 def _nearest(fp: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +362,7 @@ def _buckets(batches, crowd: int | None, columns: tuple[str, ...], settle):
 
 
 def _first_look(crowd: int | None):
-    """Kind 0: pairs of a member and its nearest ones.  Kind 1: members of buckets of three and more, for the second look."""
+    """Kind 0: pairs of a member and its nearest ones, with the bits they differ in as ``chars``.  Kind 1: members of buckets of three and more, for the second look."""
 
     def settle(rows, start, size):
         key, node, fp, chars = rows
@@ -268,7 +374,7 @@ def _first_look(crowd: int | None):
             a.append(x + s)
             b.append(y + s)
         a, b = np.concatenate(a), np.concatenate(b)
-        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], chars[a].astype(np.int32))
+        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).astype(np.int32))
         more = np.repeat(size > 2, size)
         yield _rows(1, key[more], node[more], node[more], fp[more], chars[more].astype(np.int32))
 
@@ -284,7 +390,7 @@ def _second_look(batches):
             a.append(x + s)
             b.append(y + s)
         a, b = np.concatenate(a), np.concatenate(b)
-        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], chars[a].astype(np.int32))
+        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).astype(np.int32))
 
     yield from _buckets(batches, None, ("key", "node", "fp", "chars", "group"), settle)
 
@@ -301,13 +407,14 @@ def _split(batches):
         for b, mask in enumerate(blocks):
             own = (key.view(np.uint64) ^ ((fp.view(np.uint64) & np.uint64(mask)) + np.uint64(b + 1)) * _MIX) * np.uint64(0xC2B2AE3D27D4EB4F)
             own ^= own >> np.uint64(31)
+            own = own & ~np.uint64(1) | key.view(np.uint64) & np.uint64(1)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(node), pa.array(fp), pa.array(chars)], names=["key", "node", "fp", "chars"])
 
 
 def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``src, dst``: linked forms of ``lines``, enough of them to connect every group."""
     described = every.where("fp is not null")
-    rows = described.select("node", "fp", "chars", F.explode("keys").alias("key")).where("key <> 0").select("key", "node", "fp", "chars")
+    rows = _shared_keys(described)
     looks = []
     for level in range(LEVELS):
         found = materialize(_dealt(rows, _first_look(crowd if level < LEVELS - 1 else None)), "line-buckets")
@@ -317,16 +424,45 @@ def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
             break
         rows = crowded.select("key", F.col("src").alias("node"), "fp", "chars").mapInArrow(_split, "key long, node long, fp long, chars int")
     both = looks[0] if len(looks) == 1 else looks[0].union(looks[1])
-    candidates = materialize(both.where("kind = 0").select("src", "dst").distinct(), "line-pairs")
+    pairs = both.where("kind = 0").select("key", "src", "dst", F.col("chars").alias("bits"))
+    candidates = materialize(_evident(pairs), "line-pairs")
     found = materialize(_verified(candidates, described), "line-links")
     members = both.where("kind = 1").select("key", F.col("src").alias("node"), "fp", "chars")
     tagged = members.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
     # pairs leave only those buckets that the first look has left in more than one group
-    rest = _dealt(tagged.select("key", "node", "fp", "chars", "group"), _second_look).select("src", "dst").distinct()
+    rest = _dealt(tagged.select("key", "node", "fp", "chars", "group"), _second_look).select("key", "src", "dst", F.col("chars").alias("bits"))
+    rest = _evident(rest.union(pairs))
     rest = materialize(rest.join(candidates, ["src", "dst"], "left_anti"), "line-rest")
     return found if rest.isEmpty() else found.union(_verified(rest, described))
 
 
+def _shared_keys(described: DataFrame) -> DataFrame:
+    """``key, node, fp, chars`` for the keys that more than one description has; most keys are unique and are only counted.
+
+    They are counted by 32 bits and let pass by a fixed-size bitmap, so some unique ones come with them.
+    """
+    half = F.shiftright("key", 32).cast("int")
+    twice = described.select(F.explode("keys").alias("key")).select(half.alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
+    words = described.sparkSession.sparkContext.broadcast(bitmap(twice.select(F.shiftleft(F.col("half").cast("long"), 32).alias("h")), "h"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            owner = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
+            at = np.flatnonzero(in_bitmap(words.value, keys))
+            owner = owner.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), *[batch.column(c).take(owner) for c in ("node", "fp", "chars")]], names=["key", "node", "fp", "chars"])
+
+    return described.select("keys", "node", "fp", "chars").mapInArrow(run, "key long, node long, fp long, chars int")
+
+
+def _evident(pairs: DataFrame) -> DataFrame:
+    """``src, dst`` of the pairs that share a block that is no word pair, or two blocks, or nearly all bits."""
+    one = F.max(F.col("key").bitwiseAND(1)) == 1
+    return pairs.groupBy("src", "dst").agg((one | (F.min("key") < F.max("key")) | (F.min("bits") <= SURE)).alias("evident")).where("evident").select("src", "dst")
+
+
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """The pairs of an edit similarity of 0.8 or more; only forms that a fixed-size bitmap of their nodes lets pass are moved."""
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
