@@ -19,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,36 +32,37 @@ END_ID = 1
 
 
 def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Whole windows and the remainder of every document: ``did, start, length, ids_crc32, doc_tokens, salt`` (and ``ids``).
+    """Whole windows and the remainder of every document: ``did, start, length, ids_crc32, doc_tokens, salt, piece`` (and ``ids``).
 
-    ``salt`` numbers the pieces of a task round robin; it only spreads equal lengths over tasks.
+    ``salt`` numbers the pieces of a task round robin; it only spreads equal lengths over tasks.  ``piece`` is a number of
+    its own for each piece of the written table.
     """
     spark = docs.sparkSession
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        enc, salt = encoder(path, True), 0
+        enc, salt, piece = encoder(path, True), 0, TaskContext.get().partitionId() << 33
         for batch in small(batches):
             names, texts = batch.column("did").to_pylist(), batch.column("text").to_pylist()
             for i, j in text_groups(texts):
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(8)]
                 for did, own in zip(names[i:j], enc.encode_many(texts[i:j]), strict=True):
                     own += end
                     n = len(own) // 4
                     for s in range(0, n, window):
                         part = own[4 * s : 4 * (s + window)]
-                        salt = (salt + 1) % salts
-                        for c, v in zip(cols, (did, s, len(part) // 4, zlib.crc32(part), n, salt, part), strict=True):
+                        salt, piece = (salt + 1) % salts, piece + 1
+                        for c, v in zip(cols, (did, s, len(part) // 4, zlib.crc32(part), n, salt, piece, part), strict=True):
                             c.append(v)
-                arrays = [pa.array(c, pa.int64()) for c in cols[:6]]
-                out_names = ["did", "start", "length", "ids_crc32", "doc_tokens", "salt"]
+                arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
+                out_names = ["did", "start", "length", "ids_crc32", "doc_tokens", "salt", "piece"]
                 if with_ids:
-                    arrays.append(pa.array(cols[6], pa.binary()))
+                    arrays.append(pa.array(cols[7], pa.binary()))
                     out_names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=out_names)
 
-    schema = "did long, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids
+    schema = "did long, start long, length long, ids_crc32 long, doc_tokens long, salt long, piece long" + ", ids binary" * with_ids
     return materialize(keyed(docs).mapInArrow(run, schema), "pieces")
 
 
@@ -175,9 +177,13 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Every piece with its sequence: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``)."""
+    """Every piece with its sequence: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
+
+    The ids (little-endian unsigned 32-bit numbers) are not ranked with the pieces; they join their places by the piece's number.
+    """
     spark = docs.sparkSession
-    rows = pieces(docs, path, window, end_id, with_ids)
+    whole = pieces(docs, path, window, end_id, with_ids)
+    rows = whole.drop("ids")
     counts = materialize(rows.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -188,4 +194,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID, w
     # the slot table has a bounded number of rows whatever the data, hence the broadcast
     hit = placed.join(F.broadcast(at), "length").where("rank >= low and rank < high")
     cols = [doc_id_of(), "start", "length", "ids_crc32", "doc_tokens", F.expr("sequence + (rank - low) div per").alias("sequence_id"), F.expr("offset + (rank - low) % per * length").alias("offset")]
-    return hit.select(*cols, *(["ids"] if with_ids else []))
+    if not with_ids:
+        return hit.select(*cols)
+    places = materialize(hit.select("piece", *cols), "places")
+    return places.join(whole.select("piece", "ids"), "piece").drop("piece")

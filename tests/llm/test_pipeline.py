@@ -57,6 +57,7 @@ def test_whole_run_packs_what_is_kept(spark, folder):
         assert sum(r.length for r in own) * 4 == len(ids) and all(r.length <= 2048 for r in own)
         assert all(r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) for r in own)
     assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
 
 
 def test_empty_tables(spark, folder, tmp_path):
