@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages; each takes what its predecessor kept.
 
 quality rules -> line dedup -> SimHash near-dedup -> benchmark decontamination -> packing.
-All but the last return the columns of ``documents``; the last returns where each piece of a document lies in
-the packed sequences (``packing.pack`` gives the ids with it if asked ``with_ids=True``).
+All but the last return the columns of ``documents``; the last returns the packed pieces, each with its ids and where it
+lies in the sequences.
 
 Null and empty texts have too few words and go in the first stage.  Of rows equal in id and text one stays.  A null id
 is an id of its own in every stage; ties go to the smaller (doc_id, text hash).  Long texts are worked on whole.
@@ -39,8 +39,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 ids with their sequence and offset."""
-    return packing.pack(docs, registry.vocabulary("word_bpe_49k.json"))
+    """Pieces of at most 2048 ids, and the ids, with their sequence and offset."""
+    return packing.pack(docs, registry.vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
