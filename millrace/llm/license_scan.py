@@ -1,24 +1,37 @@
 """License scans: Dice coefficient over word bigrams against licence templates, DataFrame functions only.
 
 Segments of a text are its lines, the sentences of lines that have several, its paragraphs of several lines (up
-to a blank line), and the whole text if it has several paragraphs.  A segment with a different bigrams can reach
-Dice ``t`` only with templates of a*t/(2-t) to a*(2-t)/t bigrams, so candidates are joined on the segment's size.
-Before any bigram is built, segments leave that have too few words, or none of the words that more than a third
-of each template's bigrams hold: at Dice 0.8 two thirds of a template's bigrams are in the segment.
+to a blank line), runs of up to ``RUN`` consecutive paragraphs, and the whole text if it has several paragraphs.  A segment
+with a different bigrams can reach Dice ``t`` only with templates of a*t/(2-t) to a*(2-t)/t bigrams, so candidates are joined
+on the segment's size.  At Dice 0.8 two thirds of a template's bigrams are in the segment.  So texts are passed over, before anything
+is split, that have none of the stems that more than a third of each template's bigrams hold; and segments
+leave, before any bigram is built, that have too few words, or none of the words that hold as many.
+
+A text's licence is the best match; the bare reservation of rights counts only where nothing else matches.
 
 A null or empty text has no segment and matches nothing; a tie goes to the first name; long texts are scanned whole;
-a licence of several paragraphs inside a longer text is found by its paragraphs alone; repeated rows are each
+a licence of more than ``RUN`` paragraphs inside a longer text is found by parts of it alone; repeated rows are each
 reported; other columns are not read, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_id_of, keyed
 
 THRESHOLD = 0.8
+#: Paragraphs in a row that are compared together.
+RUN = 8
+#: Parts of words that most notices have; ``stems_of`` adds what other templates need.
+STEMS = ("licen", "under", "copyright", "software", "permission", "distribut", "warrant")
+#: Letters of a word that is no stem by itself.
+SHORT_WORD = 4
+RESERVED = "all-rights-reserved"
 
 _GPL_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details. You should have received a copy of the GNU {} along with this program. If not, see <https://www.gnu.org/licenses/>."
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
@@ -42,7 +55,12 @@ def _gnu(name: str, version: str, later: str, separator: str = ":") -> list[str]
 
 def _short(*names: str) -> list[str]:
     """One-line notices of a licence."""
-    return [f"{verb} under {name}." for name in names for verb in ("Licensed", "Released")]
+    return [f"{verb} under {name}." for name in names for verb in ("Licensed", "Released", "Distributed")]
+
+
+def _spdx(name: str) -> list[str]:
+    """The line of a source file that names its licence."""
+    return [f"SPDX-License-Identifier: {name}" + end for end in (("-only", "-or-later") if "GPL" in name else ("",))]
 
 
 # Licence notices and short licences as published, by SPDX name.
@@ -66,8 +84,11 @@ TEMPLATES = {
     "MPL-2.0": [*_short("the Mozilla Public License, version 2.0"), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": [_UNLICENSE],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."],
-    "all-rights-reserved": ["Copyright. All rights reserved."],
+    RESERVED: ["Copyright. All rights reserved."],
 }
+for _name, _texts in TEMPLATES.items():
+    if _name != RESERVED:
+        _texts += _spdx(_name)
 
 
 #: Stands for the end of a sentence inside a line.
@@ -89,9 +110,9 @@ def bigram_set(words):
     return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
 
 
-def template_table(spark: SparkSession, templates: dict[str, list[str]], threshold: float) -> tuple[DataFrame, int, list[str]]:
+def template_table(spark: SparkSession, templates: dict[str, list[str]], threshold: float) -> tuple[DataFrame, int, list[str], list[str]]:
     """``size, name, b_size, grams``: one row for each template and each segment size that may match it; the least size;
-    and words of which every segment at the threshold has one.
+    words of which every segment at the threshold has one; stems of which every text with such a segment has one.
 
     As many rows as the fixed templates allow, whatever the data.
     """
@@ -110,19 +131,40 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]], thresho
             cover.add(word)
             left = [g for g in left if word not in g.split(" ")]
     table = spark.createDataFrame(rows, "low int, high int, name string, b_size int, grams array<string>").select(F.explode(F.sequence("low", "high")).alias("size"), "name", "b_size", "grams")
-    return table, min(r["low"] for r in rows), sorted(cover)
+    return table, min(r["low"] for r in rows), sorted(cover), stems_of([list(r["grams"]) for r in rows], threshold)
+
+
+def stems_of(grams: list[list[str]], threshold: float) -> list[str]:
+    """Strings (or two words) of which every text with a segment at the threshold has one: ``STEMS``, and more where they are too few."""
+    out = set(STEMS)
+    for own in grams:
+        left = [g for g in own if not any(x in word for x in out for word in g.split(" "))]
+        words = sorted({w for g in left for w in g.split(" ")}, key=lambda w: (-len(w), w))
+        # a short word is a part of many others, so two words stand in its place
+        for word in [w for w in words if len(w) > SHORT_WORD] + left:
+            # fewer bigrams are left without a stem than a segment at the threshold shares
+            if len(left) < len(own) * threshold / (2 - threshold) - 1e-9:
+                break
+            out.add(word)
+            left = [g for g in left if word not in g]
+    return sorted(x for x in out if not any(y in x and y != x for y in out))
 
 
 def matches(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``did, rid, segment, name, dice`` of every segment and licence at or above the threshold."""
     spark = docs.sparkSession
-    table, least, cover = template_table(spark, templates or TEMPLATES, threshold)
-    rows = keyed(docs).select("did", "rid", normalised(F.coalesce("text", F.lit(""))).alias("t"))
+    table, least, cover, stems = template_table(spark, templates or TEMPLATES, threshold)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = keyed(docs).where(reduce(or_, [reduce(and_, [F.contains(low, F.lit(w)) for w in x.split(" ")]) for x in stems])).select("did", "rid", normalised(F.coalesce("text", F.lit(""))).alias("t"))
     lines = F.split("t", "\n")
     sentences = F.flatten(F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(STOP))), lambda x: F.split(x, STOP)))
     paragraphs = F.filter(F.split("t", r"\n[ \n\x01]*\n"), lambda p: F.contains(F.trim(p), F.lit("\n")))
+    every = F.split("t", r"\n[ \n\x01]*\n")
+    n = F.size(every)
+    several = lambda i: F.transform(F.sequence(i + 1, F.least(i + RUN - 1, n)), lambda j: F.array_join(F.slice(every, i, j - i + 1), "\n"))
+    runs = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), several))).otherwise(F.array().cast("array<string>"))
     whole = F.when(F.col("t").rlike(r"\n[ \n\x01]*\n"), F.array("t")).otherwise(F.array().cast("array<string>"))
-    segments = rows.select("did", "rid", F.posexplode(F.concat(lines, sentences, paragraphs, whole)).alias("segment", "s"))
+    segments = rows.select("did", "rid", F.posexplode(F.concat(lines, sentences, paragraphs, runs, whole)).alias("segment", "s"))
     worded = segments.select("did", "rid", "segment", words_in(F.col("s")).alias("w")).where((F.size("w") > least) & F.arrays_overlap("w", F.lit(cover)))
     sized = worded.select("did", "rid", "segment", bigram_set(F.col("w")).alias("own")).withColumn("size", F.size("own"))
     pairs = sized.join(F.broadcast(table), "size").withColumn("dice", 2.0 * F.size(F.array_intersect("own", "grams")) / (F.col("size") + F.col("b_size")))
@@ -135,7 +177,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     ``license`` and ``dice`` are null and ``n_segments`` 0 where none matches.
     """
     best = matches(docs, templates, threshold).groupBy("did", "rid").agg(
-        F.min(F.struct((-F.col("dice")).alias("d"), "name")).alias("best"), F.countDistinct("segment").alias("n")
+        F.min(F.struct((F.col("name") == RESERVED).alias("reserved"), (-F.col("dice")).alias("d"), "name")).alias("best"), F.countDistinct("segment").alias("n")
     )
     every = keyed(docs).select("did", "rid")
     found = every.join(best, ["did", "rid"], "left")

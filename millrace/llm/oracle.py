@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import TEMPLATES, THRESHOLD
+from .license_scan import RESERVED, RUN, TEMPLATES, THRESHOLD
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -24,13 +24,14 @@ tg AS (SELECT name, tid, {grams} AS g FROM t),
 d AS (SELECT doc_id, row_number() OVER () AS rn, {norm % 'text'} AS body FROM documents),
 l AS (SELECT rn, unnest(string_split(body, chr(10))) AS seg FROM d),
 s AS (SELECT rn, seg FROM l UNION ALL SELECT rn, unnest(string_split(seg, chr(1))) FROM l WHERE contains(seg, chr(1))
-      UNION ALL SELECT rn, seg FROM (SELECT rn, unnest(regexp_split_to_array(body, {blank})) AS seg FROM d) WHERE contains(trim(seg), chr(10)) UNION ALL SELECT rn, body FROM d WHERE regexp_matches(body, {blank})),
+      UNION ALL SELECT rn, seg FROM (SELECT rn, unnest(regexp_split_to_array(body, {blank})) AS seg FROM d) WHERE contains(trim(seg), chr(10)) UNION ALL SELECT rn, body FROM d WHERE regexp_matches(body, {blank})
+      UNION ALL SELECT rn, array_to_string(p[i : j], chr(10)) FROM (SELECT rn, p, i, unnest(range(i + 1, least(i + {RUN - 1}, len(p)) + 1)) AS j FROM (SELECT rn, p, unnest(range(1, len(p))) AS i FROM (SELECT rn, regexp_split_to_array(body, {blank}) AS p FROM d)))),
 sw AS (SELECT rn, row_number() OVER () AS sid, {words % 'seg'} AS w FROM s),
 sg AS (SELECT rn, sid, {grams} AS g FROM sw),
 m AS (SELECT rn, sid, name, 2.0 * len(list_intersect(sg.g, tg.g)) / (len(sg.g) + len(tg.g)) AS dice
       FROM sg JOIN tg ON len(sg.g) BETWEEN len(tg.g) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(tg.g) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
 hit AS (SELECT * FROM m WHERE dice >= {THRESHOLD} - 1e-12),
-best AS (SELECT rn, name, dice, row_number() OVER (PARTITION BY rn ORDER BY dice DESC, name) AS r FROM hit),
+best AS (SELECT rn, name, dice, row_number() OVER (PARTITION BY rn ORDER BY name = '{RESERVED}', dice DESC, name) AS r FROM hit),
 cnt AS (SELECT rn, count(DISTINCT sid) AS n FROM hit GROUP BY rn)
 SELECT d.doc_id, best.name AS license, round(best.dice, 6) AS dice, coalesce(cnt.n, 0) AS n_segments
 FROM d LEFT JOIN best ON best.rn = d.rn AND best.r = 1 LEFT JOIN cnt ON cnt.rn = d.rn

@@ -175,6 +175,25 @@ def test_licences_in_texts(spark):
     assert got[2].dice > 0.95 and got[1].dice == 1.0
 
 
+def test_licences_of_source_files(spark):
+    """A header of several paragraphs above code, identifiers, short notices; a bare reservation gives way to a licence."""
+    T = license_scan.TEMPLATES
+    header = "/* Copyright (c) 2019, The Acme Corp.\n * All rights reserved.\n *\n * " + T["BSD-2-Clause"][4].replace("met: ", "met:\n *\n * 1. ").replace("disclaimer. ", "disclaimer.\n *\n * 2. ", 1).replace(" THIS SOFTWARE", "\n *\n * THIS SOFTWARE") + "\n */\n\nint main() {\n  return 0;\n}\n\nvoid f() {}\n"
+    texts = [header, "// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-3.0-or-later", "Distributed under the MIT license.", "Copyright 2019 The Acme Corp. All rights reserved.", "No rights, no software: nothing here is under a license.\n\nReally.\n\nNothing."]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(texts))] == ["BSD-2-Clause", "MIT", "GPL-3.0", "MIT", license_scan.RESERVED, None]
+
+
+def test_stems_pass_over_no_match(spark):
+    """Every template less the words with a stem is below the threshold."""
+    grams = [list(r.grams) for r in spark.createDataFrame([(t,) for ts in license_scan.TEMPLATES.values() for t in ts], "t string").select(license_scan.bigram_set(license_scan.words_in(license_scan.normalised(F.col("t")))).alias("grams")).collect()]
+    stems = license_scan.stems_of(grams, 0.8)
+    for own in grams:
+        rest = [g for g in own if not any(x in g for x in stems)]
+        assert 2 * len(rest) / (len(rest) + len(own)) < 0.8
+    assert len(stems) < 80 and min(map(len, stems)) > 4
+
+
 @pytest.mark.parametrize("name", ["op3_license_scan", "op8_quality_rules", "op9_decontaminate"])
 def test_registered_query_matches_its_sql(spark, name):
     import duckdb
