@@ -4,11 +4,10 @@ similarity, keep one occurrence of each connected group.
 A line's form is lower case without ASCII punctuation, its words joined by single spaces (the stripped
 line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its different words.  Its blocks are,
 by its length: for up to ``SHORT`` characters the line less each of its characters; for up to ``THIRDS`` characters each third; for 3 to 11 words the line less each of its
-words; for fewer than 12 words also the SimHashes of up to six runs of words (of at most 255 words each); for 6 words and more the
-smallest hashes of its pairs of neighbouring words, pairs of long words first.  By the pigeonhole principle one changed character of a
+words; for fewer than 12 words also the SimHashes of up to six runs of words; for 6 words and more every two near
+ones of the twelve smallest hashes of its pairs of neighbouring words, pairs of long words first.  By the pigeonhole principle one changed character of a
 short line, two replaced ones, one changed word of a line of 3 to 11 words, or edits that leave a run whole, leave a block equal.  Two forms
-are linked if they share a block (of the word pairs two, or one if the SimHashes differ in at most ``SURE`` bits), their SimHashes differ
-in at most ``DISTANCE`` bits (forms of up to ``SHORT`` characters: in any number) and their edit similarity is at least 0.8.
+are linked if they share a block, their SimHashes differ in at most ``DISTANCE`` bits (forms of up to ``SHORT`` characters: in any number) and their edit similarity is at least 0.8.
 Of each group of linked forms the first occurrence in (doc_id, text hash, line number) order stays, all others are removed.
 
 Inside a block's bucket each member is first compared with the nearest ones by SimHash.  Only members that this leaves in
@@ -44,10 +43,9 @@ PARTS, LEAST_PART = 6, 3
 SHORT, FEW = 32, (3, 12)
 #: Characters of a line that is also looked up by its thirds.
 THIRDS = 48
-#: Lines of so many words and more have word pairs as blocks: the smallest hashes for 12 to 29 words, and for all others.
-PAIRED, PAIRS = 6, (8, 10)
-#: Bits of the SimHash in which two lines that share a single word pair may differ.
-SURE = 16
+#: Lines of so many words and more have pairs of neighbouring words as blocks, two at a time: those of so many smallest hashes,
+#: so far apart in their order (the second number for lines of fewer than ``FEW[1]`` words).
+PAIRED, PAIRS, REACH = 6, 12, (3, 4)
 #: Letters of two words that make them a long pair.
 LONG_PAIR = 9
 #: Forms in one bucket beyond which it is dealt out again by the whole SimHash; how often.
@@ -95,8 +93,8 @@ def _majority(lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return np.packbits(2 * sums.astype(np.uint16) > (end - start)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def blocks_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each form's SimHash over its words, and the keys of its blocks (a row for each form, 0 for none)."""
+def blocks_of(forms: list[bytes], runs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Each form's SimHash over its words, and the keys of its runs of words if asked for (a row for each form, 0 for none)."""
     whole, keys = np.zeros(len(forms), np.uint64), np.zeros((len(forms), PARTS), np.uint64)
     start = 0
     while start < len(forms):
@@ -124,7 +122,7 @@ def blocks_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             for a in range(edge[i], edge[i] + n_once[i], 255):
                 counts += distinct[a : min(a + 255, edge[i] + n_once[i])].sum(axis=0).view(np.uint8)
             whole[start + i] = np.packbits(2 * counts > n_once[i], bitorder="little").view("<u8")[0]
-        for p in range(PARTS):
+        for p in range(PARTS if runs else 0):
             k = p // 2 + 1
             own = np.flatnonzero(k * size <= n)
             a = at[own] + ((k - 1) * size[own] if p % 2 == 0 else n[own] - k * size[own])
@@ -161,7 +159,8 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the form and key of blocks that also hold when every run of words has an edit.
 
     A line of up to ``SHORT`` characters: the line less each of its characters; of up to ``THIRDS``: each third.  One of 3 to 11 words: the line less each of
-    its words.  One of 6 words and more: the smallest hashes of its pairs of neighbouring words.
+    its words.  One of 6 words and more: every two near ones of the smallest hashes of its pairs
+    of neighbouring words.
     """
     owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for i, form in enumerate(forms):
@@ -193,7 +192,7 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             if len(at):
                 own = _few_words(words, first[at], k)
                 owner.append(np.repeat(at + start, k + 1))
-                keys.append(own.ravel() | np.uint64(1))
+                keys.append(own.ravel())
         many = np.flatnonzero(n >= PAIRED)
         if len(many):
             line = np.repeat(np.arange(len(n)), n)
@@ -204,23 +203,30 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             pair = pair >> np.uint64(1) | (length[:-1] + length[1:] < LONG_PAIR).astype(np.uint64) << np.uint64(63)
             inside = np.flatnonzero((line[1:] == line[:-1]) & (n[line[1:]] >= PAIRED))
             # the line above, the hash below: one sort gives each line's smallest
-            code = np.unique(line[inside].astype(np.uint64) << np.uint64(44) | pair[inside] >> np.uint64(20))
+            code = np.sort(line[inside].astype(np.uint64) << np.uint64(44) | pair[inside] >> np.uint64(20))
+            code = code[np.concatenate([[True], code[1:] != code[:-1]])]
             own = (code >> np.uint64(44)).astype(np.int64)
-            place = np.arange(len(own)) - np.searchsorted(own, own)
-            least = place < np.where((n[own] >= FEW[1]) & (n[own] < 30), *PAIRS)
-            owner.append(own[least] + start)
-            keys.append((code[least] & np.uint64((1 << 44) - 1)) * _MIX & ~np.uint64(1))
+            first_of = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            held = np.diff(np.append(first_of, len(own)))
+            value = (code & np.uint64((1 << 44) - 1)) * _MIX
+            for i in range(PAIRS):
+                for j in range(i + 1, min(i + 1 + REACH[1], PAIRS)):
+                    at = first_of[(held > j) & ((j - i <= REACH[0]) | (n[own[first_of]] < FEW[1]))]
+                    both = (value[at + i] * np.uint64(3) + value[at + j]) * _MIX
+                    owner.append(own[at] + start)
+                    keys.append(both ^ both >> np.uint64(31))
         start = end
     return np.concatenate(owner), np.concatenate(keys)
 
 
 def all_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each form's SimHash; the keys of all its blocks, and where each form's begin.  Keys of word pairs are even, all others odd."""
-    fp, runs = blocks_of(forms)
-    few = np.array([f.count(b" ") + 1 < FEW[1] for f in forms], dtype=bool)
-    owner, place = np.nonzero((runs != 0) & few[:, None])
+    """Each form's SimHash; the keys of all its blocks, and where each form's begin."""
+    fp = blocks_of(forms, False)[0]
+    few = np.array([i for i, f in enumerate(forms) if f.count(b" ") + 1 < FEW[1]], dtype=np.int64)
+    runs = blocks_of([forms[i] for i in few])[1]
+    at, place = np.nonzero(runs)
     more, keys = more_blocks(forms)
-    owner, keys = np.concatenate([owner, more]), np.concatenate([runs[owner, place], keys])
+    owner, keys = np.concatenate([few[at], more]), np.concatenate([runs[at, place], keys])
     order = np.lexsort((keys, owner))
     owner, keys = owner[order], keys[order]
     once = np.ones(len(owner), bool)
@@ -362,7 +368,7 @@ def _buckets(batches, crowd: int | None, columns: tuple[str, ...], settle):
 
 
 def _first_look(crowd: int | None):
-    """Kind 0: pairs of a member and its nearest ones, with the bits they differ in as ``chars``.  Kind 1: members of buckets of three and more, for the second look."""
+    """Kind 0: pairs of a member and its nearest ones.  Kind 1: members of buckets of three and more, for the second look."""
 
     def settle(rows, start, size):
         key, node, fp, chars = rows
@@ -374,7 +380,7 @@ def _first_look(crowd: int | None):
             a.append(x + s)
             b.append(y + s)
         a, b = np.concatenate(a), np.concatenate(b)
-        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).astype(np.int32))
+        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], chars[a].astype(np.int32))
         more = np.repeat(size > 2, size)
         yield _rows(1, key[more], node[more], node[more], fp[more], chars[more].astype(np.int32))
 
@@ -390,7 +396,7 @@ def _second_look(batches):
             a.append(x + s)
             b.append(y + s)
         a, b = np.concatenate(a), np.concatenate(b)
-        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).astype(np.int32))
+        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], chars[a].astype(np.int32))
 
     yield from _buckets(batches, None, ("key", "node", "fp", "chars", "group"), settle)
 
@@ -407,7 +413,6 @@ def _split(batches):
         for b, mask in enumerate(blocks):
             own = (key.view(np.uint64) ^ ((fp.view(np.uint64) & np.uint64(mask)) + np.uint64(b + 1)) * _MIX) * np.uint64(0xC2B2AE3D27D4EB4F)
             own ^= own >> np.uint64(31)
-            own = own & ~np.uint64(1) | key.view(np.uint64) & np.uint64(1)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(node), pa.array(fp), pa.array(chars)], names=["key", "node", "fp", "chars"])
 
 
@@ -424,14 +429,12 @@ def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
             break
         rows = crowded.select("key", F.col("src").alias("node"), "fp", "chars").mapInArrow(_split, "key long, node long, fp long, chars int")
     both = looks[0] if len(looks) == 1 else looks[0].union(looks[1])
-    pairs = both.where("kind = 0").select("key", "src", "dst", F.col("chars").alias("bits"))
-    candidates = materialize(_evident(pairs), "line-pairs")
+    candidates = materialize(both.where("kind = 0").select("src", "dst").distinct(), "line-pairs")
     found = materialize(_verified(candidates, described), "line-links")
     members = both.where("kind = 1").select("key", F.col("src").alias("node"), "fp", "chars")
     tagged = members.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
     # pairs leave only those buckets that the first look has left in more than one group
-    rest = _dealt(tagged.select("key", "node", "fp", "chars", "group"), _second_look).select("key", "src", "dst", F.col("chars").alias("bits"))
-    rest = _evident(rest.union(pairs))
+    rest = _dealt(tagged.select("key", "node", "fp", "chars", "group"), _second_look).select("src", "dst").distinct()
     rest = materialize(rest.join(candidates, ["src", "dst"], "left_anti"), "line-rest")
     return found if rest.isEmpty() else found.union(_verified(rest, described))
 
@@ -457,12 +460,6 @@ def _shared_keys(described: DataFrame) -> DataFrame:
     return described.select("keys", "node", "fp", "chars").mapInArrow(run, "key long, node long, fp long, chars int")
 
 
-def _evident(pairs: DataFrame) -> DataFrame:
-    """``src, dst`` of the pairs that share a block that is no word pair, or two blocks, or nearly all bits."""
-    one = F.max(F.col("key").bitwiseAND(1)) == 1
-    return pairs.groupBy("src", "dst").agg((one | (F.min("key") < F.max("key")) | (F.min("bits") <= SURE)).alias("evident")).where("evident").select("src", "dst")
-
-
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """The pairs of an edit similarity of 0.8 or more; only forms that a fixed-size bitmap of their nodes lets pass are moved."""
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
