@@ -10,7 +10,8 @@ of the language's rows) outside the held-out fold; an n-gram belongs to a langua
 the language's amount of text, and not much rarer than in the language where it is most frequent.
 
 A null text or one without a letter is ``und`` with score 0.  Rows without a label teach nothing.
-Without any labelled row every text is ``und``.  Long texts are read whole.  A tie goes to the first label, and so does a
+Without any labelled row every text is ``und``.  Long texts are read whole, in blocks of 2**18 characters
+that are padded like texts of their own.  A tie goes to the first label, and so does a
 text of which no language knows an n-gram, with score 0.  Repeated rows teach once and are each predicted.  Other columns
 are not read, whatever their names.  An empty table gives no row.
 """
@@ -47,7 +48,15 @@ def codes(text: str) -> np.ndarray:
     points = np.where(letter, points, np.uint64(32))
     keep = np.ones(len(points), dtype=bool)
     keep[1:] = letter[1:] | letter[:-1]
-    points = np.concatenate([[np.uint64(32)], points[keep], [np.uint64(32)]])
+    return _rolled(np.concatenate([[np.uint64(32)], points[keep], [np.uint64(32)]]))
+
+
+def codes_of_grams(grams: list[str]) -> np.ndarray:
+    """The codes of n-grams given as strings of ``NGRAM`` characters."""
+    return np.concatenate([_rolled(np.array([ord(c) for c in g], np.uint64)) for g in grams])
+
+
+def _rolled(points: np.ndarray) -> np.ndarray:
     if len(points) < NGRAM:
         return np.zeros(0, np.uint64)
     n = len(points) - NGRAM + 1
