@@ -155,20 +155,20 @@ def _short_line(text: str) -> set[int]:
     return {xxhash.xxh64_intdigest(x, 3) for x in (text, *less)} | {xxhash.xxh64_intdigest(x, 4) for x in parts}
 
 
-def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the form and key of blocks that also hold when every run of words has an edit.
+def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the form and key of blocks that also hold when every run of words has an edit; number of the form and value of word pairs.
 
-    A line of up to ``SHORT`` characters: the line less each of its characters; of up to ``THIRDS``: each third.  One of 3 to 11 words: the line less each of
-    its words.  One of 6 words and more: every two near ones of the smallest hashes of its pairs
-    of neighbouring words.
+    A line of up to ``SHORT`` characters: the line less each of its characters; of up to ``THIRDS``: each third.  One of 3 to 11
+    words: the line less each of its words.  One of 6 words and more: the smallest hashes of its pairs of neighbouring words in order.
     """
     owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    paired, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for i, form in enumerate(forms):
         if len(form) > 4 * THIRDS or len(text := form.decode()) > THIRDS:
             continue
         own = _short_line(text)
         owner.append(np.full(len(own), i))
-        keys.append(np.fromiter(own, np.uint64, len(own)) | np.uint64(1))
+        keys.append(np.fromiter(own, np.uint64, len(own)))
     start = 0
     while start < len(forms):
         end, size = start, 0
@@ -193,8 +193,7 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 own = _few_words(words, first[at], k)
                 owner.append(np.repeat(at + start, k + 1))
                 keys.append(own.ravel())
-        many = np.flatnonzero(n >= PAIRED)
-        if len(many):
+        if (n >= PAIRED).any():
             line = np.repeat(np.arange(len(n)), n)
             pair = (words[:-1] * np.uint64(3) + words[1:]) * _MIX
             pair ^= pair >> np.uint64(32)
@@ -206,39 +205,66 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             code = np.sort(line[inside].astype(np.uint64) << np.uint64(44) | pair[inside] >> np.uint64(20))
             code = code[np.concatenate([[True], code[1:] != code[:-1]])]
             own = (code >> np.uint64(44)).astype(np.int64)
-            first_of = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            held = np.diff(np.append(first_of, len(own)))
-            value = (code & np.uint64((1 << 44) - 1)) * _MIX
-            for i in range(PAIRS):
-                for j in range(i + 1, min(i + 1 + REACH[1], PAIRS)):
-                    at = first_of[(held > j) & ((j - i <= REACH[0]) | (n[own[first_of]] < FEW[1]))]
-                    both = (value[at + i] * np.uint64(3) + value[at + j]) * _MIX
-                    owner.append(own[at] + start)
-                    keys.append(both ^ both >> np.uint64(31))
+            least = np.arange(len(own)) - np.searchsorted(own, own) < PAIRS
+            paired.append(own[least] + start)
+            values.append(code[least] & np.uint64((1 << 44) - 1))
         start = end
+    return tuple(np.concatenate(x) for x in (owner, keys, paired, values))
+
+
+def _two_at_a_time(paired: np.ndarray, values: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the form and key of every two near word pairs; ``few``: whether a form has less than ``FEW[1]`` words."""
+    first = np.flatnonzero(np.concatenate([[True], paired[1:] != paired[:-1]])) if len(paired) else np.zeros(0, np.int64)
+    held, form = np.diff(np.append(first, len(paired))), paired[first]
+    value = values * _MIX
+    owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i in range(PAIRS):
+        for j in range(i + 1, min(i + 1 + REACH[1], PAIRS)):
+            on = (held > j) & ((j - i <= REACH[0]) | few[form])
+            both = (value[first[on] + i] * np.uint64(3) + value[first[on] + j]) * _MIX
+            owner.append(form[on])
+            keys.append(both ^ both >> np.uint64(31))
     return np.concatenate(owner), np.concatenate(keys)
 
 
-def all_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each form's SimHash; the keys of all its blocks, and where each form's begin."""
+def described_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
+    """Each form's SimHash, whether it has few words, and its keys and its word pairs: values, and where each form's begin."""
     fp = blocks_of(forms, False)[0]
-    few = np.array([i for i, f in enumerate(forms) if f.count(b" ") + 1 < FEW[1]], dtype=np.int64)
-    runs = blocks_of([forms[i] for i in few])[1]
+    few = np.array([f.count(b" ") + 1 < FEW[1] for f in forms], dtype=bool)
+    short = np.flatnonzero(few)
+    runs = blocks_of([forms[i] for i in short])[1]
     at, place = np.nonzero(runs)
-    more, keys = more_blocks(forms)
-    owner, keys = np.concatenate([few[at], more]), np.concatenate([runs[at, place], keys])
+    more, keys, paired, values = more_blocks(forms)
+    owner, keys = np.concatenate([short[at], more]), np.concatenate([runs[at, place], keys])
+    order = np.argsort(owner, kind="stable")
+    ends = lambda own: np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(forms)))])
+    return fp, few, (keys[order], ends(owner)), (values, ends(paired))
+
+
+def expanded(few: np.ndarray, keys: np.ndarray, ends: np.ndarray, values: np.ndarray, pair_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the form and key of all blocks, each once, by form."""
+    number = np.arange(len(few))
+    own, both = _two_at_a_time(np.repeat(number, np.diff(pair_ends)), values, few)
+    owner, keys = np.concatenate([np.repeat(number, np.diff(ends)), own]), np.concatenate([keys, both])
     order = np.lexsort((keys, owner))
     owner, keys = owner[order], keys[order]
     once = np.ones(len(owner), bool)
     once[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
-    return fp, keys[once], np.concatenate([[0], np.cumsum(np.bincount(owner[once], minlength=len(forms)))])
+    return owner[once], keys[once]
 
 
-_LINES = "did long, rid long, line int, node long, fp long, chars int, keys array<long>, form string"
+def all_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each form's SimHash; the keys of all its blocks, and where each form's begin."""
+    fp, few, (keys, ends), (values, pair_ends) = described_blocks(forms)
+    owner, keys = expanded(few, keys, ends, values, pair_ends)
+    return fp, keys, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(forms)))])
+
+
+_LINES = "did long, rid long, line int, node long, fp long, chars int, few boolean, keys array<long>, pairs array<long>, form string"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``did, rid, line, node (hash of the form)`` of every line that is not blank; where a task meets a form first, also ``fp, chars, keys, form``."""
+    """``did, rid, line, node (hash of the form)`` of every line that is not blank; where a task meets a form first, also ``fp, chars, few, keys, pairs, form``."""
 
     def run(batches):
         seen: set[int] = set()
@@ -260,15 +286,15 @@ def lines(docs: DataFrame) -> DataFrame:
                     if len(seen) > SEEN:
                         seen = set()
                     fresh = [forms[j] for j in new]
-                    fp, keys, ends = all_blocks(fresh)
+                    fp, few, *lists = described_blocks(fresh)
                     texts_of = [f.decode() for f in fresh]
                     place = np.full(len(forms), -1, np.int64)
                     place[new] = np.arange(len(new))
                     take = pa.array(place, mask=place < 0)
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))
-                    described = [pa.array(fp.view(np.int64)), pa.array([len(t) for t in texts_of], pa.int32()), lists, pa.array(texts_of, pa.string())]
+                    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))) for values, ends in lists]
+                    described = [pa.array(fp.view(np.int64)), pa.array([len(t) for t in texts_of], pa.int32()), pa.array(few), *lists, pa.array(texts_of, pa.string())]
                     at = np.array(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(rid[at]), pa.array(number, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), *[c.take(take) for c in described]], names=["did", "rid", "line", "node", "fp", "chars", "keys", "form"])
+                    yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(rid[at]), pa.array(number, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), *[c.take(take) for c in described]], names=["did", "rid", "line", "node", "fp", "chars", "few", "keys", "pairs", "form"])
                     owner, number, forms = [], [], []
 
     return keyed(docs).mapInArrow(run, _LINES)
@@ -444,20 +470,29 @@ def _shared_keys(described: DataFrame) -> DataFrame:
 
     They are counted by 32 bits and let pass by a fixed-size bitmap, so some unique ones come with them.
     """
-    half = F.shiftright("key", 32).cast("int")
-    twice = described.select(F.explode("keys").alias("key")).select(half.alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
+
+    def blocks(batch):
+        few = batch.column("few").to_numpy(zero_copy_only=False)
+        lists = [(x.flatten().to_numpy().view(np.uint64), x.offsets.to_numpy() - x.offsets[0].as_py()) for x in (batch.column("keys"), batch.column("pairs"))]
+        return expanded(few, *lists[0], *lists[1])
+
+    def halves(batches):
+        for batch in batches:
+            half, n = np.unique(blocks(batch)[1] >> np.uint64(32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(half.astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int32))], names=["half", "n"])
+
+    source = described.select("node", "fp", "chars", "few", "keys", "pairs")
+    twice = source.mapInArrow(halves, "half int, n int").groupBy("half").agg(F.sum("n").alias("n")).where("n > 1")
     words = described.sparkSession.sparkContext.broadcast(bitmap(twice.select(F.shiftleft(F.col("half").cast("long"), 32).alias("h")), "h"))
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("keys")
-            keys = lists.flatten().to_numpy().view(np.uint64)
-            owner = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
+            owner, keys = blocks(batch)
             at = np.flatnonzero(in_bitmap(words.value, keys))
-            owner = owner.take(pa.array(at))
+            owner = pa.array(owner[at])
             yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), *[batch.column(c).take(owner) for c in ("node", "fp", "chars")]], names=["key", "node", "fp", "chars"])
 
-    return described.select("keys", "node", "fp", "chars").mapInArrow(run, "key long, node long, fp long, chars int")
+    return source.mapInArrow(run, "key long, node long, fp long, chars int")
 
 
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
