@@ -129,6 +129,21 @@ def a4_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decisions(spark, sf_dir)
 
 
+_OUTSIDE = "concat(CASE event_id % 5 WHEN 0 THEN 'write_' WHEN 1 THEN 'get_' WHEN 2 THEN 'Delete_' WHEN 3 THEN 'output_' ELSE 'x' END, event_type)"
+
+
+@query(f"""WITH n AS (SELECT event_id AS call_id, {_OUTSIDE} AS name, auto FROM events, (VALUES (TRUE), (FALSE)) t(auto)),
+p AS (SELECT *, CASE WHEN name = 'get_click' THEN 'deny' WHEN regexp_matches(lower(name), '{audit.MUTATING}') THEN 'ask' ELSE 'allow' END AS own FROM n)
+SELECT call_id, name, auto, CASE WHEN own = 'ask' AND auto THEN 'auto' ELSE own END AS policy, own = 'allow' OR (own = 'ask' AND auto) AS allowed FROM p""")
+def a4_outside_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools from outside, asked about where their name says that they change things; with and without approving by itself."""
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.expr(_OUTSIDE).alias("name"))
+    catalog = calls.select("name").distinct().select("name", audit.external_policy(F.col("name"), F.lit("allow")).alias("default_policy"))
+    overrides = spark.createDataFrame([("get_click", "deny")], "name string, override string")
+    both = [audit.decide(calls, catalog, overrides, auto_approve=auto).withColumn("auto", F.lit(auto)) for auto in (True, False)]
+    return both[0].unionByName(both[1])
+
+
 @query(f"{_DECIDED} SELECT model, count(*) AS checks, count(*) FILTER (WHERE NOT allowed) AS denied, string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE NOT allowed) AS denied_tools FROM a GROUP BY model")
 def a5_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_summary(_decisions(spark, sf_dir), "model").withColumn("denied_tools", F.array_join("denied_tools", ","))
