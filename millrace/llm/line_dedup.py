@@ -466,10 +466,18 @@ def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def _shared_keys(described: DataFrame) -> DataFrame:
-    """``key, node, fp, chars`` for the keys that more than one description has; most keys are unique and are only counted.
+    """``key, node, fp, chars`` for the keys that more than one form has; most keys are unique and are only counted.
 
-    They are counted by 32 bits and let pass by a fixed-size bitmap, so some unique ones come with them.
+    They are counted by 32 bits and let pass by a fixed-size bitmap, so some unique ones come with them.  Of a form that several
+    tasks have described the one of the least place counts (by a bitmap again, so a few more may).
     """
+    spark = described.sparkSession
+    placed = described.withColumn("place", F.xxhash64("node", "did", "rid", "line"))
+    first = placed.groupBy("node").agg(F.min("place").alias("place"))
+    known = spark.sparkContext.broadcast(bitmap(first, "place"))
+
+    def chosen(batch):
+        return batch.take(pa.array(np.flatnonzero(in_bitmap(known.value, batch.column("place").to_numpy().view(np.uint64)))))
 
     def blocks(batch):
         few = batch.column("few").to_numpy(zero_copy_only=False)
@@ -477,16 +485,16 @@ def _shared_keys(described: DataFrame) -> DataFrame:
         return expanded(few, *lists[0], *lists[1])
 
     def halves(batches):
-        for batch in batches:
+        for batch in map(chosen, batches):
             half, n = np.unique(blocks(batch)[1] >> np.uint64(32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(half.astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int32))], names=["half", "n"])
 
-    source = described.select("node", "fp", "chars", "few", "keys", "pairs")
+    source = placed.select("node", "place", "fp", "chars", "few", "keys", "pairs")
     twice = source.mapInArrow(halves, "half int, n int").groupBy("half").agg(F.sum("n").alias("n")).where("n > 1")
-    words = described.sparkSession.sparkContext.broadcast(bitmap(twice.select(F.shiftleft(F.col("half").cast("long"), 32).alias("h")), "h"))
+    words = spark.sparkContext.broadcast(bitmap(twice.select(F.shiftleft(F.col("half").cast("long"), 32).alias("h")), "h"))
 
     def run(batches):
-        for batch in batches:
+        for batch in map(chosen, batches):
             owner, keys = blocks(batch)
             at = np.flatnonzero(in_bitmap(words.value, keys))
             owner = pa.array(owner[at])
