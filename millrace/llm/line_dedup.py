@@ -3,7 +3,7 @@ similarity, keep one occurrence of each connected group.
 
 A line's form is lower case without ASCII punctuation, its words joined by single spaces (the stripped
 line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its different words.  Its blocks are,
-by its length: for up to ``SHORT`` characters the line less each of its characters; for up to ``THIRDS`` characters each third; for 3 to 11 words the line less each of its
+by its length: for up to ``SHORT`` characters the line less each of its characters; for up to ``THIRDS`` characters each third of ``LEAST_THIRD`` and more; for 3 to 11 words the line less each of its
 words; for fewer than 12 words also the SimHashes of up to six runs of words; for 6 words and more every two near
 ones of the twelve smallest hashes of its pairs of neighbouring words, pairs of long words first.  By the pigeonhole principle one changed character of a
 short line, two replaced ones, one changed word of a line of 3 to 11 words, or edits that leave a run whole, leave a block equal.  Two forms
@@ -41,8 +41,8 @@ SIMILARITY = 0.8
 PARTS, LEAST_PART = 6, 3
 #: Characters of a line that is also looked up less each of them; words of one that is looked up less each of those (from, to).
 SHORT, FEW = 32, (3, 12)
-#: Characters of a line that is also looked up by its thirds.
-THIRDS = 48
+#: Characters of a line that is also looked up by its thirds, and of a third: shorter ones are common, and their lines have fewer edits.
+THIRDS, LEAST_THIRD = 48, 9
 #: Lines of so many words and more have pairs of neighbouring words as blocks, two at a time: those of so many smallest hashes,
 #: so far apart in their order (the second number for lines of fewer than ``FEW[1]`` words).
 PAIRED, PAIRS, REACH = 6, 12, (3, 4)
@@ -150,7 +150,7 @@ def _few_words(words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
 def _short_line(text: str) -> set[int]:
     """Keys of a short line's thirds, of the line itself and, up to ``SHORT`` characters, of the line less each of its characters."""
     third = len(text) // 3
-    parts = [f"{k} {text[k * third : (k + 1) * third]}" for k in range(2)] + [f"2 {text[len(text) - third :]}"] if third > 2 else []
+    parts = [f"{k} {text[k * third : (k + 1) * third]}" for k in range(2)] + [f"2 {text[len(text) - third :]}"] if third >= LEAST_THIRD else []
     less = (text[:i] + text[i + 1 :] for i in range(len(text))) if len(text) <= SHORT else ()
     return {xxhash.xxh64_intdigest(x, 3) for x in (text, *less)} | {xxhash.xxh64_intdigest(x, 4) for x in parts}
 
