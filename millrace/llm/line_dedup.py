@@ -4,7 +4,7 @@ similarity, keep one occurrence of each connected group.
 A line's form is lower case without ASCII punctuation, its words joined by single spaces (the stripped
 line itself if no word is left).  Lines of one form are equal.  A form has a SimHash over its different words.  Its blocks are,
 by its length: for up to ``SHORT`` characters the line less each of its characters; for up to ``THIRDS`` characters each third of ``LEAST_THIRD`` and more; for 3 to 11 words the line less each of its
-words; for fewer than 12 words also the SimHashes of up to six runs of words; for 6 words and more every two near
+words of up to ``PART`` of its letters; for fewer than 12 words also the SimHashes of up to six runs of words; for 6 words and more every two near
 ones of the twelve smallest hashes of its pairs of neighbouring words, pairs of long words first.  By the pigeonhole principle one changed character of a
 short line, two replaced ones, one changed word of a line of 3 to 11 words, or edits that leave a run whole, leave a block equal.  Two forms
 are linked if they share a block, their SimHashes differ in at most ``DISTANCE`` bits (forms of up to ``SHORT`` characters: in any number) and their edit similarity is at least 0.8.
@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 PARTS, LEAST_PART = 6, 3
 #: Characters of a line that is also looked up less each of them; words of one that is looked up less each of those (from, to).
 SHORT, FEW = 32, (3, 12)
+#: Share of a line's letters that a word may have whose replacement can leave lines alike.
+PART = 0.3
 #: Characters of a line that is also looked up by its thirds, and of a third: shorter ones are common, and their lines have fewer edits.
 THIRDS, LEAST_THIRD = 48, 9
 #: Lines of so many words and more have pairs of neighbouring words as blocks, two at a time: those of so many smallest hashes,
@@ -133,18 +135,20 @@ def blocks_of(forms: list[bytes], runs: bool = True) -> tuple[np.ndarray, np.nda
     return whole, keys
 
 
-def _few_words(words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """For lines of ``n`` words: keys of the line and of the line less each of its words."""
-    w = words[start[:, None] + np.arange(n)]
-    out = []
+def _few_words(words: np.ndarray, length: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For lines of ``n`` words: number of the line and key of the line and of the line less each word of up to ``PART`` of its letters."""
+    w, size = words[start[:, None] + np.arange(n)], length[start[:, None] + np.arange(n)]
+    owner, out = [], []
     for gone in range(n + 1):
-        key = np.full(len(start), n - (gone < n), np.uint64)
+        own = np.arange(len(start)) if gone == n else np.flatnonzero(size[:, gone] <= PART * size.sum(axis=1))
+        key = np.full(len(own), n - (gone < n), np.uint64)
         for i in range(n):
             if i != gone:
-                key = (key ^ w[:, i]) * _MIX
+                key = (key ^ w[own, i]) * _MIX
                 key ^= key >> np.uint64(29)
+        owner.append(own)
         out.append(key)
-    return np.stack(out, axis=1)
+    return np.concatenate(owner), np.concatenate(out)
 
 
 def _short_line(text: str) -> set[int]:
@@ -190,9 +194,9 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         for k in range(FEW[0], FEW[1]):
             at = np.flatnonzero(n == k)
             if len(at):
-                own = _few_words(words, first[at], k)
-                owner.append(np.repeat(at + start, k + 1))
-                keys.append(own.ravel())
+                own, less = _few_words(words, stop - begin, first[at], k)
+                owner.append(at[own] + start)
+                keys.append(less)
         if (n >= PAIRED).any():
             line = np.repeat(np.arange(len(n)), n)
             pair = (words[:-1] * np.uint64(3) + words[1:]) * _MIX
