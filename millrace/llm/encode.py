@@ -13,14 +13,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces in each of a worker's two cache generations; a full one becomes the old one, which changes no result.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 #: Words merged in one call.
 _CALL = 256
 
 _SPACED = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_WORD = re.compile(r"([\n ]?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: What keeps a text from being words with single spaces or line feeds between them (for Arrow, whose \\s knows ASCII only).
+_UNEVEN = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WORD = re.compile(r"(\0\n?|)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def byte_characters() -> list[str]:
@@ -31,6 +35,8 @@ def byte_characters() -> list[str]:
 
 
 _MAPPED = {b: c for b, c in enumerate(byte_characters())}
+#: Words one a line are mapped at once.
+_IN_LINES = {b: c for b, c in _MAPPED.items() if b != 10}
 
 
 class PieceEncoder:
@@ -57,88 +63,115 @@ class PieceEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token.removesuffix(suffix))
-        self.cache: dict = {}
-        self.old: dict = {}
-        self.words: dict[str, bytes] = {}
-
-    def _merged(self, words: list[str]) -> None:
-        """Ids of words of Latin letters (a space before them at most) into ``self.words``."""
-        for i in range(0, len(words), _CALL):
-            part = words[i : i + _CALL]
-            plain = [w if w.isascii() and w[0] != " " else w.encode().decode("latin-1").translate(_MAPPED) for w in part]
-            ids = np.array(self.merger.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            end = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w) for w in plain])) + 1
+        self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _merged(self, keys: list, before: str) -> dict:
+        """Ids of pieces that are a word of Latin letters, ``before`` being a space or nothing before each of them."""
+        out: dict = {}
+        for i in range(0, len(keys), _CALL):
+            part = keys[i : i + _CALL]
+            plain = (before + ("\n" + before).join(part)).encode().decode("latin-1")
+            plain = plain.replace(" ", _MAPPED[32]) if plain.isascii() else plain.translate(_IN_LINES)
+            ids = np.array(self.merger.encode_batch_fast([plain], add_special_tokens=False)[0].ids, dtype="<u4")
+            end = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w) for w in plain.split("\n")])) + 1
             raw, at = ids.tobytes(), 0
             for w, e in zip(part, (4 * end).tolist(), strict=True):
-                self.words[w] = raw[at:e]
+                out[w] = raw[at:e]
                 at = e
+        return out
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are in no cache."""
-        out: list = [None] * len(pieces)
-        parts, odd = [], []
-        for i, p in enumerate(pieces):
-            m = _WORD.fullmatch(p)
-            if m:
-                before, word, after = m.groups()
-                if self.dropped:
-                    before, word = "", word.lower()
-                elif before == " ":
-                    before, word = "", p[: m.end(2)]
-                parts.append((i, before, word, after))
+    def _learn(self, pieces: list) -> dict:
+        """Ids of pieces that are in no cache, and of the words in them, which are pieces too."""
+        new: dict = {}
+        parts, odd, wanted = [], [], set()
+        cache, old, dropped, match = self.cache, self.old, self.dropped, _WORD.fullmatch
+        for p in pieces:
+            m = match(p)
+            if m is None or dropped and p[0] == "\0":
+                odd.append(p)
+                continue
+            before, word, after = m.groups()
+            key = word.lower() if dropped else "\0" + word if before else word
+            if key in cache:
+                new[key] = cache[key]
+            elif key in old:
+                new[key] = old[key]
             else:
-                odd.append(i)
-        self.words = {}
-        self._merged(list({w for _, _, w, _ in parts}))
+                wanted.add(key)
+            if key != p:
+                parts.append((p, before[1:], key, after))
+        if dropped:
+            new |= self._merged(list(wanted), "")
+        else:
+            new |= self._merged([w for w in wanted if w[0] != "\0"], " ")
+            bare = [w[1:] for w in wanted if w[0] == "\0"]
+            new |= {"\0" + w: ids for w, ids in self._merged(bare, "").items()}
         marks = {x for _, a, _, b in parts for x in (a, b) if x}
         mark = dict(zip(marks, self._whole(list(marks)), strict=True)) | {"": b""}
-        for i, before, word, after in parts:
-            out[i] = mark[before] + self.words[word] + mark[after]
+        for p, before, key, after in parts:
+            new[p] = mark[before] + new[key] + mark[after]
         for k in range(0, len(odd), 4096):
-            for i, ids in zip(odd[k : k + 4096], self._whole([pieces[i] for i in odd[k : k + 4096]]), strict=True):
-                out[i] = ids
-        return out
+            part = odd[k : k + 4096]
+            new.update(zip(part, self._whole([self._text(p) for p in part]), strict=True))
+        return new
 
-    def _pieces(self, text: str | None) -> list:
-        """The text's pieces; after the first, a piece without white space before it stands for one after a space."""
-        if not text:
-            return []
+    def _text(self, piece: str) -> str:
         if self.dropped:
-            return text.encode().split()
-        words = text.split()
-        if " ".join(words) != text.replace("\n", " "):
-            # what is not between single spaces or line feeds is cut by pattern; pieces after a space lose it
-            return [p[1:] if k and p[0] == " " else "\0" + p if k else p for k, p in enumerate(_SPACED.split(text))]
-        if "\n" in text:
-            words = [w for k, line in enumerate(text.split("\n")) for j, w in enumerate(line.split(" ")) for w in ((w,) if j or not k else ("\0\n" + w,))]
-        return words
-
-    def _text(self, piece) -> str:
-        if self.dropped:
-            return piece.decode()
+            return piece
         return piece[1:] if piece[0] == "\0" else " " + piece
 
+    def _lowered(self, text: str) -> str:
+        """``text`` in lower case, which makes fewer pieces; as it is where a mark may combine with a letter or a special token would appear."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(t in low for t in self.special) else low
+
+    def _pieces(self, texts: list[str | None]) -> pa.Array:
+        """A list of pieces for each text; an empty piece has no ids.
+
+        Where white space counts, a piece stands for one after a space, or with ``\\0`` before it for itself.
+        """
+        if self.dropped:
+            return pc.ascii_split_whitespace(pa.array([self._lowered(t) if t else "" for t in texts], pa.large_string()))
+        uneven = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNEVEN).to_pylist()
+        even = ["" if odd or not t else "\0" + t.replace("\n", " \0\n") for t, odd in zip(texts, uneven, strict=True)]
+        lists = pc.split_pattern(pa.array(even, pa.large_string()), " ")
+        if all(e or not t for e, t in zip(even, texts, strict=True)):
+            return lists
+        # what is not between single spaces or line feeds is cut by pattern; pieces after a space lose it
+        cut = [None if e or not t else [p[1:] if k and p[0] == " " else "\0" + p for k, p in enumerate([t] if "\0" in t else _SPACED.split(t))] for e, t in zip(even, texts, strict=True)]
+        return pc.coalesce(pa.array(cut, lists.type), lists)
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        if not self.dropped:  # a text's first piece has nothing before it
-            split = [["\0" + ps[0], *ps[1:]] if ps else ps for ps in split]
+        lists = self._pieces(texts)
+        pieces = lists.flatten().dictionary_encode()
         if len(self.cache) > CACHE_PIECES:
-            self.old, self.cache = self.cache, {}
+            self.old, self.cache = self.cache, {"": b""}
         cache, old = self.cache, self.old
-        missing = []
-        for p in set().union(*split).difference(cache):
-            if p in old:
-                cache[p] = old[p]
-            else:
-                missing.append(p)
+        names, missing = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), []
+        for p in names:
+            if p not in cache:
+                if p in old:
+                    cache[p] = old[p]
+                else:
+                    missing.append(p)
         for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            cache.update(zip(part, self._learn([self._text(p) for p in part]), strict=True))
-        get = cache.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+            cache.update(self._learn(missing[i : i + 20_000]))
+        ids = pa.array([cache[p] for p in names], pa.large_binary()).take(pieces.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        _, ends, raw = ids.buffers()
+        edge = np.frombuffer(ends, np.int64)[ids.offset :][lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        raw = memoryview(raw) if raw else b""
+        return [bytes(raw[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}

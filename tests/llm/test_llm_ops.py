@@ -520,3 +520,18 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
         assert abs(got[i].score - want) < 1e-6 and got[i].held_out == held[i] and got[i].train_tokens == total
         base = sum(np.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t.split()) + np.log10((len(train) + 0.5) / (total + 0.5 * (kinds + 1)))
         assert abs(got[i].base_score - base) < 1e-9 and got[i].n_known == sum(w in count for w in t.split()) + 1
+
+
+def test_pieces_with_zero_bytes_and_capitals():
+    """Ids are the library's where a piece begins with a zero byte, and where lower case would join a mark or make a special token."""
+    from tokenizers import Tokenizer
+
+    from millrace.llm.encode import PieceEncoder
+
+    texts = ["a \0b c", "\0a b", "a \0\nb", "H̱ and ẖ", "<|ENDOFTEXT|> x <|endoftext|>", "\xc9t\xe9 \xc9T\xc9, (word)", "a　b c", "a\x85 b", " a", "a ", "a\n\nb c", "", None, "one\ntwo, three's"]
+    for name, dropped in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = registry.vocabulary(name)
+        plain = Tokenizer.from_file(path)
+        own = PieceEncoder(path, dropped)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert own.encode_many([None]) == [b""] and own.encode_many([]) == []
