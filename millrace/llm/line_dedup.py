@@ -11,8 +11,8 @@ are linked if they share a block, their SimHashes differ in at most ``DISTANCE``
 Of each group of linked forms the first occurrence in (doc_id, text hash, line number) order stays, all others are removed.
 
 Inside a block's bucket each member is first compared with the nearest ones by SimHash.  Only members that this leaves in
-different groups are then compared with each other, so a bucket of like forms does not grow with its square and
-no link between groups is lost.  A bucket of more than ``CROWD`` forms is dealt out again by the blocks of the
+different groups are then compared with each other, where the forms are; groups that a link joins are one from then on.  So
+a bucket gives no more links than it has members, and no link between groups is lost.  A bucket of more than ``CROWD`` forms is dealt out again by the blocks of the
 whole SimHash that two forms within ``DISTANCE`` bits must share; only unlike forms that agree there as well
 are compared in full.
 
@@ -329,20 +329,32 @@ def _nearest(fp: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return pairs[0], pairs[1]
 
 
-def _across(fp: np.ndarray, chars: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket that may be alike and are of different groups; members of the largest group only as partners."""
-    names, inverse, n = np.unique(group, return_inverse=True, return_counts=True)
-    a, b = [], []
-    if len(names) > 1:
-        main = inverse == np.argmax(n)
-        others = np.flatnonzero(~main)
-        order = np.concatenate([others, np.flatnonzero(main)])
-        for k, i in enumerate(others):
-            j = order[k + 1 :]
-            j = j[(inverse[j] != inverse[i]) & _near(fp, chars, i, j)]
-            a.append(np.full(len(j), i))
-            b.append(j)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _across(fp: np.ndarray, chars: np.ndarray, group: np.ndarray):
+    """Each member outside the largest group with those of other groups that may be like it; no pair twice."""
+    order = np.argsort(chars, kind="stable")
+    fp, chars = fp[order], chars[order]
+    _, inverse, n = np.unique(group[order], return_inverse=True, return_counts=True)
+    other = inverse != np.argmax(n)
+    at = np.flatnonzero(other)
+    low = np.searchsorted(chars, SIMILARITY * chars[at] - 1e-9)
+    high = np.searchsorted(chars, (chars[at] + 1e-9) / SIMILARITY, side="right")
+    short = int(np.searchsorted(chars, SHORT, side="right"))
+    for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+        near = np.bitwise_count(fp[a:b] ^ fp[i]) <= DISTANCE
+        if i < short:
+            near[: short - a] = True
+        j = np.flatnonzero(near) + a
+        j = j[(inverse[j] != inverse[i]) & (~other[j] | (j > i))]
+        if len(j):
+            yield int(order[i]), order[j]
+
+
+def _letters(forms: list[str]) -> np.ndarray:
+    """How often the ASCII characters of each of 32 lanes are in each form: an edit takes one away and adds one at most."""
+    raw = [f.encode() for f in forms]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    lane = np.repeat(np.arange(len(raw)) * 32, [len(x) for x in raw]) + (data & 31)
+    return np.bincount(lane[data < 128], minlength=32 * len(raw)).reshape(-1, 32)
 
 
 _PAIRS = "kind int, key long, src long, dst long, fp long, chars int"
@@ -376,7 +388,7 @@ def _buckets(batches, crowd: int | None, columns: tuple[str, ...], settle):
         yield from settle(rows, np.cumsum(size) - size, size)
 
     def columns_of(batch):
-        return [batch.column(c).to_numpy() for c in columns]
+        return [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
 
     passing = None  # the key of a crowded bucket whose rows are handed on as they come
     for batch in batches:
@@ -417,22 +429,56 @@ def _first_look(crowd: int | None):
     return lambda batches: _buckets(batches, crowd, ("key", "node", "fp", "chars"), settle)
 
 
-def _second_look(batches):
+def _mixed(batches):
+    """Members of buckets that the first look has left in several groups, as far as one of another group may be like them."""
+    names = ("key", "node", "fp", "chars", "group")
+
     def settle(rows, start, size):
         key, node, fp, chars, group = rows
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keep = np.zeros(len(group), bool)
+        several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+        for s, n in zip(start[several].tolist(), size[several].tolist(), strict=True):
+            for i, j in _across(fp[s : s + n].view(np.uint64), chars[s : s + n], group[s : s + n]):
+                keep[s + i] = keep[s + j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, fp, chars.astype(np.int32), group)], names=names)
+
+    yield from _buckets(batches, None, names, settle)
+
+
+def _second_look(batches):
+    """Links between the groups of a bucket; groups that a link has joined are one from then on, so no more links leave than groups come."""
+
+    def settle(rows, start, size):
+        _, node, fp, chars, group, form = rows
+        a, b = [], []
         for s, n in zip(start.tolist(), size.tolist(), strict=True):
-            x, y = _across(fp[s : s + n].view(np.uint64), chars[s : s + n], group[s : s + n])
-            a.append(x + s)
-            b.append(y + s)
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield _rows(0, key[a], np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), fp[a], chars[a].astype(np.int32))
+            own = slice(s, s + n)
+            forms, long, groups = form[own].tolist(), chars[own], group[own].tolist()
+            letters = _letters(forms)
+            root = {g: g for g in groups}
+
+            def of(g, root=root):
+                while root[g] != g:
+                    root[g] = g = root[root[g]]
+                return g
 
-    yield from _buckets(batches, None, ("key", "node", "fp", "chars", "group"), settle)
+            for i, js in _across(fp[own].view(np.uint64), long, group[own]):
+                most = np.floor(np.maximum(long[js], long[i]) * (1 - SIMILARITY) + 1e-9)
+                more = letters[js] - letters[i]
+                fit = (np.maximum(more, 0).sum(axis=1) <= most) & (np.maximum(-more, 0).sum(axis=1) <= most)
+                for j in js[fit].tolist():
+                    if of(groups[i]) != of(groups[j]) and alike(forms[i], forms[j]):
+                        root[of(groups[i])] = of(groups[j])
+                        a.append(s + i)
+                        b.append(s + j)
+        a, b = node[np.array(a, np.int64)], node[np.array(b, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
+    yield from _buckets(batches, None, ("key", "node", "fp", "chars", "group", "form"), settle)
 
-def _dealt(rows: DataFrame, f) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(f, _PAIRS)
+
+def _dealt(rows: DataFrame, f, schema: str = _PAIRS) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(f, schema)
 
 
 def _split(batches):
@@ -463,10 +509,13 @@ def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
     found = materialize(_verified(candidates, described), "line-links")
     members = both.where("kind = 1").select("key", F.col("src").alias("node"), "fp", "chars")
     tagged = members.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    # pairs leave only those buckets that the first look has left in more than one group
-    rest = _dealt(tagged.select("key", "node", "fp", "chars", "group"), _second_look).select("src", "dst").distinct()
-    rest = materialize(rest.join(candidates, ["src", "dst"], "left_anti"), "line-rest")
-    return found if rest.isEmpty() else found.union(_verified(rest, described))
+    columns = "key long, node long, fp long, chars int, group long"
+    mixed = materialize(_dealt(tagged.select("key", "node", "fp", "chars", "group"), _mixed, columns), "line-mixed")
+    if mixed.isEmpty():
+        return found
+    # the forms come along, so that a bucket's links leave it and not its pairs
+    rest = _dealt(mixed.join(_forms(mixed.select("node"), described), "node"), _second_look, "src long, dst long")
+    return found.union(materialize(rest.distinct(), "line-rest"))
 
 
 def _shared_keys(described: DataFrame) -> DataFrame:
@@ -507,17 +556,21 @@ def _shared_keys(described: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "key long, node long, fp long, chars int")
 
 
-def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs of an edit similarity of 0.8 or more; only forms that a fixed-size bitmap of their nodes lets pass are moved."""
-    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
-    words = pairs.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
+def _forms(nodes: DataFrame, described: DataFrame) -> DataFrame:
+    """``node, form`` of the nodes; only forms that a fixed-size bitmap of them lets pass are moved."""
+    words = nodes.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def wanted(batches):
         for batch in batches:
             at = np.flatnonzero(in_bitmap(words.value, batch.column("node").to_numpy().view(np.uint64)))
             yield batch.take(pa.array(at))
 
-    texts = materialize(described.select("node", "form").mapInArrow(wanted, "node long, form string").dropDuplicates(["node"]), "line-forms")
+    return materialize(described.select("node", "form").mapInArrow(wanted, "node long, form string").dropDuplicates(["node"]), "line-forms")
+
+
+def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs of an edit similarity of 0.8 or more."""
+    texts = _forms(pairs.select(F.explode(F.array("src", "dst")).alias("node")), described)
     left = texts.select(F.col("node").alias("src"), F.col("form").alias("ta"))
     right = texts.select(F.col("node").alias("dst"), F.col("form").alias("tb"))
     return pairs.join(left, "src").join(right, "dst").mapInArrow(_alike, "src long, dst long")
@@ -585,12 +638,15 @@ def surely_within(a: str, b: str, most: int) -> bool:
     return cost + max(len(" ".join(x[i:])), len(" ".join(y[j:]))) + (i < len(x)) + (j < len(y)) <= most
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether two forms have an edit similarity of 0.8 or more."""
+    most = int(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
+    return surely_within(a, b, most) or edit_distance(a, b, most) <= most
+
+
 def _alike(batches):
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-            most = int(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
-            keep.append(surely_within(a, b, most) or edit_distance(a, b, most) <= most)
+        keep = [alike(a, b) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
         at = np.flatnonzero(np.array(keep, dtype=bool))
         yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(at)), batch.column("dst").take(pa.array(at))], names=["src", "dst"])
 

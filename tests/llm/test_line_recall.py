@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from millrace.llm import line_dedup
 
 BANDS = ((1, 5), (6, 11), (12, 29), (30, 79), (80, 140))
@@ -71,3 +74,22 @@ def test_keys_of_short_lines():
     assert len(keys(long)) == 30
     fp, flat, ends = line_dedup.all_blocks([b"", b"a", long])
     assert len(fp) == 3 and ends.tolist()[-1] == len(flat)
+
+
+def test_links_leave_a_bucket_and_not_its_pairs():
+    """A bucket of 300 unlike forms gives no row; every link between groups of like forms is kept, at most one less than groups."""
+    rng = random.Random(3)
+    unlike = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(50)) for _ in range(300)]
+    like = [f[:k] + "z" + f[k + 1 :] for f in unlike[:20] for k in (3, 20, 40)]
+
+    def rows_of(forms):
+        n = len(forms)
+        cols = [np.zeros(n, np.int64), np.arange(n), np.full(n, 7), np.full(n, 50, np.int32), np.arange(n)]
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(forms)], names=["key", "node", "fp", "chars", "group", "form"])
+        return [(a, b) for out in line_dedup._second_look([batch]) for a, b in zip(out.column("src").to_pylist(), out.column("dst").to_pylist(), strict=True)]
+
+    assert rows_of(unlike) == []
+    root = list(range(360))
+    for a, b in (found := rows_of(unlike + like)):
+        root = [root[a] if x == root[b] else x for x in root]
+    assert len(found) == len(like) and all(root[300 + 3 * i + k] == root[i] for i in range(20) for k in range(3))
