@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID,
     """Whole windows and the remainder of every document: ``did, start, length, ids_crc32, doc_tokens, salt, piece`` (and ``ids``).
 
     ``salt`` numbers the pieces of a task round robin; it only spreads equal lengths over tasks.  ``piece`` is a number of
-    its own for each piece of the written table.
+    its own for each piece of the written table.  ``ids`` below 65,536 are written in two bytes each, in all of a piece or none.
     """
     spark = docs.sparkSession
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID,
                 arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
                 out_names = ["did", "start", "length", "ids_crc32", "doc_tokens", "salt", "piece"]
                 if with_ids:
-                    arrays.append(pa.array(cols[7], pa.binary()))
+                    arrays.append(pa.array([_narrow(x) for x in cols[7]], pa.binary()))
                     out_names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=out_names)
 
@@ -66,6 +66,19 @@ def pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID,
     return materialize(keyed(docs).mapInArrow(run, schema), "pieces")
 
 
+def _narrow(ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else ids
+
+
+def _wide(batches):
+    """Ids in four bytes each again."""
+    for batch in batches:
+        at = batch.schema.get_field_index("ids")
+        own = [np.frombuffer(x, "<u2").astype("<u4").tobytes() if len(x) == 2 * n else x for x, n in zip(batch.column(at).to_pylist(), batch.column("length").to_pylist(), strict=True)]
+        yield batch.set_column(at, "ids", pa.array(own, pa.binary()))
+
+
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Lawson-Hanson: x >= 0 with least ||a x - b||."""
     n = a.shape[1]
@@ -197,4 +210,5 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = END_ID, w
     if not with_ids:
         return hit.select(*cols)
     places = materialize(hit.select("piece", *cols), "places")
-    return places.join(whole.select("piece", "ids"), "piece").drop("piece")
+    joined = places.join(whole.select("piece", "ids"), "piece").drop("piece")
+    return joined.mapInArrow(_wide, joined.schema)

@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from millrace.llm import registry
+from millrace.llm import packing, registry
 from millrace.llm.encode import PieceEncoder
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,6 +60,16 @@ def test_whole_run_packs_what_is_kept(spark, folder):
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
 
 
+def test_ids_of_pieces_are_written_in_two_bytes(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    path = registry.vocabulary("word_bpe_49k.json")
+    assert all(len(r.ids) == 2 * r.length for r in packing.pieces(docs, path, with_ids=True).collect())
+    high = packing.pieces(docs, path, end_id=1 << 16, with_ids=True)
+    assert sum(len(r.ids) == 4 * r.length for r in high.collect()) == docs.count()  # the last piece of each document
+    wide = packing.pack(docs, path, end_id=1 << 16, with_ids=True).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in wide)
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
