@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, connected_components, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
+from .common import bitmap, connected_components, discard, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
 from .suffix_dedup import _BYTES, _power
 
 DISTANCE = 22
@@ -55,6 +55,13 @@ CROWD, LEVELS = 16384, 2
 #: Forms a task remembers in order to describe each only once; forgetting them changes no result.
 SEEN = 500_000
 
+#: Pairs that are held against the lower bound together; pieces of a form in it, and the lanes that stand for its characters.
+TOGETHER, PIECE, LANES = 20_000, 64, 32
+#: Keys that a task sorts at once to count them; bits of a key that the bitmap of those with two forms goes by, and of those that deal the counting.
+HELD, KEY_BITS, PART_BITS = 4_000_000, 27, 12
+#: Pieces that are moved along their ranges together.
+ROWS = 4096
+
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: Lengths of runs, each about double: a line with a word more or less mostly has runs of the same length.
 _LADDER = [LEAST_PART]
@@ -349,12 +356,73 @@ def _across(fp: np.ndarray, chars: np.ndarray, group: np.ndarray):
             yield int(order[i]), order[j]
 
 
-def _letters(forms: list[str]) -> np.ndarray:
-    """How often the ASCII characters of each of 32 lanes are in each form: an edit takes one away and adds one at most."""
-    raw = [f.encode() for f in forms]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    lane = np.repeat(np.arange(len(raw)) * 32, [len(x) for x in raw]) + (data & 31)
-    return np.bincount(lane[data < 128], minlength=32 * len(raw)).reshape(-1, 32)
+def _letters(lanes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often the characters of each of ``LANES`` lanes are in each form: an edit takes one away and adds one at most."""
+    owner = np.repeat(np.arange(len(ends) - 1) * LANES, np.diff(ends))
+    return np.bincount(owner + lanes, minlength=LANES * (len(ends) - 1)).reshape(-1, LANES)
+
+
+def _least_edits(lanes: np.ndarray, start, size, begin, end) -> np.ndarray:
+    """The least edit distance of each piece ``start, size`` (of up to 64 characters) to any substring of ``begin:end``; lanes stand for characters.
+
+    Bit-parallel, all pieces at once: a step takes the next character of every piece's range.
+    """
+    number, one = np.arange(len(start)), np.uint64(1)
+    table = np.zeros((len(start), LANES + 1), np.uint64)  # the last lane is in no piece: it goes on where a range has ended
+    for t in range(int(size.max())):
+        own = number[size > t]
+        table[own, lanes[start[own] + t]] |= one << np.uint64(t)
+    table, row = table.ravel(), number * (LANES + 1)
+    up, down = np.full(len(start), ~np.uint64(0)), np.zeros(len(start), np.uint64)
+    last, score = (size - 1).astype(np.uint64), size.astype(np.int64)
+    best = score.copy()
+    for t in range(int((end - begin).max())):
+        at = begin + t
+        eq = table[row + np.where(at < end, lanes[np.minimum(at, len(lanes) - 1)], LANES)]
+        across = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(across | up), up & across
+        score += (plus >> last & one).astype(np.int64) - (minus >> last & one).astype(np.int64)
+        np.minimum(best, score, out=best)
+        plus, eq = plus << one, eq | down
+        up = minus << one | ~(eq | plus)
+        down = plus & eq
+    return best
+
+
+def maybe_alike(forms: list[str], chars: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False for pairs ``a, b`` of forms whose edit similarity is surely under 0.8.
+
+    Two lower bounds of the edit distance: the characters that one form has more often, and the sum over pieces of 64 characters of the
+    first form of each piece's least distance to any part of the second form that it may meet within the edits allowed.  Characters that
+    share a lane count as equal, which only makes the bounds smaller.
+    """
+    lanes = (np.frombuffer("".join(forms).encode("utf-32-le"), "<u4") % LANES).astype(np.uint8)
+    chars = chars.astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(chars)])
+    most = np.floor(np.maximum(chars[a], chars[b]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    letters = _letters(lanes, ends)
+    keep = np.ones(len(a), bool)
+    for i in range(0, len(a), ROWS):
+        more = letters[b[i : i + ROWS]] - letters[a[i : i + ROWS]]
+        keep[i : i + ROWS] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most[i : i + ROWS]
+    pieces = -(-chars[a] // PIECE)
+    cost = np.zeros(len(a), np.int64)
+    for low, high in ((np.zeros(len(a), np.int64), -(-pieces // 2)), (-(-pieces // 2), pieces)):
+        own = np.flatnonzero(keep & (high > low))
+        own = own[np.argsort(most[own], kind="stable")]
+        n = high[own] - low[own]
+        pair = np.repeat(own, n)
+        first = (np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + low[pair]) * PIECE
+        size = np.minimum(chars[a[pair]] - first, PIECE)
+        # a path that uses ``most`` edits in all is never further off its diagonal than this
+        off = chars[b[pair]] - chars[a[pair]]
+        begin = np.maximum(first + (off - most[pair]) // 2, 0)
+        end = np.maximum(np.minimum(first + size - (-off - most[pair]) // 2, chars[b[pair]]), begin)
+        for i in range(0, len(pair), ROWS):
+            k = slice(i, i + ROWS)
+            np.add.at(cost, pair[k], _least_edits(lanes, ends[a[pair[k]]] + first[k], size[k], ends[b[pair[k]]] + begin[k], ends[b[pair[k]]] + end[k]))
+        keep &= cost <= most
+    return keep
 
 
 _PAIRS = "kind int, key long, src long, dst long, fp long, chars int"
@@ -445,36 +513,57 @@ def _mixed(batches):
     yield from _buckets(batches, None, names, settle)
 
 
-def _second_look(batches):
-    """Links between the groups of a bucket; groups that a link has joined are one from then on, so no more links leave than groups come."""
+def _second_look(batches, once: bool = False):
+    """Links between the groups of a bucket; groups that a link has joined are one from then on, so no more links leave than groups come.
+
+    ``once``: a column ``shared`` has all keys of the member, in order; two members that share several are compared in the bucket of the least only.
+    """
+    root: dict[int, int] = {}
+
+    def of(g: int) -> int:
+        while (up := root.get(g, g)) != g:
+            root[g] = root.get(up, up)
+            g = up
+        return g
+
+    def tested(pairs, rows):
+        """Links among the pairs: those that the lower bound leaves, by their exact similarity."""
+        _, node, _, chars, group, form, *_ = rows
+        i = np.concatenate([np.full(len(js), i) for i, js in pairs])
+        j = np.concatenate([js for _, js in pairs])
+        at, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        forms, groups = form[at].tolist(), group[at].tolist()
+        root.update((g, g) for g in groups if g not in root)
+        left = np.flatnonzero(maybe_alike(forms, chars[at], place[: len(i)], place[len(i) :]))
+        links = []
+        for x, y in zip(place[left].tolist(), place[len(i) + left].tolist(), strict=True):
+            gx, gy = of(groups[x]), of(groups[y])
+            if gx != gy and alike(forms[x], forms[y]):
+                root[gx] = gy
+                links.append((at[x], at[y]))
+        a, b = node[np.array(links, np.int64).reshape(-1, 2)].T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
     def settle(rows, start, size):
-        _, node, fp, chars, group, form = rows
-        a, b = [], []
-        for s, n in zip(start.tolist(), size.tolist(), strict=True):
-            own = slice(s, s + n)
-            forms, long, groups = form[own].tolist(), chars[own], group[own].tolist()
-            letters = _letters(forms)
-            root = {g: g for g in groups}
-
-            def of(g, root=root):
-                while root[g] != g:
-                    root[g] = g = root[root[g]]
-                return g
-
-            for i, js in _across(fp[own].view(np.uint64), long, group[own]):
-                most = np.floor(np.maximum(long[js], long[i]) * (1 - SIMILARITY) + 1e-9)
-                more = letters[js] - letters[i]
-                fit = (np.maximum(more, 0).sum(axis=1) <= most) & (np.maximum(-more, 0).sum(axis=1) <= most)
-                for j in js[fit].tolist():
-                    if of(groups[i]) != of(groups[j]) and alike(forms[i], forms[j]):
-                        root[of(groups[i])] = of(groups[j])
-                        a.append(s + i)
-                        b.append(s + j)
-        a, b = node[np.array(a, np.int64)], node[np.array(b, np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
-
-    yield from _buckets(batches, None, ("key", "node", "fp", "chars", "group", "form"), settle)
+        key, _, fp, chars, group, *_ = rows
+        if len(root) > SEEN:
+            root.clear()  # only what this task has joined is forgotten
+        held, n = [], 0
+        for s, m in zip(start.tolist(), size.tolist(), strict=True):
+            less = [set(own[: np.searchsorted(own, key[s])].tolist()) for own in rows[-1][s : s + m]] if once else None
+            for i, js in _across(fp[s : s + m].view(np.uint64), chars[s : s + m], group[s : s + m]):
+                if once:
+                    js = np.array([j for j in js.tolist() if less[i].isdisjoint(less[j])], np.int64)
+                if len(js):
+                    held.append((s + i, s + js))
+                n += len(js)
+                if n >= TOGETHER:
+                    yield tested(held, rows)
+                    held, n = [], 0
+        if held:
+            yield tested(held, rows)
+
+    yield from _buckets(batches, None, ("key", "node", "fp", "chars", "group", "form", *(["shared"] if once else [])), settle)
 
 
 def _dealt(rows: DataFrame, f, schema: str = _PAIRS) -> DataFrame:
@@ -506,16 +595,63 @@ def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
         rows = crowded.select("key", F.col("src").alias("node"), "fp", "chars").mapInArrow(_split, "key long, node long, fp long, chars int")
     both = looks[0] if len(looks) == 1 else looks[0].union(looks[1])
     candidates = materialize(both.where("kind = 0").select("src", "dst").distinct(), "line-pairs")
-    found = materialize(_verified(candidates, described), "line-links")
+    found = _verified(candidates, described)
     members = both.where("kind = 1").select("key", F.col("src").alias("node"), "fp", "chars")
     tagged = members.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
     columns = "key long, node long, fp long, chars int, group long"
     mixed = materialize(_dealt(tagged.select("key", "node", "fp", "chars", "group"), _mixed, columns), "line-mixed")
+    discard(*looks, candidates)
     if mixed.isEmpty():
         return found
     # the forms come along, so that a bucket's links leave it and not its pairs
-    rest = _dealt(mixed.join(_forms(mixed.select("node"), described), "node"), _second_look, "src long, dst long")
-    return found.union(materialize(rest.distinct(), "line-rest"))
+    shared = mixed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("shared"))
+    texts = _forms(mixed.select("node"), described)
+    rest = _dealt(mixed.join(texts.join(shared, "node"), "node"), lambda batches: _second_look(batches, True), "src long, dst long")
+    rest = materialize(rest.distinct(), "line-rest")
+    discard(mixed, texts)
+    return found.union(rest)
+
+
+def _packed_halves(half: np.ndarray) -> pa.RecordBatch:
+    """Sorted upper halves of keys, each twice at most, a row for each value of their first ``PART_BITS`` bits: how many
+    have which next bits, then the last sixteen bits of each."""
+    half = np.sort(half)
+    again = np.zeros(len(half), bool)
+    again[2:] = half[2:] == half[:-2]
+    half = half[~again]
+    edges = np.searchsorted(half, np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(16)).reshape(-1)
+    counts = np.diff(edges).astype(np.uint32).reshape(1 << PART_BITS, -1)
+    ends = edges[:: counts.shape[1]]
+    parts = np.flatnonzero(np.diff(ends))
+    low = (half & np.uint32(0xFFFF)).astype(np.uint16)
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([counts[p].tobytes() + low[ends[p] : ends[p + 1]].tobytes() for p in parts], pa.binary())], names=["part", "halves"])
+
+
+def _twice(batches):
+    """For each part of ``_packed_halves`` (rows sorted by part) the words of a bitmap, by their first ``KEY_BITS`` bits, of the halves that come more than once."""
+    n = 1 << (16 - PART_BITS)
+
+    def words(part: int, rows: list[bytes]) -> pa.RecordBatch:
+        own = []
+        for row in rows:
+            counts = np.frombuffer(row, np.uint32, n)
+            own.append(np.repeat(np.arange(n, dtype=np.uint32) << np.uint32(16), counts) | np.frombuffer(row, np.uint16, offset=4 * n))
+        half = np.sort(np.concatenate(own))
+        at = half[1:][half[1:] == half[:-1]] >> np.uint32(32 - KEY_BITS)
+        bits = np.zeros(1 << (KEY_BITS - PART_BITS), np.uint8)
+        bits[at] = 1
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "words"])
+
+    held, last = [], None
+    for batch in batches:
+        for part, row in zip(batch.column("part").to_pylist(), batch.column("halves").to_pylist(), strict=True):
+            if part != last and held:
+                yield words(last, held)
+                held = []
+            last = part
+            held.append(row)
+    if held:
+        yield words(last, held)
 
 
 def _shared_keys(described: DataFrame) -> DataFrame:
@@ -538,18 +674,27 @@ def _shared_keys(described: DataFrame) -> DataFrame:
         return expanded(few, *lists[0], *lists[1])
 
     def halves(batches):
+        held, n = [], 0
         for batch in map(chosen, batches):
-            half, n = np.unique(blocks(batch)[1] >> np.uint64(32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(half.astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int32))], names=["half", "n"])
+            held.append((blocks(batch)[1] >> np.uint64(32)).astype(np.uint32))
+            n += len(held[-1])
+            if n > HELD:
+                yield _packed_halves(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield _packed_halves(np.concatenate(held))
 
     source = placed.select("node", "place", "fp", "chars", "few", "keys", "pairs")
-    twice = source.mapInArrow(halves, "half int, n int").groupBy("half").agg(F.sum("n").alias("n")).where("n > 1")
-    words = spark.sparkContext.broadcast(bitmap(twice.select(F.shiftleft(F.col("half").cast("long"), 32).alias("h")), "h"))
+    twice = source.mapInArrow(halves, "part int, halves binary").repartition("part").sortWithinPartitions("part").mapInArrow(_twice, "part int, words binary").toArrow()
+    bits = np.zeros(1 << (KEY_BITS - 6), np.uint64)
+    for part, own in zip(twice["part"].to_pylist(), twice["words"].to_pylist(), strict=True):
+        bits.reshape(1 << PART_BITS, -1)[part] = np.frombuffer(own, np.uint64)
+    words = spark.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in map(chosen, batches):
             owner, keys = blocks(batch)
-            at = np.flatnonzero(in_bitmap(words.value, keys))
+            at = np.flatnonzero(in_bitmap(words.value, keys, KEY_BITS))
             owner = pa.array(owner[at])
             yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), *[batch.column(c).take(owner) for c in ("node", "fp", "chars")]], names=["key", "node", "fp", "chars"])
 
@@ -573,7 +718,9 @@ def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     texts = _forms(pairs.select(F.explode(F.array("src", "dst")).alias("node")), described)
     left = texts.select(F.col("node").alias("src"), F.col("form").alias("ta"))
     right = texts.select(F.col("node").alias("dst"), F.col("form").alias("tb"))
-    return pairs.join(left, "src").join(right, "dst").mapInArrow(_alike, "src long, dst long")
+    found = materialize(pairs.join(left, "src").join(right, "dst").mapInArrow(_alike, "src long, dst long"), "line-links")
+    discard(texts)
+    return found
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -638,17 +785,30 @@ def surely_within(a: str, b: str, most: int) -> bool:
     return cost + max(len(" ".join(x[i:])), len(" ".join(y[j:]))) + (i < len(x)) + (j < len(y)) <= most
 
 
+def _most(a: str, b: str) -> int:
+    """The largest edit distance at which two forms are alike."""
+    return int(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
+
+
 def alike(a: str, b: str) -> bool:
     """Whether two forms have an edit similarity of 0.8 or more."""
-    most = int(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
+    most = _most(a, b)
     return surely_within(a, b, most) or edit_distance(a, b, most) <= most
 
 
 def _alike(batches):
     for batch in batches:
-        keep = [alike(a, b) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-        at = np.flatnonzero(np.array(keep, dtype=bool))
-        yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(at)), batch.column("dst").take(pa.array(at))], names=["src", "dst"])
+        for start in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(start, TOGETHER)
+            left, right = part.column("ta").to_pylist(), part.column("tb").to_pylist()
+            keep = np.array([surely_within(a, b, _most(a, b)) for a, b in zip(left, right, strict=True)], dtype=bool)
+            open_ = np.flatnonzero(~keep)
+            forms = [left[i] for i in open_] + [right[i] for i in open_]
+            n = len(open_)
+            maybe = np.flatnonzero(maybe_alike(forms, np.fromiter(map(len, forms), np.int64, 2 * n), np.arange(n), n + np.arange(n)))
+            keep[open_[[i for i in maybe.tolist() if edit_distance(forms[i], forms[n + i], _most(forms[i], forms[n + i])) <= _most(forms[i], forms[n + i])]]] = True
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([part.column("src").take(at), part.column("dst").take(at)], names=["src", "dst"])
 
 
 def _keep_flags(batches):
@@ -668,11 +828,16 @@ def removed_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     comp = connected_components(form_links(every, crowd))
     places = every.select("did", "rid", "line", "node")
     rooted = materialize(places.join(comp, "node", "left").select("did", "rid", "line", F.coalesce("component", "node").alias("root")), "line-roots")
+    discard(every)
     shared = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     some = materialize(rooted.join(shared, "root"), "line-groups")
+    discard(rooted)
     first = some.groupBy("root").agg(F.min(F.struct("did", "rid", "line")).alias("first"))
     lost = some.join(first, "root").where(F.struct("did", "rid", "line") != F.col("first"))
-    return lost.groupBy("did", "rid").agg(F.collect_set("line").alias("gone")).mapInArrow(_keep_flags, "did long, rid long, keep array<boolean>, gone int")
+    flags = lost.groupBy("did", "rid").agg(F.collect_set("line").alias("gone")).mapInArrow(_keep_flags, "did long, rid long, keep array<boolean>, gone int")
+    flags = materialize(flags, "line-flags")
+    discard(some)
+    return flags
 
 
 def deduplicated(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, str]:

@@ -93,3 +93,53 @@ def test_links_leave_a_bucket_and_not_its_pairs():
     for a, b in (found := rows_of(unlike + like)):
         root = [root[a] if x == root[b] else x for x in root]
     assert len(found) == len(like) and all(root[300 + 3 * i + k] == root[i] for i in range(20) for k in range(3))
+
+
+def test_lower_bound_never_parts_like_forms():
+    """Against the exact distance: pieces of one and of many, shifted parts, letters outside ASCII; most unlike forms go without it."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh éß") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    forms = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 3, 12, 13, 14, 40, 90, 200) for _ in range(4)]
+    for f in list(forms):
+        own = list(f)
+        for _ in range(rng.randint(1, 1 + len(f) // 6)):
+            k = rng.randrange(len(own) + 1)
+            own[k : k + rng.randint(0, 2)] = rng.choice(["", "x", "ü"])
+        forms += ["".join(own), f[len(f) // 9 :] + " tail", f[: len(f) // 3] + f[len(f) // 2 :]]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(forms)), np.arange(len(forms))))
+    near = np.flatnonzero(a != b)
+    a, b = a[near], b[near]
+    keep = line_dedup.maybe_alike(forms, np.array([len(f) for f in forms]), a, b)
+    exact = np.array([line_dedup.edit_distance(forms[i], forms[j], m := line_dedup._most(forms[i], forms[j])) <= m for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    assert exact.sum() > 100 and not (exact & ~keep).any() and (keep & ~exact).sum() < 0.02 * (~exact).sum()
+
+
+def test_pairs_that_share_buckets_are_compared_once(monkeypatch):
+    """Six forms in forty buckets: each pair meets its exact test once, and the links are those of one bucket."""
+    forms = ["the same words again and again number %s" % (x * 19) for x in "abcdef"]
+    forms[5] = forms[0].replace("words", "wordz")
+    n, keys = len(forms), 40
+    tested = []
+    exact = line_dedup.alike
+    monkeypatch.setattr(line_dedup, "maybe_alike", lambda forms, chars, a, b: np.ones(len(a), bool))
+    monkeypatch.setattr(line_dedup, "alike", lambda a, b: tested.append((a, b)) or exact(a, b))
+    key, node = np.repeat(np.arange(keys), n), np.tile(np.arange(n), keys)
+    cols = [key, node, np.full(n * keys, 7), np.full(n * keys, len(forms[0]), np.int32), node]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(forms * keys), pa.array([list(range(keys))] * n * keys)], names=["key", "node", "fp", "chars", "group", "form", "shared"])
+    found = [r for out in line_dedup._second_look([batch], True) for r in zip(out.column("src").to_pylist(), out.column("dst").to_pylist(), strict=True)]
+    assert found == [(0, 5)] and len(tested) == len(set(tested)) <= n * (n - 1) // 2
+
+
+def test_halves_that_come_twice():
+    """The bitmap has every half of a key that two packed lots have, or one has twice, and few others."""
+    rng = np.random.default_rng(4)
+    lots = [rng.integers(0, 2**32, 50_000, dtype=np.uint32) for _ in range(3)]
+    lots[1][:100], lots[2][100:150] = lots[0][:100], lots[2][:50]
+    rows = sorted((p, h) for x in lots for p, h in zip(*(c.to_pylist() for c in line_dedup._packed_halves(x).columns), strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.binary())], names=["part", "halves"])
+    bits = np.zeros((1 << line_dedup.PART_BITS, 1 << (line_dedup.KEY_BITS - line_dedup.PART_BITS - 6)), np.uint64)
+    for out in line_dedup._twice([batch.slice(0, 5000), batch.slice(5000)]):
+        bits[out.column("part")[0].as_py()] = np.frombuffer(out.column("words")[0].as_py(), np.uint64)
+    half, n = np.unique(np.concatenate(lots), return_counts=True)
+    hit = line_dedup.in_bitmap(bits.ravel(), half.astype(np.uint64) << np.uint64(32), line_dedup.KEY_BITS)
+    assert hit[n > 1].all() and hit[n == 1].mean() < 0.01
