@@ -28,11 +28,12 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, connected_components, discard, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
+from .common import bitmap, bitmap_place, bitmap_words, connected_components, discard, free_name, in_bitmap, keyed, marked_copies, materialize, small, with_keys
 from .suffix_dedup import _BYTES, _power
 
 DISTANCE = 22
@@ -59,9 +60,14 @@ SEEN = 500_000
 TOGETHER, PIECE, LANES = 20_000, 64, 32
 #: Keys that a task sorts at once to count them; bits of a key that the bitmap of those with two forms goes by, and of those that deal the counting.
 HELD, KEY_BITS, PART_BITS = 4_000_000, 27, 12
+#: Characters of the longest forms whose distances are computed many at a time, and of the longest held against the lower bound.
+AT_ONCE, BOUNDED = 2048, 8192
+#: Rows of a bucket up to which all buckets of a size are looked at together.
+FEW_ROWS = 48
 #: Pieces that are moved along their ranges together.
 ROWS = 4096
 
+_PUNCTUATION = frozenset(string.punctuation.encode()[i : i + 1] for i in range(len(string.punctuation)))
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: Lengths of runs, each about double: a line with a word more or less mostly has runs of the same length.
 _LADDER = [LEAST_PART]
@@ -102,28 +108,31 @@ def _majority(lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return np.packbits(2 * sums.astype(np.uint16) > (end - start)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def blocks_of(forms: list[bytes], runs: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Each form's SimHash over its words, and the keys of its runs of words if asked for (a row for each form, 0 for none)."""
-    whole, keys = np.zeros(len(forms), np.uint64), np.zeros((len(forms), PARTS), np.uint64)
+def _coded(forms: list[bytes]):
+    """Forms in lots: ``start, end``, the number of each word in the list of the lot's different words, how many words each form has, and that list."""
+    ends = np.cumsum(np.fromiter(map(len, forms), np.int64, len(forms)) + 1)
     start = 0
     while start < len(forms):
-        words: list[bytes] = []
-        first, end = [], start
-        while end < len(forms) and len(words) < 100_000:
-            first.append(len(words))
-            words += forms[end].split() or [b""]
-            end += 1
-        digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint8).reshape(-1, 8)[:, ::-1]
-        lanes = np.concatenate([_SPREAD[digests], np.zeros((1, 8), np.uint64)])
-        at = np.array(first)
-        n = np.diff(np.append(at, len(words)))
-        size = np.minimum(_LADDER[np.searchsorted(_LADDER, np.maximum(n // PARTS, LEAST_PART), side="right") - 1], n)
+        end = min(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20))) + 1, len(forms))
+        parts = pc.split_pattern(pa.array(forms[start:end], pa.binary()), b" ")
+        words = parts.flatten().dictionary_encode()
+        yield start, end, words.indices.to_numpy(), np.diff(parts.offsets.to_numpy()), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        start = end
+
+
+def blocks_of(forms: list[bytes], runs: bool | np.ndarray = True, coded=None) -> tuple[np.ndarray, np.ndarray]:
+    """Each form's SimHash over its words, and the keys of its runs of words (a row for each form, 0 for none); ``runs``: for which forms."""
+    runs = np.broadcast_to(runs, len(forms))
+    whole, keys = np.zeros(len(forms), np.uint64), np.zeros((len(forms), PARTS), np.uint64)
+    for start, end, word, n, different in _coded(forms) if coded is None else coded:
+        digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, different)), np.uint8).reshape(-1, 8)[:, ::-1]
+        lanes = _SPREAD[digests]
         # the whole SimHash counts a word once, else the most common words would make unlike lines look alike
-        own = np.repeat(np.arange(len(n), dtype=np.uint64), n) * _MIX ^ np.ascontiguousarray(digests).view("<u8").ravel()
-        once = np.sort(np.unique(own, return_index=True)[1])
-        edge = np.searchsorted(once, at)
-        n_once = np.diff(np.append(edge, len(once)))
-        distinct = np.concatenate([lanes[once], np.zeros((1, 8), np.uint64)])
+        own = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | word.astype(np.uint64))
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        edge = np.searchsorted(own, np.arange(len(n), dtype=np.uint64) << np.uint64(32))
+        n_once = np.diff(np.append(edge, len(own)))
+        distinct = np.concatenate([lanes[(own & np.uint64(0xFFFFFFFF)).astype(np.int64)], np.zeros((1, 8), np.uint64)])
         low = np.flatnonzero(n_once < 256)
         whole[start + low] = _majority(distinct, edge[low], edge[low] + n_once[low])
         for i in np.flatnonzero(n_once >= 256):
@@ -131,14 +140,22 @@ def blocks_of(forms: list[bytes], runs: bool = True) -> tuple[np.ndarray, np.nda
             for a in range(edge[i], edge[i] + n_once[i], 255):
                 counts += distinct[a : min(a + 255, edge[i] + n_once[i])].sum(axis=0).view(np.uint8)
             whole[start + i] = np.packbits(2 * counts > n_once[i], bitorder="little").view("<u8")[0]
-        for p in range(PARTS if runs else 0):
+        with_runs = np.flatnonzero(runs[start:end])
+        lanes = np.concatenate([lanes[word[np.repeat(runs[start:end], n)]], np.zeros((1, 8), np.uint64)])
+        n = n[with_runs].astype(np.int64)
+        at = np.cumsum(n) - n
+        size = np.minimum(_LADDER[np.searchsorted(_LADDER, np.maximum(n // PARTS, LEAST_PART), side="right") - 1], n)
+        for p in range(PARTS):
             k = p // 2 + 1
             own = np.flatnonzero(k * size <= n)
             a = at[own] + ((k - 1) * size[own] if p % 2 == 0 else n[own] - k * size[own])
             # the first words stand for a run that is longer than the counts allow
             value = _majority(lanes, a, a + np.minimum(size[own], 255))
-            keys[start + own, p] = (value ^ np.uint64(p + 1)) * _MIX | np.uint64(1)
-        start = end
+            keys[start + with_runs[own], p] = (value ^ np.uint64(p + 1)) * _MIX | np.uint64(1)
+    # only a form without words begins with punctuation and may have other blanks than single spaces
+    odd = [i for i, f in enumerate(forms) if f[:1] in _PUNCTUATION and f != b" ".join(f.split())]
+    if odd:
+        whole[odd], keys[odd] = blocks_of([b" ".join(forms[i].split()) for i in odd], runs[odd])
     return whole, keys
 
 
@@ -166,7 +183,7 @@ def _short_line(text: str) -> set[int]:
     return {xxhash.xxh64_intdigest(x, 3) for x in (text, *less)} | {xxhash.xxh64_intdigest(x, 4) for x in parts}
 
 
-def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def more_blocks(forms: list[bytes], coded=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of the form and key of blocks that also hold when every run of words has an edit; number of the form and value of word pairs.
 
     A line of up to ``SHORT`` characters: the line less each of its characters; of up to ``THIRDS``: each third.  One of 3 to 11
@@ -180,28 +197,23 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         own = _short_line(text)
         owner.append(np.full(len(own), i))
         keys.append(np.fromiter(own, np.uint64, len(own)))
-    start = 0
-    while start < len(forms):
-        end, size = start, 0
-        while end < len(forms) and size < 1 << 19:
-            size += len(forms[end]) + 1
-            end += 1
-        data = np.frombuffer(b"\n".join(forms[start:end]) + b"\n", np.uint8)
+    for start, end, word, n, different in _coded(forms) if coded is None else coded:
+        data = np.frombuffer(b"".join(different), np.uint8)
         power, inverse = _power(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
-        stop = np.flatnonzero((data == 32) | (data == 10))
-        begin = np.concatenate([[0], stop[:-1] + 1])
+        sizes = np.fromiter(map(len, different), np.int64, len(different))
+        stop = np.cumsum(sizes)
+        begin = stop - sizes
         words = (sums[stop] - sums[begin]) * inverse[begin]
         words = (words ^ words >> np.uint64(31)) * _MIX
         words ^= words >> np.uint64(30)
-        last = np.flatnonzero(data[stop] == 10)
-        first = np.concatenate([[0], last[:-1] + 1])
-        n = last - first + 1
+        words, length = words[word], sizes[word]
+        first = np.cumsum(n) - n
         for k in range(FEW[0], FEW[1]):
             at = np.flatnonzero(n == k)
             if len(at):
-                own, less = _few_words(words, stop - begin, first[at], k)
+                own, less = _few_words(words, length, first[at], k)
                 owner.append(at[own] + start)
                 keys.append(less)
         if (n >= PAIRED).any():
@@ -209,7 +221,6 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             pair = (words[:-1] * np.uint64(3) + words[1:]) * _MIX
             pair ^= pair >> np.uint64(32)
             # pairs of short words are common in any language: they come last
-            length = stop - begin
             pair = pair >> np.uint64(1) | (length[:-1] + length[1:] < LONG_PAIR).astype(np.uint64) << np.uint64(63)
             inside = np.flatnonzero((line[1:] == line[:-1]) & (n[line[1:]] >= PAIRED))
             # the line above, the hash below: one sort gives each line's smallest
@@ -219,7 +230,6 @@ def more_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             least = np.arange(len(own)) - np.searchsorted(own, own) < PAIRS
             paired.append(own[least] + start)
             values.append(code[least] & np.uint64((1 << 44) - 1))
-        start = end
     return tuple(np.concatenate(x) for x in (owner, keys, paired, values))
 
 
@@ -240,38 +250,33 @@ def _two_at_a_time(paired: np.ndarray, values: np.ndarray, few: np.ndarray) -> t
 
 def described_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
     """Each form's SimHash, whether it has few words, and its keys and its word pairs: values, and where each form's begin."""
-    fp = blocks_of(forms, False)[0]
-    few = np.array([f.count(b" ") + 1 < FEW[1] for f in forms], dtype=bool)
-    short = np.flatnonzero(few)
-    runs = blocks_of([forms[i] for i in short])[1]
+    coded = list(_coded(forms))
+    few = np.concatenate([np.zeros(0, bool), *(n < FEW[1] for _, _, _, n, _ in coded)])
+    fp, runs = blocks_of(forms, few, coded)
     at, place = np.nonzero(runs)
-    more, keys, paired, values = more_blocks(forms)
-    owner, keys = np.concatenate([short[at], more]), np.concatenate([runs[at, place], keys])
-    order = np.argsort(owner, kind="stable")
+    more, keys, paired, values = more_blocks(forms, coded)
+    owner, keys = np.concatenate([at, more]), np.concatenate([runs[at, place], keys])
+    order = np.argsort(owner.astype(np.uint16) if len(forms) <= 1 << 16 else owner, kind="stable")  # small numbers are sorted by their digits
     ends = lambda own: np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(forms)))])
     return fp, few, (keys[order], ends(owner)), (values, ends(paired))
 
 
 def expanded(few: np.ndarray, keys: np.ndarray, ends: np.ndarray, values: np.ndarray, pair_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the form and key of all blocks, each once, by form."""
+    """Number of the form and key of all blocks, in any order; a form with equal words may have a key twice."""
     number = np.arange(len(few))
     own, both = _two_at_a_time(np.repeat(number, np.diff(pair_ends)), values, few)
-    owner, keys = np.concatenate([np.repeat(number, np.diff(ends)), own]), np.concatenate([keys, both])
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    once = np.ones(len(owner), bool)
-    once[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
-    return owner[once], keys[once]
+    return np.concatenate([np.repeat(number, np.diff(ends)), own]), np.concatenate([keys, both])
 
 
 def all_blocks(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each form's SimHash; the keys of all its blocks, and where each form's begin."""
     fp, few, (keys, ends), (values, pair_ends) = described_blocks(forms)
     owner, keys = expanded(few, keys, ends, values, pair_ends)
-    return fp, keys, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(forms)))])
+    owner, keys = np.unique(np.stack([owner.astype(np.uint64), keys]), axis=1)
+    return fp, keys, np.concatenate([[0], np.cumsum(np.bincount(owner.astype(np.int64), minlength=len(forms)))])
 
 
-_LINES = "did long, rid long, line int, node long, fp long, chars int, few boolean, keys array<long>, pairs array<long>, form string"
+_LINES = "did long, rid long, line int, node long, fp long, chars int, few boolean, keys binary, pairs binary, form string"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -302,7 +307,7 @@ def lines(docs: DataFrame) -> DataFrame:
                     place = np.full(len(forms), -1, np.int64)
                     place[new] = np.arange(len(new))
                     take = pa.array(place, mask=place < 0)
-                    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))) for values, ends in lists]
+                    lists = [pa.Array.from_buffers(pa.binary(), len(fresh), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]) for values, ends in lists]
                     described = [pa.array(fp.view(np.int64)), pa.array([len(t) for t in texts_of], pa.int32()), pa.array(few), *lists, pa.array(texts_of, pa.string())]
                     at = np.array(owner)
                     yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(rid[at]), pa.array(number, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), *[c.take(take) for c in described]], names=["did", "rid", "line", "node", "fp", "chars", "few", "keys", "pairs", "form"])
@@ -336,6 +341,54 @@ def _nearest(fp: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return pairs[0], pairs[1]
 
 
+def _alike_sized(start: np.ndarray, size: np.ndarray, most: int):
+    """The first rows of small buckets of one size, and that size, as far as they may be held together."""
+    for n in np.unique(size[size <= most]).tolist():
+        own = start[size == n]
+        step = max(1, 1_000_000 // (n * n))
+        for i in range(0, len(own), step):
+            yield own[i : i + step], n
+
+
+def _nearest_in(fp: np.ndarray, chars: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_nearest`` for all buckets of ``n`` rows that begin at ``start``."""
+    at = start[:, None] + np.arange(n)
+    own, size = fp[at], chars[at]
+    low, high = np.minimum(size[:, :, None], size[:, None, :]), np.maximum(size[:, :, None], size[:, None, :])
+    bits = np.bitwise_count(own[:, :, None] ^ own[:, None, :])
+    bits[~(((bits <= DISTANCE) | (high <= SHORT)) & (low >= SIMILARITY * high - 1e-9))] = 255
+    bits[:, np.arange(n), np.arange(n)] = 255
+    found = []
+    for _ in range(2):
+        to = bits.argmin(axis=2)
+        bucket, i = np.nonzero(bits.min(axis=2) < 255)
+        j = to[bucket, i]
+        found.append((bucket * n + np.minimum(i, j)) * n + np.maximum(i, j))
+        bits[:, np.arange(n)[None, :] > np.arange(n)[:, None]] = 255
+    found = np.unique(np.concatenate(found))
+    first = start[found // (n * n)]
+    return first + found // n % n, first + found % n
+
+
+def _across_in(fp: np.ndarray, chars: np.ndarray, group: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``_across`` in all buckets of ``n`` rows that begin at ``start``."""
+    i, j = np.triu_indices(n, 1)
+    i, j = (start[:, None] + i).ravel(), (start[:, None] + j).ravel()
+    other = np.flatnonzero(group[i] != group[j])
+    i, j = i[other], j[other]
+    near = _near(fp, chars, i, j)
+    return i[near], j[near]
+
+
+def _all_across(fp: np.ndarray, chars: np.ndarray, group: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """Pairs of rows of one bucket and different groups that may be alike, a lot at a time."""
+    for own, n in _alike_sized(start, size, FEW_ROWS):
+        yield _across_in(fp, chars, group, own, n)
+    for s, n in zip(start[size > FEW_ROWS].tolist(), size[size > FEW_ROWS].tolist(), strict=True):
+        for i, js in _across(fp[s : s + n], chars[s : s + n], group[s : s + n]):
+            yield np.full(len(js), s + i), s + js
+
+
 def _across(fp: np.ndarray, chars: np.ndarray, group: np.ndarray):
     """Each member outside the largest group with those of other groups that may be like it; no pair twice."""
     order = np.argsort(chars, kind="stable")
@@ -405,7 +458,8 @@ def maybe_alike(forms: list[str], chars: np.ndarray, a: np.ndarray, b: np.ndarra
     for i in range(0, len(a), ROWS):
         more = letters[b[i : i + ROWS]] - letters[a[i : i + ROWS]]
         keep[i : i + ROWS] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most[i : i + ROWS]
-    pieces = -(-chars[a] // PIECE)
+    # of the longest forms the bound costs as much as the distance itself
+    pieces = np.where(np.maximum(chars[a], chars[b]) > BOUNDED, 0, -(-chars[a] // PIECE))
     cost = np.zeros(len(a), np.int64)
     for low, high in ((np.zeros(len(a), np.int64), -(-pieces // 2)), (-(-pieces // 2), pieces)):
         own = np.flatnonzero(keep & (high > low))
@@ -425,6 +479,91 @@ def maybe_alike(forms: list[str], chars: np.ndarray, a: np.ndarray, b: np.ndarra
     return keep
 
 
+def _distances(codes: np.ndarray, kinds: int, start, size, begin, length, most: int) -> np.ndarray:
+    """Edit distances of the strings ``codes[start : start + size]`` to ``codes[begin : begin + length]``, right where they are at most ``most``.
+
+    Bit-parallel in blocks of 64 rows.  All pairs go together, and all blocks: a block is a column behind the one above it.  A block
+    begins and ends with the columns that a path of ``most`` edits can reach in its rows; outside of them distances are only too large.
+    """
+    n_pairs, n_blocks, n_columns, one = len(start), int(size.max() + 63) // 64, int(length.max()), np.uint64(1)
+    block = np.arange(n_blocks)
+    table = np.zeros((n_pairs, n_blocks, kinds + 1), np.uint64)  # the last kind is in no string: it goes on where one has ended
+    for t in range(64):
+        p, k = np.nonzero(64 * block + t < size[:, None])
+        table[p, k, codes[start[p] + 64 * k + t]] |= one << np.uint64(t)
+    table, row = table.ravel(), np.arange(n_pairs * n_blocks).reshape(n_pairs, -1) * (kinds + 1)
+    column = np.arange(n_columns)
+    text = np.where(column < length[:, None], codes[np.minimum(begin[:, None] + column, len(codes) - 1)], kinds)
+    text = np.concatenate([text, np.full((n_pairs, n_blocks), kinds)], axis=1)[:, ::-1]
+    final = (size - 1) // 64
+    height = np.clip(size[:, None] - 64 * block, 0, 64)
+    last = np.maximum(height - 1, 0).astype(np.uint64)
+    score = np.minimum(64 * (block + 1), size[:, None])
+    first, end = np.maximum(64 * block - most - 1, 0) + block, np.minimum(64 * block + 64 + most, n_columns - 1) + block
+    up, down = np.full((n_pairs, n_blocks), ~np.uint64(0)), np.zeros((n_pairs, n_blocks), np.uint64)
+    more, less = np.zeros((n_pairs, n_blocks + 1), np.uint64), np.zeros((n_pairs, n_blocks + 1), np.uint64)
+    more[:, 0] = 1
+    over = length - 1 + final
+    out = np.zeros(n_pairs, np.int64)
+    low = high = 0
+    for now in range(int(over.max()) + 1):
+        while low < n_blocks - 1 and end[low] < now:
+            low += 1
+            more[:, low], less[:, low] = 1, 0
+        while high < n_blocks and first[high] <= now:
+            if high and first[high] > high:
+                score[:, high] = score[:, high - 1] - more[:, high].astype(np.int64) + less[:, high].astype(np.int64) + height[:, high]
+            high += 1
+        k = slice(low, high)
+        add, take = more[:, k].copy(), less[:, k].copy()
+        at = text.shape[1] - 1 - now + low
+        eq = table[row[:, k] + text[:, at : at + high - low]]
+        u, d = up[:, k], down[:, k]
+        either = eq | d
+        eq |= take
+        across = (((eq & u) + u) ^ u) | eq
+        plus, minus = d | ~(across | u), u & across
+        own = more[:, low + 1 : high + 1], less[:, low + 1 : high + 1]
+        own[0][:], own[1][:] = plus >> last[:, k] & one, minus >> last[:, k] & one
+        score[:, k] += own[0].astype(np.int64) - own[1].astype(np.int64)
+        plus = plus << one | add
+        up[:, k] = minus << one | take | ~(either | plus)
+        down[:, k] = plus & either
+        done = np.flatnonzero(over == now)
+        if len(done):
+            out[done] = score[done, final[done]]
+    return out
+
+
+def within(forms: list[str], chars: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the forms of each pair ``a, b`` have an edit similarity of 0.8 or more; exact."""
+    chars = chars.astype(np.int64)
+    high, low = np.maximum(chars[a], chars[b]), np.minimum(chars[a], chars[b])
+    most = np.floor(high * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    out = (a == b) | (high == 0)
+    near = ~out & (high - low <= most)
+    for i in np.flatnonzero(near & ((high > AT_ONCE) | (low == 0))).tolist():
+        out[i] = alike(forms[a[i]], forms[b[i]])
+    own = np.flatnonzero(near & (high <= AT_ONCE) & (low > 0))
+    if not len(own):
+        return out
+    codes = np.frombuffer("".join(forms).encode("utf-32-le"), "<u4")
+    there = np.zeros(0x110000, bool)
+    there[codes] = True
+    kinds = int(there.sum())
+    codes = (np.cumsum(there) - 1)[codes]
+    ends = np.cumsum(chars) - chars
+    own = own[np.lexsort((most[own], -(-low[own] // 64)))]
+    less, more = np.where(chars[a] <= chars[b], a, b), np.where(chars[a] <= chars[b], b, a)
+    i = 0
+    while i < len(own):
+        cells = -(-high[own[i:]] // 64)
+        k = own[i : i + max(1, int(np.searchsorted(np.maximum.accumulate(cells) * np.arange(1, len(cells) + 1), min(2 * ROWS, (1 << 20) // (kinds + 1)), side="right")))]
+        out[k] = _distances(codes, kinds, ends[less[k]], low[k], ends[more[k]], high[k], int(most[k].max())) <= most[k]
+        i += len(k)
+    return out
+
+
 _PAIRS = "kind int, key long, src long, dst long, fp long, chars int"
 
 
@@ -485,7 +624,11 @@ def _first_look(crowd: int | None):
         two = start[size == 2]
         two = two[_near(fp.view(np.uint64), chars, two, two + 1)]
         a, b = [two], [two + 1]
-        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        for own, n in _alike_sized(start[size > 2], size[size > 2], FEW_ROWS):
+            x, y = _nearest_in(fp.view(np.uint64), chars, own, n)
+            a.append(x)
+            b.append(y)
+        for s, n in zip(start[size > FEW_ROWS].tolist(), size[size > FEW_ROWS].tolist(), strict=True):
             x, y = _nearest(fp[s : s + n].view(np.uint64), chars[s : s + n])
             a.append(x + s)
             b.append(y + s)
@@ -505,9 +648,8 @@ def _mixed(batches):
         key, node, fp, chars, group = rows
         keep = np.zeros(len(group), bool)
         several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
-        for s, n in zip(start[several].tolist(), size[several].tolist(), strict=True):
-            for i, j in _across(fp[s : s + n].view(np.uint64), chars[s : s + n], group[s : s + n]):
-                keep[s + i] = keep[s + j] = True
+        for i, j in _all_across(fp.view(np.uint64), chars, group, start[several], size[several]):
+            keep[i] = keep[j] = True
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, fp, chars.astype(np.int32), group)], names=names)
 
     yield from _buckets(batches, None, names, settle)
@@ -529,16 +671,18 @@ def _second_look(batches, once: bool = False):
     def tested(pairs, rows):
         """Links among the pairs: those that the lower bound leaves, by their exact similarity."""
         _, node, _, chars, group, form, *_ = rows
-        i = np.concatenate([np.full(len(js), i) for i, js in pairs])
-        j = np.concatenate([js for _, js in pairs])
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
         at, place = np.unique(np.concatenate([i, j]), return_inverse=True)
         forms, groups = form[at].tolist(), group[at].tolist()
         root.update((g, g) for g in groups if g not in root)
-        left = np.flatnonzero(maybe_alike(forms, chars[at], place[: len(i)], place[len(i) :]))
+        place = place.reshape(2, -1)
+        apart = np.array([of(groups[x]) != of(groups[y]) for x, y in zip(*place.tolist(), strict=True)], bool)
+        place = place[:, apart]
+        place = place[:, maybe_alike(forms, chars[at], *place)]
         links = []
-        for x, y in zip(place[left].tolist(), place[len(i) + left].tolist(), strict=True):
+        for x, y in place[:, within(forms, chars[at], *place)].T.tolist():
             gx, gy = of(groups[x]), of(groups[y])
-            if gx != gy and alike(forms[x], forms[y]):
+            if gx != gy:
                 root[gx] = gy
                 links.append((at[x], at[y]))
         a, b = node[np.array(links, np.int64).reshape(-1, 2)].T
@@ -548,15 +692,23 @@ def _second_look(batches, once: bool = False):
         key, _, fp, chars, group, *_ = rows
         if len(root) > SEEN:
             root.clear()  # only what this task has joined is forgotten
+        less: dict[int, set[int]] = {}
+
+        def earlier(i: int) -> set[int]:
+            """The member's keys under that of its bucket."""
+            if i not in less:
+                own = rows[-1][i]
+                less[i] = set(own[: np.searchsorted(own, key[i])].tolist())
+            return less[i]
+
         held, n = [], 0
-        for s, m in zip(start.tolist(), size.tolist(), strict=True):
-            less = [set(own[: np.searchsorted(own, key[s])].tolist()) for own in rows[-1][s : s + m]] if once else None
-            for i, js in _across(fp[s : s + m].view(np.uint64), chars[s : s + m], group[s : s + m]):
-                if once:
-                    js = np.array([j for j in js.tolist() if less[i].isdisjoint(less[j])], np.int64)
-                if len(js):
-                    held.append((s + i, s + js))
-                n += len(js)
+        for i, j in _all_across(fp.view(np.uint64), chars, group, start, size):
+            if once:
+                new = np.array([earlier(x).isdisjoint(earlier(y)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[new], j[new]
+            for k in range(0, len(i), TOGETHER):
+                held.append((i[k : k + TOGETHER], j[k : k + TOGETHER]))
+                n += len(held[-1][0])
                 if n >= TOGETHER:
                     yield tested(held, rows)
                     held, n = [], 0
@@ -654,6 +806,15 @@ def _twice(batches):
         yield words(last, held)
 
 
+def _longs(column) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit numbers in a binary column, and where each row's begin."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint64) if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint64)
+    return values, (ends - ends[0]) // 8
+
+
 def _shared_keys(described: DataFrame) -> DataFrame:
     """``key, node, fp, chars`` for the keys that more than one form has; most keys are unique and are only counted.
 
@@ -670,8 +831,7 @@ def _shared_keys(described: DataFrame) -> DataFrame:
 
     def blocks(batch):
         few = batch.column("few").to_numpy(zero_copy_only=False)
-        lists = [(x.flatten().to_numpy().view(np.uint64), x.offsets.to_numpy() - x.offsets[0].as_py()) for x in (batch.column("keys"), batch.column("pairs"))]
-        return expanded(few, *lists[0], *lists[1])
+        return expanded(few, *_longs(batch.column("keys")), *_longs(batch.column("pairs")))
 
     def halves(batches):
         held, n = [], 0
@@ -703,14 +863,10 @@ def _shared_keys(described: DataFrame) -> DataFrame:
 
 def _forms(nodes: DataFrame, described: DataFrame) -> DataFrame:
     """``node, form`` of the nodes; only forms that a fixed-size bitmap of them lets pass are moved."""
-    words = nodes.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
-
-    def wanted(batches):
-        for batch in batches:
-            at = np.flatnonzero(in_bitmap(words.value, batch.column("node").to_numpy().view(np.uint64)))
-            yield batch.take(pa.array(at))
-
-    return materialize(described.select("node", "form").mapInArrow(wanted, "node long, form string").dropDuplicates(["node"]), "line-forms")
+    words = bitmap_words(nodes, "node")
+    word, bit = bitmap_place("node")
+    passed = described.select("node", "form").withColumn("w", word).join(F.broadcast(words), "w").where(F.col("b").bitwiseAND(bit) != 0)
+    return materialize(passed.select("node", "form").dropDuplicates(["node"]), "line-forms")
 
 
 def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
@@ -804,9 +960,9 @@ def _alike(batches):
             keep = np.array([surely_within(a, b, _most(a, b)) for a, b in zip(left, right, strict=True)], dtype=bool)
             open_ = np.flatnonzero(~keep)
             forms = [left[i] for i in open_] + [right[i] for i in open_]
-            n = len(open_)
-            maybe = np.flatnonzero(maybe_alike(forms, np.fromiter(map(len, forms), np.int64, 2 * n), np.arange(n), n + np.arange(n)))
-            keep[open_[[i for i in maybe.tolist() if edit_distance(forms[i], forms[n + i], _most(forms[i], forms[n + i])) <= _most(forms[i], forms[n + i])]]] = True
+            chars, n = np.fromiter(map(len, forms), np.int64, len(forms)), len(open_)
+            maybe = np.flatnonzero(maybe_alike(forms, chars, np.arange(n), n + np.arange(n)))
+            keep[open_[maybe[within(forms, chars, maybe, n + maybe)]]] = True
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([part.column("src").take(at), part.column("dst").take(at)], names=["src", "dst"])
 

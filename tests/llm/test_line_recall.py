@@ -143,3 +143,60 @@ def test_halves_that_come_twice():
     half, n = np.unique(np.concatenate(lots), return_counts=True)
     hit = line_dedup.in_bitmap(bits.ravel(), half.astype(np.uint64) << np.uint64(32), line_dedup.KEY_BITS)
     assert hit[n > 1].all() and hit[n == 1].mean() < 0.01
+
+
+def test_distances_of_many_pairs_at_once(monkeypatch):
+    """Against the distance of one pair: blocks of 64 rows and their edges, letters outside ASCII, forms beyond the length that goes together."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh éß語") for _ in range(n))
+    forms = ["", "", "a"]
+    for n in (1, 5, 30, 63, 64, 65, 127, 128, 129, 300, 700):
+        for _ in range(12):
+            own = list(letters(n))
+            forms.append("".join(own))
+            for _ in range(rng.randint(0, 1 + int(n * rng.choice([0.02, 0.1, 0.2, 0.3])))):
+                k = rng.randrange(len(own) + 1)
+                own[k : k + rng.randint(0, 2)] = rng.choice(["", "x", "ab"])
+            forms.append(letters(rng.randint(0, n // 6)) + "".join(own))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(forms)), np.arange(len(forms))))
+    some = np.flatnonzero((abs(a - b) == 1) | (np.arange(len(a)) % 7 == 0))
+    a, b = a[some], b[some]
+    exact = [line_dedup.edit_distance(forms[i], forms[j], m := line_dedup._most(forms[i], forms[j])) <= m for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    for at_once in (line_dedup.AT_ONCE, 200):
+        monkeypatch.setattr(line_dedup, "AT_ONCE", at_once)
+        assert line_dedup.within(forms, np.array([len(f) for f in forms]), a, b).tolist() == exact
+    assert 200 < sum(exact) < len(exact) - 200
+
+
+def test_small_buckets_of_one_size_go_together():
+    """The nearest pairs and those across groups are those of each bucket by itself; no Python call for each bucket."""
+    rng = np.random.default_rng(1)
+    for n, lowest in ((3, 20), (5, 1), (9, 20), (line_dedup.FEW_ROWS, 20)):
+        start = np.arange(50) * n
+        fp = np.repeat(rng.integers(0, 2**64, 50, dtype=np.uint64), n)
+        for _ in range(12):
+            fp ^= np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64)
+        chars, group = rng.integers(lowest, 60, len(fp)).astype(np.int32), rng.integers(0, 4, len(fp))
+        nearest, across = set(), set()
+        for s in start.tolist():
+            own = slice(s, s + n)
+            nearest |= {(s + i, s + j) for i, j in zip(*(x.tolist() for x in line_dedup._nearest(fp[own], chars[own])), strict=True)}
+            across |= {(min(s + i, s + j), max(s + i, s + j)) for i, js in line_dedup._across(fp[own], chars[own], group[own]) for j in js.tolist()}
+        assert set(zip(*(x.tolist() for x in line_dedup._nearest_in(fp, chars, start, n)), strict=True)) == nearest
+        got = [p for i, j in line_dedup._all_across(fp, chars, group, start, np.full(50, n)) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert set(got) == across and len(got) == len(across) and across
+
+
+def test_pairs_of_several_buckets_meet_the_exact_test_once(monkeypatch):
+    """As above where the pairs go many at a time."""
+    forms = ["the same words again and again number %s" % (x * 19) for x in "abcdef"]
+    forms[5] = forms[0].replace("words", "wordz")
+    n, keys = len(forms), 40
+    seen, exact = [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "maybe_alike", lambda forms, chars, a, b: np.ones(len(a), bool))
+    monkeypatch.setattr(line_dedup, "within", lambda forms, chars, a, b: seen.extend((forms[i], forms[j]) for i, j in zip(a, b, strict=True)) or exact(forms, chars, a, b))
+    key, node = np.repeat(np.arange(keys), n), np.tile(np.arange(n), keys)
+    cols = [key, node, np.full(n * keys, 7), np.full(n * keys, len(forms[0]), np.int32), node]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(forms * keys), pa.array([list(range(keys))] * n * keys)], names=["key", "node", "fp", "chars", "group", "form", "shared"])
+    found = [r for out in line_dedup._second_look([batch], True) for r in zip(out.column("src").to_pylist(), out.column("dst").to_pylist(), strict=True)]
+    assert found == [(0, 5)] and len(seen) == len(set(seen)) == n * (n - 1) // 2
