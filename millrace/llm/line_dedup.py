@@ -735,6 +735,25 @@ def _split(batches):
 
 def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``src, dst``: linked forms of ``lines``, enough of them to connect every group."""
+    found, _, rest = _linked(every, crowd)
+    return found if rest is None else found.union(rest)
+
+
+def form_groups(every: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``connected_components`` of ``form_links``: of the second look's links only the groups of the first that they join are worked on."""
+    _, groups, rest = _linked(every, crowd)
+    if rest is None:
+        return groups
+    for end in ("src", "dst"):
+        own = groups.select(F.col("node").alias(end), "component")
+        rest = rest.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    top = connected_components(rest)
+    joined = groups.join(top.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left")
+    return joined.select("node", F.coalesce("above", "component").alias("component")).union(top)
+
+
+def _linked(every: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The links of the first look, their components, and the links of the second look, if it has any work."""
     described = every.where("fp is not null")
     rows = _shared_keys(described)
     looks = []
@@ -749,19 +768,20 @@ def form_links(every: DataFrame, crowd: int = CROWD) -> DataFrame:
     candidates = materialize(both.where("kind = 0").select("src", "dst").distinct(), "line-pairs")
     found = _verified(candidates, described)
     members = both.where("kind = 1").select("key", F.col("src").alias("node"), "fp", "chars")
-    tagged = members.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    groups = connected_components(found)
+    tagged = members.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     columns = "key long, node long, fp long, chars int, group long"
     mixed = materialize(_dealt(tagged.select("key", "node", "fp", "chars", "group"), _mixed, columns), "line-mixed")
     discard(*looks, candidates)
     if mixed.isEmpty():
-        return found
+        return found, groups, None
     # the forms come along, so that a bucket's links leave it and not its pairs
     shared = mixed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("shared"))
     texts = _forms(mixed.select("node"), described)
     rest = _dealt(mixed.join(texts.join(shared, "node"), "node"), lambda batches: _second_look(batches, True), "src long, dst long")
     rest = materialize(rest.distinct(), "line-rest")
     discard(mixed, texts)
-    return found.union(rest)
+    return found, groups, rest
 
 
 def _packed_halves(half: np.ndarray) -> pa.RecordBatch:
@@ -981,7 +1001,7 @@ def _keep_flags(batches):
 def removed_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``did, rid, keep array<boolean> (by line number, true beyond its end), gone (their number)`` of rows that lose lines."""
     every = materialize(lines(docs), "lines")
-    comp = connected_components(form_links(every, crowd))
+    comp = form_groups(every, crowd)
     places = every.select("did", "rid", "line", "node")
     rooted = materialize(places.join(comp, "node", "left").select("did", "rid", "line", F.coalesce("component", "node").alias("root")), "line-roots")
     discard(every)

@@ -200,3 +200,17 @@ def test_pairs_of_several_buckets_meet_the_exact_test_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(forms * keys), pa.array([list(range(keys))] * n * keys)], names=["key", "node", "fp", "chars", "group", "form", "shared"])
     found = [r for out in line_dedup._second_look([batch], True) for r in zip(out.column("src").to_pylist(), out.column("dst").to_pylist(), strict=True)]
     assert found == [(0, 5)] and len(seen) == len(set(seen)) == n * (n - 1) // 2
+
+
+def test_groups_are_the_components_of_all_links(spark, monkeypatch):
+    """Links of the second look between groups, between single forms and between both; the components of the first are not computed again."""
+    at = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    found, rest = at([(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)]), at([(3, 11), (21, 50), (0, 20), (60, 61)])
+    want = {r.node: r.component for r in line_dedup.connected_components(found.union(rest)).collect()}
+    worked = []
+    first = line_dedup.connected_components(found)
+    monkeypatch.setattr(line_dedup, "_linked", lambda every, crowd: (found, first, rest))
+    exact = line_dedup.connected_components
+    monkeypatch.setattr(line_dedup, "connected_components", lambda edges: worked.append(edges.count()) or exact(edges))
+    rows = line_dedup.form_groups(None).collect()
+    assert {r.node: r.component for r in rows} == want and len(rows) == len(want) and worked == [4]
