@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Numbers (rows times dimensions) of a block, on either side.
@@ -105,10 +106,20 @@ def ranking_differences(a: DataFrame, b: DataFrame, id_col: str, tolerance: floa
     return joined.where(~F.col("id_a").eqNullSafe(F.col("id_b")) | (F.abs(F.col("score_a") - F.col("score_b")) > tolerance))
 
 
+def two_digits(score: Column) -> Column:
+    """A number with two digits as C prints it: by the double's own value, a true half to even; Spark's ``printf`` rounds its shortest decimal form half up."""
+
+    @F.pandas_udf("string")
+    def shown(x: pd.Series) -> pd.Series:
+        return x.map("{:.2f}".format)
+
+    return shown(score)
+
+
 def format_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """``query_id, rendered``: hits (``query_id, rank, source, heading, score, text``) as text; a fixed line where none."""
     where = F.when(F.col("heading") != "", F.concat("source", F.lit(" > "), "heading")).otherwise(F.col("source"))
-    line = F.format_string("[%d] %s  (similarity %.2f)\n%s", "rank", where, "score", "text")
+    line = F.concat(F.lit("["), "rank", F.lit("] "), where, F.lit("  (similarity "), two_digits(F.col("score")), F.lit(")\n"), "text")
     shown = hits.withColumn("line", line).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("rendered"))
     none = F.concat(F.lit("no passages found for '"), F.col("question"), F.lit("'"))
     return queries.join(shown, "query_id", "left").select("query_id", F.coalesce("rendered", none).alias("rendered"))

@@ -88,3 +88,12 @@ def test_recall_counts_per_query_and_in_total(spark):
     rows = lambda x: spark.createDataFrame(x, "query_id long, vec_id long")
     got = {r.query_id: (r.wanted, r.got, r.recall) for r in evaluation.recall(rows([(1, 1), (1, 2), (2, 3)]), rows([(1, 2), (2, 4)])).collect()}
     assert got == {1: (2, 1, 0.5), 2: (1, 0, 0.0), None: (3, 1, 0.333333)}
+
+
+def test_similarities_are_rounded_by_their_own_value(spark):
+    """0.985 lies below its two-digit half, 0.125 and 0.375 on theirs; Spark's printf puts up all of them."""
+    hits = spark.createDataFrame([(1, i + 1, f"v{i}", "", s, "t") for i, s in enumerate([0.985, 0.375, 0.125, 0.005])], "query_id long, rank int, source string, heading string, score double, text string")
+    asked = spark.createDataFrame([(1, "q"), (2, "w")], "query_id long, question string")
+    got = {r.query_id: r.rendered for r in search.format_hits(asked, hits).collect()}
+    assert got[1] == "\n\n".join(f"[{i + 1}] v{i}  (similarity {s})\nt" for i, s in enumerate(["0.98", "0.38", "0.12", "0.01"]))
+    assert got[2] == "no passages found for 'w'"
