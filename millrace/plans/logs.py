@@ -509,11 +509,12 @@ def st3_calls_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ARRIVED + """ SELECT date_trunc('day', minute) AS day, model, CAST(count(*) FILTER (WHERE NOT coalesce(dropped, FALSE)) AS BIGINT) AS calls, count(*) FILTER (WHERE dropped) AS dropped,
 quantile_disc(latency_ms, 0.5) FILTER (WHERE NOT coalesce(dropped, FALSE)) AS p50_ms FROM f WHERE closed GROUP BY ALL HAVING count(*) FILTER (WHERE NOT coalesce(dropped, FALSE)) > 0""")
 def st3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes merged to days, their sketches too, beside the calls that came too late."""
+    """Minutes merged to days, latency by latency, beside the calls that came too late."""
     minutes = _minutes(spark, sf_dir)
     days = rollups.with_percentiles(rollups.coarser(minutes, "day"), (0.5,))
     ts = F.col("ts").cast("timestamp")
     every = table(spark, sf_dir, "events").select(ts.alias("ts"), F.col("event_type").alias("model"))
     last = F.window("ts", "1 minute")["end"] <= F.lit(every.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 10 MINUTES")
     closed = every.where(last).groupBy(F.date_trunc("day", "ts").alias("minute"), "model").agg(F.count("*").alias("n"))
-    return days.join(closed, ["minute", "model"]).select(F.col("minute").cast("timestamp_ntz").alias("day"), "model", "calls", (F.col("n") - F.col("calls")).alias("dropped"), "p50_ms")
+    both = days.join(closed.withColumnsRenamed({"minute": "_day", "model": "_model"}), (F.col("minute") == F.col("_day")) & F.col("model").eqNullSafe(F.col("_model")))
+    return both.select(F.col("minute").cast("timestamp_ntz").alias("day"), "model", "calls", (F.col("n") - F.col("calls")).alias("dropped"), "p50_ms")

@@ -163,3 +163,16 @@ def test_streams_equal_batches(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.jsonl").write_text(json.dumps({"ts": "2024-01-01T00:00:00Z", "model": "m", "latency_ms": 1.0, "retries": 0}))
     assert files.read_call_log(spark, str(tmp_path / "log")).first().model == "m"
+
+
+def test_percentiles_are_exact_over_many_latencies(spark):
+    """A day of 20,000 different latencies, each twice, in four minutes, beside calls without one and a model without a name."""
+    minute = F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 4 * 60)
+    own = spark.range(20_000).select(minute.alias("minute"), F.lit(None).cast("string").alias("model"), (F.pmod(F.col("id") * 7919, F.lit(20_011)) / 8).alias("latency_ms"), F.lit(2).cast("long").alias("calls"), F.lit(1).cast("long").alias("errors"))
+    untimed = spark.range(3).select(F.timestamp_seconds(F.lit(1704067200)).alias("minute"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("latency_ms"), F.lit(50_000).cast("long").alias("calls"), F.lit(0).cast("long").alias("errors"))
+    day = rollups.coarser(own.union(untimed), "day")
+    values = sorted(i * 7919 % 20_011 / 8 for i in range(20_000))
+    (got,) = rollups.with_percentiles(day, (0.5, 0.95, 0.999)).collect()
+    assert (got.calls, got.errors, got.p50_ms, got.p95_ms) == (190_000, 20_000, values[9_999], values[18_999]) and got["p100_ms"] == values[19_979]
+    none = rollups.with_percentiles(rollups.coarser(untimed, "day")).first()
+    assert (none.calls, none.p50_ms, none.avg_ms) == (150_000, None, None)
