@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from . import chunking, embedding, search
 from .ranking import numbered
 
@@ -95,24 +99,134 @@ def _vector_id(*parts):
     return F.conv(F.left(F.md5(F.concat_ws(":", *parts)), F.lit(15)), 16, 10).cast("long")
 
 
+@dataclass(frozen=True)
+class Setting:
+    """How documents are chunked and marked; ``key`` goes before a chunk's name in its number."""
+
+    size: int
+    overlap: int
+    prefix: str
+    key: str = ""
+
+
+#: Characters of documents that are chunked at a time, and bytes of a side that may be broadcast.
+TEXT_BLOCK, SMALL = 500_000, 8_000_000
+
+
+def _cut(source: str | None, text: str | None, s: Setting):
+    """(name, chunk, what is embedded) of each chunk of a document; the name is what ``_vector_id`` makes a number of."""
+    for i, (title, _, own) in enumerate(chunking.titled(text or "", s.size, s.overlap)):
+        if source is None:
+            yield s.key, own, s.prefix
+        else:
+            name = f"{source}#{i}"
+            yield f"{s.key}:{name}" if s.key else name, own, s.prefix + chunking.context(source, title, own)
+
+
+def _sources(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+
+
+def packed_chunks(docs: DataFrame, settings: list[Setting], embedder) -> DataFrame:
+    """Vectors of all chunks, a group ``g`` for each setting, as rows of ``search.PACKED``.
+
+    Chunks are embedded where they are cut: a text is not sent anywhere.  Equal texts, which have the same document, are embedded once.
+    """
+    from hashlib import md5
+
+    names = [f.split()[0] for f in search.PACKED.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
+
+    def pack(rows: list[tuple[str, str]]):
+        places: dict[str, int] = {}
+        groups = []
+        for s in settings:
+            ids, at = [], []
+            for source, text in rows:
+                for name, _, shown in _cut(source, text, s):
+                    ids.append(int(md5(name.encode()).hexdigest()[:15], 16))
+                    at.append(places.setdefault(shown, len(places)))
+            groups.append((ids, at))
+        vectors = embedding.vectors_of(list(places), embedder)
+        for g, (ids, at) in enumerate(groups):
+            for row in search.pack(g, np.array(ids, np.int64), vectors[at]) if at else ():
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+
+    def run(batches):
+        rows, chars = [], 0
+        for batch in batches:
+            for source, text in zip(batch.column("source"), batch.column("text"), strict=True):
+                rows.append((source.as_py(), text.as_py()))
+                chars += len(rows[-1][1] or "")
+                if chars >= TEXT_BLOCK:
+                    yield from pack(rows)
+                    rows, chars = [], 0
+        yield from pack(rows)
+
+    return _sources(docs).mapInArrow(run, search.PACKED)
+
+
+def _chunks_of_all(docs: DataFrame, settings: list[Setting]) -> DataFrame:
+    """``g, source, name, text, shown``: the chunks at every setting, a document at a time."""
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows = [(g, source, *c) for g, s in enumerate(settings) for c in _cut(source, text, s)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["g", "source", "name", "text", "shown"])
+
+    return _sources(docs).mapInArrow(run, "g int, source string, name string, text string, shown string")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _ablate(docs: DataFrame, queries: DataFrame, embedder, cases: list[tuple[str, Setting, str]], depth: int) -> DataFrame:
+    """Metrics of each case (name, how documents are chunked, the questions' prefix).
+
+    Metrics ask only at which ranks relevant chunks are, so the chunks that beat one of them are counted (``search.ranks``) and not ranked.
+    """
+    n, settings = len(cases), list(dict.fromkeys(s for _, s, _ in cases))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(settings.index(s)).alias("g"), F.lit(p).alias("p")) for i, (_, s, p) in enumerate(cases)]))
+    asked = queries.select("query_id", "question", each.alias("c")).select((F.col("query_id") * n + F.col("c.position")).alias("query_id"), "c.position", "c.g", F.concat("c.p", F.coalesce("question", F.lit(""))).alias("shown"))
+    asked = _written(embedding.embed_rows(asked, embedder, "shown", "v").drop("shown"), "asked")
+    wanted = queries.select("query_id", F.explode(F.array_distinct("sources")).alias("source"), F.lower("marker").alias("_m"))
+    small = (wanted.agg(F.sum(F.octet_length("source") + F.octet_length("_m") + 32)).first()[0] or 0) <= SMALL
+    near = F.broadcast(wanted) if small else wanted
+    own = _written(docs.select("doc_id", "text").join(near.select(F.col("source").alias("_s")), F.col("doc_id").cast("string") == F.col("_s"), "left_semi"), "wanted")
+    found = _chunks_of_all(own, settings).join(near, "source").where(F.contains(F.lower("text"), F.col("_m")))
+    gold = embedding.embed_rows(found.select(F.col("query_id").alias("_q"), "g", _vector_id(F.col("name")).alias("id"), "shown"), embedder, "shown", "w").drop("shown")
+    pairs = asked.withColumn("_q", F.expr(f"(query_id - position) div {n}")).join(gold, ["_q", "g"]).select("query_id", "g", "id", "v", "w")
+    scored = pairs.mapInArrow(_scored, "query_id long, g int, id long, score double, v array<float>")
+    of = Window.partitionBy("query_id")
+    first = scored.withColumns({"total_relevant": F.count("*").over(of), "_r": F.row_number().over(of.orderBy(F.desc("score"), "id"))}).where(F.col("_r") <= depth).drop("_r")
+    items = _written(first.withColumn("item", F.monotonically_increasing_id()), "items")  # of a query's relevant chunks no more than ``depth`` can be among the first
+    packed = _written(packed_chunks(docs, settings, embedder).withColumn("key", F.monotonically_increasing_id()), "chunks")
+    hits = search.ranks(items, packed, depth).select("query_id", "rank", "id", "score", F.lit(True).alias("relevant"))
+    totals = items.groupBy("query_id").agg(F.max("total_relevant").alias("total_relevant"))
+    metrics = aggregate(per_query(asked.select("query_id", "position"), hits, totals), "position").where("position <> 'all'")
+    position = F.col("position").cast("int")
+    return metrics.withColumns({"variant": F.element_at(F.array(*[F.lit(name) for name, _, _ in cases]), position + 1), "position": position})
+
+
+def _scored(batches):
+    for b in batches:
+        if len(b):
+            score = search.cosines(search.matrix(b.column("v")), search.matrix(b.column("w")))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("g"), b.column("id"), pa.array(score), b.column("v")], names=["query_id", "g", "id", "score", "v"])
+
+
 def ablate_chunk_size(docs: DataFrame, queries: DataFrame, embedder, model: str, sizes: tuple[int, ...] = (200, 300, 600, 1200, 2000), depth: int = 10, prefixes: tuple[str, str] = ("search_document: ", "search_query: ")) -> DataFrame:
     """One row of metrics per chunk size (overlap a sixth of it): ``variant, position, n, hit_k, p_k, r_k, mrr``.
 
     ``docs``: ``doc_id, text``; ``queries``: ``query_id long, question, sources array<string>, marker``.  All sizes run in one job.
     """
-    n = len(sizes)
-    pieces = [chunking.with_context(chunking.chunk(docs, s, s // 6)).withColumn("position", F.lit(i)) for i, s in enumerate(sizes)]
-    chunks = reduce(DataFrame.unionByName, pieces).withColumn("vec_id", _vector_id(F.col("position"), F.col("chunk_id")))
-    vectors = embedding.embed(chunks, embedder, model, prefixes[0], col="context").select("vec_id", "position", F.col("vector").alias("embedding"))
-    asked = embedding.embed(queries, embedder, model, prefixes[1], col="question").select("query_id", "sources", "marker", F.col("vector").alias("embedding"), F.explode(F.array(*map(F.lit, range(n)))).alias("position"))
-    asked = asked.withColumn("query_id", F.col("query_id") * n + F.col("position"))
-    hits = search.top_k(vectors, asked, k=depth, group="position")
-    gold = chunks.join(asked.select("query_id", "position", F.explode(F.array_distinct("sources")).alias("source"), F.lower("marker").alias("_m")), ["position", "source"]).where(F.contains(F.lower("text"), F.col("_m"))).select("query_id", "vec_id")
-    labelled = hits.join(gold.withColumn("relevant", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "rank", F.col("vec_id").alias("id"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"))
-    totals = gold.groupBy("query_id").agg(F.count("*").alias("total_relevant"))
-    metrics = aggregate(per_query(asked.select("query_id", "position"), labelled, totals), "position").where("position <> 'all'")
-    position = F.col("position").cast("int")
-    return metrics.withColumns({"variant": F.element_at(F.array(*[F.lit(str(s)) for s in sizes]), position + 1), "position": position})
+    return _ablate(docs, queries, embedder, [(str(s), Setting(s, s // 6, prefixes[0], str(i)), prefixes[1]) for i, s in enumerate(sizes)], depth)
 
 
 #: How documents and questions are marked for an embedder that tells them apart, and two ways not to.

@@ -10,21 +10,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 #: Numbers (rows times dimensions) of a block, on either side.
 BLOCK_NUMBERS = 1_000_000
 #: Queries that are multiplied at a time.
 QUERY_BLOCK = 1024
 
 
-def block_join(asked: DataFrame, rows: DataFrame, width: tuple, run: Callable, schema: str) -> DataFrame:
+def block_join(asked: DataFrame, rows: DataFrame, width: tuple, run: Callable, schema: str, numbers: tuple[int, int] | None = None) -> DataFrame:
     """``run(key, asked block, row block)`` for every pair of blocks of one group.
 
     ``asked`` and ``rows`` have ``g`` (never null), ``key`` (spreads a group's rows over its blocks) and what ``run`` takes;
-    ``width`` gives the numbers that a row of each counts for.  A group has as many blocks on a side as its numbers ask for, so
+    ``width`` gives the numbers that a row of each counts for, ``numbers`` those of a block of each (``BLOCK_NUMBERS``).  A group has as many blocks on a side as its numbers ask for, so
     a large group is split, each row of a side is sent once for each block of the other, and a task holds two blocks.
     """
-    count = lambda df, w, name: df.groupBy("g").agg(F.ceil(F.sum(w) / BLOCK_NUMBERS).alias(name))
-    shape = count(asked, width[0], "across").join(count(rows, width[1], "down"), "g")
+    most = numbers or (BLOCK_NUMBERS, BLOCK_NUMBERS)
+    count = lambda df, w, n, name: df.groupBy("g").agg(F.ceil(F.sum(w) / n).alias(name))
+    shape = count(asked, width[0], most[0], "across").join(count(rows, width[1], most[1], "down"), "g")
     place = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = asked.join(shape, "g").withColumn("across", place("across")).withColumn("down", every("down")).drop("key")
@@ -92,6 +95,106 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
+#: Numbers of a block of wanted rows and of packed vectors, and how many of either are multiplied at a time.
+RANK_NUMBERS, RANK_ROWS = (2_000_000, 16_000_000), (512, 2048)
+#: Packed vectors of one in so many rows are looked at first.
+FIRST_LOOK = 16
+
+PACKED = "g int, n int, width int, kind string, ids binary, vectors binary"
+
+
+def pack(g: int, ids: np.ndarray, vectors: np.ndarray):
+    """Rows of ``PACKED`` for vectors of one group: each in the narrowest kind of number that holds it without loss."""
+    if not vectors.size:
+        return
+    most = np.where((vectors == np.rint(vectors)).all(axis=1), np.abs(vectors).max(axis=1), np.inf)
+    low = -1.0
+    for kind, high in (("int8", 127.0), ("int16", 32767.0), ("float32", np.inf)):
+        own = ~(most <= low) & (most <= high) if np.isfinite(high) else ~(most <= low)
+        low = high
+        if own.any():
+            yield g, int(own.sum()), vectors.shape[1], kind, ids[own].astype(np.int64).tobytes(), vectors[own].astype(kind).tobytes()
+
+
+def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Row by row, rounded to 6 digits, halves away from zero as SQL does; 0 for a zero vector."""
+    q, v = q.astype(np.float64), v.astype(np.float64)
+    a, b = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+    x = (q * v).sum(axis=1) / np.where(a == 0, 1, a) / np.where(b == 0, 1, b) * 1e6
+    whole = np.trunc(x)
+    return np.where(np.abs(x - whole) == 0.5, whole + np.sign(x), np.rint(x)) / 1e6
+
+
+def better_than(wanted: DataFrame, packed: DataFrame, k: int) -> DataFrame:
+    """``item, better``: how many rows of its group beat an item (a query with one row that it wants) by (score descending, id).
+
+    ``wanted``: ``item, g, query_id, id, score, v`` (the query's vector); ``packed``: rows of ``PACKED`` with a ``key``.  Exact below ``k``: an item that ``k``
+    rows beat may be looked at no further and count too few, but no fewer than ``k``.  Items that nothing beats have no row.  Products
+    are taken in single precision; only scores within its error of the item's are computed again by ``cosines``.
+    """
+
+    def run(key, asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        asked = asked.sort_by("query_id")
+        item, own, score = asked["item"].to_numpy(), asked["id"].to_numpy(), asked["score"].to_numpy()
+        _, head, of = np.unique(asked["query_id"].to_numpy(), return_index=True, return_inverse=True)  # a query's vector goes once
+        q = matrix(asked["v"].take(pa.array(head))).astype(np.float32)
+        u = unit(q.astype(np.float64)).astype(np.float32)
+        error = 1e-6 + u.shape[1] * 2.0**-23
+        low, high = (score - error).astype(np.float32), (score + error).astype(np.float32)
+        better, live = np.zeros(len(item), np.int64), np.arange(len(item))
+        first = True
+        for block in zip(*(blocks[c] for c in ("n", "width", "kind", "vectors", "ids")), strict=True):
+            n, width, kind, raw, ids = (x.as_py() for x in block)
+            v, ids = np.frombuffer(raw, kind).reshape(n, width).astype(np.float32), np.frombuffer(ids, np.int64)
+            w = unit(v.astype(np.float64)).astype(np.float32)
+            at = 0
+            while at < n and len(live):  # few rows first: they settle most of the items that many beat
+                end = min(n, at + (RANK_ROWS[1] // 8 if first else RANK_ROWS[1]))
+                first = False
+                queries, begin = np.unique(of[live], return_index=True)
+                least, begin = np.minimum.reduceat(low[live], begin), np.append(begin, len(live))
+                for i in range(0, len(queries), RANK_ROWS[0]):
+                    part = queries[i : i + RANK_ROWS[0]]
+                    found = u[part] @ w[at:end].T
+                    near = found.max(axis=1) >= least[i : i + len(part)]
+                    some = live[begin[i] : begin[i + len(part)]]
+                    line = np.searchsorted(part, of[some])
+                    some, line = some[near[line]], line[near[line]]
+                    if not len(some):
+                        continue
+                    better[some] += np.count_nonzero(found[line] > high[some, None], axis=1)
+                    some, line = some[better[some] < k], line[better[some] < k]
+                    row, col = np.nonzero((found[line] >= low[some, None]) & (found[line] <= high[some, None]))
+                    for j in range(0, len(row), 65_536):
+                        a, b = some[row[j : j + 65_536]], at + col[j : j + 65_536]
+                        exact = cosines(q[of[a]], v[b])
+                        beats = (exact > score[a]) | ((exact == score[a]) & (ids[b] < own[a]))
+                        better += np.bincount(a[beats], minlength=len(better))
+                live, at = live[better[live] < k], end
+            if not len(live):
+                break
+        hit = better > 0
+        return pa.table({"item": item[hit], "better": better[hit]})
+
+    asked = wanted.select("g", F.col("query_id").alias("key"), "item", "query_id", "id", "score", "v")
+    found = block_join(asked, packed, (F.size("v"), F.col("n").cast("long") * F.col("width")), run, "item long, better long", RANK_NUMBERS)
+    return found.groupBy("item").agg(F.sum("better").alias("better"))
+
+
+def ranks(wanted: DataFrame, packed: DataFrame, k: int) -> DataFrame:
+    """``wanted`` without ``v``, with ``rank`` (from 1) among all rows of its group, for the items that are among the first ``k``.
+
+    A part of the rows settles the items that ``k`` of them beat; the others are then compared with all rows.
+    """
+    early = better_than(wanted, packed.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_LOOK)) == 0), k).where(F.col("better") >= k)
+    left = wanted.join(early.select("item"), "item", "left_anti")
+    path = shared_path(wanted.sparkSession, "left")
+    left.write.parquet(path)
+    left = wanted.sparkSession.read.schema(left.schema).parquet(path)
+    rank = F.coalesce("better", F.lit(0)) + 1
+    return left.drop("v").join(better_than(left, packed, k), "item", "left").withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).drop("better")
+
+
 def similarity(df: DataFrame, metric: str, col: str) -> DataFrame:
     """``score``: a cosine distance becomes 1 - d; a similarity stays."""
     if metric not in ("distance", "similarity"):

@@ -1,5 +1,7 @@
 """The cache table: what a second run still makes, what is shuffled, and what a failed run leaves."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -70,3 +72,14 @@ def test_counts_are_cached(spark, tmp_path, texts, refuse):
     assert again == {1: (2, True), 2: (2, True), 3: (None, None), 4: (1, True), 5: (2, True)}
     assert tokens.exact_counts(texts, tokens.word_tokens, cache.frame().select("key", "tokens")).where("cached").count() == 4
     assert [tokens.word_tokens(t) for t in ("", "a1 b-c", "é é\n%")] == [0, 4, 3]
+
+
+def test_words_are_counted_as_bytes_split_them():
+    texts = ["", "  a  B\tc\x0bd\x0ce\r\n f ", "ÄÖ É x \x1cq\x1fz", "\x85a b", "One oNe one", "a" * 100]
+    out = np.zeros((len(texts), 16))
+    for row, text in zip(out, texts, strict=True):
+        for word in text.encode().lower().split():
+            digits = hashlib.md5(word).hexdigest()
+            row[int(digits[:7], 16) % 16] += 1 if digits[7] < "8" else -1
+    embedder = embedding.counting_embedder(16)
+    assert np.array_equal(embedder(texts), out) and np.array_equal(embedder(texts[::-1]), out[::-1]) and embedder([]).shape == (0, 16)

@@ -97,3 +97,33 @@ def test_similarities_are_rounded_by_their_own_value(spark):
     got = {r.query_id: r.rendered for r in search.format_hits(asked, hits).collect()}
     assert got[1] == "\n\n".join(f"[{i + 1}] v{i}  (similarity {s})\nt" for i, s in enumerate(["0.98", "0.38", "0.12", "0.01"]))
     assert got[2] == "no passages found for 'w'"
+
+
+@pytest.mark.parametrize("numbers", [(2_000_000, 16_000_000), (300, 900)])
+def test_ranks_are_counted_exactly(spark, monkeypatch, numbers):
+    """Counted ranks equal those of a full ranking: ties, copies, zero vectors, counts that need one, two or four bytes, many and few blocks."""
+    monkeypatch.setattr(search, "RANK_NUMBERS", numbers)
+    monkeypatch.setattr(search, "RANK_ROWS", (7, 32))
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, size=(700, 6)).astype(np.float32)  # many equal cosines
+    x[40:60], x[60:70], x[70:75] = x[1], 0, x[2] * 100_000.5
+    x[75:80] = x[3] * 1000
+    group, ids = np.arange(700) % 2, rng.permutation(700) + 10**12
+    packs = [(*row, key) for key, (a, g) in enumerate((a, g) for a in range(0, 700, 70) for g in (0, 1)) for own in [np.arange(a, a + 70)[group[a : a + 70] == g]] for row in search.pack(g, ids[own], x[own])]
+    assert {row[3] for row in packs} == {"int8", "int16", "float32"}
+    packed = spark.createDataFrame(packs, search.PACKED + ", key long")
+    q = np.concatenate([x[:20] + rng.integers(-1, 2, size=(20, 6)), np.zeros((1, 6)), x[1:2]]).astype(np.float32)
+    items, want = [], {}
+    for i in range(len(q)):
+        g = i % 2
+        own = np.flatnonzero(group == g)
+        score = search.cosines(np.repeat(q[i : i + 1], len(own), axis=0), x[own])
+        order = sorted(range(len(own)), key=lambda j: (-score[j], ids[own[j]]))
+        for place in (0, 3, 9, 10, 40, 200):
+            j = order[place]
+            items.append((len(items), g, i, int(ids[own[j]]), float(score[j]), q[i].tolist()))
+            if place < 10:
+                want[items[-1][0]] = place + 1
+    wanted = spark.createDataFrame(items, "item long, g int, query_id long, id long, score double, v array<float>")
+    assert {r.item: r["rank"] for r in search.ranks(wanted, packed, 10).collect()} == want
+    assert np.array_equal(search.cosines(np.array([[1.0, 0]]), np.array([[1.0, 0]])), [1.0]) and search.cosines(np.eye(64)[:1] * 1.0, np.r_[1, np.ones(16383)][None, :64])[0] == 0.125
