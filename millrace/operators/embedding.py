@@ -48,7 +48,7 @@ def counting_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
 
     def number(word: str) -> int:
         digits = md5(word.encode()).hexdigest()
-        return int(digits[:7], 16) % dims * 2 + (digits[7] < "8")
+        return int(digits[:7], 16) % dims + (dims if digits[7] < "8" else 0)
 
     def embed(texts: list[str]) -> np.ndarray:
         if len(known) > REMEMBERED:
@@ -56,15 +56,17 @@ def counting_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
             known[""] = -1
         split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
         each = pc.list_flatten(split).dictionary_encode()
-        words = each.dictionary.to_pylist()
+        words = each.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = list(map(known.get, words))
         for i, code in enumerate(codes):
             if code is None:
                 codes[i] = known[words[i]] = number(words[i])
-        code = np.array(codes, np.int64)
-        place, sign = np.maximum(code, 0) >> 1, np.where(code < 0, 0, (code & 1) * 2 - 1)
-        word, row = each.indices.to_numpy(), pc.list_parent_indices(split).to_numpy()
-        return np.bincount(row * dims + place[word], weights=sign[word], minlength=len(texts) * dims).reshape(-1, dims)
+        slot, word, row = np.array(codes, np.int64), each.indices.to_numpy(), pc.list_parent_indices(split).to_numpy()
+        at = slot[word]
+        if (slot < 0).any():
+            row, at = row[at >= 0], at[at >= 0]
+        both = np.bincount(row * (2 * dims) + at, minlength=len(texts) * 2 * dims).reshape(-1, 2 * dims)
+        return both[:, dims:] - both[:, :dims]
 
     embed.batch = 65_536  # most words of a large batch are found in it again
     return embed

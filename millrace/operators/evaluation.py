@@ -110,7 +110,7 @@ class Setting:
 
 
 #: Characters of documents that are chunked at a time, and bytes of a side that may be broadcast.
-TEXT_BLOCK, SMALL = 500_000, 8_000_000
+TEXT_BLOCK, SMALL = 1_000_000, 8_000_000
 
 
 def _cut(source: str | None, text: str | None, s: Setting):
@@ -234,19 +234,8 @@ PREFIXES = {"document and query": ("search_document: ", "search_query: "), "none
 
 
 def ablate_prefixes(docs: DataFrame, queries: DataFrame, embedder, model: str, size: int = 600, overlap: int = 100, depth: int = 10, prefixes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """One row of metrics per pair of prefixes: ``variant, position, n, hit_k, p_k, r_k, mrr``; input as ``ablate_chunk_size``."""
-    named = prefixes or PREFIXES
-    chunks = chunking.with_context(chunking.chunk(docs, size, overlap))
-    gold = relevant_chunks(chunks, queries).select("query_id", _vector_id(F.col("chunk_id")).alias("vec_id"))
-    totals = gold.groupBy("query_id").agg(F.count("*").alias("total_relevant"))
-    rows = []
-    for i, (name, (own, asked)) in enumerate(named.items()):
-        vectors = embedding.embed(chunks, embedder, model, own, col="context").select(_vector_id(F.col("chunk_id")).alias("vec_id"), F.col("vector").alias("embedding"))
-        hits = search.top_k(vectors, embedding.embed(queries, embedder, model, asked, col="question").select("query_id", F.col("vector").alias("embedding")), k=depth)
-        labelled = hits.join(gold.withColumn("relevant", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "rank", F.col("vec_id").alias("id"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"))
-        metrics = aggregate(per_query(queries.select("query_id", F.lit("x").alias("setting")), labelled, totals), "setting").where("setting = 'all'").drop("setting")
-        rows.append(metrics.withColumns({"variant": F.lit(name), "position": F.lit(i)}))
-    return reduce(DataFrame.unionByName, rows)
+    """One row of metrics per pair of prefixes, as ``ablate_chunk_size``; chunks that two of them mark alike are embedded once."""
+    return _ablate(docs, queries, embedder, [(name, Setting(size, overlap, own), asked) for name, (own, asked) in (prefixes or PREFIXES).items()], depth)
 
 
 def gold_violations_by_size(docs: DataFrame, queries: DataFrame, sizes: tuple[int, ...] = (200, 600, 2000)) -> DataFrame:

@@ -104,7 +104,7 @@ PACKED = "g int, n int, width int, kind string, ids binary, vectors binary"
 
 
 def pack(g: int, ids: np.ndarray, vectors: np.ndarray):
-    """Rows of ``PACKED`` for vectors of one group: each in the narrowest kind of number that holds it without loss."""
+    """Rows of ``PACKED`` for vectors of one group: each in the narrowest kind of number that holds it without loss, compressed."""
     if not vectors.size:
         return
     most = np.where((vectors == np.rint(vectors)).all(axis=1), np.abs(vectors).max(axis=1), np.inf)
@@ -113,7 +113,7 @@ def pack(g: int, ids: np.ndarray, vectors: np.ndarray):
         own = ~(most <= low) & (most <= high) if np.isfinite(high) else ~(most <= low)
         low = high
         if own.any():
-            yield g, int(own.sum()), vectors.shape[1], kind, ids[own].astype(np.int64).tobytes(), vectors[own].astype(kind).tobytes()
+            yield g, int(own.sum()), vectors.shape[1], kind, ids[own].astype(np.int64).tobytes(), pa.compress(vectors[own].astype(kind).tobytes(), "zstd", asbytes=True)
 
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -145,6 +145,7 @@ def better_than(wanted: DataFrame, packed: DataFrame, k: int) -> DataFrame:
         first = True
         for block in zip(*(blocks[c] for c in ("n", "width", "kind", "vectors", "ids")), strict=True):
             n, width, kind, raw, ids = (x.as_py() for x in block)
+            raw = pa.decompress(raw, n * width * np.dtype(kind).itemsize, "zstd", asbytes=True)
             v, ids = np.frombuffer(raw, kind).reshape(n, width).astype(np.float32), np.frombuffer(ids, np.int64)
             w = unit(v.astype(np.float64)).astype(np.float32)
             at = 0

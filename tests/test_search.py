@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from millrace.operators import evaluation, search, vector_index
+from millrace.operators import chunking, embedding, evaluation, search, vector_index
 
 ROWS = "vec_id long, embedding array<float>, g string"
 
@@ -127,3 +127,22 @@ def test_ranks_are_counted_exactly(spark, monkeypatch, numbers):
     wanted = spark.createDataFrame(items, "item long, g int, query_id long, id long, score double, v array<float>")
     assert {r.item: r["rank"] for r in search.ranks(wanted, packed, 10).collect()} == want
     assert np.array_equal(search.cosines(np.array([[1.0, 0]]), np.array([[1.0, 0]])), [1.0]) and search.cosines(np.eye(64)[:1] * 1.0, np.r_[1, np.ones(16383)][None, :64])[0] == 0.125
+
+
+def test_prefixes_embed_like_chunks_once(spark):
+    """Two of the three cases mark documents alike; the planted questions are their documents' first words."""
+    seen = spark.sparkContext.accumulator(0)
+    inner = embedding.counting_embedder(64)
+
+    def embedder(texts):
+        seen.add(len(texts))
+        return inner(texts)
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 600)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(i, texts[i][:200], [str(i)], texts[i][150:180].upper()) for i in (0, 20)], "query_id long, question string, sources array<string>, marker string")
+    chunks = chunking.chunk(docs).count()
+    got = {r.variant: r for r in evaluation.ablate_prefixes(docs, asked, embedder, "m").collect()}
+    assert set(got) == set(evaluation.PREFIXES) and all((r.n, r.hit_1, r.r_1, r.mrr) == (2, 1.0, 1.0, 1.0) for r in got.values())
+    assert 2 * chunks <= seen.value < 2.5 * chunks
