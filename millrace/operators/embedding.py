@@ -17,7 +17,7 @@ from .caching import TableCache
 
 BATCH = 64
 #: Words whose numbers an embedder remembers before it begins anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:

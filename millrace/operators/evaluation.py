@@ -76,10 +76,10 @@ def relevant_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def best_setting(metrics: DataFrame, configured: str, key: str = "variant", position: str = "position") -> DataFrame:
-    """The variant best in (hit_3, mrr), the first on ties, with its lead over the configured one."""
-    own = metrics.where(F.col(key) == configured).select(F.col("hit_3").alias("_h"), F.col("mrr").alias("_m")).limit(1)
-    best = metrics.orderBy(F.desc("hit_3"), F.desc("mrr"), position).limit(1)
-    return best.join(own, how="left").select(key, "hit_3", "mrr", F.round(F.col("hit_3") - F.col("_h"), 6).alias("hit_3_delta"), F.round(F.col("mrr") - F.col("_m"), 6).alias("mrr_delta"))
+    """The variant best in (hit_3, mrr), the first on ties, with its lead over the configured one; ``metrics`` is read once."""
+    row = F.struct(key, "hit_3", "mrr")
+    both = metrics.agg(F.max_by(row, F.struct("hit_3", "mrr", -F.col(position))).alias("b"), F.max(F.when(F.col(key) == configured, row)).alias("o")).where("b is not null")
+    return both.select(f"b.{key}", "b.hit_3", "b.mrr", F.round(F.col("b.hit_3") - F.col("o.hit_3"), 6).alias("hit_3_delta"), F.round(F.col("b.mrr") - F.col("o.mrr"), 6).alias("mrr_delta"))
 
 
 def gold_violations(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ class Setting:
 
 
 #: Characters of documents that are chunked at a time, and bytes of a side that may be broadcast.
-TEXT_BLOCK, SMALL = 1_000_000, 8_000_000
+TEXT_BLOCK, SMALL = 500_000, 8_000_000
 
 
 def _cut(source: str | None, text: str | None, s: Setting):
@@ -200,7 +200,8 @@ def _ablate(docs: DataFrame, queries: DataFrame, embedder, cases: list[tuple[str
     near = F.broadcast(wanted) if small else wanted
     own = _written(docs.select("doc_id", "text").join(near.select(F.col("source").alias("_s")), F.col("doc_id").cast("string") == F.col("_s"), "left_semi"), "wanted")
     found = _chunks_of_all(own, settings).join(near, "source").where(F.contains(F.lower("text"), F.col("_m")))
-    gold = embedding.embed_rows(found.select(F.col("query_id").alias("_q"), "g", _vector_id(F.col("name")).alias("id"), "shown"), embedder, "shown", "w").drop("shown")
+    found = _written(found.select(F.col("query_id").alias("_q"), "g", _vector_id(F.col("name")).alias("id"), "shown"), "found")  # each stage runs one kind of Python worker
+    gold = _written(embedding.embed_rows(found, embedder, "shown", "w").drop("shown"), "gold")
     pairs = asked.withColumn("_q", F.expr(f"(query_id - position) div {n}")).join(gold, ["_q", "g"]).select("query_id", "g", "id", "v", "w")
     scored = pairs.mapInArrow(_scored, "query_id long, g int, id long, score double, v array<float>")
     of = Window.partitionBy("query_id")

@@ -96,7 +96,7 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 #: Numbers of a block of wanted rows and of packed vectors, and how many of either are multiplied at a time.
-RANK_NUMBERS, RANK_ROWS = (2_000_000, 16_000_000), (512, 2048)
+RANK_NUMBERS, RANK_ROWS = (2_000_000, 16_000_000), (256, 2048)
 #: Packed vectors of one in so many rows are looked at first.
 FIRST_LOOK = 16
 
@@ -166,8 +166,8 @@ def better_than(wanted: DataFrame, packed: DataFrame, k: int) -> DataFrame:
                     better[some] += np.count_nonzero(found[line] > high[some, None], axis=1)
                     some, line = some[better[some] < k], line[better[some] < k]
                     row, col = np.nonzero((found[line] >= low[some, None]) & (found[line] <= high[some, None]))
-                    for j in range(0, len(row), 65_536):
-                        a, b = some[row[j : j + 65_536]], at + col[j : j + 65_536]
+                    for j in range(0, len(row), 8_192):
+                        a, b = some[row[j : j + 8_192]], at + col[j : j + 8_192]
                         exact = cosines(q[of[a]], v[b])
                         beats = (exact > score[a]) | ((exact == score[a]) & (ids[b] < own[a]))
                         better += np.bincount(a[beats], minlength=len(better))

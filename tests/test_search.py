@@ -146,3 +146,19 @@ def test_prefixes_embed_like_chunks_once(spark):
     got = {r.variant: r for r in evaluation.ablate_prefixes(docs, asked, embedder, "m").collect()}
     assert set(got) == set(evaluation.PREFIXES) and all((r.n, r.hit_1, r.r_1, r.mrr) == (2, 1.0, 1.0, 1.0) for r in got.values())
     assert 2 * chunks <= seen.value < 2.5 * chunks
+
+
+def test_best_setting_reads_metrics_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    schema = "variant string, position int, hit_3 double, mrr double"
+    rows = spark.createDataFrame([("200", 0, 0.4, 0.3), ("300", 1, 0.5, 0.2), ("600", 2, 0.5, 0.25), ("1200", 3, 0.5, 0.25)], schema).mapInArrow(counted, schema)
+    assert [tuple(r) for r in evaluation.best_setting(rows, "200").collect()] == [("600", 0.5, 0.25, 0.1, -0.05)]
+    assert seen.value == 4
+    assert [tuple(r) for r in evaluation.best_setting(rows, "none").collect()] == [("600", 0.5, 0.25, None, None)]
+    assert evaluation.best_setting(rows.limit(0), "200").count() == 0
